@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding
+from . import packing, quality_rules, sharding, simhash
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,10 @@ def _bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(_read(spark, sf_dir, "documents"))
+
+
 def op3_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), _bpe(), capacity=2048)
 
@@ -29,8 +33,12 @@ def op4_histogram_sort_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_deletion_variant_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_groups(_read(spark, sf_dir, "documents"), size=3, distance=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_two_fit_packing, op4_histogram_sort_shards)}
+    return {f.__name__: f for f in (op2_mcd_outliers, op3_best_two_fit_packing, op4_histogram_sort_shards, op5_deletion_variant_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -131,10 +131,9 @@ def shingles(words: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarra
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total, weight = np.zeros(n, np.uint64), np.uint64(1)
+    total = np.zeros(n, np.uint64)
     for k in range(size):
-        total += words[k : k + n] * weight
-        weight = weight * WORD_BASE
+        total += words[k : k + n] * np.uint64(pow(int(WORD_BASE), k, 1 << 64))
     at = np.flatnonzero(owner[:n] == owner[size - 1 :])
     return mix(total[at]), at
 
