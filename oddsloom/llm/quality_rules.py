@@ -145,7 +145,7 @@ def _distance() -> Column:
     return sum((d[i] * d[j] * F.col(f"p{i}{j}") * (1 if i == j else 2) for i in range(p) for j in range(i, p)), F.lit(0.0))
 
 
-def quality_verdicts(docs: DataFrame, share: float = 0.75, steps: int = 4, tail: float = 1e-6, least: int = 50) -> DataFrame:
+def quality_verdicts(docs: DataFrame, share: float = 0.75, steps: int = 4, tail: float = 1e-5, least: int = 50) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and the squared distance.
 
     Rows that fail the base rules are left out of the estimates. Null languages and sources form groups

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, sharding, simhash
+from . import langid, ordinal, packing, quality_rules, sharding, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,8 +37,31 @@ def op5_deletion_variant_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_read(spark, sf_dir, "documents"), size=3, distance=3)
 
 
+def op6_ordinal_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.grade_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op8_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(_read(spark, sf_dir, "documents"))
+
+
+def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES = (
+    op2_mcd_outliers,
+    op3_best_two_fit_packing,
+    op4_histogram_sort_shards,
+    op5_deletion_variant_simhash,
+    op6_ordinal_grades,
+    op8_nearest_centroid_language,
+    op9_nnpu_toxicity,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mcd_outliers, op3_best_two_fit_packing, op4_histogram_sort_shards, op5_deletion_variant_simhash)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
