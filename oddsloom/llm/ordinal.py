@@ -44,13 +44,13 @@ def fit(x: np.ndarray, grade: np.ndarray, grades: int, steps: int = 250, rate: f
         w, first, gaps = z[:size], z[size], z[size + 1 :]
         steps_up = np.exp(gaps)
         theta = np.concatenate(([first], first + np.cumsum(steps_up)))
-        f = x @ w
+        f = (x @ w.astype(np.float32)).astype(float)
         edge = np.concatenate(([-np.inf], theta, [np.inf]))
         hi, lo = sigmoid(edge[grade + 1] - f), sigmoid(edge[grade] - f)
         hi, lo = np.where(grade == grades - 1, 1.0, hi), np.where(grade == 0, 0.0, lo)
         p = np.maximum(hi - lo, 1e-9)
         d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
-        g_w = x.T @ (weight * (d_hi - d_lo)) + ridge * w
+        g_w = (weight * (d_hi - d_lo)).astype(np.float32) @ x + ridge * w
         g_theta = np.array([-(weight * d_hi)[grade == k].sum() + (weight * d_lo)[grade == k + 1].sum() for k in range(grades - 1)])
         g_gaps = np.array([g_theta[k + 1 :].sum() for k in range(grades - 2)]) * steps_up
         z = adam.step(z, np.concatenate((g_w, [g_theta.sum()], g_gaps)))
@@ -81,7 +81,7 @@ def grade_of(labels: DataFrame) -> Column:
     return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
 
 
-def grade_documents(docs: DataFrame, labels: DataFrame, sample: int = 3000, grades: int = 3, tail: int = 1) -> DataFrame:
+def grade_documents(docs: DataFrame, labels: DataFrame, sample: int = 2000, grades: int = 3, tail: int = 1) -> DataFrame:
     """doc_id, held_out, expected_grade, tail_probability (grade >= ``tail``) and selected (it is 0.5 or more).
 
     Learns from rated rows whose crc32(doc_id) mod 5 is not 0, at most about ``sample``. Several ratings

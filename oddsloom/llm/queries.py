@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, ordinal, packing, quality_rules, sharding, simhash, toxicity
+from . import decontaminate, langid, ordinal, packing, paragraphs, quality_rules, sharding, simhash, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +20,10 @@ def _bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(_read(spark, sf_dir, "documents"))
 
@@ -41,6 +45,10 @@ def op6_ordinal_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grade_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op7_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated_paragraphs(_read(spark, sf_dir, "documents"))
+
+
 def op8_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(_read(spark, sf_dir, "documents"))
 
@@ -50,11 +58,13 @@ def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = (
+    op1_bm25_decontamination,
     op2_mcd_outliers,
     op3_best_two_fit_packing,
     op4_histogram_sort_shards,
     op5_deletion_variant_simhash,
     op6_ordinal_grades,
+    op7_paragraph_minhash,
     op8_nearest_centroid_language,
     op9_nnpu_toxicity,
 )
