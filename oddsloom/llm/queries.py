@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, ordinal, packing, paragraphs, quality_rules, sharding, simhash, toxicity
+from . import decontaminate, langid, ordinal, packing, paragraphs, quality_rules, sharding, simhash, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op10_linear_grouping_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated_bytes(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_bm25_decontamination,
     op2_mcd_outliers,
@@ -67,6 +71,7 @@ QUERIES = (
     op7_paragraph_minhash,
     op8_nearest_centroid_language,
     op9_nnpu_toxicity,
+    op10_linear_grouping_suffixes,
 )
 
 
