@@ -15,10 +15,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import WORD_BASE, Texts, mix, pieces
+from .textops import WORD_BASE, Texts, keep_rows, mix, pieces
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -252,20 +252,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, limits: Limits | None = None)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def contaminated(text: Column, items: DataFrame, limits: Limits | None = None) -> Column:
-    """True for texts that contain a test item of ``items``."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """The rows of ``docs`` whose text contains no test item of ``items``, with all columns."""
     limits = limits or Limits()
-    shared = items.sparkSession.sparkContext.broadcast(indexes(items))
-
-    @F.pandas_udf("boolean")
-    def run(texts):
-        import pandas as pd
+    for x in indexes(items):
+        shared = docs.sparkSession.sparkContext.broadcast(x)
 
-        out = np.zeros(len(texts), bool)
-        for t in pieces(pa.array(texts, pa.large_string(), from_pandas=True)):
-            for x in shared.value:
-                for r in leaks_of(t, x, limits):
-                    out[t.first + r[0]] = True
-        return pd.Series(out)
+        def clean(t: Texts, shared=shared) -> np.ndarray:
+            out = np.ones(len(t), bool)
+            out[[r[0] for r in leaks_of(t, shared.value, limits)]] = False
+            return out
 
-    return run(text)
+        docs = keep_rows(docs, clean)
+    return docs

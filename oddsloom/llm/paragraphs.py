@@ -196,15 +196,29 @@ def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9
     Documents of which nothing but white space stays are dropped; those that were empty before stay.
     """
     gone = repeated_paragraphs(docs, similarity, recall).filter("removed").groupBy(F.col("doc_id").alias("id_")).agg(F.collect_set(F.struct("s", "e")).alias("spans_"))
+    names = docs.columns
+    at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    schema = docs.schema
 
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
-
-        return pd.Series([cut_spans(x, None if y is None else [(z["s"], z["e"]) for z in y]) for x, y in zip(texts, spans, strict=True)])
-
-    out = docs.join(gone, docs.doc_id == F.col("id_"), "left").withColumn("text", F.when(F.col("spans_").isNull(), F.col("text")).otherwise(cut("text", "spans_")))
-    out = out.filter(F.col("spans_").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("spans_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    def run(batches):
+        for batch in batches:
+            spans = batch.column(len(names))
+            hit = [k for k in range(batch.num_rows) if spans[k].is_valid]
+            columns = list(batch.columns[: len(names)])
+            if hit:
+                texts = columns[at].to_pylist()
+                size = columns[chars].to_pylist() if chars is not None else []
+                keep = np.ones(batch.num_rows, bool)
+                for k in hit:
+                    texts[k] = cut_spans(texts[k], [(x["s"], x["e"]) for x in spans[k].as_py()])
+                    keep[k] = bool(texts[k] and texts[k].encode().split())
+                    if size:
+                        size[k] = len(texts[k])
+                columns[at] = pa.array(texts, columns[at].type)
+                if size:
+                    columns[chars] = pa.array(size, columns[chars].type)
+                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+            else:
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.join(gone, docs.doc_id == F.col("id_"), "left").select(*(docs[c] for c in names), "spans_").mapInArrow(run, schema)

@@ -143,3 +143,16 @@ def crc32_of_ids(ids: pa.Array) -> np.ndarray:
     import zlib
 
     return np.array([-1 if x is None else zlib.crc32(str(x).encode()) for x in ids.to_pylist()], np.int64)
+
+
+def keep_rows(docs, keep):
+    """The rows of ``docs`` whose text passes: ``keep(texts)`` gives a flag for each text of a slice. All columns stay as they are."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            flags = [keep(t) for t in pieces(batch.column(at))]
+            if flags:
+                yield batch.filter(pa.array(np.concatenate(flags)))
+
+    return docs.mapInArrow(run, docs.schema)

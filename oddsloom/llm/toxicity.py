@@ -11,11 +11,11 @@ from math import lgamma
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import WORD_BITS, Adam, bounded_sample, held_out, sigmoid, word_slots
-from .textops import Texts, pieces
+from .textops import Texts, keep_rows, pieces
 
 SIZE = 1 << WORD_BITS
 
@@ -99,18 +99,10 @@ class Toxicity:
     def __init__(self, docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 6000, most: int = 200):
         self.shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, positives, unlabelled, most))
 
-    def score(self, text: Column) -> Column:
-        """A column of scores from 0 to 1; null and empty texts get the score of no words."""
+    def below(self, docs: DataFrame, limit: float) -> DataFrame:
+        """The rows of ``docs`` that score less than ``limit``, with all columns; null texts score as empty ones."""
         shared = self.shared
-
-        @F.pandas_udf("double")
-        def run(texts):
-            import pandas as pd
-
-            out = [scores(t, shared.value) for t in pieces(pa.array(texts, pa.large_string(), from_pandas=True))]
-            return pd.Series(np.concatenate(out) if out else np.zeros(0))
-
-        return run(text)
+        return keep_rows(docs, lambda t: scores(t, shared.value) < limit)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
@@ -118,9 +110,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFra
 
     Learns from rows whose crc32(doc_id) mod 5 is not 0: the texts of at most ``positives`` rows with
     toxic 1, and ``unlabelled`` texts of any kind. Several labels of a doc_id: the highest counts. Null
-    labels and ids are left out. Without a positive all scores are near 0. Repeated rows give repeated
-    rows; an empty table gives none; other columns are not read.
+    labels and ids are left out; null and empty texts get the score of no words. Without a positive all
+    scores are near 0. Repeated rows give repeated rows; an empty table gives none; other columns are not read.
     """
-    model = Toxicity(docs, labels, **bounds)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 5, 0).alias("held_out"), model.score(F.col("text")).alias("score"))
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    shared = Toxicity(docs, labels, **bounds).shared
+
+    def run(batches):
+        for batch in batches:
+            for t in pieces(batch.column(2)):
+                own, score = batch.slice(t.first, len(t)), scores(t, shared.value)
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id"), 5, 0).alias("held_out"), "text")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
