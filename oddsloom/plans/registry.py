@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("scalars", "quote_core")
+MODULES: tuple[str, ...] = ("scalars", "quote_core", "labels", "entities", "quality")
 
 
 def _plans() -> list:
