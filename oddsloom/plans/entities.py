@@ -95,7 +95,7 @@ def j18_common_sample(spark, d):
 def j19_sampling_nodes(spark, d):
     e = odds_events(spark, d).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
     ko = e.groupBy("match_id").agg(F.max("us").alias("ko"))
-    nodes = ko.withColumn("node", F.explode(F.array(*map(F.lit, (300, 120, 60, 30, 10))))).withColumn("target", F.col("ko") - F.col("node") * 60_000_000).select("match_id", "node", "target")
+    nodes = ko.withColumn("node", F.explode(F.array(*map(F.lit, (300, 120, 60, 30, 10))))).withColumn("target", F.col("ko") - F.col("node").cast("long") * 60_000_000).select("match_id", "node", "target")
     gap = F.abs(F.col("us") - F.col("target"))
     best = nodes.join(e.select("match_id", "us", "record_id"), "match_id").groupBy("match_id", "node").agg(F.min(F.struct(gap.alias("g"), "record_id")).alias("b"))
     ok = F.col("b.g") <= 3_600_000_000
