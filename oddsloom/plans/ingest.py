@@ -64,17 +64,23 @@ def _stream(spark, d):
     return feed.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def shared_folder(spark) -> str:
+    """The folder in spark.checkpoint.dir; an own one only where that is unset (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        import tempfile
+
+        found = tempfile.mkdtemp(prefix="oddsloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
 def _drain(stream, name):
     """Run a streaming DataFrame over what is there, into a table in the shared folder, and read it."""
     import uuid
 
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="oddsloom-")
-    path = f"{root}/streams/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex[:12]}"
     q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")

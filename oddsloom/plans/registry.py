@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("scalars", "quote_core", "labels", "entities", "quality", "pricing", "ratings", "evaluation", "exchange", "ingest")
+MODULES: tuple[str, ...] = ("scalars", "quote_core", "labels", "entities", "quality", "pricing", "ratings", "evaluation", "exchange", "ingest", "modelling")
 
 
 def _plans() -> list:
