@@ -53,11 +53,16 @@ def pairs_of_runs(heads: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.nd
         done = to
 
 
-def bucket_links(keys: DataFrame, verify: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray], scratch: Scratch, block: int = BLOCK) -> DataFrame:
+def all_pairs(rows: pa.RecordBatch, heads: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return pairs_of_runs(heads, rows.num_rows)
+
+
+def bucket_links(keys: DataFrame, verify: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray], scratch: Scratch, block: int = BLOCK, propose=all_pairs) -> DataFrame:
     """(a, b) links of ids whose rows share a key and pass ``verify``.
 
     ``keys``: key long, id long, then any payload columns; ``verify(rows, i, j)`` says which index
-    pairs of an Arrow batch of such rows are links. Rows of one id may repeat.
+    pairs of an Arrow batch of such rows are links; ``propose(rows, heads)`` gives the pairs to look at,
+    among the rows from one bucket's head to the next. Rows of one id may repeat.
     """
     spark = keys.sparkSession
     extra = keys.columns[2:]
@@ -81,7 +86,7 @@ def bucket_links(keys: DataFrame, verify: Callable[[pa.RecordBatch, np.ndarray,
         if len(ids) > 1:
             head[1:] = (at[0][1:] != at[0][:-1]) | (at[1][1:] != at[1][:-1]) | (at[2][1:] != at[2][:-1])
         found = []
-        for i, j in pairs_of_runs(np.flatnonzero(head), len(ids)):
+        for i, j in propose(rows, np.flatnonzero(head)):
             if len(i):
                 keep = np.flatnonzero(ids[i] != ids[j])
                 i, j = i[keep], j[keep]

@@ -9,12 +9,14 @@ of each component of similar paragraphs one occurrence stays.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import bucket_links
+from .buckets import bucket_links, pairs_of_runs
 from .collide import colliding
 from .components import connected_components
 from .store import Scratch
@@ -146,6 +148,33 @@ def jaccard(rows: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return out
 
 
+def prefix_pairs(rows: pa.RecordBatch, heads: np.ndarray, similarity: float):
+    """The pairs of a bucket that can reach ``similarity``: they share one of their rarest shingles.
+
+    Of n shingles in any fixed order, the first n - ceil(similarity n) + 1 must meet the other set's. With
+    the rarest of the bucket first, these are mostly shingles that no other row has.
+    """
+    n = rows.num_rows
+    lists = rows.column(rows.schema.get_field_index("grams"))
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(n), size)
+    bucket = np.searchsorted(heads, np.arange(n), "right").astype(np.uint64)
+    _, gram, count = np.unique(mix(lists.flatten().to_numpy().view(np.uint64) ^ mix(bucket)[row]), return_inverse=True, return_counts=True)
+    often = count[gram]
+    order = np.lexsort((gram, often, row))
+    first = np.concatenate(([0], np.cumsum(size)))[:-1]
+    rank = np.arange(len(order)) - first[row]
+    prefix = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    keep = order[(rank < prefix[row]) & (often[order] > 1)]
+    keep = keep[np.argsort(gram[keep], kind="stable")]
+    gram, row = gram[keep], row[keep]
+    runs = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+    for i, j in pairs_of_runs(runs, len(gram)):
+        i, j = row[i], row[j]
+        ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
+        yield i[ok], j[ok]
+
+
 def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """doc_id, s, e (byte span), n_words, cluster_id and removed, for each paragraph that occurs twice or more.
 
@@ -167,7 +196,7 @@ def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, recall: float
     wanted = repeated.filter("near").select(F.col("uid").alias("id"), F.col("first.doc_id").alias("doc_id"))
     grams = _shingles_of(docs, wanted)
     keys = scratch.save(near.join(grams, "id").select("key", "id", "grams"), drop=near)
-    links = scratch.save(bucket_links(keys, lambda rows, i, j: jaccard(rows, i, j) >= similarity, scratch), drop=keys)
+    links = scratch.save(bucket_links(keys, lambda rows, i, j: jaccard(rows, i, j) >= similarity, scratch, propose=lambda rows, heads: prefix_pairs(rows, heads, similarity)), drop=keys)
     groups = connected_components(links, scratch)
 
     named = repeated.join(groups, repeated.uid == groups.id, "left").select("uid", "n", "first", F.coalesce("component", "uid").alias("cluster_id"))
@@ -195,8 +224,9 @@ def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9
 
     Documents of which nothing but white space stays are dropped; those that were empty before stay.
     """
-    gone = repeated_paragraphs(docs, similarity, recall).filter("removed").groupBy(F.col("doc_id").alias("id_")).agg(F.collect_set(F.struct("s", "e")).alias("spans_"))
     names = docs.columns
+    own, cut = (f"{x}_{uuid.uuid4().hex[:8]}" for x in ("id", "spans"))  # names that no column of docs has
+    gone = repeated_paragraphs(docs, similarity, recall).filter("removed").groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("s", "e")).alias(cut))
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     schema = docs.schema
 
@@ -221,4 +251,4 @@ def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9
             else:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.join(gone, docs.doc_id == F.col("id_"), "left").select(*(docs[c] for c in names), "spans_").mapInArrow(run, schema)
+    return docs.join(gone, docs.doc_id == F.col(own), "left").select(*(docs[c] for c in names), cut).mapInArrow(run, schema)
