@@ -80,8 +80,8 @@ def team_strengths(matches: DataFrame, pseudo: float = 5.0) -> DataFrame:
     w = past("competition", "team", "venue")
     t = t.withColumns({"n": F.coalesce(F.count(F.lit(1)).over(w), F.lit(0)), "sf": F.coalesce(F.sum("gf").over(w), F.lit(0)), "sa": F.coalesce(F.sum("ga").over(w), F.lit(0))}).join(base, "match_id")
     own, other = (F.when(F.col("venue") == "home", F.col(a)).otherwise(F.col(b)) for a, b in (("home_rate", "away_rate"), ("away_rate", "home_rate")))
-    attack = shrunk(F.col("sf"), F.col("n"), own, pseudo) / own
-    concede = shrunk(F.col("sa"), F.col("n"), other, pseudo) / other
+    attack = shrunk(F.col("sf"), F.col("n"), own, pseudo) / F.nullif(own, F.lit(0.0))
+    concede = shrunk(F.col("sa"), F.col("n"), other, pseudo) / F.nullif(other, F.lit(0.0))
     return t.select("match_id", "venue", "team", attack.alias("attack"), concede.alias("concede"), "home_rate", "away_rate")
 
 

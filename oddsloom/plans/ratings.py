@@ -92,7 +92,7 @@ def m20_baseline_two_seasons(spark, d):
 
 
 _STRENGTH = f"""t AS ({_TEAM}), c AS (SELECT match_id, venue, team, count(*) OVER w AS n, coalesce(sum(gf) OVER w, 0) AS sf, coalesce(sum(ga) OVER w, 0) AS sa FROM t WINDOW w AS ({_TPAST})), b AS ({_BASE}),
-    s AS (SELECT c.*, home_rate, away_rate, CASE venue WHEN 'home' THEN home_rate ELSE away_rate END AS own, CASE venue WHEN 'home' THEN away_rate ELSE home_rate END AS oth FROM c JOIN b USING (match_id)), z AS (SELECT *, (sf + 5 * own) / (n + 5) / own AS attack, (sa + 5 * oth) / (n + 5) / oth AS concede FROM s)"""
+    s AS (SELECT c.*, home_rate, away_rate, CASE venue WHEN 'home' THEN home_rate ELSE away_rate END AS own, CASE venue WHEN 'home' THEN away_rate ELSE home_rate END AS oth FROM c JOIN b USING (match_id)), z AS (SELECT *, (sf + 5 * own) / (n + 5) / nullif(own, 0) AS attack, (sa + 5 * oth) / (n + 5) / nullif(oth, 0) AS concede FROM s)"""
 
 
 @PLANS.add(f"WITH {_STRENGTH} SELECT match_id, venue, round(attack, 6) AS attack, round(concede, 6) AS concede FROM z")
