@@ -11,6 +11,7 @@ from .textops import Texts
 
 TRIGRAM_BITS = 12
 WORD_BITS = 18
+MANY = 10_000  # values of a sample's grouping column up to which its shares are broadcast
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -59,6 +60,9 @@ def bounded_sample(rows: DataFrame, key: str, cap: int, by: str | None = None) -
         n = rows.count()
         return rows if n <= cap else rows.filter(part < int(1_000_000 * cap / n))
     share = rows.groupBy(by).count().select(by, (F.lit(1_000_000.0) * cap / F.col("count")).alias("share_"))
+    few = share.limit(MANY + 1).collect()
+    if len(few) <= MANY:  # a row for each value: counted, so broadcast
+        share = F.broadcast(rows.sparkSession.createDataFrame(few, share.schema))
     return rows.join(share, by).filter(part < F.col("share_")).drop("share_")
 
 
