@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .buckets import bucket_links
 from .components import connected_components
-from .store import Scratch
+from .store import Scratch, is_empty
 
 BITS = 64
 SEED = 42
@@ -106,5 +106,8 @@ def drop_near_copies(docs: DataFrame, size: int = 3, distance: int = 3) -> DataF
     Rows that repeat a kept doc_id are copies of it: one of them stays. Rows with a null doc_id stay.
     """
     kept = simhash_groups(docs, size, distance).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = docs.filter(F.col("doc_id").isNotNull())
+    named = known.join(kept, "doc_id", "left_semi")
+    if not is_empty(known.groupBy("doc_id").count().filter("count > 1")):  # else whole rows need not be grouped
+        named = named.dropDuplicates(["doc_id"])
     return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
