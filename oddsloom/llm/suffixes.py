@@ -305,7 +305,7 @@ def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
     distinct = scratch.save(all_.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "s", "e", "a")).alias("x")).select("h", "ctx", "n", "x.*"))
     twice = distinct.filter("n > 1").select("h", "ctx")
     whole = all_.join(twice, ["h", "ctx"]).select("rid", "s", (F.col("e") + WINDOW).alias("t"))
-    spans = scratch.save(whole.unionByName(_mixed_spans(docs, distinct, scratch)).groupBy("rid").agg(F.collect_set(F.struct("s", "t")).alias("spans")))
+    spans = scratch.save(whole.unionByName(_mixed_spans(docs, distinct, scratch)).groupBy("rid").agg(F.collect_set(F.struct("s", "t")).alias("spans")), drop=distinct)
 
     def run(batches):
         for batch in batches:
