@@ -6,6 +6,7 @@ lost executor costs a re-read and never a recomputation of the plan behind the t
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,11 @@ class Scratch:
             self.drop(drop)
         return back
 
+    def free(self) -> None:
+        """Have the driver collect its garbage, so that Spark deletes the shuffle files of what has been written."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

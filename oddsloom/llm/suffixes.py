@@ -223,7 +223,8 @@ def _mixed_spans(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> Data
     """(rid, s, t) byte spans repeated between different contexts of an anchor; ``distinct`` (h, ctx, n, rid, s, e, a)."""
     spark = docs.sparkSession
     many = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    wanted = distinct.join(many, "h").select("h", "ctx", "n", "m", "rid", "s", "e", "a")
+    wanted = scratch.save(distinct.join(many, "h").select("h", "ctx", "n", "m", "rid", "s", "e", "a"), drop=distinct)
+    scratch.free()
     lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "ctx", "n", "m", "s", "e", "a")).alias("asked"))
     texts = docs.select(_row_id().alias("rid"), "text").dropDuplicates(["rid"])
 
@@ -305,7 +306,12 @@ def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
     distinct = scratch.save(all_.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "s", "e", "a")).alias("x")).select("h", "ctx", "n", "x.*"))
     twice = distinct.filter("n > 1").select("h", "ctx")
     whole = all_.join(twice, ["h", "ctx"]).select("rid", "s", (F.col("e") + WINDOW).alias("t"))
-    spans = scratch.save(whole.unionByName(_mixed_spans(docs, distinct, scratch)).groupBy("rid").agg(F.collect_set(F.struct("s", "t")).alias("spans")), drop=distinct)
+    scratch.free()
+    whole = scratch.save(whole)
+    scratch.free()
+    mixed = scratch.save(_mixed_spans(docs, distinct, scratch))
+    scratch.free()
+    spans = scratch.save(whole.unionByName(mixed).groupBy("rid").agg(F.collect_set(F.struct("s", "t")).alias("spans")), drop=whole)
 
     def run(batches):
         for batch in batches:
