@@ -267,7 +267,8 @@ def _mixed_spans(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> Data
         for batch in batches:
             cols = [batch.column(k).to_pylist() for k in range(8)]
             for h, lo, hi, n, rid, s, a, body in zip(*cols, strict=True):
-                if cells > BATCH_CELLS and (h, lo, hi) != last:
+                # the pairs of blocks of one anchor hold the same contexts again, so they never share a batch
+                if last and (h, lo, hi) != last and (cells > BATCH_CELLS or h == last[0]):
                     yield spans(rows)
                     rows, cells = [], 0
                 last = (h, lo, hi)

@@ -443,6 +443,21 @@ def test_removed_bytes_at_borders(spark, nothing):
     assert suffixes.remove_repeated_bytes(nothing).count() == 0
 
 
+def test_removed_bytes_of_a_crowded_anchor(spark, monkeypatch):
+    r = random.Random(8)
+    prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    phrase, longer = prose(150), prose(260)
+    rows = [(k, prose(220) + phrase + prose(220)) for k in range(16)] + [(100 + k, prose(150) + longer[: 230 + 10 * k] + prose(150)) for k in range(4)]
+    monkeypatch.setattr(suffixes, "BLOCK", 2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        out = suffixes.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert collections.Counter(tuple(x) for x in out) == brute_removal(rows)
+
+
 def test_suffix_array_equals_sorting():
     r = random.Random(1)
     for n, k in ((1, 1), (40, 1), (300, 2), (500, 3), (2000, 50), (2000, 5000)):
