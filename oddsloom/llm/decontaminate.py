@@ -141,8 +141,12 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()), which
 
 
-def search(t: Texts, x: Index, threshold: float) -> list[tuple[int, int, float, float, float]]:
-    """(text, item, score, question overlap, answer overlap) of the items found in some texts; the best passage of each."""
+def search(t: Texts, x: Index, threshold: float, question: float = 0.0, answer: float = 0.0) -> list[tuple[int, int, float, float, float]]:
+    """(text, item, score, question overlap, answer overlap) of the items found in some texts; the best passage of each.
+
+    Only passages whose two overlaps reach ``question`` and ``answer`` count, so a passage with a higher score
+    that fails them hides no other.
+    """
     word, owner, _ = tokens(t)
     first = np.searchsorted(owner, np.arange(len(t)))
     place = np.arange(len(word)) - first[owner]
@@ -196,7 +200,7 @@ def search(t: Texts, x: Index, threshold: float) -> list[tuple[int, int, float,
                 passage = word[start : min(start + 2 * x.chunk, first[text + 1] if text + 1 < len(t) else len(word))]
                 q = int(x.question[item])
                 row = (text, item, float(score[k]), overlap(x.words[item][:q], passage), overlap(x.words[item][q:], passage))
-                if row[2:] > found.get((text, item), (0, 0, -1.0))[2:]:
+                if row[3] >= question and row[4] >= answer and row[2:] > found.get((text, item), (0, 0, -1.0))[2:]:
                     found[text, item] = row
     return list(found.values())
 
@@ -221,7 +225,7 @@ class Limits:
 
 
 def leaks_of(t: Texts, x: Index, limits: Limits) -> list[tuple]:
-    return [r for r in search(t, x, limits.score) if r[3] >= limits.question and r[4] >= limits.answer]
+    return search(t, x, limits.score, limits.question, limits.answer)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, limits: Limits | None = None) -> DataFrame:

@@ -109,6 +109,16 @@ def test_leaks_on_odd_rows(spark, odd, nothing, bench):
     assert kept.columns == odd.columns and kept.count() == odd.count() - sum(got.values())
 
 
+def test_a_quoted_question_does_not_hide_the_leak(spark):
+    item = [f"q{k}" for k in range(40)] + [f"a{k}" for k in range(10)]
+    words, gap = [*item[:28], *(f"new{k}" for k in range(12)), *item[40:]], [f"x{k}" for k in range(300)]
+    items = spark.createDataFrame([(1, " ".join(item[:40]) + ". " + " ".join(item[40:]))], "item_id long, text string")
+    rows = [(1, " ".join(item[:40] + gap + words)), (2, " ".join(item[:40] + gap)), (3, " ".join(gap + words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in decontaminate.find_leaks(df, items).collect()} == {1, 3}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(df, items).collect()] == [2]
+
+
 # --- op2
 
 
