@@ -11,6 +11,8 @@ Question and answer of each found item are then verified by the overlap of their
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import Scratch
 from .textops import WORD_BASE, Texts, keep_rows, mix, pieces
 
 K1, B = 1.2, 0.75
@@ -98,8 +101,19 @@ class Index:
         return out
 
 
-def build_index(ids: list[int], texts: list[str]) -> Index | None:
-    """The index of some items; items without words are left out."""
+@dataclass
+class Totals:
+    """What BM25 needs to know of all items, whatever block they are indexed in."""
+
+    items: int  # with words
+    mean: float  # words of an item
+    longest: int
+    terms: np.ndarray  # ascending hashes, those of the block at least
+    df: np.ndarray
+
+
+def build_index(ids: list[int], texts: list[str], totals: Totals | None = None) -> Index | None:
+    """The index of some items, which are all there are unless ``totals`` says more; items without words are left out."""
     words, question, kept = [], [], []
     for item, text in zip(ids, texts, strict=True):
         for t in pieces(pa.array([text])):
@@ -115,9 +129,11 @@ def build_index(ids: list[int], texts: list[str]) -> Index | None:
     terms, term = np.unique(np.concatenate(words), return_inverse=True)
     pair, tf = np.unique(term * len(words) + owner, return_counts=True)
     term, item = pair // len(words), pair % len(words)
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log1p((len(words) - df + 0.5) / (df + 0.5))
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / size.mean()))
+    if totals is None:
+        totals = Totals(len(words), size.mean(), int(size.max()), terms, np.bincount(term, minlength=len(terms)))
+    df = totals.df[np.searchsorted(totals.terms, terms)]
+    idf = np.log1p((totals.items - df + 0.5) / (df + 0.5))
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / totals.mean))
     weight /= np.bincount(item, weights=weight)[item]
     # postings are in order of term and item; a block of a term: its items in one block of BLOCK
     block = term * (len(words) // BLOCK + 1) + item // BLOCK
@@ -131,7 +147,7 @@ def build_index(ids: list[int], texts: list[str]) -> Index | None:
         slots[at] = k
     top = np.zeros(len(terms))
     np.maximum.at(top, term, weight)
-    return Index(np.array(kept), words, np.array(question), slots, terms, max(LEAST_CHUNK, int(size.max())), top, np.searchsorted(term[heads], np.arange(len(terms) + 1)), (item // BLOCK)[heads], np.maximum.reduceat(weight, heads), np.append(heads, len(term)), item, weight)
+    return Index(np.array(kept), words, np.array(question), slots, terms, max(LEAST_CHUNK, totals.longest), top, np.searchsorted(term[heads], np.arange(len(terms) + 1)), (item // BLOCK)[heads], np.maximum.reduceat(weight, heads), np.append(heads, len(term)), item, weight)
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,16 +221,49 @@ def search(t: Texts, x: Index, threshold: float, question: float = 0.0, answer:
     return list(found.values())
 
 
-def indexes(items: DataFrame) -> list[Index]:
-    """Indexes of all items (item_id, text), each over at most about INDEX_BYTES of text."""
+def _terms(items: DataFrame) -> DataFrame:
+    """(term, head) of the distinct terms of every item; head: the item's number of words at its first term, else null."""
+
+    def run(batches):
+        for batch in batches:
+            for t in pieces(batch.column(0)):
+                word, owner, _ = tokens(t)
+                if not len(word):
+                    continue
+                order = np.lexsort((word, owner))
+                word, owner = word[order], owner[order]
+                first = np.append(True, owner[1:] != owner[:-1])
+                new = first | np.append(True, word[1:] != word[:-1])
+                head = np.bincount(owner)[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(word[new].view(np.int64)), pa.array(head[new], mask=~first[new])], ["term", "head"])
+
+    return items.select("text").mapInArrow(run, "term long, head long")
+
+
+def indexes(items: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """Indexes of all items (item_id, text), each over at most about INDEX_BYTES of text; and if there is one only.
+
+    The weights come from all items, so they do not depend on the blocks. One block at a time is on the driver.
+    """
+    items = items.filter(F.col("text").isNotNull()).select("item_id", "text").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // INDEX_BYTES))
-    out = []
+    if blocks > 1:
+        scratch = Scratch(items.sparkSession, "benchmark")
+        items = scratch.save(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))))
+        terms = scratch.save(_terms(items).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.count("head").alias("n"), F.sum("head").alias("words"), F.max("head").alias("longest")))
+        n, words, longest = terms.agg(F.sum("n"), F.sum("words"), F.max("longest")).first()
     for k in range(blocks):
-        rows = items.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)).select("item_id", "text").distinct().orderBy("item_id", "text").collect()
-        if (x := build_index([r["item_id"] for r in rows], [r["text"] for r in rows])) is not None:
-            out.append(x)
-    return out
+        own, totals = items, None
+        if blocks > 1:
+            own = items.filter(F.col("block") == k)
+            known = terms.join(_terms(own).select("term").distinct(), "term", "left_semi").select("term", "df").toArrow()
+            hashes, df = (known.column(c).to_numpy() for c in ("term", "df"))
+            order = np.argsort(hashes.view(np.uint64))
+            totals = Totals(n, words / n, longest, hashes.view(np.uint64)[order], df[order]) if n else None
+        rows = own.select("item_id", "text").orderBy("item_id", "text").collect()
+        if (x := build_index([r["item_id"] for r in rows], [r["text"] for r in rows], totals)) is not None:
+            yield x, blocks == 1
 
 
 @dataclass
@@ -233,14 +282,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, limits: Limits | None = None)
 
     Null and empty texts contain nothing; items without words are never found. Repeated rows and items
     give repeated rows. A null item_id stays null. If the items exceed INDEX_BYTES they are indexed in
-    blocks, each held against all documents. Other columns are not read.
+    blocks, each held against all documents and let go before the next. Other columns are not read.
     """
     limits = limits or Limits()
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = None
+    scratch = Scratch(spark, "leaks")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for x in indexes(items):
+    for x, lone in indexes(items):
         shared = spark.sparkContext.broadcast(x)
 
         def run(batches, shared=shared):
@@ -252,6 +302,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, limits: Limits | None = None)
                         yield pa.RecordBatch.from_arrays([ids, pa.array([shared.value.items[r[1]] for r in found], pa.int64()), *(pa.array([r[k] for r in found]) for k in (2, 3, 4))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         found = rows.mapInArrow(run, schema)
+        if not lone:
+            found = scratch.save(found)
+            shared.destroy()
         out = found if out is None else out.union(found)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -259,7 +312,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, limits: Limits | None = None)
 def drop_contaminated(docs: DataFrame, items: DataFrame, limits: Limits | None = None) -> DataFrame:
     """The rows of ``docs`` whose text contains no test item of ``items``, with all columns."""
     limits = limits or Limits()
-    for x in indexes(items):
+    scratch = Scratch(docs.sparkSession, "leaks")
+    gone = None
+    for x, lone in indexes(items):
         shared = docs.sparkSession.sparkContext.broadcast(x)
 
         def clean(t: Texts, shared=shared) -> np.ndarray:
@@ -267,5 +322,13 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, limits: Limits | None =
             out[[r[0] for r in leaks_of(t, shared.value, limits)]] = False
             return out
 
-        docs = keep_rows(docs, clean)
-    return docs
+        if lone:
+            return keep_rows(docs, clean)
+        # of several blocks each leaves the digests of the texts that go
+        found = scratch.save(keep_rows(docs.select("text"), lambda t, clean=clean: ~clean(t)).select(F.sha2("text", 256).alias("digest")).distinct())
+        shared.destroy()
+        gone = found if gone is None else gone.union(found)
+    if gone is None:
+        return docs
+    own = f"digest_{uuid.uuid4().hex[:8]}"  # a name that no column of docs has
+    return docs.withColumn(own, F.sha2("text", 256)).join(gone.distinct().withColumnRenamed("digest", own), own, "left_anti").select(*docs.columns)

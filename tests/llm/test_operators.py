@@ -119,6 +119,18 @@ def test_a_quoted_question_does_not_hide_the_leak(spark):
     assert [r.doc_id for r in decontaminate.drop_contaminated(df, items).collect()] == [2]
 
 
+def test_blocks_of_items_change_nothing(docs, bench, odd, nothing, monkeypatch):
+    items = bench.unionByName(odd.select(F.col("doc_id").alias("item_id"), "text").filter("length(text) BETWEEN 1 AND 700"), allowMissingColumns=True)
+    rows = lambda: collections.Counter((r.doc_id, r.item_id, *(round(r[k], 9) for k in (2, 3, 4))) for r in decontaminate.find_leaks(docs.select("doc_id", "text").union(odd.select("doc_id", "text")), items, decontaminate.Limits(0.3, 0.1, 0.1)).collect())
+    kept = lambda: collections.Counter((r.doc_id, r.text) for r in decontaminate.drop_contaminated(docs, items).collect())
+    want = rows(), kept()
+    total = items.select("item_id", "text").distinct().agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(decontaminate, "INDEX_BYTES", total // 3)
+    assert (rows(), kept()) == want and want[0] and sum(want[1].values()) < docs.count()
+    assert decontaminate.drop_contaminated(odd, items).columns == odd.columns
+    assert decontaminate.find_leaks(nothing, items).count() == 0 and decontaminate.drop_contaminated(nothing, items).count() == 0
+
+
 # --- op2
 
 
