@@ -71,3 +71,56 @@ def gate(metrics: DataFrame, lower_better: dict[str, float], higher_better: dict
     reasons += [F.when(F.col(f"c_{m}") < F.col(f"a_{m}") - t, F.lit(f"{m.upper()}_HARM")) for m, t in higher_better.items()]
     out = metrics.withColumn("reasons", F.concat_ws(",", *reasons))
     return out.withColumn("status", F.when(F.col("n") < least, "INSUFFICIENT_HISTORY").when(F.col("reasons") != "", "SHADOW").otherwise("ACTIVE"))
+
+
+def score_forecasts(rows: DataFrame, order: int = 9, goals: int = 12) -> DataFrame:
+    """score_nll, top1, top3, brier (sum of classes), rps and over 2.5 scores of every row, beside its other columns.
+
+    ``rows``: home_goals, away_goals and normal log rates (m_h, m_a, v_hh, v_ha, v_aa); with no variance the rates are
+    fixed. The grids are those of ``pricing.predictive_grid`` at rho 0, made and scored inside an Arrow batch.
+    """
+    from math import factorial
+
+    import numpy as np
+    import pyarrow as pa
+
+    from .pricing import hermite_nodes
+
+    need = ("home_goals", "away_goals", "m_h", "m_a", "v_hh", "v_ha", "v_aa")
+    keys = [c for c in rows.columns if c not in need]
+    names = ("score_nll", "top1", "top3", "brier", "rps", "over_brier", "over_logloss")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + "".join(f", {n} double" for n in names)
+    nodes = hermite_nodes(order)
+    x, y, w = (np.array(c) for c in zip(*((x, y, wx * wy) for x, wx in nodes for y, wy in nodes), strict=True))
+    k = np.arange(goals + 1)
+    facts = np.array([float(factorial(i)) for i in k])
+
+    def scores(hg, ag, mh, ma, vhh, vha, vaa):
+        c11 = np.sqrt(vhh)
+        c21 = np.divide(vha, c11, out=np.zeros_like(vha), where=c11 > 0)
+        c22 = np.sqrt(np.maximum(vaa - c21 * c21, 0))
+        pmf = lambda r: np.exp(-r)[..., None] * r[..., None] ** k / facts
+        ph = pmf(np.clip(np.exp(mh[:, None] + c11[:, None] * x), 0.05, 6))
+        pa_ = pmf(np.clip(np.exp(ma[:, None] + c21[:, None] * x + c22[:, None] * y), 0.05, 6))
+        grid = np.matmul((ph * w[:, None]).transpose(0, 2, 1), pa_)
+        grid /= grid.sum(axis=(1, 2), keepdims=True)
+        inside = (hg <= goals) & (ag <= goals)
+        own = np.where(inside, grid[np.arange(len(hg)), np.minimum(hg, goals), np.minimum(ag, goals)], 0.0)
+        rank = np.where(inside, (grid > own[:, None, None]).sum(axis=(1, 2)), 3)
+        h, a = k[:, None], k[None, :]
+        p = np.stack([(grid * (h > a)).sum(axis=(1, 2)), (grid * (h == a)).sum(axis=(1, 2)), (grid * (h < a)).sum(axis=(1, 2))], axis=1)
+        hit = np.stack([hg > ag, hg == ag, hg < ag], axis=1).astype(float)
+        over, was = (grid * (h + a >= 3)).sum(axis=(1, 2)), (hg + ag >= 3).astype(float)
+        rps = (np.cumsum(p - hit, axis=1)[:, :2] ** 2).sum(axis=1) / 2
+        bet = np.clip(np.where(was > 0, over, 1 - over), 1e-15, 1)
+        return -np.log(np.maximum(own, 1e-15)), rank < 1, rank < 3, ((p - hit) ** 2).sum(axis=1), rps, (over - was) ** 2, -np.log(bet)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                value = [batch.column(len(keys) + i).to_numpy(zero_copy_only=False) for i in range(len(need))]
+                out = scores(*(v.astype(np.int64) for v in value[:2]), *(v.astype(float) for v in value[2:]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(np.asarray(v, float)) for v in out)], [*keys, *names])
+
+    return rows.select(*keys, *need).mapInArrow(run, schema)

@@ -71,24 +71,53 @@ def history_shrinkage(matches: DataFrame, equivalent: float = 10.0) -> DataFrame
 
 def rating_posteriors(matches: DataFrame, until: str, half_life_days: float, team_sd: float = 0.35) -> DataFrame:
     """Per competition a map param -> (value, position, covariance row) fitted on matches before ``until``."""
-    import numpy as np
-    import pandas as pd
-
     m = with_time(matches.filter(F.col("kickoff") < F.lit(until).cast("timestamp_ntz")))
     cut = F.unix_micros(F.lit(until).cast("timestamp"))
     w = F.pow(F.lit(0.5), (cut - F.col("us")) / (DAY_US * half_life_days))
     pairs = m.withColumn("w", w).groupBy("competition", "home_team", "away_team").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("home_goals")).alias("wh"), F.sum(F.col("w") * F.col("away_goals")).alias("wa"))
 
+    return _posterior_maps(pairs, ["competition"], team_sd)
+
+
+def monthly_posteriors(matches: DataFrame, half_life_days: float, team_sd: float = 0.35, least: int = 80) -> DataFrame:
+    """``rating_posteriors`` of every competition and month with matches, fitted on what was played before the month.
+
+    month_us is the start of the month, from which ages count. Months behind fewer than ``least`` earlier matches
+    have no fit. Matches are summed per pair of teams and month first, so what meets the cut-offs does not grow
+    with the number of matches.
+    """
+    m = with_month(with_time(matches))
+    w = F.pow(F.lit(0.5), (F.col("month_us") - F.col("us")) / (DAY_US * half_life_days))
+    sums = m.withColumn("w", w).groupBy("competition", F.col("month_us").alias("own_us"), "home_team", "away_team").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("home_goals")).alias("wh"), F.sum(F.col("w") * F.col("away_goals")).alias("wa"))
+    months = m.groupBy("competition", "month_us").agg(F.count(F.lit(1)).alias("games"))
+    before = Window.partitionBy("competition").orderBy("month_us").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = months.withColumn("before", F.sum("games").over(before)).filter(F.col("before") >= least).select("competition", "month_us")
+    scale = F.pow(F.lit(0.5), (F.col("month_us") - F.col("own_us")) / (DAY_US * half_life_days))
+    past_ = sums.join(cuts, "competition").filter("own_us < month_us").withColumn("scale", scale)
+    pairs = past_.groupBy("competition", "month_us", "home_team", "away_team").agg(*(F.sum(F.col(c) * F.col("scale")).alias(c) for c in ("w", "wh", "wa")))
+    return _posterior_maps(pairs, ["competition", "month_us"], team_sd)
+
+
+def with_month(matches: DataFrame) -> DataFrame:
+    return matches.withColumn("month_us", F.unix_micros(F.date_trunc("month", F.timestamp_micros("us"))))
+
+
+def _posterior_maps(pairs: DataFrame, keys: list[str], team_sd: float) -> DataFrame:
+    """Per group a map param -> (value, position, covariance row), from weighted sums (w, wh, wa) per pair of teams."""
+    import numpy as np
+    import pandas as pd
+
     def solve(key, pdf):
         teams = np.unique(np.concatenate((pdf["home_team"], pdf["away_team"])))
         x, weight, goals = design(pdf, teams)
         beta, precision = newton(x, weight, goals, np.diag([1e-6, 1e-6] + [1 / team_sd**2] * (2 * len(teams))))
         cov = np.linalg.inv(precision)
         names = ["mu", "home", *(f"att:{t}" for t in teams), *(f"def:{t}" for t in teams)]
-        return pd.DataFrame({"competition": key[0], "param": names, "value": beta, "at": range(len(names)), "cov": list(cov)})
+        return pd.DataFrame({**{c: [v] * len(names) for c, v in zip(keys, key, strict=True)}, "param": names, "value": beta, "at": range(len(names)), "cov": list(cov)})
 
-    rows = pairs.groupBy("competition").applyInPandas(solve, "competition string, param string, value double, at int, cov array<double>")
-    return rows.groupBy("competition").agg(F.map_from_entries(F.collect_list(F.struct("param", F.struct("value", "at", "cov")))).alias("r"))
+    types = dict(pairs.dtypes)
+    rows = pairs.groupBy(*keys).applyInPandas(solve, ", ".join(f"{c} {types[c]}" for c in keys) + ", param string, value double, at int, cov array<double>")
+    return rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("param", F.struct("value", "at", "cov")))).alias("r"))
 
 
 def design(pdf, teams):
@@ -119,9 +148,9 @@ def newton(x, weight, goals, prior, mean=None, steps: int = 10):
     return beta, precision
 
 
-def fixture_priors(fixtures: DataFrame, posteriors: DataFrame, new_team_var: float = 0.25) -> DataFrame:
+def fixture_priors(fixtures: DataFrame, posteriors: DataFrame, new_team_var: float = 0.25, on: tuple[str, ...] = ("competition",)) -> DataFrame:
     """mean and covariance of the log rates of each fixture: sums over at most four parameters each; unknown teams add variance."""
-    j = fixtures.join(posteriors, "competition")
+    j = fixtures.join(posteriors, list(on))
     name = lambda k, t: F.concat(F.lit(k), F.col(t).cast("string"))
     home = [F.lit("mu"), F.lit("home"), name("att:", "home_team"), name("def:", "away_team")]
     away = [F.lit("mu"), name("att:", "away_team"), name("def:", "home_team")]

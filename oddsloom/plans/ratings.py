@@ -154,12 +154,13 @@ def m11_fitted_ratings(spark, d):
 
 @PLANS.add()
 def m13_m16_walk_forward(spark, d):
-    """Season-forward fits over a grid of half lives; mean goal NLL of each fold on the next season."""
+    """Season-forward fits over a grid of half lives; mean goal NLL of each season after the first, fitted on those before."""
     from oddsloom.functions.odds import poisson_nll
 
     m = matches(spark, d)
     grid = spark.range(1).select(F.explode(F.array(F.lit(180.0), F.lit(720.0))).alias("half_life"))
-    folds = m.select("season_start").distinct().filter("season_start BETWEEN 1996 AND 1998").withColumnRenamed("season_start", "fold")
+    seasons = m.select(F.col("season_start").alias("fold")).distinct()
+    folds = F.broadcast(seasons.crossJoin(seasons.agg(F.min("fold").alias("first"))).filter("fold > first").select("fold"))
     train = m.join(folds, F.col("season_start") < F.col("fold"))
     fits = [ops.fit_ratings(train, h, keys=("competition", "fold")).withColumn("half_life", F.lit(h)) for h in (180.0, 720.0)]
     fit = fits[0].unionByName(fits[1]).join(F.broadcast(grid), "half_life")
@@ -170,3 +171,26 @@ def m13_m16_walk_forward(spark, d):
     la = F.exp(F.col("r")["mu"] + get("att:", "away_team") + get("def:", "home_team"))
     nll = (poisson_nll(F.col("home_goals"), lh) + poisson_nll(F.col("away_goals"), la)) / 2
     return test.groupBy("half_life", "fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(nll), 6).alias("goal_nll"))
+
+
+@PLANS.add()
+def m16_monthly_walk_forward(spark, d):
+    """Refits at each month start on strictly earlier results: scores of A market, B prior and C both on their common matches, and of B on all it can rate."""
+    from oddsloom.operators import evaluation, forms
+    from oddsloom.operators.pricing import log_rate_update
+
+    from .pricing import _cluster
+
+    law = ("m_h", "m_a", "v_hh", "v_ha", "v_aa")
+    m = matches(spark, d)
+    dated = forms.with_month(ops.with_time(m))
+    prior = forms.fixture_priors(dated, forms.monthly_posteriors(m, 365.0), on=("competition", "month_us"))
+    rows = m.select("match_id", "season_start", "home_goals", "away_goals").join(prior, "match_id")
+    both = rows.join(_cluster(spark, d).select("match_id", *(F.col(c).alias(f"k_{c}") for c in law)), "match_id", "left")
+    market, own = ([F.col(f"{k}{c}") for c in law] for k in ("k_", ""))
+    post = log_rate_update(own[:2], own[2:], market[:2], market[2:], F.lit(1.0))
+    none = [F.lit(0.0)] * 3
+    models = F.array(*(F.struct(F.lit(n).alias("model"), *(x.alias(c) for x, c in zip(xs, law, strict=True))) for n, xs in (("A_market", [*market[:2], *none]), ("B_prior", own), ("C_both", post), ("B_prior_all", own))))
+    each = both.withColumn("x", F.explode(models)).filter(F.col("k_m_h").isNotNull() | (F.col("x.model") == "B_prior_all"))
+    scored = evaluation.score_forecasts(each.select("season_start", "home_goals", "away_goals", "x.*"))
+    return scored.groupBy("model", "season_start").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in scored.columns if c not in ("model", "season_start")))
