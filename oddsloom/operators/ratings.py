@@ -43,10 +43,9 @@ def shrunk(total: Column, games: Column, baseline: Column, pseudo: float) -> Col
 
 
 def last_n_mean(value: str, keys: list[str], n: int) -> Column:
-    """Mean of the last n rows with an earlier kickoff."""
-    rows = F.collect_list(F.struct("us", "match_id", value)).over(past(*keys))
-    last = F.slice(F.reverse(F.array_sort(rows)), 1, n)
-    return F.aggregate(last, F.lit(0.0), lambda a, x: a + x[value]) / F.nullif(F.size(last), F.lit(0))
+    """Mean of the last n rows with an earlier kickoff: the mean of n rows up to each row, taken from the last earlier row."""
+    tail = F.avg(value).over(Window.partitionBy(*keys).orderBy("us", "match_id").rowsBetween(1 - n, 0))
+    return F.max(F.struct("us", "match_id", tail.alias("mean"))).over(past(*keys))["mean"]
 
 
 def baseline_snapshots(matches: DataFrame, half_life_days: float | None = None, seasons: int | None = None) -> DataFrame:

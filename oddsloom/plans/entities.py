@@ -18,8 +18,17 @@ PLANS = Plans()
     b AS (SELECT *, min(rank) OVER (PARTITION BY request_id) AS best FROM c WHERE NOT (rank = 1 AND request_id % 10 = 0))
     SELECT request_id, CASE WHEN count(DISTINCT match_id) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN count(DISTINCT match_id) = 1 THEN min(match_id) END AS match_id, count(DISTINCT match_id) AS candidates, min(rank) AS rank FROM b WHERE rank = best GROUP BY request_id""")
 def j06_fixture_resolution(spark, d):
-    m = matches(spark, d)
-    o = table(spark, d, "orders").filter("o_custkey % 5 = 0").groupBy("o_custkey").agg(F.min("o_orderkey").alias("match_id"))
+    return _resolved(matches(spark, d), table(spark, d, "orders").filter("o_custkey % 5 = 0"))
+
+
+@PLANS.add()
+def j06_fixture_resolution_whole(spark, d):
+    """j06 over all customers."""
+    return _resolved(matches(spark, d), table(spark, d, "orders"))
+
+
+def _resolved(m, orders):
+    o = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("match_id"))
     r = o.join(m, "match_id").selectExpr("o_custkey AS request_id", "home_team AS h", "away_team AS a", "kickoff AS k")
     exact = r.filter("request_id % 10 <> 0").join(m, (m.home_team == F.col("h")) & (m.away_team == F.col("a")) & (m.kickoff == F.col("k")))
     single = r.filter("request_id % 10 = 0").join(m, (m.home_team == F.col("h")) & (m.kickoff == F.col("k")))

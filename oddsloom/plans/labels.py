@@ -32,6 +32,18 @@ def u01_snapshot_diff(spark, d):
     return ops.diff(old, new, ["match_id", "market"], ["label", "visible"]).select("match_id", "market", "change", F.concat_ws(",", "fields").alias("fields"))
 
 
+@PLANS.add()
+def u01_snapshot_diff_whole(spark, d):
+    """u01 for every snapshot day against the one before."""
+    p = pool(spark, d)
+    days = p.select("snapshot_date").distinct()
+    next_ = F.broadcast(days.withColumn("next", F.lead("snapshot_date").over(Window.orderBy("snapshot_date"))).filter("next IS NOT NULL"))
+    old = p.join(next_, "snapshot_date").drop("snapshot_date").withColumnRenamed("next", "snapshot_date")
+    new = p.join(next_.select(F.col("next").alias("snapshot_date")), "snapshot_date")
+    keys = ["snapshot_date", "match_id", "market"]
+    return ops.diff(old, new, keys, ["label", "visible"]).select(*keys, "change", F.concat_ws(",", "fields").alias("fields"))
+
+
 _SNAP = "SELECT CAST(ts AS DATE) AS day, event_id, ts, event_type || '-' || CAST(floor(value / 20) AS BIGINT) AS digest FROM events"
 
 
@@ -153,9 +165,19 @@ def j24_combined_signal(spark, d):
 
 @PLANS.add("SELECT m.competition, CASE l.l_returnflag WHEN 'A' THEN '1x2' WHEN 'N' THEN 'ah' ELSE 'ou' END AS market, count(*) AS attached FROM matches m JOIN lineitem l ON l.l_orderkey = m.match_id WHERE m.match_id % 3 = 0 GROUP BY ALL")
 def j25_timeline_ingestion(spark, d):
+    return _attached(spark, d, matches(spark, d).filter("match_id % 3 = 0"))
+
+
+@PLANS.add()
+def j25_timeline_ingestion_whole(spark, d):
+    """j25 over all matches."""
+    return _attached(spark, d, matches(spark, d))
+
+
+def _attached(spark, d, wanted):
     from oddsloom.sources.bind import quotes
 
-    resolved = matches(spark, d).filter("match_id % 3 = 0").select("match_id", "competition")
+    resolved = wanted.select("match_id", "competition")
     return quotes(spark, d).join(resolved, "match_id").groupBy("competition", "market").agg(F.count(F.lit(1)).alias("attached"))
 
 

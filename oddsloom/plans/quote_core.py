@@ -176,9 +176,19 @@ def w09_velocity(spark, d):
 
 @PLANS.add("SELECT m.match_id, b.book_id, count(q.book_id) > 0 AS present FROM (SELECT DISTINCT match_id FROM matches WHERE match_id % 3 = 0) m CROSS JOIN (SELECT unnest([0, 2, 4]) AS book_id) b LEFT JOIN quotes q USING (match_id, book_id) GROUP BY ALL")
 def a01_core_coverage(spark, d):
+    return _core_coverage(spark, d, matches(spark, d).filter("match_id % 3 = 0"))
+
+
+@PLANS.add()
+def a01_core_coverage_whole(spark, d):
+    """a01 over all matches."""
+    return _core_coverage(spark, d, matches(spark, d))
+
+
+def _core_coverage(spark, d, wanted):
     core = spark.range(0, 6, 2).toDF("book_id")
     seen = quotes(spark, d).select("match_id", "book_id").distinct().withColumn("present", F.lit(True))
-    return matches(spark, d).filter("match_id % 3 = 0").select("match_id").crossJoin(F.broadcast(core)).join(seen, ["match_id", "book_id"], "left").fillna({"present": False})
+    return wanted.select("match_id").crossJoin(F.broadcast(core)).join(seen, ["match_id", "book_id"], "left").fillna({"present": False})
 
 
 @PLANS.add("SELECT market, book_id, round(count(DISTINCT match_id) / (SELECT CAST(count(DISTINCT match_id) AS DOUBLE) FROM quotes), 6) AS coverage FROM quotes GROUP BY ALL UNION ALL SELECT 'ou_base', book_id, round(count(DISTINCT match_id) FILTER (WHERE market = 'ou' AND line_q = 2) / (SELECT CAST(count(DISTINCT match_id) AS DOUBLE) FROM quotes), 6) FROM quotes WHERE book_id < 2 GROUP BY ALL")
