@@ -7,10 +7,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import Texts
+from .textops import Texts, mix
 
 TRIGRAM_BITS = 12
-WORD_BITS = 18
+WORD_BITS = 20
+HEADS = (4, 5, 6, 7, 8)  # bytes of a word's beginning that are features too
 MANY = 10_000  # values of a sample's grouping column up to which its shares are broadcast
 LETTERS = np.zeros(256, bool)
 LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
@@ -34,11 +35,16 @@ def trigrams(t: Texts, table: np.ndarray = LOWER, bits: int = TRIGRAM_BITS) -> n
 
 
 def word_slots(t: Texts, bits: int = WORD_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(text, slot) of every distinct hashed letter word of each text, in order."""
+    """(text, slot) of every distinct hashed letter word and word beginning of HEADS bytes of each text, in order."""
     low = Texts(t.first, LOWER[t.data], t.offsets)
     ws, we = low.runs(LETTERS[low.data])
-    key = (low.hashes(ws, we) >> np.uint64(64 - bits)).astype(np.int64) | (low.of(ws) << bits)
-    key = np.unique(key)
+    prefix, owner = low.prefix(), low.of(ws)
+    keys = [(low.hashes(ws, we, prefix) >> np.uint64(64 - bits)).astype(np.int64) | (owner << bits)]
+    for n in HEADS:
+        k = np.flatnonzero(we - ws > n)
+        head = mix(low.hashes(ws[k], ws[k] + n, prefix) + np.uint64(n))
+        keys.append((head >> np.uint64(64 - bits)).astype(np.int64) | (owner[k] << bits))
+    key = np.unique(np.concatenate(keys))
     return key >> bits, key & ((1 << bits) - 1)
 
 

@@ -1,8 +1,10 @@
 """Toxicity by non-negative positive-unlabelled (nnPU) learning.
 
-A linear classifier over hashed letter words is trained from confirmed toxic texts and a bounded
-sample of unlabelled ones. The risk of the unlabelled texts as negatives is corrected by the class
-prior and held at zero or above, so the model cannot win by overfitting the positives.
+A linear classifier over hashed letter words and word beginnings is trained from confirmed toxic texts
+and a bounded sample of unlabelled ones. The risk of the unlabelled texts as negatives is corrected by
+the class prior and held at zero or above, so the model cannot win by overfitting the positives. The
+bias is then set by cross-fitting, on positives that a fit has not seen: 0.5 is the score with the best estimated F1,
+with the precision estimated from the prior and the share of unlabelled texts above.
 """
 
 from __future__ import annotations
@@ -18,61 +20,78 @@ from .features import WORD_BITS, Adam, bounded_sample, held_out, sigmoid, word_s
 from .textops import Texts, keep_rows, pieces
 
 SIZE = 1 << WORD_BITS
+COLUMNS = 4096  # of the dense training matrix, which holds a bounded number of rows
+LEAST_POSITIVES = 3  # in which a feature must occur
+FOLDS, LEAST_TO_SET = 4, 80  # of the positives, for the bias
 
 
 def _slots(rows: DataFrame) -> list[np.ndarray]:
-    """The word slots of each row's text; ``rows`` is a bounded sample."""
+    """The feature slots of each row's text, in the order of the texts' hashes; ``rows`` is a bounded sample."""
 
     def run(batches):
         for batch in batches:
             for t in pieces(batch.column(0)):
                 owner, slot = word_slots(t)
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(t))))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(slot.astype(np.int32)))], ["slots"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(t.first, len(t)), pa.ListArray.from_arrays(offsets, pa.array(slot.astype(np.int32)))], ["mark", "slots"])
 
-    table = rows.select("text").mapInArrow(run, "slots array<int>").toArrow().column("slots")
-    return [np.asarray(x.values) for x in table]
+    table = rows.select("text", F.xxhash64("text").alias("mark")).mapInArrow(run, "mark long, slots array<int>").toArrow().sort_by("mark")
+    return [np.asarray(x.values) for x in table.column("slots")]
 
 
 def _matrix(rows: list[np.ndarray], column: np.ndarray) -> np.ndarray:
-    """Presence of the chosen slots, dense: rows by features."""
-    x = np.zeros((len(rows), int(column.max(initial=-1)) + 1))
+    """Presence of the chosen slots, dense, and a last column of ones: rows by features."""
+    x = np.zeros((len(rows), int(column.max(initial=-1)) + 2), np.float32)
+    x[:, -1] = 1
     for k, slots in enumerate(rows):
         own = column[slots]
         x[k, own[own >= 0]] = 1
     return x
 
 
-def informative(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int) -> np.ndarray:
-    """A column for each slot that is far more frequent in positives than chance allows; -1 for the others."""
+def informative(positive: list[np.ndarray], unlabelled: list[np.ndarray], chance: float) -> np.ndarray:
+    """A column for each slot that is more frequent in positives than ``chance`` allows; -1 for the others."""
     n_p = np.bincount(np.concatenate([np.zeros(0, np.int64), *positive]).astype(np.int64), minlength=SIZE)
     n_u = np.bincount(np.concatenate([np.zeros(0, np.int64), *unlabelled]).astype(np.int64), minlength=SIZE)
     expected = (n_u + 0.5) / (len(unlabelled) + 1) * len(positive)
-    seen = np.flatnonzero((n_p >= 3) & (n_p > 2 * expected))
+    seen = np.flatnonzero((n_p >= LEAST_POSITIVES) & (n_p > 1.5 * expected))
     tail = np.array([n * np.log(e) - e - lgamma(n + 1) for n, e in zip(n_p[seen], expected[seen], strict=True)])
-    chosen = seen[np.argsort(tail, kind="stable")][: min(most, int((tail < np.log(1e-7)).sum()))]
+    chosen = seen[np.argsort(tail, kind="stable")][: min(COLUMNS, int((tail < np.log(chance)).sum()))]
     column = np.full(SIZE, -1, np.int64)
     column[chosen] = np.arange(len(chosen))
     return column
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-3) -> np.ndarray:
-    """Weights and bias that minimise the non-negative PU risk with the logistic loss."""
-    xp, xu = (np.hstack((x, np.ones((len(x), 1)))) for x in (positive, unlabelled))
+def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3) -> np.ndarray:
+    """Weights that minimise the non-negative PU risk with the logistic loss; the last one is the bias."""
+    xp, xu = positive, unlabelled
     w = np.zeros(xp.shape[1])
     w[-1] = -2.0
     best = Adam(len(w), rate)
     for _ in range(steps):
-        fp, fu = xp @ w, xu @ w
-        g_pos = -(xp.T @ (1 - sigmoid(fp))) / len(xp)  # gradient of the loss of positives as positives
-        g_neg = (xu.T @ sigmoid(fu)) / len(xu) - prior * (xp.T @ sigmoid(fp)) / len(xp)
+        small = w.astype(np.float32)
+        fp, fu = (xp @ small).astype(float), (xu @ small).astype(float)
+        sp, su = sigmoid(fp).astype(np.float32), sigmoid(fu).astype(np.float32)
+        g_pos = -((1 - sp) @ xp) / len(xp)  # gradient of the loss of positives as positives
+        g_neg = (su @ xu) / len(xu) - prior * (sp @ xp) / len(xp)
         risk_neg = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
         g = prior * g_pos + g_neg if risk_neg >= 0 else -g_neg
         w = best.step(w, g + ridge * np.append(w[:-1], 0))
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int, most: int) -> dict:
+def best_limit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The margin with the best F1, whose precision is estimated as prior * recall / share of unlabelled above."""
+    at = np.unique(positive)
+    recall = 1 - np.searchsorted(np.sort(positive), at) / len(positive)
+    above = 1 - np.searchsorted(np.sort(unlabelled), at) / len(unlabelled)
+    f1 = 2 * prior * recall / (prior + np.maximum(above, prior * recall))
+    best = int(f1.argmax())
+    under = unlabelled[unlabelled < at[best]].max(initial=at[best] - 1.0)
+    return float((at[best] + max(under, at[best] - 1.0)) / 2)  # between it and the next text below
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int, chance: float) -> dict:
     """The model: a column per slot and the weights. At most about ``positives`` and ``unlabelled`` texts are read."""
     own = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "text")
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -82,8 +101,23 @@ def train(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int, m
     u = _slots(bounded_sample(own, "doc_id", unlabelled))
     if not p or not u:
         return {"column": np.full(SIZE, -1, np.int64), "w": np.array([-20.0])}
-    column = informative(p, u, most)
-    return {"column": column, "w": nnpu(_matrix(p, column), _matrix(u, column), min(max(share, 0.01), 0.9))}
+    prior = min(max(share, 0.01), 0.9)
+
+    def fit(some: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        column = informative(some, u, chance)
+        x_u = _matrix(u, column)
+        w = nnpu(_matrix(some, column), x_u, prior)
+        return column, w, x_u @ w
+
+    column, w, _ = fit(p)
+    if len(p) >= LEAST_TO_SET:  # the rows are in the order of their hashes, so the folds are random
+        unseen, others = [], []
+        for k in range(FOLDS):
+            fold, w_k, margins = fit([x for i, x in enumerate(p) if i % FOLDS != k])
+            unseen.append(_matrix(p[k::FOLDS], fold) @ w_k)
+            others.append(margins)
+        w[-1] -= best_limit(np.concatenate(unseen), np.concatenate(others), prior)
+    return {"column": column, "w": w}
 
 
 def scores(t: Texts, model: dict) -> np.ndarray:
@@ -96,8 +130,8 @@ def scores(t: Texts, model: dict) -> np.ndarray:
 class Toxicity:
     """A trained model, for scoring any texts."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 6000, most: int = 200):
-        self.shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, positives, unlabelled, most))
+    def __init__(self, docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 6000, chance: float = 1e-3):
+        self.shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, positives, unlabelled, chance))
 
     def below(self, docs: DataFrame, limit: float) -> DataFrame:
         """The rows of ``docs`` that score less than ``limit``, with all columns; null texts score as empty ones."""
@@ -105,13 +139,14 @@ class Toxicity:
         return keep_rows(docs, lambda t: scores(t, shared.value) < limit)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, **bounds: float) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``.
 
     Learns from rows whose crc32(doc_id) mod 5 is not 0: the texts of at most ``positives`` rows with
     toxic 1, and ``unlabelled`` texts of any kind. Several labels of a doc_id: the highest counts. Null
     labels and ids are left out; null and empty texts get the score of no words. Without a positive all
-    scores are near 0. Repeated rows give repeated rows; an empty table gives none; other columns are not read.
+    scores are near 0; with fewer than 80 positives the bias stays as fitted. Repeated rows give repeated
+    rows; an empty table gives none; other columns are not read.
     """
     shared = Toxicity(docs, labels, **bounds).shared
 
