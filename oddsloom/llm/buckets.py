@@ -1,7 +1,8 @@
 """Links inside the buckets of a similarity index, without a row for each pair.
 
 Rows that share a key are compared where they meet, and only a spanning forest of the verified links
-leaves the task. A bucket of more than ``block`` rows is dealt out as pairs of blocks to many tasks.
+leaves the task. A bucket of more than ``block`` rows is first split by finer keys, of which any two rows
+to be linked share one; only a finer bucket that is still too large is dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -57,24 +58,42 @@ def all_pairs(rows: pa.RecordBatch, heads: np.ndarray) -> Iterator[tuple[np.ndar
     return pairs_of_runs(heads, rows.num_rows)
 
 
-def bucket_links(keys: DataFrame, verify: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray], scratch: Scratch, block: int = BLOCK, propose=all_pairs) -> DataFrame:
+def _hot(keys: DataFrame, block: int, scratch: Scratch) -> tuple[DataFrame, bool]:
+    """(key, blocks) of the crowded keys, broadcast if their counted number is small; and if there are any."""
+    hot = scratch.save(keys.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    n = hot.count()
+    return (F.broadcast(hot) if n <= 100_000 else hot), n > 0
+
+
+def _in_blocks(keys: DataFrame, block: int, scratch: Scratch) -> DataFrame:
+    """``keys`` with lo and hi: a crowded key's rows once for each pair of blocks that they belong to."""
+    plain = keys.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0))
+    hot, any_ = _hot(keys, block, scratch)
+    if not any_:
+        return plain
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    parted = keys.join(hot, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parted = parted.select(*keys.columns, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    return plain.join(hot, "key", "left_anti").unionByName(parted)
+
+
+def bucket_links(keys: DataFrame, verify: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray], scratch: Scratch, block: int = BLOCK, propose=all_pairs, split: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(a, b) links of ids whose rows share a key and pass ``verify``.
 
     ``keys``: key long, id long, then any payload columns; ``verify(rows, i, j)`` says which index
     pairs of an Arrow batch of such rows are links; ``propose(rows, heads)`` gives the pairs to look at,
-    among the rows from one bucket's head to the next. Rows of one id may repeat.
+    among the rows from one bucket's head to the next; ``split(rows)`` gives the rows of crowded buckets
+    with a column ``sub`` long, rows that may link sharing a value of it. Rows of one id may repeat.
     """
     spark = keys.sparkSession
-    extra = keys.columns[2:]
-    hot = scratch.save(keys.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    n_hot = hot.count()
-    plain = keys.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0))
-    if n_hot:
-        small = F.broadcast(hot) if n_hot <= 100_000 else hot
-        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        parted = keys.join(small, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        parted = parted.select("key", "id", *extra, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-        plain = plain.join(small, "key", "left_anti").unionByName(parted)
+    if split is None:
+        plain = _in_blocks(keys, block, scratch)
+    else:
+        plain = keys.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0))
+        hot, any_ = _hot(keys, block, scratch)
+        if any_:
+            finer = scratch.save(split(keys.join(hot, "key", "left_semi")).withColumn("key", F.xxhash64("key", "sub")).select(*keys.columns))
+            plain = plain.join(hot, "key", "left_anti").unionByName(_in_blocks(finer, block, scratch))
     place = ["key", "lo", "hi"]
     dealt = plain.repartition(max(2, partitions(spark)), *place).sortWithinPartitions(*place)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])

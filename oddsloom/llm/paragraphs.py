@@ -4,7 +4,9 @@ Passages are pasted in mid-line as well as between lines, so paragraphs are cut
 themselves say so: before a word pair whose hash is the least of ``RADIUS`` pairs to either side.
 The same passage is then cut alike in every document, up to its ends. Paragraphs meet by band keys
 (and equal ones by their content), five-word shingles are verified by exact Jaccard similarity, and
-of each component of similar paragraphs one occurrence stays.
+of each component of similar paragraphs one occurrence stays. A removed run of paragraphs then grows
+word by word to both sides, along the text around the occurrence that stays, over single edited words
+too where five equal words follow: up to the ends of the passage and over gaps between its paragraphs.
 """
 
 from __future__ import annotations
@@ -13,42 +15,54 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links, pairs_of_runs
 from .collide import colliding
 from .components import connected_components
 from .store import Scratch
-from .textops import WORD_BASE, Texts, mix, pieces, powers, shingles
+from .textops import WORD_BASE, Texts, mix, pieces, sequence_hashes, shingles
 
 RADIUS = 7
 LEAST_WORDS = 8
 SHINGLE = 5
+REACH = 32  # words that a run grows by at most, on either side
+KEYS = 5  # bands of a paragraph at most
+FEW = 1_000_000  # row keys up to which they are broadcast, to move only the texts that are asked for
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-UNITS = "doc_id long, s int, e int, n_words int, uid long"
+UNITS = "doc_id long, rid long, w int, s int, e int, n_words int, uid long"
 
 
-def tune_bands(similarity: float, recall: float) -> tuple[int, int]:
-    """(rows per band, bands): the strictest banding that finds ``recall`` of pairs at ``similarity`` with at most three keys."""
-    for rows in (3, 2, 1):
-        for bands in (1, 2, 3):
-            if 1 - (1 - similarity**rows) ** bands >= recall:
-                return rows, bands
+def row_key() -> Column:
+    """With the doc_id, what tells rows apart: equal rows are one."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("rid")
+
+
+def tune_bands(similarity: float, recall: float, keys: int = KEYS) -> tuple[int, int]:
+    """(rows per band, bands): the strictest banding that finds ``recall`` of pairs at ``similarity`` with at most ``keys`` keys."""
+    for rows in (4, 3, 2):
+        bands = int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**rows)))
+        if bands <= keys:
+            return rows, bands
     return 1, int(np.ceil(np.log(1 - recall) / np.log(1 - similarity)))
 
 
-def _cut(t: Texts) -> dict[str, np.ndarray]:
-    """Paragraphs of some texts: text, byte span, words, id; and the shingles with the paragraph of each."""
+def _words(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text, start and end of every word, A-Z in lower case."""
     low = Texts(t.first, LOWER[t.data], t.offsets)
     ws, we = low.words()
+    return low.hashes(ws, we), low.of(ws), ws, we
+
+
+def _cut(t: Texts) -> dict[str, np.ndarray]:
+    """Paragraphs of some texts: text, first word, byte span, words, id; and the shingles with the paragraph of each."""
+    word, owner, ws, we = _words(t)
     n = len(ws)
-    owner = low.of(ws)
-    word = low.hashes(ws, we)
     empty = np.zeros(0, np.int64)
     if not n:
-        return {"text": empty, "s": empty, "e": empty, "n": empty, "uid": empty, "shingle": np.zeros(0, np.uint64), "unit": empty}
+        return {"text": empty, "w": empty, "s": empty, "e": empty, "n": empty, "uid": empty, "shingle": np.zeros(0, np.uint64), "unit": empty}
     pair = mix(word + np.roll(word, 1) * WORD_BASE)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     first = np.concatenate(([True], owner[1:] != owner[:-1]))
@@ -61,28 +75,29 @@ def _cut(t: Texts) -> dict[str, np.ndarray]:
     head |= first
     begin = np.flatnonzero(head)
     end = np.append(begin[1:], n)
-    up, down = powers(n + 1)
-    prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(word * up[:n], dtype=np.uint64)))
-    uid = mix((prefix[end] - prefix[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    uid = sequence_hashes(word, begin, end)
     long_ = end - begin >= LEAST_WORDS
     gram, at = shingles(word, owner, SHINGLE)
     unit = np.searchsorted(begin, at, "right") - 1
     inside = (at + SHINGLE <= end[unit]) & long_[unit]
     new = np.cumsum(long_) - 1
-    return {"text": owner[begin][long_], "s": ws[begin][long_] - t.offsets[owner[begin][long_]], "e": we[end - 1][long_] - t.offsets[owner[begin][long_]], "n": (end - begin)[long_], "uid": uid[long_].view(np.int64), "shingle": gram[inside], "unit": new[unit[inside]]}
+    text = owner[begin][long_]
+    place = begin[long_] - np.searchsorted(owner, text)
+    return {"text": text, "w": place, "s": ws[begin][long_] - t.offsets[text], "e": we[end - 1][long_] - t.offsets[text], "n": (end - begin)[long_], "uid": uid[long_].view(np.int64), "shingle": gram[inside], "unit": new[unit[inside]]}
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """All paragraphs of ``LEAST_WORDS`` words or more; s and e are byte positions in the text."""
+    """All paragraphs of ``LEAST_WORDS`` words or more; w is the first word's number, s and e are byte positions in the text."""
 
     def run(batches):
         for batch in batches:
-            for t in pieces(batch.column(1)):
+            for t in pieces(batch.column(2)):
                 c = _cut(t)
-                ids = batch.column(0).slice(t.first, len(t)).take(pa.array(c["text"]))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c[x].astype(np.int32)) for x in ("s", "e", "n")), pa.array(c["uid"])], ["doc_id", "s", "e", "n_words", "uid"])
+                own = batch.slice(t.first, len(t))
+                ids = (own.column(k).take(pa.array(c["text"])) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(c[x].astype(np.int32)) for x in ("w", "s", "e", "n")), pa.array(c["uid"])], [x.split()[0] for x in UNITS.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, UNITS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(), "text").mapInArrow(run, UNITS)
 
 
 def band_keys(docs: DataFrame, rows: int, bands: int) -> DataFrame:
@@ -107,16 +122,24 @@ def band_keys(docs: DataFrame, rows: int, bands: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, id long")
 
 
+def _asked(docs: DataFrame, requests: DataFrame, *what: str) -> DataFrame:
+    """(doc_id, rid, text, asked) of the rows of ``docs`` for which there are ``requests`` (doc_id, rid, what); equal rows once."""
+    lists = requests.groupBy("doc_id", "rid").agg(F.collect_list(F.struct(*what)).alias("asked")).withColumnsRenamed({"doc_id": "doc_id_", "rid": "rid_"})
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(), "text")
+    rids = requests.select("rid").distinct()
+    if rids.limit(FEW + 1).count() <= FEW:
+        own = own.join(F.broadcast(rids), "rid", "left_semi")
+    return own.join(lists, (F.col("rid") == F.col("rid_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_"))).select("doc_id", "rid", "text", "asked")
+
+
 def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, grams) of the paragraphs ``wanted`` (id, doc_id), out of their texts."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_list("id").alias("ids"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(lists, "doc_id").select("ids", "text")
+    """(id, grams) of the paragraphs ``wanted`` (id, doc_id, rid), out of their texts."""
 
     def run(batches):
         for batch in batches:
-            for t in pieces(batch.column(1)):
+            for t in pieces(batch.column(0)):
                 c = _cut(t)
-                ask = batch.column(0).slice(t.first, len(t)).flatten().to_numpy()
+                ask = batch.column(1).slice(t.first, len(t)).flatten().field(0).to_numpy()
                 at = np.flatnonzero(np.isin(c["uid"], ask))
                 _, once = np.unique(c["uid"][at], return_index=True)
                 at = at[once]
@@ -124,7 +147,7 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 grams = [np.unique(c["shingle"][s:e]).view(np.int64) for s, e in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c["uid"][at]), pa.array(grams, pa.list_(pa.int64()))], ["id", "grams"])
 
-    return own.mapInArrow(run, "id long, grams array<long>").dropDuplicates(["id"])
+    return _asked(docs, wanted, "id").select("text", "asked").mapInArrow(run, "id long, grams array<long>").dropDuplicates(["id"])
 
 
 def jaccard(rows: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -175,40 +198,139 @@ def prefix_pairs(rows: pa.RecordBatch, heads: np.ndarray, similarity: float):
         yield i[ok], j[ok]
 
 
-def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
-    """doc_id, s, e (byte span), n_words, cluster_id and removed, for each paragraph that occurs twice or more.
+def rare_parts(hot: DataFrame, similarity: float) -> DataFrame:
+    """The rows (key, id, grams) of crowded buckets with a ``sub`` for each of their rarest shingles that others have.
 
-    Paragraphs count as one if linked by a Jaccard similarity of ``similarity`` or more; the occurrence
-    with the least (doc_id, s) of each cluster stays, the others are removed, also within a document.
-    Words are compared in lower case (A-Z) and white space counts as one separator. Null and empty
-    texts have no paragraphs; shorter paragraphs than ``LEAST_WORDS`` words never count. Rows that
-    repeat a doc_id are one document with repeated spans: they count as repeats of each other only
-    through equal text. Null doc_ids sort first. Other columns of ``docs`` are not read.
+    Two sets of that similarity share one of the first n - ceil(similarity n) + 1 shingles of each, in any
+    common order; here by their number in the bucket, so what a crowd has in common brings nobody together.
     """
-    scratch = Scratch(docs.sparkSession, "paragraphs")
+    each = hot.select("key", "id", "grams", F.explode("grams").alias("sub"))
+    often = each.groupBy("key", "sub").count()
+    rank = F.row_number().over(Window.partitionBy("key", "id").orderBy("count", "sub"))
+    size = F.size("grams")
+    prefix = size - F.ceil(size * similarity - 1e-9) + 1
+    return each.join(often, ["key", "sub"]).withColumn("rank", rank).filter((F.col("rank") <= prefix) & (F.col("count") > 1)).select("key", "id", "grams", "sub")
+
+
+def around(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, rid, w, right, words, places) of the ``edges`` (doc_id, rid, w, right): up to REACH words from word w on, and how far each reaches.
+
+    To the right, places are the ends of the words w, w + 1, ...; else the starts of the words w, w - 1, ...
+    """
+    out = "doc_id long, rid long, w int, right boolean, words array<long>, places array<int>"
+    names = [x.split()[0] for x in out.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for t in pieces(batch.column(2)):
+                word, owner, ws, we = _words(t)
+                first = np.searchsorted(owner, np.arange(len(t) + 1))
+                own = batch.slice(t.first, len(t))
+                row, at, right, words, places = [], [], [], [], []
+                for k, asked in enumerate(own.column(3).to_pylist()):
+                    lo, hi, base = int(first[k]), int(first[k + 1]), t.offsets[k]
+                    for x in asked:
+                        w = lo + x["w"]
+                        part = slice(w, min(hi, w + REACH)) if x["right"] else slice(max(lo, w + 1 - REACH), w + 1)
+                        step = 1 if x["right"] else -1
+                        row.append(k)
+                        at.append(x["w"])
+                        right.append(x["right"])
+                        words.append(word[part][::step].view(np.int64))
+                        places.append(((we if x["right"] else ws)[part][::step] - base).astype(np.int32))
+                ids = (own.column(k).take(pa.array(row, pa.int64())) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(at, pa.int32()), pa.array(right, pa.bool_()), pa.array(words, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))], names)
+
+    return _asked(docs, edges, "w", "right").mapInArrow(run, out).dropDuplicates(names[:4])
+
+
+def common_words(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words of ``a`` go along with ``b`` from their starts on; one word may be replaced, left out or put in before SHINGLE equal ones."""
+    i = j = 0
+    while True:
+        n = min(len(a) - i, len(b) - j)
+        differ = np.flatnonzero(a[i : i + n] != b[j : j + n])
+        same = int(differ[0]) if len(differ) else n
+        i, j = i + same, j + same
+        if same == n:
+            return i
+        for x, y in ((1, 1), (1, 0), (0, 1)):
+            nearer = a[i + x : i + x + SHINGLE], b[j + y : j + y + SHINGLE]
+            if len(nearer[0]) == len(nearer[1]) == SHINGLE and (nearer[0] == nearer[1]).all():
+                i, j = i + x, j + y
+                break
+        else:
+            return i
+
+
+def grown(docs: DataFrame, out: DataFrame, scratch: Scratch) -> DataFrame:
+    """``out`` (the paragraphs with the place k of the one that stays) with removed runs grown to both sides."""
+    in_row = Window.partitionBy("doc_id", "rid").orderBy("w")
+    gone = out.filter("removed").withColumns({"before": F.lag(F.col("w") + F.col("n_words")).over(in_row), "after": F.lead("w").over(in_row)})
+    end, k_end = F.col("w") + F.col("n_words"), F.col("k.w") + F.col("k.n_words")
+    left = gone.filter((F.col("w") > 0) & (F.coalesce("before", F.lit(-1)) != F.col("w"))).select("doc_id", "rid", F.col("w").alias("unit"), (F.col("w") - 1).alias("w"), F.lit(False).alias("right"), F.col("k.doc_id").alias("k_doc"), F.col("k.rid").alias("k_rid"), (F.col("k.w") - 1).alias("k_w"))
+    right = gone.filter(F.coalesce("after", F.lit(-1)) != end).select("doc_id", "rid", F.col("w").alias("unit"), end.alias("w"), F.lit(True).alias("right"), F.col("k.doc_id").alias("k_doc"), F.col("k.rid").alias("k_rid"), k_end.alias("k_w"))
+    edges = scratch.save(left.union(right).filter("k_w >= 0"))
+    sides = edges.select("doc_id", "rid", "w", "right").union(edges.select("k_doc", "k_rid", "k_w", "right")).distinct()
+    views = scratch.save(around(docs, sides))
+    theirs = views.select(F.col("doc_id").alias("v_doc"), F.col("rid").alias("k_rid"), F.col("w").alias("k_w"), "right", F.col("words").alias("other"))
+    mine = views.select(F.col("doc_id").alias("o_doc"), "rid", "w", "right", "words", "places")
+    both = edges.join(mine, (edges.rid == mine.rid) & (edges.w == mine.w) & (edges.right == mine.right) & edges.doc_id.eqNullSafe(mine.o_doc)).select(edges["*"], "words", "places")
+    both = both.join(theirs, (both.k_rid == theirs.k_rid) & (both.k_w == theirs.k_w) & (both.right == theirs.right) & both.k_doc.eqNullSafe(theirs.v_doc)).select("doc_id", "rid", "unit", both.right, "words", "places", "other")
+
+    def run(batches):
+        for batch in batches:
+            words, other, places = (batch.column(batch.schema.get_field_index(k)) for k in ("words", "other", "places"))
+            n = [common_words(np.asarray(a.values), np.asarray(b.values)) for a, b in zip(words, other, strict=True)]
+            to = [p[k - 1].as_py() if k else None for k, p in zip(n, places, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(to, pa.int32()), pa.array(n, pa.int32())], ["doc_id", "rid", "unit", "right", "to", "more"])
+
+    more = both.mapInArrow(run, "doc_id long, rid long, unit int, right boolean, to int, more int").filter("more > 0")
+    wide = more.groupBy(F.col("doc_id").alias("doc_id_"), F.col("rid").alias("rid_"), "unit").agg(F.max(F.when(~F.col("right"), F.col("to"))).alias("to_s"), F.max(F.when(F.col("right"), F.col("to"))).alias("to_e"), F.sum("more").cast("int").alias("more"))
+    joined = out.join(scratch.save(wide), (F.col("rid") == F.col("rid_")) & (F.col("w") == F.col("unit")) & F.col("doc_id").eqNullSafe(F.col("doc_id_")), "left")
+    return joined.select("doc_id", "rid", F.coalesce("to_s", "s").alias("s"), F.coalesce("to_e", "e").alias("e"), (F.col("n_words") + F.coalesce("more", F.lit(0))).alias("n_words"), "cluster_id", "removed")
+
+
+def paragraph_clusters(docs: DataFrame, similarity: float, recall: float, scratch: Scratch) -> DataFrame:
+    """The paragraphs that occur twice or more, with their cluster and the place k of the occurrence that stays."""
     rows, bands = tune_bands(similarity, recall)
     near = scratch.save(colliding(band_keys(docs, rows, bands)))
     units = scratch.save(paragraphs(docs))
-    classes = units.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "s")).alias("first"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid", "w", "n_words")
+    classes = units.groupBy("uid").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     ids = near.select("id").distinct()
     repeated = scratch.save(classes.join(ids.withColumnRenamed("id", "uid").withColumn("near", F.lit(True)), "uid", "left").filter((F.col("n") > 1) | F.col("near")))
 
-    wanted = repeated.filter("near").select(F.col("uid").alias("id"), F.col("first.doc_id").alias("doc_id"))
+    wanted = repeated.filter("near").select(F.col("uid").alias("id"), "first.doc_id", "first.rid")
     grams = _shingles_of(docs, wanted)
     keys = scratch.save(near.join(grams, "id").select("key", "id", "grams"), drop=near)
-    links = scratch.save(bucket_links(keys, lambda rows, i, j: jaccard(rows, i, j) >= similarity, scratch, propose=lambda rows, heads: prefix_pairs(rows, heads, similarity)), drop=keys)
+    links = scratch.save(bucket_links(keys, lambda rows, i, j: jaccard(rows, i, j) >= similarity, scratch, propose=lambda rows, heads: prefix_pairs(rows, heads, similarity), split=lambda hot: rare_parts(hot, similarity)), drop=keys)
     groups = connected_components(links, scratch)
 
     named = repeated.join(groups, repeated.uid == groups.id, "left").select("uid", "n", "first", F.coalesce("component", "uid").alias("cluster_id"))
-    whole = named.groupBy("cluster_id").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter("n > 1")
-    by_uid = scratch.save(named.select("uid", "cluster_id").join(whole.select("cluster_id", "first"), "cluster_id"))
-    out = units.join(by_uid, "uid")
-    stays = F.struct("doc_id", "s").eqNullSafe(F.col("first"))
-    return out.select("doc_id", "s", "e", "n_words", "cluster_id", (~stays).alias("removed"))
+    whole = named.groupBy("cluster_id").agg(F.sum("n").alias("n"), F.min("first").alias("k")).filter("n > 1")
+    by_uid = scratch.save(named.select("uid", "cluster_id").join(whole.select("cluster_id", "k"), "cluster_id"))
+    stays = place.eqNullSafe(F.col("k"))
+    return scratch.save(units.join(by_uid, "uid").select("doc_id", "rid", "w", "s", "e", "n_words", "uid", "cluster_id", (~stays).alias("removed"), "k"), drop=units)
+
+
+def repeated_paragraphs(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+    """doc_id, rid, s, e (byte span), n_words, cluster_id and removed, for each paragraph that occurs twice or more.
+
+    Paragraphs count as one if linked by a Jaccard similarity of ``similarity`` or more; the occurrence
+    with the least (doc_id, rid, s) of each cluster stays (null ids come last), the others are removed, also
+    within a document; spans of removed runs are grown as said above and may overlap. Words are compared in
+    lower case (A-Z) and white space counts as one separator. Null and empty texts have no paragraphs;
+    shorter paragraphs than ``LEAST_WORDS`` words never count. Rows are told apart by doc_id, null ones too,
+    and rid, a hash of the text: rows that are equal in both are one, and lose the same spans. An empty
+    table gives no rows. Other columns of ``docs`` are not read.
+    """
+    scratch = Scratch(docs.sparkSession, "paragraphs")
+    return grown(docs, paragraph_clusters(docs, similarity, recall, scratch), scratch)
 
 
 def cut_spans(text: str | None, spans: list | None) -> str | None:
-    """``text`` without the byte spans (s, e); white space at a cut shrinks to what stood before it."""
+    """``text`` without the byte spans (s, e), which begin and end with words; white space at a cut stays as it stood."""
     if text is None or not spans:
         return text
     raw, out, at = text.encode(), [], 0
@@ -216,7 +338,7 @@ def cut_spans(text: str | None, spans: list | None) -> str | None:
         out.append(raw[at : max(at, s)])
         at = max(at, e)
     out.append(raw[at:])
-    return b"".join(out).decode("utf-8", "ignore")
+    return b"".join(out).decode()
 
 
 def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
@@ -225,8 +347,8 @@ def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9
     Documents of which nothing but white space stays are dropped; those that were empty before stay.
     """
     names = docs.columns
-    own, cut = (f"{x}_{uuid.uuid4().hex[:8]}" for x in ("id", "spans"))  # names that no column of docs has
-    gone = repeated_paragraphs(docs, similarity, recall).filter("removed").groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("s", "e")).alias(cut))
+    own, key, mark, cut = (f"{x}_{uuid.uuid4().hex[:8]}" for x in ("id", "rid", "key", "spans"))  # names that no column of docs has
+    gone = repeated_paragraphs(docs, similarity, recall).filter("removed").groupBy(F.col("doc_id").alias(own), F.col("rid").alias(key)).agg(F.collect_set(F.struct("s", "e")).alias(cut))
     at, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     schema = docs.schema
 
@@ -251,4 +373,5 @@ def remove_repeats(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9
             else:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.join(gone, docs.doc_id == F.col(own), "left").select(*(docs[c] for c in names), cut).mapInArrow(run, schema)
+    marked = docs.withColumn(mark, row_key())
+    return marked.join(gone, (F.col(mark) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own)), "left").select(*names, cut).mapInArrow(run, schema)

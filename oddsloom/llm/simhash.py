@@ -3,23 +3,53 @@
 Fingerprints at most ``distance`` bits apart agree in one of ``(distance + 1) // 2`` segments up to a
 single bit. Every distinct fingerprint is therefore indexed under each segment with each one bit left
 out; equal keys meet in a join, and the full distance is verified.
+
+``simhash_groups`` finds every pair of 64-bit fingerprints that close. ``drop_near_copies`` looks for whole
+documents with a shingle similarity of 0.8 or more, which lie much further apart than a few bits: it has
+longer signatures, so that one of several segments is likely to differ by at most one bit, and verifies
+each candidate by its exact similarity.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buckets import bucket_links
+from .buckets import BLOCK, bucket_links
+from .collide import colliding
 from .components import connected_components
 from .store import Scratch, is_empty
+from .textops import Texts, mix, pieces, sequence_hashes, shingles
 
 BITS = 64
 SEED = 42
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+# the signatures of whole documents: over word pairs, which an edited word disturbs least
+PAIR = 2
+WORDS = 3  # of 64 bits
+FP = ("f0", "f1", "f2")
+SEGMENT_BITS, SEGMENTS = 26, 7
+APART = 26  # of 182 bits; pairs at a five-word similarity of 0.8 are some 17 apart, unrelated ones some 87
+ROWS_AT_ONCE = 1 << 16
+FEW = 1_000_000  # row keys up to which they are broadcast, to move only the texts that are asked for
+LEADERS_BYTES = 64 << 20  # of shingle sets of leading rows that are broadcast
+
+
+def row_key() -> Column:
+    """With the doc_id, what tells rows apart: equal rows are one."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("rid")
+
+
+def words_of(t: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text of every word, A-Z in lower case."""
+    low = Texts(t.first, np.frombuffer(t.data.tobytes().translate(LOWER), np.uint8), t.offsets)
+    ws, we = low.words()
+    return low.hashes(ws, we), low.of(ws)
 
 
 def fingerprint(text: str | None, size: int) -> int:
@@ -75,6 +105,34 @@ def variants(fps: DataFrame, distance: int) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "key long, id long")
 
 
+def parts_elsewhere(hot: DataFrame, distance: int) -> DataFrame:
+    """The rows (key, id) of crowded buckets with a ``sub`` for each of ``distance + 1`` parts of the bits outside the key's segment.
+
+    Fingerprints at most ``distance`` bits apart are equal in one of these parts.
+    """
+    count = (distance + 2) // 2
+    borders = [BITS * k // count for k in range(count + 1)]
+
+    def run(batches):
+        for batch in batches:
+            key, fp = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            segment = (key >> np.uint64(BITS // count - 1)).astype(np.int64) // 64
+            out = []
+            for part in range(distance + 1):
+                sub = np.zeros(len(fp), np.uint64)
+                for k, (lo, hi) in enumerate(zip(borders, borders[1:], strict=False)):
+                    bits = [b for b in range(BITS) if not lo <= b < hi]
+                    own = bits[len(bits) * part // (distance + 1) : len(bits) * (part + 1) // (distance + 1)]
+                    mask = np.uint64(sum(1 << b for b in own))
+                    sub = np.where(segment == k, (fp & mask) ^ (np.uint64(part + 1) * np.uint64(0x9E3779B97F4A7C15)), sub)
+                out.append(sub)
+            if len(fp):
+                n = distance + 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(key.view(np.int64), n)), pa.array(np.tile(fp.view(np.int64), n)), pa.array(np.concatenate(out).view(np.int64))], ["key", "id", "sub"])
+
+    return hot.select("key", "id").mapInArrow(run, "key long, id long, sub long")
+
+
 def simhash_groups(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``.
 
@@ -91,7 +149,8 @@ def simhash_groups(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFra
         fp = rows.column(rows.schema.get_field_index("id")).to_numpy(zero_copy_only=False).view(np.uint64)
         return np.bitwise_count(fp[i] ^ fp[j]) <= distance
 
-    links = scratch.save(bucket_links(variants(fps, distance), near, scratch))
+    finer = (lambda hot: parts_elsewhere(hot, distance)) if BITS % ((distance + 2) // 2) == 0 and distance > 1 else None
+    links = scratch.save(bucket_links(variants(fps, distance), near, scratch, split=finer))
     groups = connected_components(links, scratch)
     named = fps.join(groups, fps.fp == groups.id, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -100,14 +159,167 @@ def simhash_groups(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFra
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, size: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its group, with all their columns.
+def signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, rid, f0, f1, f2): 192 signature bits of every row, over its distinct word pairs (fewer words: the word)."""
+
+    def run(batches):
+        for batch in batches:
+            for t in pieces(batch.column(2)):
+                word, owner = words_of(t)
+                gram, at = shingles(word, owner, PAIR)
+                who = owner[at]
+                lone = np.flatnonzero(np.bincount(owner, minlength=len(t)) == 1)
+                gram, who = np.concatenate((gram, word[np.searchsorted(owner, lone)])), np.concatenate((who, lone))
+                order = np.lexsort((gram, who))
+                gram, who = gram[order], who[order]
+                new = np.ones(len(gram), bool)
+                new[1:] = (gram[1:] != gram[:-1]) | (who[1:] != who[:-1])
+                gram, who = gram[new], who[new]
+                total = np.zeros((len(t), 64 * WORDS), np.int32)
+                for lo in range(0, len(gram), ROWS_AT_ONCE):
+                    g, w = gram[lo : lo + ROWS_AT_ONCE], who[lo : lo + ROWS_AT_ONCE]
+                    hashes = np.stack([mix(g ^ np.uint64(SEED + k)) for k in range(WORDS)], axis=1)
+                    bits = np.unpackbits(hashes.view(np.uint8).reshape(len(g), -1), axis=1, bitorder="little")
+                    heads = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+                    total[w[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int32)
+                over = total * 2 > np.bincount(who, minlength=len(t))[:, None]
+                fp = np.packbits(over, axis=1, bitorder="little").view(np.int64).reshape(len(t), WORDS)
+                own = batch.slice(t.first, len(t))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WORDS))], ["doc_id", "rid", *FP])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(), "text").mapInArrow(run, "doc_id long, rid long, " + ", ".join(f"{x} long" for x in FP))
+
+
+def segment_variants(sigs: DataFrame) -> DataFrame:
+    """(key, id) of each signature: every one of SEGMENTS segments with every one of its bits left out."""
+
+    def run(batches):
+        for batch in batches:
+            words = [batch.column(k).to_numpy().view(np.uint64) for k in range(1, WORDS + 1)]
+            keys = []
+            for k in range(SEGMENTS):
+                at, shift = divmod(k * SEGMENT_BITS, 64)
+                part = words[at] >> np.uint64(shift)
+                if shift + SEGMENT_BITS > 64:
+                    part = part | (words[at + 1] << np.uint64(64 - shift))
+                part = part & np.uint64((1 << SEGMENT_BITS) - 1)
+                for bit in range(SEGMENT_BITS):
+                    value = ((part >> np.uint64(bit + 1)) << np.uint64(bit)) | (part & np.uint64((1 << bit) - 1))
+                    keys.append(value | np.uint64((k * SEGMENT_BITS + bit) << SEGMENT_BITS))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(batch.column(0).to_numpy(), len(keys)))], ["key", "id"])
+
+    return sigs.select("id", *FP).mapInArrow(run, "key long, id long")
+
+
+def in_shares(hot: DataFrame, block: int) -> DataFrame:
+    """Rows of crowded buckets dealt to shares of about half a block by hash, each with the bucket's least row: linear in the bucket."""
+    of = hot.groupBy("key").agg(F.ceil(2 * F.count(F.lit(1)) / block).cast("int").alias("shares"), F.min(F.struct(*hot.columns[1:])).alias("least"))
+    dealt = hot.join(of.select("key", "shares"), "key").withColumn("sub", F.pmod(F.xxhash64("key", "id"), F.col("shares")).cast("long")).drop("shares")
+    return dealt.unionByName(of.select("key", "least.*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).cast("long").alias("sub")))
+
+
+def similar_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, rid, grp) of ``rows`` (doc_id, rid, FP) whose group of close signatures has another row."""
+    named = rows.withColumn("id", F.xxhash64(*FP))
+    sigs = scratch.save(named.groupBy("id").agg(*(F.min(x).alias(x) for x in FP)))
+    keys = scratch.save(colliding(segment_variants(sigs)))
+    payload = scratch.save(keys.join(sigs, "id").select("key", "id", *FP), drop=keys)
+
+    def close(batch: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        apart = np.zeros(len(i), np.int64)
+        for x in FP:
+            fp = batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False).view(np.uint64)
+            apart += np.bitwise_count(fp[i] ^ fp[j])
+        return apart <= APART
+
+    links = scratch.save(bucket_links(payload, close, scratch, split=lambda hot: in_shares(hot, BLOCK)), drop=payload)
+    groups = connected_components(links, scratch).withColumnRenamed("id", "id_")
+    placed = named.join(groups, F.col("id") == F.col("id_"), "left").select("doc_id", "rid", F.coalesce("component", "id").alias("grp"))
+    placed = scratch.save(placed)
+    many = placed.groupBy("grp").count().filter("count > 1").select("grp")
+    return scratch.save(placed.join(many, "grp").select("doc_id", "rid", "grp"), drop=placed)
+
+
+def gram_sets(docs: DataFrame, rids: DataFrame, size: int) -> DataFrame:
+    """(rid, grams): the distinct ``size``-word shingles (fewer words: the whole sequence) of the texts with these hashes."""
+    few = rids.limit(FEW + 1).count() <= FEW
+
+    def run(batches):
+        for batch in batches:
+            for t in pieces(batch.column(1)):
+                word, owner = words_of(t)
+                gram, at = shingles(word, owner, size)
+                edge, whole = np.searchsorted(owner[at], np.arange(len(t) + 1)), np.searchsorted(owner, np.arange(len(t) + 1))
+                sets = []
+                for k in range(len(t)):
+                    own = np.unique(gram[edge[k] : edge[k + 1]])
+                    if not len(own) and whole[k] < whole[k + 1]:
+                        own = sequence_hashes(word, whole[k : k + 1], whole[k + 1 : k + 2])
+                    sets.append(own.view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), pa.array(sets, pa.list_(pa.int64()))], ["rid", "grams"])
+
+    own = docs.select(row_key(), "text").join(F.broadcast(rids) if few else rids, "rid", "left_semi")
+    return own.mapInArrow(run, "rid long, grams array<long>").dropDuplicates(["rid"])
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """(doc_id, rid) of the rows of ``docs`` that are near copies of a row that stays.
+
+    Candidates are groups of close signatures. In each group the row with the least (doc_id, rid) leads,
+    null ids last; the rows with an exact Jaccard similarity of ``similarity`` or more to it, over
+    ``size``-word shingles, go, and the others take a leader among themselves until none is left.
+    """
+    scratch = Scratch(docs.sparkSession, "copies")
+    rows = scratch.save(signatures(docs))
+    members = similar_groups(rows, scratch)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
+    # rows with one text are copies: each goes but the least, whatever else the group holds
+    texts = scratch.save(members.groupBy("grp", "rid").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")))
+    more = members.join(texts.filter("n > 1").select("rid", "first"), "rid").filter(~order.eqNullSafe(F.col("first"))).select("doc_id", "rid")
+    gone = scratch.save(more.distinct())
+    several = texts.groupBy("grp").count().filter("count > 1").select("grp")
+    left = scratch.save(texts.join(several, "grp").select("grp", "rid", "first"))
+    sets = scratch.save(gram_sets(docs, left.select("rid").distinct(), size))
+    left = scratch.save(left.join(sets, "rid").select("grp", "first", "grams"), drop=left)
+
+    def like(batches):
+        for batch in batches:
+            a, b = (batch.column(batch.schema.get_field_index(k)) for k in ("grams", "lead"))
+            ok = []
+            for x, y in zip(a, b, strict=True):
+                x, y = np.asarray(x.values), np.asarray(y.values)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok, pa.bool_())], ["grp", "first", "grams", "same"])
+
+    schema = "grp long, first struct<last:boolean,doc_id:long,rid:long>, grams array<long>, same boolean"
+    while not is_empty(left):
+        leaders = scratch.save(left.groupBy("grp").agg(F.min("first").alias("head")))
+        lead = scratch.save(left.join(leaders, "grp").filter(F.col("first").eqNullSafe(F.col("head"))).select("grp", "head", F.col("grams").alias("lead")))
+        bytes_ = lead.agg(F.coalesce(F.sum(F.size("lead")), F.lit(0)) * 8 + F.count(F.lit(1)) * 32).first()[0]
+        judged = left.join(F.broadcast(lead) if bytes_ <= LEADERS_BYTES else lead, "grp").filter(~F.col("first").eqNullSafe(F.col("head"))).select("grp", "first", "grams", "lead")
+        judged = scratch.save(judged.mapInArrow(like, schema), drop=left)
+        gone = gone.union(judged.filter("same").select("first.doc_id", "first.rid"))
+        left = scratch.save(judged.filter("NOT same").select("grp", "first", "grams"))
+    return gone
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """The rows of ``docs`` that are no near copies of another row that stays (``near_copies``), with all their columns.
 
-    Rows that repeat a kept doc_id are copies of it: one of them stays. Rows with a null doc_id stay.
+    Rows are told apart by doc_id, null or not, and text; of rows equal in both, the first by their other
+    columns as JSON stays. Texts without words are copies of each other. An empty table gives no rows.
     """
-    kept = simhash_groups(docs, size, distance).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    known = docs.filter(F.col("doc_id").isNotNull())
-    named = known.join(kept, "doc_id", "left_semi")
-    if not is_empty(known.groupBy("doc_id").count().filter("count > 1")):  # else whole rows need not be grouped
-        named = named.dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "kept")
+    own, key, mark = (f"{x}_{uuid.uuid4().hex[:8]}" for x in ("id", "rid", "key"))  # names that no column of docs has
+    gone = scratch.save(near_copies(docs, similarity, size)).select(F.col("doc_id").alias(own), F.col("rid").alias(key))
+    is_it = (F.col(mark) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own))
+    kept = docs.withColumn(mark, row_key()).join(gone, is_it, "left_anti")
+    twice = scratch.save(docs.select(F.col("doc_id").cast("long").alias(own), row_key().alias(key)).groupBy(own, key).count().filter("count > 1").select(own, key))
+    if is_empty(twice):
+        return kept.select(*docs.columns)
+    rank = F.row_number().over(Window.partitionBy(mark, "doc_id").orderBy(F.to_json(F.struct(*(docs[c] for c in docs.columns if c != "text")))))
+    one = kept.join(twice, is_it, "left_semi").withColumn(own, rank).filter(F.col(own) == 1)
+    return kept.join(twice, is_it, "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns))

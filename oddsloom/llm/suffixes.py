@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,9 +123,9 @@ def anchors(t: Texts) -> dict[str, np.ndarray]:
     width = WINDOW - GRAM + 1
     if n < WINDOW:
         return none
-    prefix = t.prefix()
+    sums = t.rolling()
     at = np.arange(n - GRAM + 1)
-    gram = t.hashes(at, at + GRAM, prefix)
+    gram = t.rolled(at, at + GRAM, sums)
     # the leftmost least of ``width`` grams (by 24 hash bits), from prefix and suffix minima of blocks
     m = len(gram)
     key = ((gram >> np.uint64(PLACE_BITS)) << np.uint64(PLACE_BITS)) | at.astype(np.uint64)
@@ -145,7 +146,8 @@ def anchors(t: Texts) -> dict[str, np.ndarray]:
     s, e, a = start[heads], start[np.append(heads[1:], len(start)) - 1], anchor[heads]
     text = owner[s]
     base = t.offsets[text]
-    content = mix(t.hashes(s, e + WINDOW, prefix) + (a - s).astype(np.uint64))
+    raw, digest = t.data.tobytes(), xxhash.xxh64_intdigest
+    content = mix(np.array([digest(raw[i:j]) for i, j in zip(s.tolist(), (e + WINDOW).tolist(), strict=True)], np.uint64) + (a - s).astype(np.uint64))
     return {"h": gram[a].view(np.int64), "ctx": content.view(np.int64), "text": text, "s": s - base, "e": e - base, "a": a - base}
 
 

@@ -18,24 +18,39 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+PRIMES = np.uint64(2147483647), np.uint64(2147483629)
+BASES = 1350490027, 1904325301  # of the two exact polynomial hashes, modulo PRIMES
+CARRY = 1 << 24  # bytes whose sum of terms stays below 2^63
+_tables: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _table(base: int, modulus: int, n: int) -> np.ndarray:
+    """base^i modulo ``modulus`` (2^64: by overflow) for i < n; tables up to four slices are kept."""
+    row = _tables.get((base, modulus))
+    if row is None or len(row) < n:
+        size = max(n, 2 * SLICE_BYTES)
+        row = np.ones(size, np.uint64)
+        done = 1
+        while done < size:
+            more = min(done, size - done)
+            step = np.uint64(pow(base, done, modulus))
+            row[done : done + more] = row[:more] * step
+            if modulus < 1 << 64:
+                row[done : done + more] %= np.uint64(modulus)
+            done += more
+        if size <= 4 * SLICE_BYTES:
+            _tables[base, modulus] = row
+    return row[:n]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i modulo 2^64 for i < n."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        both = []
-        for base in (BASE, inverse):
-            row = np.full(size, base, np.uint64)
-            row[0] = 1
-            both.append(np.multiply.accumulate(row))
-        if size > 4 * SLICE_BYTES:
-            return both[0][:n], both[1][:n]
-        _powers = both[0], both[1]
-    return _powers[0][:n], _powers[1][:n]
+    whole = 1 << 64
+    return _table(int(BASE), whole, n), _table(pow(int(BASE), -1, whole), whole, n)
+
+
+def _residue(x: np.ndarray, p: np.uint64) -> np.ndarray:
+    return x - x // p * p
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -97,17 +112,42 @@ class Texts:
         begin[head] = self.offsets[which[head]]
         return which, begin, stop
 
-    def prefix(self) -> np.ndarray:
-        """Prefix sums of the polynomial hash of the bytes."""
+    def prefix(self) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums of the polynomial hashes of the bytes modulo PRIMES; differences count modulo the prime."""
+        n, out = len(self.data), []
+        byte = self.data.astype(np.uint64) + np.uint64(1)
+        for base, p in zip(BASES, PRIMES, strict=True):
+            sums = np.zeros(n + 1, np.uint64)
+            for lo in range(0, n, CARRY):
+                hi = min(n, lo + CARRY)
+                np.cumsum(byte[lo:hi] * _table(base, int(p), n)[lo:hi], out=sums[lo + 1 : hi + 1])
+                if lo:
+                    sums[lo + 1 : hi + 1] += sums[lo] % p
+            out.append(sums)
+        return out[0], out[1]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, prefix: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """64-bit hashes of the byte ranges, equal for equal contents wherever they stand.
+
+        Two polynomials modulo primes: unlike one modulo 2^64, they have no contents that always collide.
+        """
+        prefix = self.prefix() if prefix is None else prefix
+        both = []
+        for sums, base, p in zip(prefix, BASES, PRIMES, strict=True):
+            down = _table(pow(base, -1, int(p)), int(p), len(self.data) + 1)
+            range_ = _residue(_residue(sums[ends], p) + p - _residue(sums[starts], p), p)
+            both.append(_residue(range_ * down[starts], p))
+        return mix((both[0] << np.uint64(32)) | both[1])
+
+    def rolling(self) -> np.ndarray:
+        """Prefix sums of a polynomial modulo 2^64: cheap, for picking places, where a collision does no harm."""
         up, _ = powers(len(self.data) + 1)
         terms = (self.data.astype(np.uint64) + np.uint64(1)) * up[:-1]
         return np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hashes of the byte ranges, equal for equal contents wherever they stand."""
-        prefix = self.prefix() if prefix is None else prefix
+    def rolled(self, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray) -> np.ndarray:
         _, down = powers(len(self.data) + 1)
-        return mix((prefix[ends] - prefix[starts]) * down[starts])
+        return mix((sums[ends] - sums[starts]) * down[starts])
 
 
 def pieces(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Texts]:
@@ -138,6 +178,17 @@ def shingles(words: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarra
     return mix(total[at]), at
 
 
+def sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ranges of word hashes, equal for equal sequences wherever they stand."""
+    both = []
+    for base, p in zip(BASES, PRIMES, strict=True):
+        up, down = _table(base, int(p), len(words) + 1), _table(pow(base, -1, int(p)), int(p), len(words) + 1)
+        terms = _residue(_residue(words, p) * up[:-1], p)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+        both.append(_residue(_residue(sums[ends] - sums[starts], p) * down[starts], p))
+    return mix(((both[0] << np.uint64(32)) | both[1]) + (ends - starts).astype(np.uint64))
+
+
 def crc32_of_ids(ids: pa.Array) -> np.ndarray:
     """crc32 of each id written as decimal text; -1 for a null id."""
     import zlib

@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from oddsloom.llm import decontaminate, langid, ordinal, packing, paragraphs, quality_rules, sharding, simhash, suffixes, textops, toxicity
+from oddsloom.llm.buckets import bucket_links
 from oddsloom.llm.components import connected_components
 from oddsloom.llm.store import Scratch
 
@@ -159,6 +160,16 @@ def test_quality_counts_and_verdicts(docs, odd):
         assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in text.items()}
 
 
+def test_different_lines_are_never_equal(spark):
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))  # equal under any polynomial modulo 2^64
+    rows = [(1, "\n".join([a, b])), (2, "\n".join([a, b, a])), (3, " ".join([a, *"cdef", b, *"cdef"])), (4, " ".join([a, *"cdef", a, *"cdef"]))]
+    out = {x.doc_id: (x.n_dup_lines, x.n_repeat_words) for x in quality_rules.quality_verdicts(spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string")).collect()}
+    assert out == {i: base_counts(t)[3:] for i, t in rows}
+
+
 def test_mcd_rejects_what_lies_far_out(spark, nothing):
     r = random.Random(1)
     clean = [(k, " ".join("abcdefg"[: r.randint(3, 7)] + str(r.randint(0, 99)) for _ in range(r.randint(60, 200)))) for k in range(300)]
@@ -309,12 +320,65 @@ def test_close_fingerprints_always_meet(spark):
     assert near <= met and near
 
 
-def test_one_of_each_group_stays(odd, nothing):
+def test_one_of_each_group_stays(spark, odd, nothing):
     kept = simhash.drop_near_copies(odd)
     assert kept.columns == odd.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert ids.count(0) == 1 and 1 not in ids and ids.count(None) == 2
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    want = {" ".join(words_of("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))) for _, t in odd_rows()}
+    got = [" ".join(words_of((t or "").lower())) for _, t in rows]
+    assert len(rows) == len(set(got)) and len(want) - 2 <= len(rows) <= len(want)  # long near copies may go too
+    assert (0, odd_rows()[0][1]) in rows and all(i is not None for i, _ in rows)  # copies with an id go before those without
+    assert sum(t is None or not words_of(t) for _, t in rows) == 1
     assert simhash.drop_near_copies(nothing).count() == 0 and simhash.simhash_groups(nothing).count() == 0
+    three = [(0, "one two three four five six"), (5, "alpha beta gamma delta epsilon"), (5, "something else altogether in this row"), (None, "a text without an id"), (None, "another text without any id")]
+    df = spark.createDataFrame(three + three[2:3], "doc_id long, text string")
+    assert sorted(simhash.drop_near_copies(df).collect(), key=str) == sorted(spark.createDataFrame(three, "doc_id long, text string").collect(), key=str)
+
+
+def word_grams(text, size=5):
+    w = words_of(text)
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+
+
+def similarity(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 4])
+def test_near_copies_go_and_nothing_else(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    r = random.Random(12)
+    voc = ["".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 8))) for _ in range(2000)]
+    rows = []
+    for k in range(60):
+        base = [r.choice(voc) for _ in range(r.choice((60, 150, 400)))]
+        rows.append(base)
+        for _ in range(40 if k == 0 else r.randint(0, 3)):
+            copy = list(base)
+            for at in r.sample(range(len(base)), max(1, int(len(base) * r.uniform(0, 0.025)))):
+                copy[at] = r.choice(voc)
+            rows.append(copy)
+    sets = [word_grams(" ".join(x)) for x in rows]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(rows)], "doc_id long, text string")
+    kept = {x.doc_id for x in simhash.drop_near_copies(df).collect()}
+    near = {i: [j for j in range(len(rows)) if j != i and similarity(sets[i], sets[j]) >= 0.8] for i in range(len(rows))}
+    assert all(any(j in kept for j in near[i]) for i in range(len(rows)) if i not in kept)  # what goes is like one that stays
+    lone = [i for i in near if not near[i]]
+    assert set(lone) <= kept
+    pairs = [(i, j) for i in near for j in near[i] if i < j]
+    assert sum(not (i in kept and j in kept) for i, j in pairs) >= 0.9 * len(pairs) > 0
+
+
+def test_crowded_buckets_lose_no_fingerprint_link(spark, monkeypatch):
+    r = random.Random(6)
+    low = r.getrandbits(32)
+    fps = sorted({((r.getrandbits(6) << 32) ^ low ^ (1 << r.randrange(32))) | 1 << 62 for _ in range(300)})
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    near = lambda rows, i, j: np.bitwise_count(np.asarray(rows.column(rows.schema.get_field_index("id")))[i].astype(np.uint64) ^ np.asarray(rows.column(rows.schema.get_field_index("id")))[j].astype(np.uint64)) <= 3
+    links = bucket_links(simhash.variants(df, 3), near, Scratch(spark, "test"), block=16, split=lambda hot: simhash.parts_elsewhere(hot, 3))
+    got = {x.id: x.component for x in connected_components(links, Scratch(spark, "test")).collect()}
+    want = brute_components(fps, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3)
+    assert all(got.get(f, f) == want[f] for f in fps) and len(set(got.values())) < len(fps)
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
@@ -415,14 +479,88 @@ def test_repeated_passages_go_and_the_rest_stays(spark):
         rows.append((k, " ".join(a + passage + b) if k % 2 else "\n".join([" ".join(a), " ".join(b)]), 1))
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     out = paragraphs.repeated_paragraphs(df).collect()
-    assert {x.doc_id for x in out} == {k for k in range(40) if k % 2} and {x.doc_id for x in out if not x.removed} == {1}
+    assert {x.doc_id for x in out} == {k for k in range(40) if k % 2} and all(x.doc_id != 1 for x in out if x.removed)
+    assert {x.doc_id for x in out if x.removed} == {k for k in range(3, 40) if k % 2}
     clean = {x.doc_id: x for x in paragraphs.remove_repeats(df).collect()}
     for k, text, _ in rows:
         if k % 2 == 0 or k == 1:
             assert clean[k].text == text
         else:
             left = words_of(clean[k].text)
-            assert clean[k].n_chars == len(clean[k].text) and len(words_of(text)) - 60 <= len(left) <= len(words_of(text)) - 8
+            assert clean[k].n_chars == len(clean[k].text) and len(words_of(text)) - 63 <= len(left) <= len(words_of(text)) - 57
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_paragraph_links_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(paragraphs.bucket_links, "__defaults__", (block, *paragraphs.bucket_links.__defaults__[1:]))
+    r = random.Random(10)
+    voc = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(3000)]
+    rows = []
+    for k in range(25):
+        base = [r.choice(voc) for _ in range(150)]
+        for _ in range(40 if k == 0 else 4):
+            copy = list(base)
+            for at in r.sample(range(150), 4):
+                copy[at] = r.choice(voc)
+            rows.append((len(rows) if len(rows) % 5 else None, " ".join([r.choice(voc) for _ in range(20)] + copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    units = {}
+    for u in paragraphs.paragraphs(df).collect():
+        text = next(t for i, t in rows if i == u.doc_id and xx_of(spark, t) == u.rid)
+        units[u.uid] = word_grams(text.encode()[u.s : u.e].decode())
+    ids = sorted(units)
+    want = brute_components(ids, lambda i, j: similarity(units[ids[i]], units[ids[j]]) >= 0.8)
+    got = {x.uid: x.cluster_id for x in paragraphs.paragraph_clusters(df, 0.8, 0.99, Scratch(spark, "test")).collect()}
+    pairs = [(a, b) for a in ids for b in ids if a < b and want[a] == want[b] and similarity(units[a], units[b]) >= 0.8]
+    assert sum(got.get(a, a) == got.get(b, b) for a, b in pairs) >= 0.95 * len(pairs) and len(pairs) > 50
+    assert all(len({want[u] for u in got if got[u] == c}) == 1 for c in got.values())
+
+
+_xx = {}
+
+
+def xx_of(spark, text):
+    if text not in _xx:
+        _xx[text] = spark.createDataFrame([(text,)], "text string").select(paragraphs.row_key()).first()[0]
+    return _xx[text]
+
+
+def test_edited_passages_go_nearly_whole(spark):
+    r = random.Random(13)
+    voc = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(4000)]
+    prose = lambda n: [r.choice(voc) for _ in range(n)]
+    rows, length = [], {}
+    for k, (n, edits) in enumerate(((51, 0), (60, 1), (100, 2), (200, 4)) * 15):
+        passage = prose(n)
+        other = list(passage)
+        for at in r.sample(range(5, n - 5), edits):
+            other[at] = r.choice(voc)
+        rows += [(2 * k, " ".join(prose(70) + passage + prose(70))), (2 * k + 1, " ".join(prose(70) + other + prose(70)))]
+        length[2 * k + 1] = n
+    out = {x.doc_id: len(words_of(x.text)) for x in paragraphs.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[2 * k] == len(words_of(rows[2 * k][1])) for k in range(60))
+    share = [(140 + n - out[i]) / n for i, n in length.items()]
+    assert np.mean(share) >= 0.9 and min(np.mean(share[k::4]) for k in range(4)) >= 0.85 and np.mean(share[0::4]) >= 0.97
+
+
+def test_common_words():
+    say = lambda a, b: paragraphs.common_words(np.array(a), np.array(b))
+    assert say([1, 2, 3], [1, 2, 4]) == 2 and say([], [1]) == 0 and say([1, 2], [1, 2, 3]) == 2
+    run = [5, 6, 7, 8, 9]
+    assert say([1, 2, *run], [1, 3, *run]) == 7 and say([1, 2, *run], [1, *run]) == 7 and say([1, *run], [1, 2, *run]) == 6
+    assert say([1, 2, 3, *run], [1, 4, 4, *run]) == 1 and say([1, 2, *run[:4]], [1, 3, *run[:4]]) == 1
+
+
+def test_rows_that_share_an_id_keep_their_own_text(spark):
+    r = random.Random(14)
+    voc = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(3000)]
+    prose = lambda n: " ".join(r.choice(voc) for _ in range(n))
+    shared, alone = prose(80), prose(200)
+    rows = [(1, prose(30) + " " + shared), (7, prose(60) + " " + shared + " " + prose(40)), (7, alone), (None, shared + " " + prose(50)), (None, prose(120))]
+    out = collections.Counter((x.doc_id, x.text) for x in paragraphs.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out[1, rows[0][1]] == 1 and out[7, alone] == 1 and out[None, rows[4][1]] == 1
+    rest = [t for (i, t), _ in out.items() if (i, t) not in {(rows[k][0], rows[k][1]) for k in (0, 2, 4)}]
+    assert len(rest) == 2 and all(len(words_of(t)) <= 101 and shared[:60] not in t for t in rest)
 
 
 def test_near_paragraphs_are_one_cluster(spark):
@@ -442,7 +580,7 @@ def test_paragraphs_on_odd_rows(odd, nothing):
 
 
 def test_bands():
-    assert paragraphs.tune_bands(0.8, 0.99) == (1, 3)
+    assert paragraphs.tune_bands(0.8, 0.99) == (2, 5)
     assert paragraphs.tune_bands(0.95, 0.9)[0] >= 2
 
 
