@@ -265,6 +265,25 @@ def test_hot_text_is_split(spark):
     assert len(out) == 8 and max(r.b for r in out) < 1.05 * min(r.b for r in out)
 
 
+def test_splitters_meet_their_targets(spark):
+    r = random.Random(3)
+    rows = [(r.getrandbits(63) if k % 3 else 77, r.getrandbits(31), r.randint(1, 50)) for k in range(6000)]
+    total = sum(x[2] for x in rows)
+    borders = sharding.splitters(spark.createDataFrame(rows, "key long, tie long, size long"), 10, 0.01)
+    assert borders == sorted(borders) and len(borders) == 9
+    for j, b in enumerate(borders, 1):
+        assert abs(sum(s for k, t, s in rows if (k, t) < b) - total * j / 10) <= 0.01 * total / 10 + 50
+    same = spark.createDataFrame([(5, 6, 10)] * 50 + [(9, 1, 10)] * 2, "key long, tie long, size long")
+    assert len(sharding.splitters(same, 4, 0.001)) == 3 and sharding.splitters(same.limit(0), 4, 0.001) in ([], [(0, 0)] * 3)
+
+
+def test_shards_are_written_whole(spark, docs, tmp_path):
+    placed = sharding.shard_documents(docs, 4)
+    sharding.write_shards(docs, placed, f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert collections.Counter((r.doc_id, r.text, r.shard) for r in back.collect()) == collections.Counter((r.doc_id, r.text, r.shard) for r in docs.join(placed.select("doc_id", "shard"), "doc_id").collect())
+
+
 # --- op5
 
 
