@@ -2,8 +2,10 @@
 
 The statistics of each language and source are held against a minimum-covariance-determinant (MCD)
 estimate: the mean and covariance of the ``share`` of rows that lie closest, found by concentration
-steps. Every step is one aggregation over all rows; medians and distance thresholds come from counts
-on a fixed fine grid, so no group is gathered in a task.
+steps from three starts (quartile ranges, signs and squashed values), of which the one with the least
+determinant goes on until its determinant falls no more. The covariance is then made consistent for
+normal data. Every step is one aggregation over all rows; medians and distance thresholds come from
+counts on a fixed fine grid, so no group is gathered in a task.
 """
 
 from __future__ import annotations
@@ -13,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, is_empty
 from .textops import SPACES, mix, pieces, shingles
 
 WINDOW = 5
 STATS = ("log_words", "log_word_length", "symbol_rate", "dup_line_rate", "repeat_rate")
-FLOOR = (0.35, 0.10, 0.12, 0.15, 0.15)  # least standard deviation of each statistic: most are zero in clean text
+FLOOR = (0.35, 0.10, 0.12, 0.15, 0.15)  # a lesser standard deviation is raised to this: most statistics are zero in clean text
+STARTS, TRIAL_STEPS, MOST_STEPS = 3, 2, 30
+FELL = 1e-4  # of the log determinant, below which a group's steps have converged
 GRID = 256.0  # cells per unit of a statistic
 DISTANCE_GRID = 32.0  # cells per factor of two of a squared distance
 SYMBOL = np.zeros(256, bool)
@@ -105,11 +109,31 @@ def _at_quantile(cells: DataFrame, keys: list[str], share: float) -> DataFrame:
     return running.filter(F.col("below") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(F.min("cell").alias("cell"))
 
 
+def chi2_below(x: float, k: int) -> float:
+    """P(chi-squared of k degrees of freedom <= x), by Simpson's rule over its square root."""
+    from math import lgamma
+
+    y = np.linspace(0, np.sqrt(x), 2001)
+    f = np.exp((k - 1) * np.log(np.maximum(y, 1e-300)) - y * y / 2 + np.log(2.0) - k / 2 * np.log(2.0) - lgamma(k / 2))
+    return float((y[1] - y[0]) / 3 * (f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-2:2].sum()))
+
+
+def consistency(share: float, k: int) -> float:
+    """By how much the covariance of the closest ``share`` of normal rows is too small."""
+    return share / chi2_below(chi2_quantile(share, k), k + 2)
+
+
+def raised(cov: np.ndarray) -> np.ndarray:
+    """Covariances whose variances below FLOOR are raised to it; the others are as estimated."""
+    own = np.einsum("...ii->...i", cov)
+    return cov + np.maximum(np.square(FLOOR) - own, 0)[..., None] * np.eye(cov.shape[-1])
+
+
 def _fit(moments: DataFrame) -> DataFrame:
-    """Per group the mean m0.. and the entries p00.. of the inverse covariance, from counts and sums of products."""
+    """Per (grp, start) the mean m0.., the entries p00.. of the inverse covariance and its log determinant, from counts and sums of products."""
     p = len(STATS)
     upper = [(i, j) for i in range(p) for j in range(i, p)]
-    names = [f"m{i}" for i in range(p)] + [f"p{i}{j}" for i, j in upper]
+    names = [f"m{i}" for i in range(p)] + [f"p{i}{j}" for i, j in upper] + ["det"]
 
     def run(batches):
         for batch in batches:
@@ -119,19 +143,19 @@ def _fit(moments: DataFrame) -> DataFrame:
             cov = np.empty((len(t), p, p))
             for i, j in upper:
                 cov[:, i, j] = cov[:, j, i] = t[f"q{i}{j}"] / n - mean[:, i] * mean[:, j]
-            cov += np.diag(np.square(FLOOR))
+            cov = raised(cov)
             inverse = np.linalg.inv(cov)
-            cols = [mean[:, i] for i in range(p)] + [inverse[:, i, j] for i, j in upper]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("grp")), *map(pa.array, cols)], ["grp", *names])
+            cols = [mean[:, i] for i in range(p)] + [inverse[:, i, j] for i, j in upper] + [np.linalg.slogdet(cov)[1]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in ("grp", "start")), *map(pa.array, cols)], ["grp", "start", *names])
 
-    return moments.mapInArrow(run, "grp string, " + ", ".join(f"{x} double" for x in names))
+    return moments.mapInArrow(run, "grp string, start int, " + ", ".join(f"{x} double" for x in names))
 
 
 def _moments(rows: DataFrame) -> DataFrame:
     p = len(STATS)
     sums = [F.sum(s).alias(f"s{i}") for i, s in enumerate(STATS)]
     products = [F.sum(F.col(STATS[i]) * F.col(STATS[j])).alias(f"q{i}{j}") for i in range(p) for j in range(i, p)]
-    return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *sums, *products)
+    return rows.groupBy("grp", "start").agg(F.count(F.lit(1)).alias("n"), *sums, *products)
 
 
 def _attach(rows: DataFrame, table: DataFrame, groups: int) -> DataFrame:
@@ -145,7 +169,50 @@ def _distance() -> Column:
     return sum((d[i] * d[j] * F.col(f"p{i}{j}") * (1 if i == j else 2) for i in range(p) for j in range(i, p)), F.lit(0.0))
 
 
-def quality_verdicts(docs: DataFrame, share: float = 0.75, steps: int = 4, tail: float = 1e-5, least: int = 50) -> DataFrame:
+def _starts(rows: DataFrame) -> DataFrame:
+    """The first estimates of each group, from ``rows`` with their centres c0.. and scales w0..: three starts.
+
+    0: the quartile ranges alone; 1: the covariance of the rows' directions from the centre; 2: of their
+    squashed (tanh) values. The last two are shapes, which concentration scales.
+    """
+    z = [(F.col(s) - F.col(f"c{i}")) / F.col(f"w{i}") for i, s in enumerate(STATS)]
+    p = len(STATS)
+    norm = F.sqrt(F.greatest(sum((x * x for x in z), F.lit(0.0)), F.lit(1e-6)))
+    forms = {1: [x / norm for x in z], 2: [F.tanh(x) for x in z]}
+    products = [F.avg(f[i] * f[j]).alias(f"q{k}_{i}{j}") for k, f in forms.items() for i in range(p) for j in range(i, p)]
+    given = [F.first(f"{x}{i}").alias(f"{x}{i}") for x in "cw" for i in range(p)]
+    upper = [(i, j) for i in range(p) for j in range(i, p)]
+    names = [f"m{i}" for i in range(p)] + [f"p{i}{j}" for i, j in upper] + ["det"]
+
+    def run(batches):
+        for batch in batches:
+            t = batch.to_pandas()
+            n = len(t)
+            centre, scale = (np.stack([t[f"{x}{i}"] for i in range(p)], 1) for x in "cw")
+            for start in range(STARTS):
+                shape = np.tile(np.eye(p), (n, 1, 1))
+                if start:
+                    for i, j in upper:
+                        shape[:, i, j] = shape[:, j, i] = t[f"q{start}_{i}{j}"]
+                    shape /= np.maximum(np.trace(shape, axis1=1, axis2=2) / p, 1e-9)[:, None, None]
+                    shape = 0.9 * shape + 0.1 * np.eye(p)
+                cov = raised(shape * scale[:, :, None] * scale[:, None, :])
+                inverse = np.linalg.inv(cov)
+                cols = [centre[:, i] for i in range(p)] + [inverse[:, i, j] for i, j in upper] + [np.linalg.slogdet(cov)[1]]
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("grp")), pa.array(np.full(n, start, np.int32)), *map(pa.array, cols)], ["grp", "start", *names])
+
+    return rows.groupBy("grp").agg(*given, *products).mapInArrow(run, "grp string, start int, " + ", ".join(f"{x} double" for x in names))
+
+
+def _step(rows: DataFrame, model: DataFrame, share: float, cell: Column, groups: int) -> DataFrame:
+    """A concentration step: the closest rows of each group and start give the next estimate."""
+    near = _attach(rows, model, groups).select("grp", "start", *STATS, cell.alias("cell"))
+    cut = _at_quantile(near.groupBy("grp", "start", "cell").agg(F.count(F.lit(1)).alias("n")), ["grp", "start"], share).withColumnRenamed("cell", "cut")
+    cut = F.broadcast(cut) if groups <= 20_000 else cut
+    return _fit(_moments(near.join(cut, ["grp", "start"]).filter(F.col("cell") <= F.col("cut"))))
+
+
+def quality_verdicts(docs: DataFrame, share: float = 0.75, tail: float = 1e-3, least: int = 50) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and the squared distance.
 
     Rows that fail the base rules are left out of the estimates. Null languages and sources form groups
@@ -163,7 +230,7 @@ def quality_verdicts(docs: DataFrame, share: float = 0.75, steps: int = 4, tail:
     named = F.broadcast(named) if groups <= 20_000 else named
     rows = scratch.save(good.join(named, good.lang.eqNullSafe(F.col("lang_")) & good.source.eqNullSafe(F.col("source_"))).select("doc_id", "grp", *STATS))
 
-    # start: medians and quartile ranges of each statistic
+    # centres and scales: medians and quartile ranges of each statistic
     cells = rows.select("grp", F.posexplode(F.array(*(F.floor(F.col(s) * GRID) for s in STATS)))).groupBy("grp", F.col("pos"), F.col("col").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     cells = scratch.save(cells)
     lower, middle, upper = (_at_quantile(cells, ["grp", "pos"], q).withColumnRenamed("cell", name) for q, name in ((0.25, "lo"), (0.5, "mid"), (0.75, "hi")))
@@ -171,15 +238,29 @@ def quality_verdicts(docs: DataFrame, share: float = 0.75, steps: int = 4, tail:
     floor = F.element_at(F.array(*map(F.lit, FLOOR)), F.col("pos") + 1)
     spread = F.greatest((F.col("hi") - F.col("lo")) / GRID / 1.349, floor)
     p = len(STATS)
-    one = [F.max(F.when(F.col("pos") == i, (F.col("mid") + 0.5) / GRID)).alias(f"m{i}") for i in range(p)]
-    two = [(F.max(F.when(F.col("pos") == i, 1 / (spread * spread))) if i == j else F.first(F.lit(0.0))).alias(f"p{i}{j}") for i in range(p) for j in range(i, p)]
-    model = scratch.save(quartiles.groupBy("grp").agg(*one, *two))
+    one = [F.max(F.when(F.col("pos") == i, (F.col("mid") + 0.5) / GRID)).alias(f"c{i}") for i in range(p)]
+    two = [F.max(F.when(F.col("pos") == i, spread)).alias(f"w{i}") for i in range(p)]
+    scales = scratch.save(quartiles.groupBy("grp").agg(*one, *two))
+    model = scratch.save(_starts(_attach(rows, scales, groups)))
 
     cell = F.floor(F.log2(F.greatest(_distance(), F.lit(1e-9))) * DISTANCE_GRID)
-    for _ in range(steps):  # concentration: the closest rows give the next estimate
-        near = _attach(rows, model, groups).select("grp", *STATS, cell.alias("cell"))
-        cut = _at_quantile(near.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n")), ["grp"], share).withColumnRenamed("cell", "cut")
-        model = scratch.save(_fit(_moments(_attach(near, cut, groups).filter(F.col("cell") <= F.col("cut")))), drop=model)
+
+    for _ in range(TRIAL_STEPS):
+        model = scratch.save(_step(rows, model, share, cell, groups), drop=model)
+    best = F.row_number().over(Window.partitionBy("grp").orderBy("det", "start"))
+    model = scratch.save(model.withColumn("place", best).filter("place = 1").drop("place"), drop=model)
+    moving, done = model, None
+    for _ in range(MOST_STEPS):  # groups whose determinant still falls take another step
+        before = scratch.save(moving.select("grp", F.col("det").alias("was")))
+        ids = F.broadcast(before.select("grp")) if groups <= 20_000 else before.select("grp")
+        open_rows = rows.join(ids, "grp", "left_semi")
+        moving = scratch.save(_step(open_rows, moving, share, cell, groups).join(before, "grp"))
+        still = F.col("was") - F.col("det") > FELL
+        done = moving.filter(~still).drop("was") if done is None else done.unionByName(moving.filter(~still).drop("was"))
+        moving = moving.filter(still).drop("was")
+        if is_empty(moving):
+            break
+    model = scratch.save(done.unionByName(moving))
 
     far = _attach(rows, model, groups).select("doc_id", "grp", _distance().alias("d2"), cell.alias("cell"))
     middle = _at_quantile(far.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n")), ["grp"], 0.5)
@@ -189,7 +270,8 @@ def quality_verdicts(docs: DataFrame, share: float = 0.75, steps: int = 4, tail:
 
     full = table.join(named, table.lang.eqNullSafe(F.col("lang_")) & table.source.eqNullSafe(F.col("source_")), "left").drop("lang_", "source_")
     full = full.join(F.broadcast(model) if groups <= 20_000 else model, "grp", "left")
-    d2 = _distance() / F.greatest(F.col("scale"), F.lit(1.0))
+    # of two scales the wider one: that of normal rows, and that of the group's own median distance
+    d2 = _distance() / F.greatest(F.col("scale"), F.lit(consistency(share, p)))
     outlier = F.col("enough") & (d2 > chi2_quantile(1 - tail, p))
     kept = ~F.col("base_failed") & ~F.coalesce(outlier, F.lit(False))
     return full.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.when(~F.col("base_failed"), d2).alias("distance"))
