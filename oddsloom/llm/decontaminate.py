@@ -1,19 +1,23 @@
 """Benchmark decontamination: a BM25 index of test items, queried with every training passage.
 
-A passage is two neighbouring chunks of words, so any run of a chunk's length lies whole in one.
-A test item's score is the BM25 weight of its terms that occur in the passage, as a share of its own
-total weight. Items are kept in blocks with a block-max weight per term (block-max WAND): passages
-whose summed term maxima, and then passage-block pairs whose summed block maxima, stay below the
-threshold are skipped; what is left is scored exactly, so every item above the threshold is found.
-Question and answer of each found item are then verified by the overlap of their word shingles.
+A passage is two neighbouring chunks of words, so any run of a chunk's length lies whole in one; items
+are indexed by classes of length, each with chunks as long as its longest item. A test item's score is
+the BM25 weight of its terms that occur in the passage, as a share of its own total weight. Postings are
+in the order of the items and in blocks with a maximum weight each. Passages whose summed term maxima, or
+whose summed maxima in every range of items, stay below the threshold are put aside many at once; the
+others are run through block-max WAND: pointers into the postings of the passage's terms, a pivot where
+the term maxima first reach the threshold, a look at the block maxima there, and skips past items and
+blocks that cannot reach it. All items above the threshold are found. Question and answer of each are
+then verified by the overlap of their word shingles.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +28,11 @@ from .store import Scratch
 from .textops import WORD_BASE, Texts, keep_rows, mix, pieces
 
 K1, B = 1.2, 0.75
-BLOCK = 8
+BLOCK = 4
 SHINGLE = 5
 LEAST_CHUNK = 48
+FIRST_CLASS, WIDER = 64, 4  # words of the items of the first class of lengths; how much further each next one goes
+SLACK = 1e-9  # of sums of weights, which are added in different orders
 INDEX_BYTES = 32 << 20  # text of the items that are indexed and broadcast at once
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[65:91] = WORD[97:123] = WORD[128:] = True
@@ -84,6 +90,15 @@ class Index:
     post_at: np.ndarray  # entry of block_of -> its range in post_item, post_weight
     post_item: np.ndarray
     post_weight: np.ndarray
+    made: dict[int, tuple] = field(default_factory=dict)
+
+    def postings(self, term: int) -> tuple[list, list, list, list, float]:
+        """Items, weights, blocks, block maxima and the maximum of a term, as lists; kept once made."""
+        if term not in self.made:
+            lo, hi = int(self.block_at[term]), int(self.block_at[term + 1])
+            s, e = int(self.post_at[lo]), int(self.post_at[hi])
+            self.made[term] = self.post_item[s:e].tolist(), self.post_weight[s:e].tolist(), self.block_of[lo:hi].tolist(), self.block_max[lo:hi].tolist(), float(self.top[term])
+        return self.made[term]
 
     def look_up(self, word: np.ndarray) -> np.ndarray:
         """The term of each word hash, or -1."""
@@ -112,8 +127,11 @@ class Totals:
     df: np.ndarray
 
 
-def build_index(ids: list[int], texts: list[str], totals: Totals | None = None) -> Index | None:
-    """The index of some items, which are all there are unless ``totals`` says more; items without words are left out."""
+def build_index(ids: list[int], texts: list[str], totals: Totals | None = None, longest: int = 0) -> Index | None:
+    """The index of some items, which are all there are unless ``totals`` says more; items without words are left out.
+
+    ``longest``: words of the longest item, if that is not to come from the totals.
+    """
     words, question, kept = [], [], []
     for item, text in zip(ids, texts, strict=True):
         for t in pieces(pa.array([text])):
@@ -147,7 +165,25 @@ def build_index(ids: list[int], texts: list[str], totals: Totals | None = None)
         slots[at] = k
     top = np.zeros(len(terms))
     np.maximum.at(top, term, weight)
-    return Index(np.array(kept), words, np.array(question), slots, terms, max(LEAST_CHUNK, totals.longest), top, np.searchsorted(term[heads], np.arange(len(terms) + 1)), (item // BLOCK)[heads], np.maximum.reduceat(weight, heads), np.append(heads, len(term)), item, weight)
+    return Index(np.array(kept), words, np.array(question), slots, terms, max(LEAST_CHUNK, longest or totals.longest), top, np.searchsorted(term[heads], np.arange(len(terms) + 1)), (item // BLOCK)[heads], np.maximum.reduceat(weight, heads), np.append(heads, len(term)), item, weight)
+
+
+def build_indexes(ids: list[int], texts: list[str], totals: Totals | None = None) -> list[Index]:
+    """An index for each class of item lengths, with weights from the totals of all items."""
+    count = [int(len(tokens(t)[0])) for text in texts for t in pieces(pa.array([text], pa.large_string()))]
+    if totals is None:
+        words = [np.unique(tokens(t)[0]) for text in texts for t in pieces(pa.array([text], pa.large_string()))]
+        terms, df = np.unique(np.concatenate([np.zeros(0, np.uint64), *words]), return_counts=True)
+        known = [n for n in count if n]
+        totals = Totals(len(known), float(np.mean(known)) if known else 0.0, max(known, default=0), terms, df)
+    classes: dict[int, list[int]] = {}
+    for k, n in enumerate(count):
+        c = 0
+        while n > FIRST_CLASS * WIDER**c:
+            c += 1
+        classes.setdefault(c, []).append(k)
+    found = (build_index([ids[k] for k in own], [texts[k] for k in own], totals, max(count[k] for k in own)) for _, own in sorted(classes.items()))
+    return [x for x in found if x is not None]
 
 
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,6 +193,55 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(starts - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()), which
 
 
+def wand(x: Index, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+    """(item, score) of every item that scores ``threshold`` or more against a passage with these distinct terms."""
+    lists = [x.postings(k) for k in terms.tolist()]
+    end = len(x.items)
+    at = [0] * len(lists)
+    here = [own[0][0] if own[0] else end for own in lists]  # the item under each pointer
+    out = []
+
+    def advance(k: int, to: int) -> None:
+        at[k] = bisect_left(lists[k][0], to, at[k])
+        here[k] = lists[k][0][at[k]] if at[k] < len(lists[k][0]) else end
+
+    while True:
+        order = sorted((k for k in range(len(lists)) if here[k] < end), key=here.__getitem__)
+        total, pivot = 0.0, -1
+        for place, k in enumerate(order):
+            total += lists[k][4]
+            if total >= threshold - SLACK:
+                pivot = place
+                break
+        if pivot < 0:
+            return out
+        item = here[order[pivot]]
+        while pivot + 1 < len(order) and here[order[pivot + 1]] == item:
+            pivot += 1
+        block, bound = item // BLOCK, 0.0
+        for k in order[: pivot + 1]:
+            own = lists[k][2]
+            b = bisect_left(own, block)
+            if b < len(own) and own[b] == block:
+                bound += lists[k][3][b]
+        if bound < threshold - SLACK:  # no item up to the block's end, or to the next pointer, can reach it
+            skip = (block + 1) * BLOCK
+            if pivot + 1 < len(order):
+                skip = min(skip, here[order[pivot + 1]])
+            for k in order[: pivot + 1]:
+                advance(k, skip)
+        elif here[order[0]] == item:
+            score = sum(lists[k][1][at[k]] for k in order[: pivot + 1])
+            if score >= threshold:
+                out.append((item, score))
+            for k in order[: pivot + 1]:
+                advance(k, item + 1)
+        else:
+            for k in order[: pivot + 1]:
+                if here[k] < item:
+                    advance(k, item)
+
+
 def search(t: Texts, x: Index, threshold: float, question: float = 0.0, answer: float = 0.0) -> list[tuple[int, int, float, float, float]]:
     """(text, item, score, question overlap, answer overlap) of the items found in some texts; the best passage of each.
 
@@ -184,7 +269,7 @@ def search(t: Texts, x: Index, threshold: float, question: float = 0.0, answer:
         more[~joined] = 0
         return by_chunk + more
 
-    open_ = passages(np.bincount(chunk, weights=x.top[term], minlength=n)) >= threshold  # the pivot test
+    open_ = passages(np.bincount(chunk, weights=x.top[term], minlength=n)) >= threshold - SLACK
     live = open_.copy()
     live[1:] |= open_[:-1] & joined[:-1]
     keep = live[chunk]
@@ -202,20 +287,15 @@ def search(t: Texts, x: Index, threshold: float, question: float = 0.0, answer:
         bound = sums[: hi - lo].copy()
         link = np.flatnonzero(joined[lo:hi])
         bound[link] += sums[link + 1]
-        for p, block in zip(*np.nonzero((bound >= threshold) & open_[lo:hi, None]), strict=True):
+        for p in np.flatnonzero((bound >= threshold - SLACK).any(axis=1) & open_[lo:hi]):
             p = int(p) + lo
             own = np.unique(term[edge[p] : edge[p + 1 + joined[p]]])
-            s, e = x.block_at[own], x.block_at[own + 1]
-            entry, _ = _ranges(s, e)
-            entry = entry[x.block_of[entry] == block]
-            post, _ = _ranges(x.post_at[entry], x.post_at[entry + 1])
-            score = np.bincount(x.post_item[post] - block * BLOCK, weights=x.post_weight[post], minlength=BLOCK)
-            for k in np.flatnonzero(score >= threshold):
-                item, text = int(block) * BLOCK + int(k), int(of[p])
+            for item, score in wand(x, own, threshold):
+                text = int(of[p])
                 start = first[text] + (p - base[text]) * x.chunk
                 passage = word[start : min(start + 2 * x.chunk, first[text + 1] if text + 1 < len(t) else len(word))]
                 q = int(x.question[item])
-                row = (text, item, float(score[k]), overlap(x.words[item][:q], passage), overlap(x.words[item][q:], passage))
+                row = (text, item, score, overlap(x.words[item][:q], passage), overlap(x.words[item][q:], passage))
                 if row[3] >= question and row[4] >= answer and row[2:] > found.get((text, item), (0, 0, -1.0))[2:]:
                     found[text, item] = row
     return list(found.values())
@@ -240,8 +320,8 @@ def _terms(items: DataFrame) -> DataFrame:
     return items.select("text").mapInArrow(run, "term long, head long")
 
 
-def indexes(items: DataFrame) -> Iterator[tuple[Index, bool]]:
-    """Indexes of all items (item_id, text), each over at most about INDEX_BYTES of text; and if there is one only.
+def indexes(items: DataFrame) -> Iterator[tuple[list[Index], bool]]:
+    """Indexes of all items (item_id, text) in blocks of at most about INDEX_BYTES of text; and if there is one block only.
 
     The weights come from all items, so they do not depend on the blocks. One block at a time is on the driver.
     """
@@ -262,8 +342,8 @@ def indexes(items: DataFrame) -> Iterator[tuple[Index, bool]]:
             order = np.argsort(hashes.view(np.uint64))
             totals = Totals(n, words / n, longest, hashes.view(np.uint64)[order], df[order]) if n else None
         rows = own.select("item_id", "text").orderBy("item_id", "text").collect()
-        if (x := build_index([r["item_id"] for r in rows], [r["text"] for r in rows], totals)) is not None:
-            yield x, blocks == 1
+        if found := build_indexes([r["item_id"] for r in rows], [r["text"] for r in rows], totals):
+            yield found, blocks == 1
 
 
 @dataclass
@@ -273,15 +353,17 @@ class Limits:
     answer: float = 0.6
 
 
-def leaks_of(t: Texts, x: Index, limits: Limits) -> list[tuple]:
-    return search(t, x, limits.score, limits.question, limits.answer)
+def leaks_of(t: Texts, found: list[Index], limits: Limits) -> list[tuple]:
+    """(text, item id, score, question overlap, answer overlap) of the items found in some texts."""
+    return [(r[0], x.items[r[1]], *r[2:]) for x in found for r in search(t, x, limits.score, limits.question, limits.answer)]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, limits: Limits | None = None) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every test item found in a document.
 
-    Null and empty texts contain nothing; items without words are never found. Repeated rows and items
-    give repeated rows. A null item_id stays null. If the items exceed INDEX_BYTES they are indexed in
+    Null and empty texts contain nothing; items without words are never found, and one in which no answer
+    is told apart is held to its whole text as the question. Repeated documents give repeated rows; items
+    that repeat both id and text count once. A null item_id stays null. If the items exceed INDEX_BYTES they are indexed in
     blocks, each held against all documents and let go before the next. Other columns are not read.
     """
     limits = limits or Limits()
@@ -299,7 +381,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, limits: Limits | None = None)
                     found = leaks_of(t, shared.value, limits)
                     if found:
                         ids = batch.column(0).slice(t.first, len(t)).take(pa.array([r[0] for r in found]))
-                        yield pa.RecordBatch.from_arrays([ids, pa.array([shared.value.items[r[1]] for r in found], pa.int64()), *(pa.array([r[k] for r in found]) for k in (2, 3, 4))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                        yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in found], pa.int64()), *(pa.array([r[k] for r in found]) for k in (2, 3, 4))], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         found = rows.mapInArrow(run, schema)
         if not lone:
