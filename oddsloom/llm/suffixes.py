@@ -4,7 +4,10 @@ Every 200-byte window picks the least-hashed ``GRAM``-byte string in it as its a
 pick equal anchors. An anchor with the windows that picked it is a context; its bytes hold them all.
 Contexts that occur twice are repeated whole. Where an anchor has several different contexts, these
 are brought together, cut into 8-byte cells counted from the anchor, and their suffix array over the
-cells tells which windows occur in another context too.
+cells tells which windows occur in another context too. A crowd of contexts is first parted by the bytes
+around the anchor: of the 152 bytes that a window has besides it, two contexts that share the window share
+STEP * i or more to the left and 152 - STEP * (i + 1) or more to the right for some i, so they meet under
+the bytes of that i, and a phrase with many surroundings brings nobody together.
 
 The suffix array is built by grouping: suffixes are grouped by their Lyndon prefixes, in descending
 order of the groups, with previous-smaller pointers; the order within the groups then follows from
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch, partitions
+from .store import Scratch, is_empty, partitions
 from .textops import Texts, mix, pieces
 
 WINDOW = 200
@@ -30,7 +33,8 @@ PLACE_BITS = 40
 CELL = 8
 CELLS = WINDOW // CELL - 1  # whole cells inside any window that is cut by the cell grid
 BATCH_CELLS = 200_000
-BLOCK = 4096  # contexts of one anchor that are compared at once
+BLOCK = 4096  # contexts that are compared at once; an anchor with more is a crowd
+STEP = (WINDOW - GRAM) // 8
 CONTEXT = "h long, ctx long, rid long, s int, e int, a int"
 
 
@@ -168,8 +172,8 @@ def contexts(docs: DataFrame) -> DataFrame:
     return docs.select(_row_id().alias("rid"), "text").mapInArrow(run, CONTEXT)
 
 
-def repeated_windows(bodies: list[bytes], anchor: np.ndarray) -> np.ndarray:
-    """Flags over the joined ``bodies``: the window of WINDOW bytes that starts here also starts elsewhere among them."""
+def repeated_windows(bodies: list[bytes], anchor: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Flags over the joined ``bodies``: the window of WINDOW bytes that starts here also starts elsewhere in its ``group``."""
     size = np.array([len(b) for b in bodies])
     base = np.concatenate(([0], np.cumsum(size)))
     data = np.frombuffer(b"".join(bodies) + bytes(2 * WINDOW), np.uint8)
@@ -183,6 +187,7 @@ def repeated_windows(bodies: list[bytes], anchor: np.ndarray) -> np.ndarray:
     for k in range(CELL):
         value = (value << np.uint64(8)) | data[place + k].astype(np.uint64)
     _, rank = np.unique(value, return_inverse=True)
+    _, rank = np.unique(rank * (int(group.max(initial=0)) + 1) + group[body], return_inverse=True)  # groups have no cell in common
     slot = np.arange(len(body)) + body  # one more for each body's end
     text = np.ones(len(body) + len(bodies) + 1, np.int64)
     text[slot] = rank + 2
@@ -228,7 +233,16 @@ def _mixed_spans(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> Data
     wanted = scratch.save(distinct.join(many, "h").select("h", "ctx", "n", "m", "rid", "s", "e", "a"), drop=distinct)
     scratch.free()
     lists = wanted.groupBy("rid").agg(F.collect_list(F.struct("h", "ctx", "n", "m", "s", "e", "a")).alias("asked"))
-    texts = docs.select(_row_id().alias("rid"), "text").dropDuplicates(["rid"])
+    texts = docs.select(_row_id().alias("rid"), "text")  # equal rows give equal bodies, which count once below
+    block = BLOCK
+
+    def parts(x: dict, raw: bytes) -> list[int | None]:
+        """The keys of a context: its anchor's alone, or in a crowd one for each part of the bytes around it."""
+        if x["m"] <= block:
+            return [None]
+        lo, at, hi = x["s"], x["a"], x["e"] + WINDOW
+        cuts = [(at - left, at + WINDOW - STEP - left) for left in range(0, WINDOW - GRAM, STEP)]
+        return [xxhash.xxh64_intdigest(raw[i:j], k) - (1 << 63) for k, (i, j) in enumerate(cuts) if lo <= i and j <= hi]
 
     def bodies(batches):
         for batch in batches:
@@ -236,24 +250,32 @@ def _mixed_spans(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> Data
             out: list[tuple] = []
             for k in range(batch.num_rows):
                 raw = texts[k].as_py().encode()
-                out += [(x["h"], x["ctx"], x["n"], x["m"], batch.column(2)[k].as_py(), x["s"], x["a"] - x["s"], raw[x["s"] : x["e"] + WINDOW]) for x in asked[k].as_py()]
+                rid = batch.column(2)[k].as_py()
+                for x in asked[k].as_py():
+                    body = raw[x["s"] : x["e"] + WINDOW]
+                    out += [(x["h"], x["ctx"], x["n"], sub, rid, x["s"], x["a"] - x["s"], body) for sub in parts(x, raw)]
             cols = list(zip(*out, strict=True)) or [[]] * 8
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "ctx", "n", "m", "rid", "s", "a", "body"])
-
-    found = lists.join(texts, "rid").select("asked", "text", "rid").mapInArrow(bodies, "h long, ctx long, n long, m long, rid long, s int, a int, body binary")
-    # a crowd of contexts is dealt out as pairs of blocks
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("ctx"), blocks).cast("int")
-    found = found.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    found = found.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "n", "rid", "s", "a", "body")
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "ctx", "n", "sub", "rid", "s", "a", "body"])
+
+    found = scratch.save(lists.join(texts, "rid").select("asked", "text", "rid").mapInArrow(bodies, "h long, ctx long, n long, sub long, rid long, s int, a int, body binary"), drop=wanted)
+    rest = ["n", "rid", "s", "a", "body", "ctx"]
+    dealt = found.filter("sub IS NULL").select("h", F.lit(0).alias("lo"), F.lit(0).alias("hi"), *rest)
+    crowd = found.filter("sub IS NOT NULL").withColumn("h", F.xxhash64("h", "sub"))
+    if not is_empty(crowd):
+        # parts with one context have nothing to compare; one that is a crowd even so is dealt out as pairs of blocks
+        sizes = scratch.save(crowd.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
+        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("ctx"), blocks).cast("int")
+        crowd = crowd.join(sizes, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.unionByName(crowd.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *rest))
     keys = ["h", "lo", "hi"]
-    dealt = found.repartition(max(2, partitions(spark)), *keys).sortWithinPartitions(*keys)
+    dealt = dealt.repartition(max(2, partitions(spark)), *keys).sortWithinPartitions(*keys, "ctx")
 
     def spans(rows: list[tuple]) -> pa.RecordBatch:
-        flags = repeated_windows([r[4] for r in rows], np.array([r[3] for r in rows]))
+        flags = repeated_windows([r[4] for r in rows], np.array([r[3] for r in rows]), np.array([r[5] for r in rows]))
         out, at = [], 0
-        for n, rid, s, _, body in rows:
+        for n, rid, s, _, body, _ in rows:
             hit = np.flatnonzero(flags[at : at + len(body)]) if n == 1 else []
             at += len(body)
             if len(hit):
@@ -265,16 +287,19 @@ def _mixed_spans(docs: DataFrame, distinct: DataFrame, scratch: Scratch) -> Data
 
     def run(batches):
         rows: list[tuple] = []
-        last, cells = None, 0
+        last, seen, cells, group = None, None, 0, 0
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(8)]
-            for h, lo, hi, n, rid, s, a, body in zip(*cols, strict=True):
-                # the pairs of blocks of one anchor hold the same contexts again, so they never share a batch
-                if last and (h, lo, hi) != last and (cells > BATCH_CELLS or h == last[0]):
-                    yield spans(rows)
-                    rows, cells = [], 0
-                last = (h, lo, hi)
-                rows.append((n, rid, s, a, body))
+            cols = [batch.column(k).to_pylist() for k in range(9)]
+            for h, lo, hi, n, rid, s, a, body, ctx in zip(*cols, strict=True):
+                if (h, lo, hi) != last:
+                    if cells > BATCH_CELLS:
+                        yield spans(rows)
+                        rows, cells, group = [], 0, 0
+                    last, seen, group = (h, lo, hi), None, group + 1
+                if ctx == seen:
+                    continue
+                seen = ctx
+                rows.append((n, rid, s, a, body, group))
                 cells += len(body) // CELL
         if rows:
             yield spans(rows)
@@ -305,12 +330,12 @@ def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     docs = docs.select("doc_id", "text")
-    all_ = contexts(docs)
+    all_ = scratch.save(contexts(docs))
     distinct = scratch.save(all_.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "s", "e", "a")).alias("x")).select("h", "ctx", "n", "x.*"))
     twice = distinct.filter("n > 1").select("h", "ctx")
     whole = all_.join(twice, ["h", "ctx"]).select("rid", "s", (F.col("e") + WINDOW).alias("t"))
     scratch.free()
-    whole = scratch.save(whole)
+    whole = scratch.save(whole, drop=all_)
     scratch.free()
     mixed = scratch.save(_mixed_spans(docs, distinct, scratch))
     scratch.free()

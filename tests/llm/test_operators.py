@@ -716,6 +716,7 @@ def test_removed_bytes_of_a_crowded_anchor(spark, monkeypatch):
     prose = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
     phrase, longer = prose(150), prose(260)
     rows = [(k, prose(220) + phrase + prose(220)) for k in range(16)] + [(100 + k, prose(150) + longer[: 230 + 10 * k] + prose(150)) for k in range(4)]
+    rows += [(200 + k, prose(150) + longer[9 * k : 9 * k + 205] + prose(150)) for k in range(6)] + [(200, rows[0][1]), (0, rows[0][1])]
     monkeypatch.setattr(suffixes, "BLOCK", 2)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "1")
