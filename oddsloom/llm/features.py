@@ -39,7 +39,10 @@ def word_slots(t: Texts, bits: int = WORD_BITS) -> tuple[np.ndarray, np.ndarray]
     low = Texts(t.first, LOWER[t.data], t.offsets)
     ws, we = low.runs(LETTERS[low.data])
     prefix, owner = low.prefix(), low.of(ws)
-    keys = [(low.hashes(ws, we, prefix) >> np.uint64(64 - bits)).astype(np.int64) | (owner << bits)]
+    word = low.hashes(ws, we, prefix)
+    _, once = np.unique(word ^ mix(owner.astype(np.uint64) + np.uint64(1)), return_index=True)  # each word of a text once
+    ws, we, owner = ws[once], we[once], owner[once]
+    keys = [(word[once] >> np.uint64(64 - bits)).astype(np.int64) | (owner << bits)]
     for n in HEADS:
         k = np.flatnonzero(we - ws > n)
         head = mix(low.hashes(ws[k], ws[k] + n, prefix) + np.uint64(n))

@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buckets import bucket_links, pairs_of_runs
+from .buckets import bucket_links
 from .collide import colliding
 from .components import connected_components
+from .setjoin import jaccard, prefix_pairs, rare_parts
 from .store import Scratch
 from .textops import WORD_BASE, Texts, mix, pieces, sequence_hashes, shingles
 
@@ -29,7 +30,7 @@ LEAST_WORDS = 8
 SHINGLE = 5
 REACH = 32  # words that a run grows by at most, on either side
 KEYS = 5  # bands of a paragraph at most
-FEW = 1_000_000  # row keys up to which they are broadcast, to move only the texts that are asked for
+FEW = 250_000  # row keys up to which they are broadcast, to move only the texts that are asked for
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 UNITS = "doc_id long, rid long, w int, s int, e int, n_words int, uid long"
@@ -150,68 +151,6 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return _asked(docs, wanted, "id").select("text", "asked").mapInArrow(run, "id long, grams array<long>").dropDuplicates(["id"])
 
 
-def jaccard(rows: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Exact Jaccard similarity of the ``grams`` sets of the index pairs."""
-    lists = rows.column(rows.schema.get_field_index("grams"))
-    flat, offsets = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-    size = np.diff(offsets)
-    out = np.zeros(len(i))
-    step = max(1, int(4_000_000 // max(1, size.max(initial=1))))
-    for lo in range(0, len(i), step):
-        a, b = i[lo : lo + step], j[lo : lo + step]
-        both = np.concatenate((a, b))
-        pair = np.repeat(np.tile(np.arange(len(a)), 2), size[both])
-        at = np.repeat(offsets[both] - np.concatenate(([0], np.cumsum(size[both])[:-1])), size[both]) + np.arange(size[both].sum())
-        gram = flat[at]
-        order = np.lexsort((gram, pair))
-        gram, pair = gram[order], pair[order]
-        twice = (gram[1:] == gram[:-1]) & (pair[1:] == pair[:-1])
-        common = np.bincount(pair[1:][twice], minlength=len(a))
-        out[lo : lo + step] = common / np.maximum(size[a] + size[b] - common, 1)
-    return out
-
-
-def prefix_pairs(rows: pa.RecordBatch, heads: np.ndarray, similarity: float):
-    """The pairs of a bucket that can reach ``similarity``: they share one of their rarest shingles.
-
-    Of n shingles in any fixed order, the first n - ceil(similarity n) + 1 must meet the other set's. With
-    the rarest of the bucket first, these are mostly shingles that no other row has.
-    """
-    n = rows.num_rows
-    lists = rows.column(rows.schema.get_field_index("grams"))
-    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    row = np.repeat(np.arange(n), size)
-    bucket = np.searchsorted(heads, np.arange(n), "right").astype(np.uint64)
-    _, gram, count = np.unique(mix(lists.flatten().to_numpy().view(np.uint64) ^ mix(bucket)[row]), return_inverse=True, return_counts=True)
-    often = count[gram]
-    order = np.lexsort((gram, often, row))
-    first = np.concatenate(([0], np.cumsum(size)))[:-1]
-    rank = np.arange(len(order)) - first[row]
-    prefix = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
-    keep = order[(rank < prefix[row]) & (often[order] > 1)]
-    keep = keep[np.argsort(gram[keep], kind="stable")]
-    gram, row = gram[keep], row[keep]
-    runs = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
-    for i, j in pairs_of_runs(runs, len(gram)):
-        i, j = row[i], row[j]
-        ok = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-9
-        yield i[ok], j[ok]
-
-
-def rare_parts(hot: DataFrame, similarity: float) -> DataFrame:
-    """The rows (key, id, grams) of crowded buckets with a ``sub`` for each of their rarest shingles that others have.
-
-    Two sets of that similarity share one of the first n - ceil(similarity n) + 1 shingles of each, in any
-    common order; here by their number in the bucket, so what a crowd has in common brings nobody together.
-    """
-    each = hot.select("key", "id", "grams", F.explode("grams").alias("sub"))
-    often = each.groupBy("key", "sub").count()
-    rank = F.row_number().over(Window.partitionBy("key", "id").orderBy("count", "sub"))
-    size = F.size("grams")
-    prefix = size - F.ceil(size * similarity - 1e-9) + 1
-    return each.join(often, ["key", "sub"]).withColumn("rank", rank).filter((F.col("rank") <= prefix) & (F.col("count") > 1)).select("key", "id", "grams", "sub")
-
-
 def around(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, rid, w, right, words, places) of the ``edges`` (doc_id, rid, w, right): up to REACH words from word w on, and how far each reaches.
 

@@ -36,8 +36,9 @@ FP = ("f0", "f1", "f2")
 SEGMENT_BITS, SEGMENTS = 26, 7
 APART = 26  # of 182 bits; pairs at a five-word similarity of 0.8 are some 17 apart, unrelated ones some 87
 ROWS_AT_ONCE = 1 << 16
-FEW = 1_000_000  # row keys up to which they are broadcast, to move only the texts that are asked for
-LEADERS_BYTES = 64 << 20  # of shingle sets of leading rows that are broadcast
+FEW = 250_000  # row keys up to which they are broadcast, to move only the texts that are asked for
+ROUNDS = 4
+LEADERS_BYTES = 4 << 20  # of shingle sets of leading rows that are broadcast
 
 
 def row_key() -> Column:
@@ -256,6 +257,8 @@ def gram_sets(docs: DataFrame, rids: DataFrame, size: int) -> DataFrame:
                     own = np.unique(gram[edge[k] : edge[k + 1]])
                     if not len(own) and whole[k] < whole[k + 1]:
                         own = sequence_hashes(word, whole[k : k + 1], whole[k + 1 : k + 2])
+                    if not len(own):
+                        own = np.zeros(1, np.uint64)  # no words: like any other such text
                     sets.append(own.view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(t.first, len(t)), pa.array(sets, pa.list_(pa.int64()))], ["rid", "grams"])
 
@@ -268,7 +271,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> Data
 
     Candidates are groups of close signatures. In each group the row with the least (doc_id, rid) leads,
     null ids last; the rows with an exact Jaccard similarity of ``similarity`` or more to it, over
-    ``size``-word shingles, go, and the others take a leader among themselves until none is left.
+    ``size``-word shingles, go. In further rounds, ROUNDS in all, the rows that are left are parted by the
+    minimum of their shingles' hashes, another one each time, and each part has its leader: two rows of that
+    similarity are in one part with at least that probability, so few pairs go by all rounds. Leaders that
+    are themselves removed later were like a row that stays or goes the same way.
     """
     scratch = Scratch(docs.sparkSession, "copies")
     rows = scratch.save(signatures(docs))
@@ -291,17 +297,22 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> Data
                 x, y = np.asarray(x.values), np.asarray(y.values)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(common >= similarity * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok, pa.bool_())], ["grp", "first", "grams", "same"])
-
-    schema = "grp long, first struct<last:boolean,doc_id:long,rid:long>, grams array<long>, same boolean"
-    while not is_empty(left):
-        leaders = scratch.save(left.groupBy("grp").agg(F.min("first").alias("head")))
-        lead = scratch.save(left.join(leaders, "grp").filter(F.col("first").eqNullSafe(F.col("head"))).select("grp", "head", F.col("grams").alias("lead")))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ok, pa.bool_())], ["grp", "first", "same"])
+
+    schema = "grp long, first struct<last:boolean,doc_id:long,rid:long>, same boolean"
+    for k in range(ROUNDS):
+        part = F.array_min(F.transform("grams", lambda x, k=k: F.xxhash64(x, F.lit(k)))) if k else F.lit(0).cast("long")
+        left = scratch.save(left.withColumn("part", part))
+        leaders = left.groupBy("grp", "part").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        leaders = scratch.save(leaders)
+        lead = scratch.save(left.join(leaders, ["grp", "part"]).filter(F.col("first").eqNullSafe(F.col("head"))).select("grp", "part", "head", F.col("grams").alias("lead")))
         bytes_ = lead.agg(F.coalesce(F.sum(F.size("lead")), F.lit(0)) * 8 + F.count(F.lit(1)) * 32).first()[0]
-        judged = left.join(F.broadcast(lead) if bytes_ <= LEADERS_BYTES else lead, "grp").filter(~F.col("first").eqNullSafe(F.col("head"))).select("grp", "first", "grams", "lead")
-        judged = scratch.save(judged.mapInArrow(like, schema), drop=left)
-        gone = gone.union(judged.filter("same").select("first.doc_id", "first.rid"))
-        left = scratch.save(judged.filter("NOT same").select("grp", "first", "grams"))
+        # who leads stays in the rounds to come too, where another row of its group may lead it
+        mates = left.join(F.broadcast(lead) if bytes_ <= LEADERS_BYTES else lead, ["grp", "part"]).filter(~F.col("first").eqNullSafe(F.col("head"))).select("grp", "first", "grams", "lead")
+        same = scratch.save(mates.mapInArrow(like, schema)).filter("same").select("grp", "first")
+        gone = gone.union(same.select("first.doc_id", "first.rid"))
+        out = same.select(F.col("grp").alias("grp_"), F.col("first").alias("first_"))
+        left = left.join(out, (F.col("grp") == F.col("grp_")) & F.col("first").eqNullSafe(F.col("first_")), "left_anti").select("grp", "first", "grams")
     return gone
 
 

@@ -20,7 +20,7 @@ from .features import WORD_BITS, Adam, bounded_sample, held_out, sigmoid, word_s
 from .textops import Texts, keep_rows, pieces
 
 SIZE = 1 << WORD_BITS
-COLUMNS = 4096  # of the dense training matrix, which holds a bounded number of rows
+COLUMNS = 1024  # of the dense training matrix, which holds a bounded number of rows
 LEAST_POSITIVES = 3  # in which a feature must occur
 FOLDS, LEAST_TO_SET = 4, 80  # of the positives, for the bias
 
@@ -57,7 +57,7 @@ def informative(positive: list[np.ndarray], unlabelled: list[np.ndarray], chance
     seen = np.flatnonzero((n_p >= LEAST_POSITIVES) & (n_p > 1.5 * expected))
     tail = np.array([n * np.log(e) - e - lgamma(n + 1) for n, e in zip(n_p[seen], expected[seen], strict=True)])
     chosen = seen[np.argsort(tail, kind="stable")][: min(COLUMNS, int((tail < np.log(chance)).sum()))]
-    column = np.full(SIZE, -1, np.int64)
+    column = np.full(SIZE, -1, np.int16)
     column[chosen] = np.arange(len(chosen))
     return column
 
@@ -100,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int, c
     p = _slots(own.join(toxic, "doc_id", "left_semi"))
     u = _slots(bounded_sample(own, "doc_id", unlabelled))
     if not p or not u:
-        return {"column": np.full(SIZE, -1, np.int64), "w": np.array([-20.0])}
+        return {"column": np.full(SIZE, -1, np.int16), "w": np.array([-20.0])}
     prior = min(max(share, 0.01), 0.9)
 
     def fit(some: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
