@@ -80,7 +80,11 @@ def fold_strict(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.translate(text, WIDE, NARROW)), r"[^\w㐀-鿿]+", "")
 
 
-def name_tokens(name: Column, stop: tuple[str, ...] = ("fc", "cf", "afc", "sc", "the", "club", "de")) -> Column:
+# fixed values: words that name no club
+STOP_WORDS = ("fc", "cf", "afc", "sc", "ac", "calcio", "football", "club")
+
+
+def name_tokens(name: Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     plain = F.lower(F.translate(name, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"))
     return F.array_distinct(F.filter(F.split(F.regexp_replace(plain, "[^a-z0-9]+", " "), " "), lambda t: (t != "") & ~t.isin(*stop)))
 
@@ -98,7 +102,8 @@ def stable_id(prefix: str, text: Column, length: int = 16) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(text, 256), 1, length))
 
 
-SECRET = r"(?i)(?:bearer\s+[a-z0-9._~+/=-]{8,}|(?:api[_-]?key|token|secret|password|cookie)\s*[:=]\s*[^\s,;]+)"
+# fixed values: forms of access tokens and keys, and named secrets
+SECRET = r"(?i)(?:gh[pousr]_[a-z0-9]{20,}|github_pat_[a-z0-9_]{20,}|sk-[a-z0-9_-]{20,}|-----begin [a-z ]*private key-----|bearer\s+[a-z0-9._~+/=-]{8,}|(?:api[_-]?key|token|secret|password|cookie)\s*[:=]\s*[^\s,;]+)"
 HOME_PATH = r"(?:[A-Za-z]:\\[^\s\"']+|/(?:home|Users)/[^\s\"']+)"
 
 

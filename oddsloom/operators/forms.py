@@ -23,30 +23,41 @@ def recent_form(matches: DataFrame, window: int = 10, half_life_days: float = 90
     there are none there), decayed and weighted down across seasons. Each game is adjusted by what the
     opponent gave and took in the games that are in this same history.
     """
-    t = team_view(with_time(matches))
-    events = F.array_sort(F.collect_list(F.struct("us", "match_id", "season_start", "opponent", "venue", "gf", "ga")).over(past("team")))
-    t = t.withColumn("events", events).join(league_rates(matches), "match_id")
+    t = team_view(with_time(matches)).join(league_rates(matches), "match_id")
+    game = F.struct("us", "match_id", "season_start", "opponent", "gf", "ga")
+
+    def latest(keys: list[str], name: str) -> DataFrame:
+        """Per row the last ``window`` games of its keys before it: those up to each game, taken from the last earlier one."""
+        tail = F.collect_list(game).over(Window.partitionBy(*keys).orderBy("us", "match_id").rowsBetween(1 - window, 0))
+        upto = F.max(F.struct("us", "match_id", "tail")).over(past(*keys))["tail"]
+        return t.withColumn("tail", tail).select("match_id", "venue", upto.alias(name))
+
+    t = t.join(latest(["team", "venue"], "here"), ["match_id", "venue"]).join(latest(["team"], "anywhere"), ["match_id", "venue"])
+    t = t.withColumn("fallback", F.col("here").isNull()).withColumn("source", F.coalesce("here", "anywhere"))
+    # what the team and each of those opponents gave and took before the match: running sums per pair, read off at its kickoff
+    pair = Window.partitionBy("team", "opponent").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    facts = team_view(with_time(matches)).select("team", "opponent", "us", F.lit(None).cast("long").alias("match_id"), F.lit(None).cast("string").alias("venue"), "gf", "ga", F.lit(1).alias("one"))
+    asks = t.select("team", F.explode("source.opponent").alias("opponent"), "us", "match_id", "venue").distinct()
+    asks = asks.select(*asks.columns[:2], "us", "match_id", "venue", *(F.lit(None).cast("int").alias(c) for c in ("gf", "ga", "one")))
+    sums = facts.unionByName(asks.select(*facts.columns)).select("match_id", "venue", "opponent", *(F.coalesce(F.sum(c).over(pair), F.lit(0)).cast("double").alias(n) for c, n in (("one", "n"), ("gf", "f"), ("ga", "a"))))
+    met = sums.filter("match_id IS NOT NULL").groupBy("match_id", "venue").agg(F.map_from_entries(F.collect_list(F.struct("opponent", F.struct("n", "f", "a")))).alias("met"))
+    t = t.join(met, ["match_id", "venue"], "left")
     home = F.col("venue") == "home"
-    base_attack, base_defence = F.when(home, F.col("lh")).otherwise(F.col("la")), F.when(home, F.col("la")).otherwise(F.col("lh"))
-    here = F.filter("events", lambda e: e["venue"] == F.col("venue"))
-    t = t.withColumn("here", here).withColumn("fallback", F.size("here") == 0)
-    source = F.when(F.col("fallback"), F.col("events")).otherwise(F.col("here"))
-    t = t.withColumn("source", F.slice(F.reverse(source), 1, window)).withColumns({"ba": base_attack, "bd": base_defence})
+    t = t.withColumns({"ba": F.when(home, F.col("lh")).otherwise(F.col("la")), "bd": F.when(home, F.col("la")).otherwise(F.col("lh"))})
     low = lambda x: F.greatest(F.lit(0.2), x)
 
     def score(e: Column) -> Column:
-        met = F.filter("events", lambda x: x["opponent"] == e["opponent"])
-        total = lambda f: F.aggregate(met, F.lit(0.0), lambda a, x: a + x[f])
-        gave = (total("gf") + shrinkage * F.col("la")) / (F.size(met) + shrinkage)
-        took = (total("ga") + shrinkage * F.col("lh")) / (F.size(met) + shrinkage)
+        m = F.try_element_at("met", e["opponent"])
+        gave = (m["f"] + shrinkage * F.col("la")) / (m["n"] + shrinkage)
+        took = (m["a"] + shrinkage * F.col("lh")) / (m["n"] + shrinkage)
         age = F.greatest(F.lit(0.0), (F.col("us") - e["us"]) / DAY_US)
         w = F.pow(F.lit(0.5), age / half_life_days) * F.when(e["season_start"] == F.col("season_start"), 1.0).otherwise(cross_season)
         return F.struct((w * e["gf"] / low(gave / low(F.col("la")))).alias("a"), (w * e["ga"] / low(took / low(F.col("lh")))).alias("d"), w.alias("w"))
 
     t = t.withColumn("scores", F.transform("source", score))
-    part = lambda f: F.aggregate("scores", F.lit(0.0), lambda a, x: a + x[f])
+    part = lambda f: F.coalesce(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x[f]), F.lit(0.0))
     n = part("w")
-    log = lambda f, b: F.when(F.size("source") == 0, 0.0).otherwise(F.log(low((part(f) + shrinkage * F.col(b)) / (n + shrinkage) / F.col(b))))
+    log = lambda f, b: F.when(F.col("source").isNull(), 0.0).otherwise(F.log(low((part(f) + shrinkage * F.col(b)) / (n + shrinkage) / F.col(b))))
     return t.select("match_id", "venue", "team", log("a", "ba").alias("attack"), log("d", "bd").alias("defence"), n.alias("effective_games"), "fallback")
 
 

@@ -32,11 +32,75 @@ def s05_order_book_flatten(spark, d):
     return out.select("record_id", "market_id", "outcome", F.round("price", 6).alias("price"))
 
 
-@PLANS.add("""WITH f AS (SELECT match_id, seq, source_row, p_home AS best_back, CASE WHEN source_row % 5 > 0 THEN p_away END AS best_lay, 100 * p_home / (p_home + p_away) AS wom FROM quotes WHERE market = '1x2'), s AS (
-    SELECT 'R61_SPREAD_WIDE' AS rule, CASE WHEN best_lay IS NULL THEN 'MISSING' WHEN best_lay - best_back > 2 THEN 'TRIGGERED' ELSE 'NOT_TRIGGERED' END AS state FROM f UNION ALL SELECT 'R62_WOM_BACK', CASE WHEN wom > 70 THEN 'TRIGGERED' ELSE 'NOT_TRIGGERED' END FROM f
-    UNION ALL SELECT 'R63_CROSSED', CASE WHEN best_lay IS NULL THEN 'MISSING' WHEN best_lay < best_back THEN 'TRIGGERED' ELSE 'NOT_TRIGGERED' END FROM f UNION ALL SELECT 'R96_THRESHOLD_OPEN', 'UNRESOLVED' FROM f) SELECT rule, state, count(*) AS n FROM s GROUP BY ALL""")
+def _flag(condition: str, missing: str = "false", conflict: str = "false", known: bool = True) -> str:
+    verdict = f"CASE WHEN {conflict} THEN 'CONFLICT' WHEN {condition} THEN 'TRIGGERED' ELSE 'NOT_TRIGGERED' END" if known else "'UNRESOLVED'"
+    return f"CASE WHEN {missing} THEN 'MISSING' ELSE {verdict} END"
+
+
+_FLAGS = {
+    "R36": _flag("r % 4 - 1 >= 2", "r % 4 = 0"),
+    "R37": _flag("r % 2 = 0 AND r % 3 = 0", "r % 5 = 0"),
+    "R38": _flag("r % 2 = 0 AND r % 3 <> 0", "r % 7 = 0"),
+    "R39": _flag("a > h AND d < a", "r % 5 = 0"),
+    "R58": _flag("h * 20 > 80 AND r % 2 = 0", "r % 6 = 0"),
+    "R59": _flag("", "r % 10 = 0", known=False),
+    "R60": _flag("", "r % 3 = 0", known=False),
+    "R61": _flag("", "r % 3 = 0", known=False),
+    "R62": _flag("1 / h > 0.6e0 AND h <= least(h, d, a) + 1e-12", "r % 7 = 0"),
+    "R63": _flag("a - h < 0.1e0 AND 100 * h / (h + a) BETWEEN 40 AND 60", "r % 5 = 0", "a < h"),
+    "R64": _flag("", "r % 4 = 0", known=False),
+    "R65": _flag("", "r % 6 = 0", known=False),
+    "R66": _flag("abs((a - 3) / (r % 3 * 0.5e0)) >= 2", "r % 3 = 0"),
+    "R67": _flag("", "r % 2 = 1", known=False),
+    "R74": _flag("abs((d - 3) / 0.2e0) >= 1.5e0"),
+    "R75": _flag("", "r % 8 = 0", known=False),
+    "R76": _flag("r % 4 - 1 > 1", "r % 4 = 0"),
+    "R77": _flag("(r % 2 = 0) <> (r % 3 = 0)", "r % 9 = 0"),
+    "R96": _flag("", known=False),
+    "R99": _flag("", known=False),
+}
+_FEATURES = [
+    "h AS best_back",
+    "IF(r % 5 > 0, a, NULL) AS best_lay",
+    "100 * h / (h + a) AS wom_pct",
+    "h AS home_profit_loss_ratio",
+    "d AS draw_profit_loss_ratio",
+    "IF(r % 3 > 0, a, double('nan')) AS away_profit_loss_ratio",
+    "IF(r % 7 > 0, 1 / h, NULL) AS selection_probability",
+    "h AS kelly_index",
+    "array(h, d, a) AS all_selection_kelly_indices",
+    "IF(r % 4 > 0, 40e0, NULL) AS deep_order_share_pct",
+    "h * 100 AS back_depth",
+    "IF(r % 6 > 0, a * 100, NULL) AS lay_depth",
+    "a AS ou_profitability",
+    "3e0 AS ou_profitability_baseline_mean",
+    "r % 3 * 0.5e0 AS ou_profitability_baseline_sd",
+    "IF(r % 2 = 0, array(h), NULL) AS back_ladder",
+    "array(a) AS back_volume_timeseries",
+    "d AS kelly_dispersion",
+    "3e0 AS kelly_dispersion_baseline_mean",
+    "0.2e0 AS kelly_dispersion_baseline_sd",
+    "IF(r % 8 > 0, h, NULL) AS kelly_heat_index",
+    "CAST(r % 4 - 1 AS INT) AS spread_ticks",
+    "CAST(r % 4 - 1 AS INT) AS contradictory_dimensions",
+    "IF(r % 9 > 0, IF(r % 2 = 0, 'back', 'lay'), NULL) AS matched_trade_side_direction",
+    "IF(r % 3 = 0, 'back', 'lay') AS price_direction",
+    "r % 2 = 0 AS favorite_signal_stack_complete",
+    "IF(r % 5 > 0, r % 3 = 0, NULL) AS performance_like_flag",
+    "r % 2 = 0 AS main_direction_support",
+    "IF(r % 7 > 0, r % 3 = 0, NULL) AS opposite_direction_support",
+    "array(h, a) AS traded_volume_timeseries",
+    "IF(r % 5 > 0, array(a, d), array(d)) AS price_timeseries",
+    "h * 20 AS betfair_concentration_pct",
+    "IF(r % 6 > 0, r % 2 = 0, NULL) AS asian_handicap_not_adjusted",
+    "IF(r % 10 > 0, 'top', NULL) AS competition_level",
+    "'league' AS match_type",
+    "IF(r % 3 > 0, true, NULL) AS cross_bookmaker_conflict",
+]
+
+
+@PLANS.add("WITH f AS (SELECT match_id, source_row AS r, p_home AS h, p_draw AS d, p_away AS a FROM quotes WHERE market = '1x2'), s AS (" + " UNION ALL ".join(f"SELECT match_id % 10 AS part, '{k}' AS rule, {v} AS state FROM f" for k, v in _FLAGS.items()) + ") SELECT part, rule, state, count(*) AS n FROM s GROUP BY ALL")
 def q13_shadow_rules(spark, d):
-    f = quotes(spark, d).filter("market = '1x2'").selectExpr("match_id", "seq", "source_row", "p_home AS best_back", "IF(source_row % 5 > 0, p_away, NULL) AS best_lay", "100 * p_home / (p_home + p_away) AS wom")
-    back, lay = F.col("best_back"), F.col("best_lay")
-    rules = {"R61_SPREAD_WIDE": (lay - back > 2, ["best_back", "best_lay"]), "R62_WOM_BACK": (F.col("wom") > 70, ["wom"]), "R63_CROSSED": (lay < back, ["best_back", "best_lay"]), "R96_THRESHOLD_OPEN": (None, ["wom"])}
-    return ops.rule_flags(f, ["match_id", "seq", "source_row"], rules).groupBy("rule", "state").agg(F.count(F.lit(1)).alias("n"))
+    f = quotes(spark, d).filter("market = '1x2'").selectExpr("match_id", "source_row AS r", "p_home AS h", "p_draw AS d", "p_away AS a").selectExpr("match_id", "r", *_FEATURES)
+    flags = ops.rule_flags(f, ["match_id", "r"], ops.SHADOW_RULES)
+    return flags.groupBy((F.col("match_id") % 10).alias("part"), "rule", "state").agg(F.count(F.lit(1)).alias("n"))

@@ -13,12 +13,12 @@ from .registry import Plans
 PLANS = Plans()
 
 
-@PLANS.add("""SELECT conv_id, 'Turns' AS "table", CAST(turn + 2 AS INT) AS line_no, CAST(length(role) AS BIGINT) AS role_chars FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS turn FROM conversations)""")
+@PLANS.add("""SELECT conv_id, 'Turns' AS "table", CAST(turn + 2 AS INT) AS line_no, CAST(length(role) AS BIGINT) AS role_chars, CAST(length(text) AS BIGINT) AS text_chars FROM (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS turn FROM conversations)""")
 def s02_packet_archive(spark, d):
     c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    text = F.concat(F.lit("### Turns 3 rows\n```jsonl\n"), F.array_join(F.transform("t", lambda x: F.to_json(F.struct(x["role"].alias("role")))), "\n"), F.lit("\n```\nend"))
+    text = F.concat(F.lit("### Turns 3 rows\n```jsonl\n"), F.array_join(F.transform("t", lambda x: F.to_json(F.struct(x["role"].alias("role"), x["text"].alias("text")))), "\n"), F.lit("\n```\nend"))
     rows = packets.packet_rows(c.select("conv_id", text.alias("text")), "conv_id", "text")
-    return rows.select("conv_id", "table", "line_no", F.length(F.get_json_object("record", "$.role")).cast("long").alias("role_chars"))
+    return rows.select("conv_id", "table", "line_no", F.length(F.get_json_object("record", "$.role")).cast("long").alias("role_chars"), F.length(F.get_json_object("record", "$.text")).cast("long").alias("text_chars"))
 
 
 @PLANS.add("SELECT page_id, unnest(range(len(x))) AS \"row\", CAST(length(unnest(x)) AS BIGINT) AS item_chars FROM (SELECT page_id, regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1) AS x FROM pages)")
@@ -70,6 +70,8 @@ def shared_folder(spark) -> str:
     if not found:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         found = tempfile.mkdtemp(prefix="oddsloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -108,10 +110,11 @@ def r01_latest_per_key(spark, d):
     return latest_per_key(_feed(spark, d), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
-@PLANS.add("SELECT event_type, count(*) AS late FROM (SELECT event_type, ts, max(ts) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events) WHERE ts < seen - INTERVAL 1 HOUR GROUP BY 1")
+@PLANS.add("SELECT event_type, count(*) AS late FROM (SELECT event_type, ts, max(ts) OVER (PARTITION BY event_type, user_id ORDER BY event_id * 7919 % 10007, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events) WHERE ts < seen - INTERVAL 1 HOUR GROUP BY 1")
 def r02_late_rows(spark, d):
+    """Rows over an hour older than what their key has shown before, in an order of arrival unlike that of their times."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("event_type", "user_id").orderBy(F.col("event_id") * 7919 % 10007, "event_id").rowsBetween(Window.unboundedPreceding, -1)
     e = _feed(spark, d).withColumn("seen", F.max("ts").over(w))
     return e.filter(F.col("ts") < F.col("seen") - F.expr("INTERVAL 1 HOUR")).groupBy("event_type").agg(F.count(F.lit(1)).alias("late"))

@@ -28,15 +28,31 @@ def q03_cell_kinds(spark, d):
     return profile(table(spark, d, "customer"), "customer")
 
 
-@PLANS.add("""SELECT * FROM (VALUES ('c_phone', 'MISSING_COLUMN', 'FAIL'), ('c_mktsegment', 'UNKNOWN_COLUMN', 'INFO'), ('c_name', 'TYPE_DRIFT', 'WARN')) t(col, code, severity)""")
+_WANT = [("c_custkey", "integer", None), ("c_name", "number", None), ("c_segment", "string", "c_mktsegment"), ("c_acctbal", "number", None), ("c_phone", "string", None)]
+
+
+@PLANS.add("""WITH want AS (SELECT * FROM (VALUES ('c_custkey', 'integer', NULL), ('c_name', 'number', NULL), ('c_segment', 'string', 'c_mktsegment'), ('c_acctbal', 'number', NULL), ('c_phone', 'string', NULL)) t(col, want, renamed)), has AS (SELECT column_name AS col FROM duckdb_columns() WHERE table_name = 'customer'),
+    cells AS (SELECT 'c_name' AS col, c_name AS cell FROM customer UNION ALL SELECT 'c_custkey', CAST(c_custkey AS VARCHAR) FROM customer UNION ALL SELECT 'c_acctbal', CAST(c_acctbal AS VARCHAR) FROM customer),
+    kinds AS (SELECT col, avg(CASE WHEN want = 'integer' THEN regexp_full_match(cell, '-?\\d+')::INT ELSE (TRY_CAST(cell AS DOUBLE) IS NOT NULL)::INT END) AS fits FROM cells JOIN want USING (col) GROUP BY col)
+    SELECT w.col, CASE WHEN w.renamed IN (SELECT col FROM has) THEN 'RENAMED_COLUMN' ELSE 'MISSING_COLUMN' END AS code, CASE WHEN w.renamed IN (SELECT col FROM has) THEN 'WARN' ELSE 'FAIL' END AS severity FROM want w WHERE w.col NOT IN (SELECT col FROM has)
+    UNION ALL SELECT col, 'UNKNOWN_COLUMN', 'INFO' FROM has WHERE col NOT IN (SELECT col FROM want) AND col NOT IN (SELECT renamed FROM want WHERE renamed IS NOT NULL) UNION ALL SELECT col, 'TYPE_DRIFT', 'WARN' FROM kinds WHERE fits < 0.8e0
+    UNION ALL SELECT 'c_nationkey', 'DUPLICATE_KEY', 'FAIL' FROM customer HAVING count(DISTINCT c_nationkey) < count(c_nationkey) UNION ALL SELECT 'c_custkey', 'DUPLICATE_KEY', 'FAIL' FROM customer HAVING count(DISTINCT c_custkey) < count(c_custkey) UNION ALL SELECT 'c_custkey', 'ALL_NULL_KEY', 'FAIL' FROM customer HAVING count(c_custkey) = 0""")
 def q01_u02_schema_drift(spark, d):
+    """Columns that are missing, renamed, unknown or of another type, and keys that are null throughout or repeat."""
     df = table(spark, d, "customer")
-    expected = spark.range(1).selectExpr("inline(array(struct('c_custkey' AS col, 'integer' AS want), struct('c_name' AS col, 'number' AS want), struct('c_nationkey' AS col, 'integer' AS want), struct('c_acctbal' AS col, 'number' AS want), struct('c_phone' AS col, 'string' AS want)))")
+    expected = spark.createDataFrame(_WANT, "col string, want string, renamed string")
     seen = profile(df, "customer").groupBy(F.col("column").alias("col")).agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("kinds"))
-    both = expected.join(seen, "col", "full_outer")
+    names = [c.name for c in df.schema]
+    both = expected.join(seen, "col", "full_outer").join(expected.filter("renamed IS NOT NULL").select(F.col("renamed").alias("col"), F.lit(True).alias("known")), "col", "left")
     n = F.coalesce(F.try_element_at("kinds", F.col("want")), F.lit(0)) + F.when(F.col("want") == "number", F.coalesce(F.try_element_at("kinds", F.lit("integer")), F.lit(0))).otherwise(0)
-    code = F.when(F.col("all").isNull(), "MISSING_COLUMN").when(F.col("want").isNull(), "UNKNOWN_COLUMN").when(n < 0.8 * F.col("all"), "TYPE_DRIFT")
-    return both.select("col", code.alias("code"), F.when(code == "MISSING_COLUMN", "FAIL").when(code == "TYPE_DRIFT", "WARN").otherwise("INFO").alias("severity")).filter("code IS NOT NULL")
+    missing = F.when(F.col("renamed").isin(names), "RENAMED_COLUMN").otherwise("MISSING_COLUMN")
+    code = F.when(F.col("all").isNull(), missing).when(F.col("want").isNull() & F.col("known").isNull(), "UNKNOWN_COLUMN").when(F.col("want").isNotNull() & (n < 0.8 * F.col("all")), "TYPE_DRIFT")
+    columns = both.select("col", code.alias("code"))
+    keys = df.select(F.expr("stack(2, 'c_custkey', CAST(c_custkey AS STRING), 'c_nationkey', CAST(c_nationkey AS STRING)) AS (col, key)")).groupBy("col", "key").count()
+    of = keys.groupBy("col").agg(F.max(F.when(F.col("key").isNotNull(), F.col("count"))).alias("most"))
+    broken = of.select("col", F.when(F.col("most").isNull(), "ALL_NULL_KEY").when(F.col("most") > 1, "DUPLICATE_KEY").alias("code"))
+    severity = F.when(F.col("code").isin("MISSING_COLUMN", "ALL_NULL_KEY", "DUPLICATE_KEY"), "FAIL").when(F.col("code") == "UNKNOWN_COLUMN", "INFO").otherwise("WARN")
+    return columns.unionByName(broken).filter("code IS NOT NULL").withColumn("severity", severity)
 
 
 @PLANS.add("SELECT n_nationkey AS id, 'PROTECTED_IDENTITY_CHANGED' AS code FROM nation WHERE n_nationkey < 10 AND n_nationkey % 4 = 1 UNION ALL SELECT 99, 'PROTECTED_IDENTITY_MISSING'")
@@ -115,17 +131,22 @@ def q10_required_flags(spark, d):
     return m.select("match_id", F.concat_ws(",", missing).alias("missing"), F.when(F.size(missing) > 0, "BLOCKED").otherwise("PASS").alias("status"))
 
 
-@PLANS.add("SELECT 0 AS bad_sums, 0 AS foreign_quotes")
+@PLANS.add("""WITH s AS (SELECT *, 1/p_home + 1/p_draw + 1/p_away AS t, lag(ts) OVER (PARTITION BY match_id, book_id, market ORDER BY seq, source_row, ts) AS was FROM quotes) SELECT count(*) AS quotes, count(*) FILTER (WHERE abs((1/p_home)/t + (1/p_draw)/t + (1/p_away)/t - 1) > 1e-12) AS bad_sums,
+    count(*) FILTER (WHERE ts < was) AS unsorted, (SELECT count(*) FROM quotes ANTI JOIN (SELECT match_id FROM matches WHERE match_id % 5 > 0) USING (match_id)) AS foreign_quotes FROM s""")
 def q11_packet_invariants(spark, d):
+    """Probabilities that do not sum to 1, steps back in a book's timeline, and quotes of matches outside the packet's selection."""
     q = quotes(spark, d)
     s = odds.total(odds.devig_multiplicative(F.array("p_home", "p_draw", "p_away")))
-    foreign = q.join(matches(spark, d), "match_id", "left_anti").agg(F.count(F.lit(1)).alias("foreign_quotes"))
-    return q.agg(F.count_if(F.abs(s - 1) > 1e-12).alias("bad_sums")).crossJoin(foreign)
+    was = F.lag("ts").over(Window.partitionBy("match_id", "book_id", "market").orderBy("seq", "source_row", "ts"))
+    foreign = q.join(matches(spark, d).filter("match_id % 5 > 0"), "match_id", "left_anti").agg(F.count(F.lit(1)).alias("foreign_quotes"))
+    return q.withColumn("was", was).agg(F.count(F.lit(1)).alias("quotes"), F.count_if(F.abs(s - 1) > 1e-12).alias("bad_sums"), F.count_if(F.col("ts") < F.col("was")).alias("unsorted")).crossJoin(foreign)
 
 
-@PLANS.add("SELECT count(*) AS orphan_ids FROM (SELECT match_id FROM quotes EXCEPT SELECT match_id FROM matches)")
+@PLANS.add("WITH a AS (SELECT DISTINCT match_id FROM quotes), b AS (SELECT match_id FROM matches) SELECT (SELECT count(*) FROM a WHERE match_id NOT IN (SELECT match_id FROM b)) AS orphan_ids, (SELECT count(*) FROM b WHERE match_id NOT IN (SELECT match_id FROM a)) AS missing_ids, (SELECT count(*) FROM a) = (SELECT count(*) FROM b) AS counts_equal")
 def u03_packet_ids(spark, d):
-    return quotes(spark, d).select("match_id").distinct().exceptAll(matches(spark, d).select("match_id")).agg(F.count(F.lit(1)).alias("orphan_ids"))
+    a = quotes(spark, d).select("match_id").distinct().withColumn("a", F.lit(1))
+    both = a.join(matches(spark, d).select("match_id").withColumn("b", F.lit(1)), "match_id", "full_outer")
+    return both.agg(F.count_if(F.col("b").isNull()).alias("orphan_ids"), F.count_if(F.col("a").isNull()).alias("missing_ids"), (F.count("a") == F.count("b")).alias("counts_equal"))
 
 
 @PLANS.add("SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS n, (SELECT count(*) = count(DISTINCT o_orderkey) FROM orders) AS declared_ok UNION ALL SELECT 'nation', (SELECT count(*) FROM nation), (SELECT count(*) = count(DISTINCT n_nationkey) FROM nation)")
@@ -145,10 +166,15 @@ def k05_record_export(spark, d):
     return n.select("n_nationkey", F.to_json(F.struct(*sorted(n.columns))).alias("record_json"))
 
 
+def content_hash(rows):
+    """One row, content_hash: of a table's rows in any order, by sums of the words of their sha256, which combine before the shuffle."""
+    h = F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)
+    words = rows.select(*(F.conv(F.substring(h, 1 + 8 * k, 8), 16, 10).cast("long").alias(f"w{k}") for k in range(8)))
+    sums = words.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(F.col(f"w{k}").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias(f"w{k}") for k in range(8)))
+    return sums.select(F.sha2(F.concat_ws("|", "n", *(f"w{k}" for k in range(8))), 256).alias("content_hash"))
+
+
 @PLANS.add()
 def k06_content_hash(spark, d):
     """An order-free hash of a table's content."""
-    n = table(spark, d, "orders")
-    rows = n.select(F.substring(F.sha2(F.to_json(F.struct(*sorted(n.columns))), 256), 1, 2).alias("head"), F.sha2(F.to_json(F.struct(*sorted(n.columns))), 256).alias("h"))
-    parts = rows.groupBy("head").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("head", "h"))), ""), 256).alias("content_hash"))
+    return content_hash(table(spark, d, "orders"))

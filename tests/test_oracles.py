@@ -1,4 +1,4 @@
-"""Every registered query with a DuckDB equivalent gives the same rows at sf0.001; the others give rows."""
+"""Every registered query with a DuckDB equivalent gives the same rows at sf0.001; the others are tested in test_models.py."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def test_query(spark, con, name):
     if name in ORACLES:
         assert compare(df, con, ORACLES[name]) == ""
     else:
-        assert df.count() >= 0 and df.columns
+        assert df.count() > 0 and df.columns
 
 
 def test_every_oracle_has_a_query():
