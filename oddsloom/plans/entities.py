@@ -13,17 +13,11 @@ from .registry import Plans
 PLANS = Plans()
 
 
-@PLANS.add("""WITH r AS (SELECT o_custkey AS request_id, home_team AS h, away_team AS a, kickoff AS k FROM (SELECT o_custkey, any_value(o_orderkey) FROM orders GROUP BY 1) c(o_custkey, x) JOIN matches m ON m.match_id = (SELECT min(o_orderkey) FROM orders o WHERE o.o_custkey = c.o_custkey) WHERE o_custkey % 5 = 0),
+@PLANS.add("""WITH r AS (SELECT o_custkey AS request_id, home_team AS h, away_team AS a, kickoff AS k FROM (SELECT o_custkey, any_value(o_orderkey) FROM orders GROUP BY 1) c(o_custkey, x) JOIN matches m ON m.match_id = (SELECT min(o_orderkey) FROM orders o WHERE o.o_custkey = c.o_custkey)),
     c AS (SELECT request_id, match_id, 1 AS rank FROM r JOIN matches m ON m.home_team = h AND m.away_team = a AND m.kickoff = k UNION ALL SELECT request_id, match_id, 2 FROM r JOIN matches m ON m.home_team = h AND m.kickoff = k WHERE request_id % 10 = 0),
     b AS (SELECT *, min(rank) OVER (PARTITION BY request_id) AS best FROM c WHERE NOT (rank = 1 AND request_id % 10 = 0))
     SELECT request_id, CASE WHEN count(DISTINCT match_id) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN count(DISTINCT match_id) = 1 THEN min(match_id) END AS match_id, count(DISTINCT match_id) AS candidates, min(rank) AS rank FROM b WHERE rank = best GROUP BY request_id""")
 def j06_fixture_resolution(spark, d):
-    return _resolved(matches(spark, d), table(spark, d, "orders").filter("o_custkey % 5 = 0"))
-
-
-@PLANS.add()
-def j06_fixture_resolution_whole(spark, d):
-    """j06 over all customers."""
     return _resolved(matches(spark, d), table(spark, d, "orders"))
 
 
@@ -35,20 +29,20 @@ def _resolved(m, orders):
     return ops.resolve(r, [(1, exact), (2, single)], "request_id", "match_id")
 
 
-@PLANS.add("""WITH p AS (SELECT user_id, event_type, ts, event_id FROM events WHERE event_id % 7 = 0), q AS (SELECT user_id, event_type, ts AS t2, event_id AS e2 FROM events WHERE event_id % 7 = 1),
-    j AS (SELECT event_id, e2, abs(epoch_us(ts) - epoch_us(t2)) / 6e7 AS g FROM p JOIN q USING (user_id, event_type) WHERE CAST(ts AS DATE) = CAST(t2 AS DATE))
+@PLANS.add("""WITH p AS (SELECT user_id, event_type, ts, event_id FROM events), q AS (SELECT user_id, event_type, ts AS t2, event_id AS e2 FROM events),
+    j AS (SELECT event_id, e2, abs(epoch_us(ts) - epoch_us(t2)) / 6e7 AS g FROM p JOIN q USING (user_id, event_type) WHERE CAST(ts AS DATE) = CAST(t2 AS DATE) AND event_id < e2)
     SELECT event_id, e2, CASE WHEN g <= 30 THEN 0.95e0 ELSE 0.85e0 END AS confidence FROM j WHERE g <= 30 OR abs(g - 60) <= 5 OR abs(g - 480) <= 5""")
 def j07_pool_matcher(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type", F.to_date("ts").alias("day"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id")
-    q = e.filter("event_id % 7 = 1").withColumnsRenamed({"us": "us2", "event_id": "e2"})
-    j = e.filter("event_id % 7 = 0").join(q, ["user_id", "event_type", "day"])
+    q = e.withColumnsRenamed({"us": "us2", "event_id": "e2"})
+    j = e.join(q, ["user_id", "event_type", "day"]).filter("event_id < e2")
     return j.select("event_id", "e2", ops.time_confidence((F.col("us") - F.col("us2")) / 6e7).alias("confidence")).filter("confidence IS NOT NULL")
 
 
-@PLANS.add("""WITH c AS (SELECT c_custkey, c_nationkey, lower(c_name) AS n FROM customer WHERE c_custkey % 10 = 0), r AS (SELECT a.c_custkey AS a, b.c_custkey AS b, 1 - levenshtein(a.n, b.n) / CAST(greatest(length(a.n), length(b.n)) AS DOUBLE) AS s FROM c a JOIN c b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey)
+@PLANS.add("""WITH c AS (SELECT c_custkey, c_nationkey, lower(c_name) AS n FROM customer), r AS (SELECT a.c_custkey AS a, b.c_custkey AS b, 1 - levenshtein(a.n, b.n) / CAST(greatest(length(a.n), length(b.n)) AS DOUBLE) AS s FROM c a JOIN c b ON a.c_nationkey = b.c_nationkey AND a.c_custkey <> b.c_custkey)
     SELECT a, b, round(s, 6) AS ratio, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 6) DESC, b) AS rn FROM r WHERE round(s, 6) >= 0.88) WHERE rn <= 5""")
 def j08_fuzzy_suggestions(spark, d):
-    c = table(spark, d, "customer").filter("c_custkey % 10 = 0").select("c_custkey", "c_nationkey", F.lower("c_name").alias("n"))
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.lower("c_name").alias("n"))
     b = c.select(F.col("c_custkey").alias("b"), "c_nationkey", F.col("n").alias("m"))
     ratio = F.round(1 - F.levenshtein("n", "m") / F.greatest(F.length("n"), F.length("m")), 6)
     pairs = c.join(b, "c_nationkey").filter("c_custkey <> b").select(F.col("c_custkey").alias("a"), "b", ratio.alias("ratio")).filter("ratio >= 0.88")

@@ -14,27 +14,11 @@ PLANS = Plans()
 DAY = "DATE '2024-01-10'"
 
 
-def _two_days(spark, d):
-    p = pool(spark, d)
-    days = p.select("snapshot_date").distinct().withColumn("k", F.row_number().over(Window.orderBy("snapshot_date"))).filter("k IN (5, 6)")
-    p = p.join(F.broadcast(days), "snapshot_date")
-    return p.filter("k = 5").drop("k", "snapshot_date"), p.filter("k = 6").drop("k", "snapshot_date")
-
-
-_TWO = "d AS (SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date) AS k FROM (SELECT DISTINCT snapshot_date FROM pool)), o AS (SELECT p.* FROM pool p JOIN d USING (snapshot_date) WHERE k = 5), n AS (SELECT p.* FROM pool p JOIN d USING (snapshot_date) WHERE k = 6)"
-
-
-@PLANS.add(f"""WITH {_TWO} SELECT match_id, market, CASE WHEN o.label IS NULL THEN 'added' WHEN n.label IS NULL THEN 'deleted' ELSE 'changed' END AS change,
-    CASE WHEN o.label IS NULL OR n.label IS NULL THEN '' WHEN o.label <> n.label AND o.visible <> n.visible THEN 'label,visible' WHEN o.label <> n.label THEN 'label' ELSE 'visible' END AS fields
-    FROM o FULL JOIN n USING (match_id, market) WHERE o.label IS DISTINCT FROM n.label OR o.visible IS DISTINCT FROM n.visible""")
+@PLANS.add("""WITH d AS (SELECT snapshot_date, lead(snapshot_date) OVER (ORDER BY snapshot_date) AS following FROM (SELECT DISTINCT snapshot_date FROM pool)), o AS (SELECT following AS snapshot_date, match_id, market, label, visible FROM pool JOIN d USING (snapshot_date) WHERE following IS NOT NULL), n AS (SELECT * FROM pool WHERE snapshot_date IN (SELECT following FROM d))
+    SELECT snapshot_date, match_id, market, CASE WHEN o.label IS NULL THEN 'added' WHEN n.label IS NULL THEN 'deleted' ELSE 'changed' END AS change, CASE WHEN o.label IS NULL OR n.label IS NULL THEN '' WHEN o.label <> n.label AND o.visible <> n.visible THEN 'label,visible' WHEN o.label <> n.label THEN 'label' ELSE 'visible' END AS fields
+    FROM o FULL JOIN n USING (snapshot_date, match_id, market) WHERE o.label IS DISTINCT FROM n.label OR o.visible IS DISTINCT FROM n.visible""")
 def u01_snapshot_diff(spark, d):
-    old, new = _two_days(spark, d)
-    return ops.diff(old, new, ["match_id", "market"], ["label", "visible"]).select("match_id", "market", "change", F.concat_ws(",", "fields").alias("fields"))
-
-
-@PLANS.add()
-def u01_snapshot_diff_whole(spark, d):
-    """u01 for every snapshot day against the one before."""
+    """Every snapshot day against the one before."""
     p = pool(spark, d)
     days = p.select("snapshot_date").distinct()
     next_ = F.broadcast(days.withColumn("next", F.lead("snapshot_date").over(Window.orderBy("snapshot_date"))).filter("next IS NOT NULL"))
@@ -163,14 +147,8 @@ def j24_combined_signal(spark, d):
     return j.join(b, "match_id", "full_outer").select("match_id", "jc_label", "bd_label", ops.reference_signal(jl, bl).alias("signal"), F.coalesce((jl == 1) & (bl == 0), F.lit(False)).alias("counterevidence"), F.coalesce((bl == 1) & ~jl.eqNullSafe(F.lit(1)), F.lit(False)).alias("risk_hint"))
 
 
-@PLANS.add("SELECT m.competition, CASE l.l_returnflag WHEN 'A' THEN '1x2' WHEN 'N' THEN 'ah' ELSE 'ou' END AS market, count(*) AS attached FROM matches m JOIN lineitem l ON l.l_orderkey = m.match_id WHERE m.match_id % 3 = 0 GROUP BY ALL")
+@PLANS.add("SELECT m.competition, CASE l.l_returnflag WHEN 'A' THEN '1x2' WHEN 'N' THEN 'ah' ELSE 'ou' END AS market, count(*) AS attached FROM matches m JOIN lineitem l ON l.l_orderkey = m.match_id GROUP BY ALL")
 def j25_timeline_ingestion(spark, d):
-    return _attached(spark, d, matches(spark, d).filter("match_id % 3 = 0"))
-
-
-@PLANS.add()
-def j25_timeline_ingestion_whole(spark, d):
-    """j25 over all matches."""
     return _attached(spark, d, matches(spark, d))
 
 
@@ -202,11 +180,11 @@ def k07_insert_or_ignore(spark, d):
     return kept.join(e.groupBy(F.col("event_type").alias("market")).agg(F.count(F.lit(1)).alias("n")), "market").select("market", "inserted", (F.col("n") - F.col("inserted")).alias("ignored"))
 
 
-@PLANS.add(f"WITH {_TWO} SELECT match_id, market, coalesce(n.label, o.label) AS label, coalesce(o.visible, n.visible) AS first_visible FROM o FULL JOIN n USING (match_id, market)")
+@PLANS.add("SELECT match_id, market, arg_max(label, snapshot_date) FILTER (WHERE label IS NOT NULL) AS label, arg_min(visible, snapshot_date) FILTER (WHERE visible IS NOT NULL) AS first_visible FROM pool GROUP BY ALL")
 def k08_evaluation_upsert(spark, d):
-    old, new = _two_days(spark, d)
-    o = old.withColumnsRenamed({"label": "ol", "visible": "ov"})
-    return o.join(new, ["match_id", "market"], "full_outer").select("match_id", "market", F.coalesce("label", "ol").alias("label"), F.coalesce("ov", "visible").alias("first_visible"))
+    """All days upserted in turn: the last label replaces earlier ones, what was visible first is preserved."""
+    known = lambda c: F.when(F.col(c).isNotNull(), F.col("snapshot_date"))
+    return pool(spark, d).groupBy("match_id", "market").agg(F.max_by("label", known("label")).alias("label"), F.min_by("visible", known("visible")).alias("first_visible"))
 
 
 @PLANS.add("SELECT 'match' AS target, count(DISTINCT match_id) AS n FROM pool UNION ALL SELECT 'snapshot', count(DISTINCT snapshot_date) FROM pool UNION ALL SELECT 'label', count(*) FROM pool WHERE label IS NOT NULL UNION ALL SELECT 'visible_odds', count(*) FROM pool WHERE visible IS NOT NULL")

@@ -108,17 +108,7 @@ def m07_log_rate_update(spark, d):
 
 @PLANS.add()
 def m09_predictive_grid(spark, d):
-    return _predicted(_rates(spark, d).filter("match_id % 8 = 0"))
-
-
-@PLANS.add()
-def m09_predictive_grid_whole(spark, d):
-    """m09 over all rated matches."""
-    return _predicted(_rates(spark, d))
-
-
-def _predicted(rates):
-    r = rates.selectExpr("match_id", "ln(lh) AS m_h", "ln(la) AS m_a", "0.02e0 AS v_hh", "0.004e0 AS v_ha", "0.03e0 AS v_aa", "rho")
+    r = _rates(spark, d).selectExpr("match_id", "ln(lh) AS m_h", "ln(la) AS m_a", "0.02e0 AS v_hh", "0.004e0 AS v_ha", "0.03e0 AS v_aa", "rho")
     return ops.predictive_grid(r, ["match_id"]).withColumn("p", F.round("p", 6))
 
 

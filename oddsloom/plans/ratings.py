@@ -28,22 +28,13 @@ def w16_decayed_sums(spark, d):
     return m.select("match_id", F.round(ops.decayed_past_sum(F.col("home_goals"), ["competition", "home_team"], 90.0), 6).alias("decayed"))
 
 
-@PLANS.add(f"""WITH t AS ({_TEAM}), x AS (SELECT a.match_id, a.venue, avg(b.gf) AS m FROM t a, LATERAL (SELECT gf FROM t b WHERE b.competition = a.competition AND b.team = a.team AND b.venue = a.venue AND b.kickoff < a.kickoff ORDER BY b.kickoff DESC, b.match_id DESC LIMIT 5) b WHERE a.team = 7 GROUP BY ALL)
-    SELECT t.match_id, t.venue, round(m, 6) AS form FROM t LEFT JOIN x USING (match_id, venue) WHERE t.team = 7""")
+@PLANS.add(f"""WITH n AS (SELECT *, row_number() OVER w AS rn, sum(gf) OVER w AS s, count(*) OVER (PARTITION BY competition, team, venue ORDER BY kickoff RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS k FROM ({_TEAM}) WINDOW w AS (PARTITION BY competition, team, venue ORDER BY kickoff, match_id ROWS UNBOUNDED PRECEDING))
+    SELECT a.match_id, a.venue, round((b.s - coalesce(c.s, 0)) / CAST(least(a.k, 5) AS DOUBLE), 6) AS form FROM n a LEFT JOIN n b ON (a.competition, a.team, a.venue, a.k) = (b.competition, b.team, b.venue, b.rn) LEFT JOIN n c ON (a.competition, a.team, a.venue, a.k - 5) = (c.competition, c.team, c.venue, c.rn)""")
 def w17_last_n_form(spark, d):
-    return _last_n_form(ops.team_view(ops.with_time(matches(spark, d))).filter("team = 7"))
-
-
-def _last_n_form(t):
+    t = ops.team_view(ops.with_time(matches(spark, d)))
     return t.select("match_id", "venue", F.round(ops.last_n_mean("gf", ["competition", "team", "venue"], 5), 6).alias("form"))
 
 
-@PLANS.add()
-def w17_last_n_form_whole(spark, d):
-    """w17 over all teams."""
-    return _last_n_form(ops.team_view(ops.with_time(matches(spark, d))))
-
-
 @PLANS.add("""WITH p AS (SELECT match_id, competition, event_ts, fav, avg(fav) OVER (PARTITION BY competition, CAST(event_ts AS DATE) ORDER BY event_ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 2 HOUR PRECEDING) AS r FROM (SELECT event_id AS match_id, event_type AS competition, ts AS event_ts, CAST(value > 20 AS INT) AS fav FROM events))
     SELECT match_id, round(r, 6) AS favourite_rate FROM p""")
 def w18_same_day_state(spark, d):

@@ -1,34 +1,16 @@
-"""The queries over whole tables equal the SQL of their part-table twins without its filter on ids."""
+"""Queries that once ran on part of the rows take all of them."""
 
 from __future__ import annotations
 
-import pytest
-
 from oddsloom.plans import registry
-from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
-FILTERS = {
-    "w17_last_n_form": [" WHERE a.team = 7", " WHERE t.team = 7"],
-    "a01_core_coverage": [" WHERE match_id % 3 = 0"],
-    "j25_timeline_ingestion": [" WHERE m.match_id % 3 = 0"],
-    "j06_fixture_resolution": [" WHERE o_custkey % 5 = 0"],
-}
-
-
-@pytest.mark.parametrize("name", sorted(FILTERS))
-def test_whole_table(spark, name):
-    con, sql = duck(SF), ORACLES[name]
-    for part in FILTERS[name]:
-        assert sql.count(part) == 1
-        sql = sql.replace(part, "")
-    assert compare(QUERIES[f"{name}_whole"](spark, SF), con, sql) == ""
+QUERIES = registry.queries()
 
 
 def test_every_rated_match_has_a_grid(spark):
     rated = QUERIES["m01_j17_score_grid"](spark, SF).select("match_id").distinct().count()
-    assert QUERIES["m09_predictive_grid_whole"](spark, SF).select("match_id").distinct().count() == rated
+    assert QUERIES["m09_predictive_grid"](spark, SF).select("match_id").distinct().count() == rated
 
 
 def test_every_day_is_held_against_the_one_before(spark):
@@ -39,5 +21,5 @@ def test_every_day_is_held_against_the_one_before(spark):
         days.setdefault(r.snapshot_date, {})[r.match_id, r.market] = (r.label, r.visible)
     names = sorted(days)
     want = {(b, *k) for a, b in zip(names, names[1:]) for k in days[a].keys() | days[b].keys() if days[a].get(k) != days[b].get(k)}
-    got = [(r.snapshot_date, r.match_id, r.market) for r in QUERIES["u01_snapshot_diff_whole"](spark, SF).collect()]
+    got = [(r.snapshot_date, r.match_id, r.market) for r in QUERIES["u01_snapshot_diff"](spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == want
