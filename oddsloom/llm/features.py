@@ -62,9 +62,9 @@ def no_letters(t: Texts) -> np.ndarray:
     return none
 
 
-def bounded_sample(rows: DataFrame, key: str, cap: int, by: str | None = None) -> DataFrame:
-    """About ``cap`` rows (of each value of ``by``), chosen by the hash of ``key``; all of them if there are no more."""
-    part = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1_000_000))
+def bounded_sample(rows: DataFrame, keys: list[str], cap: int, by: str | None = None) -> DataFrame:
+    """About ``cap`` rows (of each value of ``by``), chosen by the hash of ``keys``; all of them if there are no more."""
+    part = F.pmod(F.xxhash64(*keys, F.lit("sample")), F.lit(1_000_000))
     if by is None:
         n = rows.count()
         return rows if n <= cap else rows.filter(part < int(1_000_000 * cap / n))

@@ -83,7 +83,7 @@ def fit(train: DataFrame, clusters: int, sample: int, idf: np.ndarray) -> dict:
         c, limits = _cluster(x, clusters)
         return pd.DataFrame({"lang": key[0], "centroid": list(c.astype(np.float32)), "least": limits})
 
-    sampled = bounded_sample(train, "doc_id", sample, by="lang").select("lang", "text").mapInArrow(rows, "lang string, slots array<int>, vals array<float>")
+    sampled = bounded_sample(train, ["doc_id", "text"], sample, by="lang").select("lang", "text").mapInArrow(rows, "lang string, slots array<int>, vals array<float>")
     found = sampled.groupBy("lang").applyInPandas(clusters_of, "lang string, centroid array<float>, least double").collect()
     found.sort(key=lambda r: (r["lang"], r["least"], r["centroid"]))
     return {"lang": [r["lang"] for r in found], "c": np.array([r["centroid"] for r in found], np.float32).reshape(-1, SIZE), "least": np.array([r["least"] for r in found])}

@@ -66,7 +66,7 @@ def train(rated: DataFrame, grades: int, sample: int) -> dict:
                 slots, values = sparse_rows(vectors(t))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(t.first, len(t)), slots, values], ["grade", "slots", "vals"])
 
-    rows = bounded_sample(rated, "doc_id", sample).select("text", F.col("grade").cast("int")).mapInArrow(run, "grade int, slots array<int>, vals array<float>").toArrow()
+    rows = bounded_sample(rated, ["doc_id", "text"], sample).select("text", F.col("grade").cast("int")).mapInArrow(run, "grade int, slots array<int>, vals array<float>").toArrow()
     if not rows.num_rows:
         return {"w": np.zeros(SIZE), "theta": np.linspace(-1, 1, grades - 1)}
     x = np.zeros((rows.num_rows, SIZE), np.float32)

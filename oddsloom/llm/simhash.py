@@ -35,7 +35,7 @@ WORDS = 3  # of 64 bits
 FP = ("f0", "f1", "f2")
 SEGMENT_BITS, SEGMENTS = 26, 7
 APART = 26  # of 182 bits; pairs at a five-word similarity of 0.8 are some 17 apart, unrelated ones some 87
-ROWS_AT_ONCE = 1 << 16
+ROWS_AT_ONCE = 1 << 14
 FEW = 250_000  # row keys up to which they are broadcast, to move only the texts that are asked for
 ROUNDS = 4
 LEADERS_BYTES = 4 << 20  # of shingle sets of leading rows that are broadcast

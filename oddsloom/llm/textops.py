@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES, SLICE_ROWS = 1 << 19, 2048
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 SPACES = np.zeros(256, bool)
@@ -28,7 +28,7 @@ def _table(base: int, modulus: int, n: int) -> np.ndarray:
     """base^i modulo ``modulus`` (2^64: by overflow) for i < n; tables up to four slices are kept."""
     row = _tables.get((base, modulus))
     if row is None or len(row) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES + 2)
         row = np.ones(size, np.uint64)
         done = 1
         while done < size:
@@ -150,8 +150,8 @@ class Texts:
         return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def pieces(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Texts]:
-    """Walk a string column (null: empty) in slices of about ``limit`` bytes; a longer text is alone."""
+def pieces(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[Texts]:
+    """Walk a string column (null: empty) in slices of at most ``limit`` bytes and ``rows`` texts; a longer text is alone."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -160,7 +160,7 @@ def pieces(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
     data = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        to = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1), at + rows)
         own = offsets[at : to + 1]
         yield Texts(at, data[own[0] : own[-1]], own - own[0])
         at = to

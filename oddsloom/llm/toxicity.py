@@ -3,8 +3,9 @@
 A linear classifier over hashed letter words and word beginnings is trained from confirmed toxic texts
 and a bounded sample of unlabelled ones. The risk of the unlabelled texts as negatives is corrected by
 the class prior and held at zero or above, so the model cannot win by overfitting the positives. The
-bias is then set by cross-fitting, on positives that a fit has not seen: 0.5 is the score with the best estimated F1,
-with the precision estimated from the prior and the share of unlabelled texts above.
+bias is then set by cross-fitting, on positives that a fit has not seen: 0.5 is the score with the best
+F of estimated precision and recall, recall counting BETA times, with the precision estimated from the
+prior and the share of unlabelled texts above.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from .features import WORD_BITS, Adam, bounded_sample, held_out, sigmoid, word_s
 from .textops import Texts, keep_rows, pieces
 
 SIZE = 1 << WORD_BITS
-COLUMNS = 1024  # of the dense training matrix, which holds a bounded number of rows
+COLUMNS = 512  # of the dense training matrix, which holds a bounded number of rows
 LEAST_POSITIVES = 3  # in which a feature must occur
 FOLDS, LEAST_TO_SET = 4, 80  # of the positives, for the bias
+BETA = 1.5  # a toxic text that stays costs more than a clean one that goes
 
 
 def _slots(rows: DataFrame) -> list[np.ndarray]:
@@ -62,7 +64,7 @@ def informative(positive: list[np.ndarray], unlabelled: list[np.ndarray], chance
     return column
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 1e-3) -> np.ndarray:
+def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, ridge: float = 3e-4) -> np.ndarray:
     """Weights that minimise the non-negative PU risk with the logistic loss; the last one is the bias."""
     xp, xu = positive, unlabelled
     w = np.zeros(xp.shape[1])
@@ -81,12 +83,12 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
 
 
 def best_limit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
-    """The margin with the best F1, whose precision is estimated as prior * recall / share of unlabelled above."""
+    """The margin with the best F, whose precision is estimated as prior * recall / share of unlabelled above."""
     at = np.unique(positive)
     recall = 1 - np.searchsorted(np.sort(positive), at) / len(positive)
     above = 1 - np.searchsorted(np.sort(unlabelled), at) / len(unlabelled)
-    f1 = 2 * prior * recall / (prior + np.maximum(above, prior * recall))
-    best = int(f1.argmax())
+    precision = prior * recall / np.maximum(above, prior * recall)
+    best = int(((1 + BETA**2) * precision * recall / (BETA**2 * precision + recall)).argmax())
     under = unlabelled[unlabelled < at[best]].max(initial=at[best] - 1.0)
     return float((at[best] + max(under, at[best] - 1.0)) / 2)  # between it and the next text below
 
@@ -96,9 +98,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int, c
     own = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).select("doc_id", "text")
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
-    toxic = bounded_sample(known.filter("toxic = 1").select("doc_id"), "doc_id", positives)
-    p = _slots(own.join(toxic, "doc_id", "left_semi"))
-    u = _slots(bounded_sample(own, "doc_id", unlabelled))
+    toxic = bounded_sample(known.filter("toxic = 1").select("doc_id"), ["doc_id"], positives)
+    p = _slots(bounded_sample(own.join(toxic, "doc_id", "left_semi"), ["text", "doc_id"], 2 * positives))  # ids may have many rows
+    u = _slots(bounded_sample(own, ["doc_id", "text"], unlabelled))
     if not p or not u:
         return {"column": np.full(SIZE, -1, np.int16), "w": np.array([-20.0])}
     prior = min(max(share, 0.01), 0.9)

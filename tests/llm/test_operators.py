@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from oddsloom.llm import decontaminate, langid, ordinal, packing, paragraphs, quality_rules, sharding, simhash, suffixes, textops, toxicity
+from oddsloom.llm import decontaminate, features, langid, ordinal, packing, paragraphs, quality_rules, sharding, simhash, suffixes, textops, toxicity
 from oddsloom.llm.buckets import bucket_links
 from oddsloom.llm.components import connected_components
 from oddsloom.llm.store import Scratch
@@ -548,6 +548,55 @@ def plain_hash(raw):
     return t.hashes(np.array([0]), np.array([len(raw)]))[0]
 
 
+def test_samples_are_bounded_whatever_the_ids(spark):
+    df = spark.range(20_000).selectExpr("1L AS doc_id", "CAST(id AS STRING) AS text", "'en' AS lang")
+    assert 800 < features.bounded_sample(df, ["doc_id", "text"], 1000).count() < 1200
+    assert 800 < features.bounded_sample(df, ["doc_id", "text"], 1000, by="lang").count() < 1200
+
+
+def test_language_scores_equal_plain_cosines(spark, docs):
+    train = docs.filter("lang IS NOT NULL AND doc_id IS NOT NULL").filter(~features.held_out(F.col("doc_id"), 4, 2)).select("doc_id", "text", "lang")
+    idf = langid.document_frequencies(train)
+    model = langid.fit(train, 4, 800, idf)
+    n, df = 0, collections.Counter()
+
+    def slots(text):
+        low = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in (text or "").encode())
+        grams = (low[i : i + 3] for i in range(len(low) - 2))
+        return collections.Counter(((g[0] << 16 | g[1] << 8 | g[2]) * 0x9E3779B1 % 2**32) >> 20 for g in grams if g != b"   ")
+
+    for r in train.collect():
+        n += 1
+        df.update(slots(r.text).keys())
+    assert np.allclose(idf, [np.log((1 + n) / (1 + df[k])) + 0.1 for k in range(4096)], atol=1e-5)
+    got = {r.doc_id: r for r in langid.identify_languages(docs).collect()}
+    for r in docs.limit(60).collect():
+        v = np.zeros(4096)
+        for k, c in slots(r.text).items():
+            v[k] = np.log1p(c) * idf[k]
+        cos = model["c"] @ (v / max(np.linalg.norm(v), 1e-12))
+        assert got[r.doc_id].lang_pred in ("und", model["lang"][int(cos.argmax())]) and (got[r.doc_id].lang_pred == "und" or abs(got[r.doc_id].score - cos.max()) < 1e-4)
+
+
+def test_grades_equal_a_plain_cumulative_link(docs, labels):
+    out = features.held_out(F.col("doc_id"), 5, 0)
+    rated = labels.select("doc_id", ordinal.grade_of(labels).alias("grade")).filter(F.col("grade").isNotNull() & ~out)
+    model = ordinal.train(docs.select("doc_id", "text").join(rated, "doc_id"), 3, 2000)
+    got = {r.doc_id: r for r in ordinal.grade_documents(docs, labels).collect()}
+    for r in docs.limit(60).collect():
+        raw = (r.text or "").encode()
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+        count = collections.Counter(((low[i] << 16 | low[i + 1] << 8 | low[i + 2]) * 0x9E3779B1 % 2**32) >> 20 for i in range(len(low) - 2) if low[i : i + 3] != b"   ")
+        x = np.zeros(ordinal.SIZE)
+        for k, c in count.items():
+            x[k] = np.log1p(c)
+        x /= max(np.linalg.norm(x), 1e-12)
+        x[4096 + min(int(np.log2(len(raw) + 1.0)), 22)] += 0.25
+        x[-1] = 0.5 * (np.log1p(sum(count.values())) - np.log1p(len(count)))
+        over = 1 - 1 / (1 + np.exp(-(model["theta"] - x @ model["w"])))
+        assert abs(got[r.doc_id].expected_grade - over.sum()) < 1e-3 and abs(got[r.doc_id].tail_probability - over[0]) < 1e-3
+
+
 def test_nnpu_recovers_a_planted_word():
     r = np.random.default_rng(1)
     positive = np.ones((200, 2))
