@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,17 +45,21 @@ def velocity(feed: DataFrame, size: str = "1 day", delay: str = "1 hour") -> Dat
     return timely(feed, delay).groupBy(F.window("ts", size).alias("w"), "user_id").agg(rate.alias("per_minute"))
 
 
+def _in_order(batches: Iterator[pd.DataFrame], column: str) -> pd.DataFrame:
+    """A group's rows of one micro-batch in the order of their times: they come in chunks that are not."""
+    rows = pd.concat([b[["ts", "event_id", column]] for b in batches])
+    return rows.sort_values(["ts", "event_id"], ignore_index=True)
+
+
 def _tags(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    out = []
-    for pdf in batches:
-        for r in pdf.sort_values(["ts", "event_id"]).itertuples():
-            tag = "FIRST" if last is None else "STRUCTURE_SHIFT" if abs(r.value - last) >= 6 else "FINE_TUNE" if abs(r.value - last) > 1 else "NO_MATERIAL_CHANGE"
-            out.append((r.event_id, *key, tag))
-            last = r.value
-    if last is not None:
-        state.update((float(last),))
-    yield pd.DataFrame(out, columns=["event_id", "user_id", "event_type", "tag"])
+    rows = _in_order(batches, "value")
+    was = rows["value"].shift()
+    if state.exists:
+        was.iloc[0] = state.get[0]
+    step = (rows["value"] - was).abs()
+    tag = np.select([was.isna(), step >= 6, step > 1], ["FIRST", "STRUCTURE_SHIFT", "FINE_TUNE"], "NO_MATERIAL_CHANGE")
+    state.update((float(rows["value"].iloc[-1]),))
+    yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "event_type": key[1], "tag": tag})
 
 
 def change_tags(feed: DataFrame) -> DataFrame:
@@ -63,16 +68,13 @@ def change_tags(feed: DataFrame) -> DataFrame:
 
 
 def _changes(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    out = []
-    for pdf in batches:
-        for r in pdf.sort_values(["ts", "event_id"]).itertuples():
-            if r.digest != last:
-                out.append((r.event_id, key[0], r.digest))
-                last = r.digest
-    if last is not None:
-        state.update((last,))
-    yield pd.DataFrame(out, columns=["event_id", "user_id", "digest"])
+    rows = _in_order(batches, "digest")
+    was = rows["digest"].shift()
+    if state.exists:
+        was.iloc[0] = state.get[0]
+    state.update((rows["digest"].iloc[-1],))
+    rows = rows[rows["digest"] != was]
+    yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "digest": rows["digest"]})
 
 
 def content_changes(feed: DataFrame) -> DataFrame:

@@ -28,9 +28,23 @@ def feed(spark, path):
 def test_tags_across_micro_batches(spark, tmp_path):
     src = tmp_path / "in"
     write(spark, src, [(1, "2024-01-01 00:00:00", 7, "ah", 10.0), (2, "2024-01-01 00:01:00", 7, "ah", 18.0)], 0)
+    drain(feeds.change_tags(feed(spark, src)), tmp_path, "tags")
     write(spark, src, [(3, "2024-01-01 00:02:00", 7, "ah", 18.5), (4, "2024-01-01 00:03:00", 8, "ah", 1.0)], 1)
     got = {r.event_id: r.tag for r in drain(feeds.change_tags(feed(spark, src)), tmp_path, "tags")}
-    assert got in ({1: "FIRST", 2: "STRUCTURE_SHIFT", 3: "NO_MATERIAL_CHANGE", 4: "FIRST"}, {1: "STRUCTURE_SHIFT", 2: "STRUCTURE_SHIFT", 3: "FIRST", 4: "FIRST"})
+    assert got == {1: "FIRST", 2: "STRUCTURE_SHIFT", 3: "NO_MATERIAL_CHANGE", 4: "FIRST"}
+
+
+def test_tags_of_a_group_in_many_chunks(spark, tmp_path):
+    src = tmp_path / "in"
+    rows = [(k, f"2024-01-01 {k // 60:02d}:{k % 60:02d}:00", 7, "ah", float(k * 37 % 11)) for k in range(400)]
+    write(spark, src, rows[::-1], 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = {r.event_id: r.tag for r in drain(feeds.change_tags(feed(spark, src)), tmp_path, "tags")}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    step = lambda k: abs(rows[k][4] - rows[k - 1][4])
+    assert got == {k: "FIRST" if not k else "STRUCTURE_SHIFT" if step(k) >= 6 else "FINE_TUNE" if step(k) > 1 else "NO_MATERIAL_CHANGE" for k in range(400)}
 
 
 def test_repeats_are_dropped(spark, tmp_path):
