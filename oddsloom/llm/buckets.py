@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .store import Scratch, partitions
 
 BLOCK = 1024
-PAIRS_AT_ONCE = 1 << 19
+PAIRS_AT_ONCE = 1 << 17
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

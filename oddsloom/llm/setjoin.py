@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .buckets import pairs_of_runs
 from .textops import mix
 
+SHINGLES_AT_ONCE = 1 << 18  # of the pairs compared, which bounds the working arrays
+
 
 def jaccard(rows: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Exact Jaccard similarity of the ``grams`` sets of the index pairs."""
@@ -17,7 +19,7 @@ def jaccard(rows: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     flat, offsets = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
     size = np.diff(offsets)
     out = np.zeros(len(i))
-    step = max(1, int(4_000_000 // max(1, size.max(initial=1))))
+    step = max(1, int(SHINGLES_AT_ONCE // max(1, size.max(initial=1))))
     for lo in range(0, len(i), step):
         a, b = i[lo : lo + step], j[lo : lo + step]
         both = np.concatenate((a, b))
