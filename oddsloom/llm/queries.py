@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, ordinal, packing, paragraphs, quality_rules, sharding, simhash, suffixes, toxicity
+from . import decontaminate, langid, lexical, ordinal, packing, paragraphs, quality_rules, sharding, simhash, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_linear_grouping_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame
     return suffixes.remove_repeated_bytes(_read(spark, sf_dir, "documents"))
 
 
+def op12_dense_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = (
     op1_bm25_decontamination,
     op2_mcd_outliers,
@@ -72,6 +76,7 @@ QUERIES = (
     op8_nearest_centroid_language,
     op9_nnpu_toxicity,
     op10_linear_grouping_suffixes,
+    op12_dense_blocked_search,
 )
 
 
@@ -80,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_dense_blocked_search": lexical.ORACLE}
