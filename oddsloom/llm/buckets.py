@@ -58,17 +58,18 @@ def all_pairs(rows: pa.RecordBatch, heads: np.ndarray) -> Iterator[tuple[np.ndar
     return pairs_of_runs(heads, rows.num_rows)
 
 
-def _hot(keys: DataFrame, block: int, scratch: Scratch) -> tuple[DataFrame, bool]:
+def _hot(keys: DataFrame, block: int, scratch: Scratch, weight: str | None = None) -> tuple[DataFrame, bool]:
     """(key, blocks) of the crowded keys, broadcast if their counted number is small; and if there are any."""
-    hot = scratch.save(keys.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(weight) if weight else F.lit(1)).alias("full")).filter((F.col("full") > block) & (F.col("rows") > 2))
+    hot = scratch.save(full.select("key", F.least("rows", F.ceil(F.col("full") / block)).cast("int").alias("blocks")))
     n = hot.count()
     return (F.broadcast(hot) if n <= 100_000 else hot), n > 0
 
 
-def _in_blocks(keys: DataFrame, block: int, scratch: Scratch) -> DataFrame:
+def _in_blocks(keys: DataFrame, block: int, scratch: Scratch, weight: str | None = None) -> DataFrame:
     """``keys`` with lo and hi: a crowded key's rows once for each pair of blocks that they belong to."""
     plain = keys.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0))
-    hot, any_ = _hot(keys, block, scratch)
+    hot, any_ = _hot(keys, block, scratch, weight)
     if not any_:
         return plain
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -77,23 +78,24 @@ def _in_blocks(keys: DataFrame, block: int, scratch: Scratch) -> DataFrame:
     return plain.join(hot, "key", "left_anti").unionByName(parted)
 
 
-def bucket_links(keys: DataFrame, verify: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray], scratch: Scratch, block: int = BLOCK, propose=all_pairs, split: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def bucket_links(keys: DataFrame, verify: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], np.ndarray], scratch: Scratch, block: int = BLOCK, propose=all_pairs, split: Callable[[DataFrame], DataFrame] | None = None, weight: str | None = None) -> DataFrame:
     """(a, b) links of ids whose rows share a key and pass ``verify``.
 
     ``keys``: key long, id long, then any payload columns; ``verify(rows, i, j)`` says which index
     pairs of an Arrow batch of such rows are links; ``propose(rows, heads)`` gives the pairs to look at,
     among the rows from one bucket's head to the next; ``split(rows)`` gives the rows of crowded buckets
     with a column ``sub`` long, rows that may link sharing a value of it. Rows of one id may repeat.
+    A bucket is crowded if it has over ``block`` rows, or if its column ``weight`` adds up to more.
     """
     spark = keys.sparkSession
     if split is None:
-        plain = _in_blocks(keys, block, scratch)
+        plain = _in_blocks(keys, block, scratch, weight)
     else:
         plain = keys.withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0))
-        hot, any_ = _hot(keys, block, scratch)
+        hot, any_ = _hot(keys, block, scratch, weight)
         if any_:
             finer = scratch.save(split(keys.join(hot, "key", "left_semi")).withColumn("key", F.xxhash64("key", "sub")).select(*keys.columns))
-            plain = plain.join(hot, "key", "left_anti").unionByName(_in_blocks(finer, block, scratch))
+            plain = plain.join(hot, "key", "left_anti").unionByName(_in_blocks(finer, block, scratch, weight))
     place = ["key", "lo", "hi"]
     dealt = plain.repartition(max(2, partitions(spark)), *place).sortWithinPartitions(*place)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, lexical, ordinal, packing, paragraphs, quality_rules, sharding, simhash, suffixes, toxicity
+from . import decontaminate, fastsketch, langid, lexical, ordinal, packing, paragraphs, quality_rules, sharding, simhash, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op12_dense_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=50)
 
 
+def op13_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fastsketch.similar_documents(_read(spark, sf_dir, "documents"), similarity=0.85, size=5)
+
+
 QUERIES = (
     op1_bm25_decontamination,
     op2_mcd_outliers,
@@ -77,6 +81,7 @@ QUERIES = (
     op9_nnpu_toxicity,
     op10_linear_grouping_suffixes,
     op12_dense_blocked_search,
+    op13_fast_similarity_sketching,
 )
 
 

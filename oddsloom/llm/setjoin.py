@@ -1,4 +1,4 @@
-"""Exact Jaccard similarity of shingle sets, and the few pairs of a bucket that can reach it."""
+"""Exact Jaccard similarity of shingle sets, the few pairs of a bucket that can reach it, and all links within candidate buckets."""
 
 from __future__ import annotations
 
@@ -7,10 +7,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buckets import pairs_of_runs
+from .buckets import bucket_links, pairs_of_runs
+from .components import connected_components
+from .store import Scratch, partitions
 from .textops import mix
 
 SHINGLES_AT_ONCE = 1 << 18  # of the pairs compared, which bounds the working arrays
+STAR = 512  # rows that one copy of a leader's set is compared with
+CROWD = 1 << 19  # shingles of a group beyond which it is split
 
 
 def jaccard(rows: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -73,3 +77,85 @@ def rare_parts(hot: DataFrame, similarity: float) -> DataFrame:
     prefix = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
     rare = each.join(often, ["key", "sub"]).withColumn("rank", rank).filter((F.col("rank") <= prefix) & (F.col("count") > 1)).select("key", "id", "sub")
     return rare.join(hot.select("key", "id", "grams"), ["key", "id"]).select("key", "id", "grams", "sub")
+
+
+def star_links(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (lead, id) of that similarity, as (a, b); ``grams``: id, n, grams.
+
+    A leader's set is sent once for every STAR of its rows and stays in memory while these stream by.
+    """
+    n = grams.select("id", "n")
+    sized = pairs.join(n, "id").join(n.select(F.col("id").alias("lead"), F.col("n").alias("m")), "lead")
+    sized = sized.filter(F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9).select("lead", "id")
+    shares = sized.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("shares"))
+    rows = sized.join(shares, "lead").select("lead", "id", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("share"))
+    rows = rows.join(grams.select("id", "grams"), "id").select("lead", "share", F.lit(1).alias("place"), "id", "grams")
+    heads = shares.select(F.col("lead").alias("id"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")).join(grams.select("id", "grams"), "id")
+    heads = heads.select(F.col("id").alias("lead"), "share", F.lit(0).alias("place"), "id", "grams")
+    dealt = rows.unionByName(heads).repartition(max(2, partitions(pairs.sparkSession)), "lead", "share").sortWithinPartitions("lead", "share", "place")
+
+    def run(batches):
+        head = np.zeros(0, np.int64)
+        for batch in batches:
+            lead, place, id_ = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            sets, found = batch.column(4), []
+            for k in range(batch.num_rows):
+                own = sets[k].values.to_numpy()
+                if place[k] == 0:
+                    head = own
+                elif len(own):
+                    common = np.searchsorted(head, own)
+                    same = int((head[np.minimum(common, len(head) - 1)] == own).sum())
+                    if same / (len(head) + len(own) - same) >= similarity:
+                        found.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(id_[found]), pa.array(lead[found])], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def mixed_parts(hot: DataFrame, similarity: float) -> DataFrame:
+    """The rows (key, id, label, n, grams) of crowded groups with a ``sub`` for each rare shingle under which rows of two labels meet.
+
+    As in ``rare_parts``, sets of that similarity share one of these; shingles under which all rows are
+    linked already bring nobody together.
+    """
+    each = hot.select("key", "id", "label", "n", F.explode("grams").alias("sub"))
+    often = each.groupBy("key", "sub").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("key", "id").orderBy("often", "sub"))
+    prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    rare = each.join(often, ["key", "sub"]).withColumn("rank", rank).filter((F.col("rank") <= prefix) & (F.col("often") > 1))
+    mixed = rare.groupBy("key", "sub").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("key", "sub")
+    rare = rare.select("key", "id", "sub").join(mixed, ["key", "sub"])
+    return rare.join(hot, ["key", "id"]).select("key", "id", "label", "n", "grams", "sub")
+
+
+def verified_links(near: DataFrame, grams: DataFrame, similarity: float, scratch: Scratch, crowd: int = CROWD) -> DataFrame:
+    """(a, b) links that connect all ids which meet in a bucket of ``near`` (key, id) and have that Jaccard similarity.
+
+    ``grams``: id, n, grams (sorted, distinct). First each row is compared with its bucket's least id. Ids that
+    this links carry one label; only buckets whose other rows have several labels can still hide a link. These
+    are joined to groups, each set is sent once, and in a group all pairs of two labels that share one of their
+    rarest shingles are compared; a group with over ``crowd`` shingles is split by these shingles first.
+    """
+    lead = near.groupBy("key").agg(F.min("id").alias("lead"))
+    led = scratch.save(near.join(lead, "key").select("key", "id", "lead"))
+    pairs = scratch.save(led.filter("id != lead").select("lead", "id").distinct())
+    first = scratch.save(star_links(pairs, grams, similarity))
+    label = connected_components(first, scratch).select("id", F.col("component").alias("label"))
+    others = led.filter("id != lead").join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    others = scratch.save(others, drop=led)
+    mixed = others.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("id").alias("least")).filter("l < h")
+    left = scratch.save(others.join(mixed.select("key", "least"), "key").select("id", "label", "least").distinct(), drop=others)
+    groups = connected_components(left.select("id", "least"), scratch)
+    rows = left.select("id", "label").distinct().join(groups, "id").select(F.col("component").alias("key"), "id", "label")
+    rows = scratch.save(rows.join(grams, "id").select("key", "id", "label", "n", "grams"), drop=left)
+
+    def pairs_of_labels(batch: pa.RecordBatch, heads: np.ndarray):
+        tag = batch.column(batch.schema.get_field_index("label")).to_numpy()
+        for i, j in prefix_pairs(batch, heads, similarity):
+            keep = tag[i] != tag[j]
+            i, j = np.divmod(np.unique(i[keep].astype(np.int64) * batch.num_rows + j[keep]), max(1, batch.num_rows))
+            yield i, j
+
+    more = bucket_links(rows, lambda batch, i, j: jaccard(batch, i, j) >= similarity, scratch, block=crowd, propose=pairs_of_labels, split=lambda hot: mixed_parts(hot, similarity), weight="n")
+    return scratch.save(first.union(scratch.save(more, drop=rows)), drop=first)
