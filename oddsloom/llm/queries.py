@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fastsketch, langid, lexical, ordinal, packing, paragraphs, quality_rules, sharding, simhash, suffixes, toxicity
+from . import collocations, decontaminate, fastsketch, langid, lexical, ordinal, packing, paragraphs, quality_rules, sharding, simhash, suffixes, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_linear_grouping_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame
     return suffixes.remove_repeated_bytes(_read(spark, sf_dir, "documents"))
 
 
+def op11_stripes_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_read(spark, sf_dir, "documents"), least=100, top=2000)
+
+
 def op12_dense_blocked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=50)
 
@@ -80,6 +84,7 @@ QUERIES = (
     op8_nearest_centroid_language,
     op9_nnpu_toxicity,
     op10_linear_grouping_suffixes,
+    op11_stripes_collocations,
     op12_dense_blocked_search,
     op13_fast_similarity_sketching,
 )
@@ -90,4 +95,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_dense_blocked_search": lexical.ORACLE}
+    return {"op11_stripes_collocations": collocations.ORACLE, "op12_dense_blocked_search": lexical.ORACLE}
