@@ -6,8 +6,8 @@ out; equal keys meet in a join, and the full distance is verified.
 
 ``simhash_groups`` finds every pair of 64-bit fingerprints that close. ``drop_near_copies`` looks for whole
 documents with a shingle similarity of 0.8 or more, which lie much further apart than a few bits: it has
-longer signatures, so that one of several segments is likely to differ by at most one bit, and verifies
-each candidate by its exact similarity.
+longer signatures, so that one of several segments is likely to differ by at most one bit. Close signatures
+form groups, and in a group every pair of texts that reaches the similarity is found on the full sets.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .buckets import BLOCK, bucket_links
 from .collide import colliding
 from .components import connected_components
+from .setjoin import verified_links
 from .store import Scratch, is_empty
 from .textops import Texts, mix, pieces, sequence_hashes, shingles
 
@@ -37,8 +38,6 @@ SEGMENT_BITS, SEGMENTS = 26, 7
 APART = 26  # of 182 bits; pairs at a five-word similarity of 0.8 are some 17 apart, unrelated ones some 87
 ROWS_AT_ONCE = 1 << 14
 FEW = 250_000  # row keys up to which they are broadcast, to move only the texts that are asked for
-ROUNDS = 4
-LEADERS_BYTES = 4 << 20  # of shingle sets of leading rows that are broadcast
 
 
 def row_key() -> Column:
@@ -213,14 +212,30 @@ def segment_variants(sigs: DataFrame) -> DataFrame:
     return sigs.select("id", *FP).mapInArrow(run, "key long, id long")
 
 
-def in_shares(hot: DataFrame, block: int) -> DataFrame:
-    """Rows of crowded buckets dealt to shares of about half a block by hash, each with the bucket's least row: linear in the bucket."""
-    of = hot.groupBy("key").agg(F.ceil(2 * F.count(F.lit(1)) / block).cast("int").alias("shares"), F.min(F.struct(*hot.columns[1:])).alias("least"))
-    dealt = hot.join(of.select("key", "shares"), "key").withColumn("sub", F.pmod(F.xxhash64("key", "id"), F.col("shares")).cast("long")).drop("shares")
-    return dealt.unionByName(of.select("key", "least.*", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).cast("long").alias("sub")))
+def apart(other: str) -> Column:
+    """Bits in which a signature differs from that in the columns FP with the prefix ``other``."""
+    return sum((F.bit_count(F.col(x).bitwiseXOR(F.col(other + x))) for x in FP), F.lit(0))
 
 
-def similar_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
+def by_rings(hot: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of the rows (key, id, FP) of crowded buckets to their bucket's least row, and the rows among which others may be left.
+
+    Bits apart are a metric: rows in one ring of APART + 1 bits around the least row are close only to rows of
+    the same or a neighbouring ring. So each row goes on under two rings, and a ring whose rows are all linked
+    already is done: that of a family around its least row, whatever its size.
+    """
+    lead = hot.groupBy("key").agg(F.min(F.struct("id", *FP)).alias("lead"))
+    rows = hot.join(lead.select("key", F.col("lead.id").alias("to"), *(F.col(f"lead.{x}").alias(f"lead_{x}") for x in FP)), "key")
+    rows = scratch.save(rows.select("key", "id", *FP, "to", apart("lead_").alias("bits")))
+    star = scratch.save(rows.filter((F.col("bits") <= APART) & (F.col("id") != F.col("to"))).select(F.col("id").alias("a"), F.col("to").alias("b")).distinct())
+    label = connected_components(star, scratch).select("id", F.col("component").alias("label"))
+    ring = F.floor(F.col("bits") / (APART + 1))
+    rows = rows.join(label, "id", "left").select("key", "id", *FP, F.coalesce("label", "id").alias("label"), F.explode(F.array(ring, ring + 1)).alias("ring"))
+    mixed = rows.groupBy("key", "ring").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("key", "ring")
+    return star, rows.join(mixed, ["key", "ring"]).select(F.xxhash64("key", "ring").alias("key"), "id", *FP)
+
+
+def similar_groups(rows: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """(doc_id, rid, grp) of ``rows`` (doc_id, rid, FP) whose group of close signatures has another row."""
     named = rows.withColumn("id", F.xxhash64(*FP))
     sigs = scratch.save(named.groupBy("id").agg(*(F.min(x).alias(x) for x in FP)))
@@ -234,8 +249,13 @@ def similar_groups(rows: DataFrame, scratch: Scratch) -> DataFrame:
             apart += np.bitwise_count(fp[i] ^ fp[j])
         return apart <= APART
 
-    links = scratch.save(bucket_links(payload, close, scratch, split=lambda hot: in_shares(hot, BLOCK)), drop=payload)
-    groups = connected_components(links, scratch).withColumnRenamed("id", "id_")
+    crowded = scratch.save(payload.groupBy("key").count().filter(F.col("count") > block).select("key"))
+    star = None
+    if not is_empty(crowded):
+        star, finer = by_rings(payload.join(crowded, "key", "left_semi"), scratch)
+        payload = scratch.save(payload.join(crowded, "key", "left_anti").unionByName(finer), drop=payload)
+    links = scratch.save(bucket_links(payload, close, scratch, block=block), drop=payload)
+    groups = connected_components(links if star is None else links.union(star), scratch).withColumnRenamed("id", "id_")
     placed = named.join(groups, F.col("id") == F.col("id_"), "left").select("doc_id", "rid", F.coalesce("component", "id").alias("grp"))
     placed = scratch.save(placed)
     many = placed.groupBy("grp").count().filter("count > 1").select("grp")
@@ -266,57 +286,29 @@ def gram_sets(docs: DataFrame, rids: DataFrame, size: int) -> DataFrame:
     return own.mapInArrow(run, "rid long, grams array<long>").dropDuplicates(["rid"])
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, block: int = BLOCK) -> DataFrame:
     """(doc_id, rid) of the rows of ``docs`` that are near copies of a row that stays.
 
-    Candidates are groups of close signatures. In each group the row with the least (doc_id, rid) leads,
-    null ids last; the rows with an exact Jaccard similarity of ``similarity`` or more to it, over
-    ``size``-word shingles, go. In further rounds, ROUNDS in all, the rows that are left are parted by the
-    minimum of their shingles' hashes, another one each time, and each part has its leader: two rows of that
-    similarity are in one part with at least that probability, so few pairs go by all rounds. Leaders that
-    are themselves removed later were like a row that stays or goes the same way.
+    Candidates are groups of close signatures. In a group all pairs with an exact Jaccard similarity of
+    ``similarity`` or more, over ``size``-word shingles, are found; of each class of texts so linked the row with the
+    least (doc_id, rid) stays, null ids last, and the others go.
     """
     scratch = Scratch(docs.sparkSession, "copies")
     rows = scratch.save(signatures(docs))
-    members = similar_groups(rows, scratch)
+    members = similar_groups(rows, scratch, block)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")
-    # rows with one text are copies: each goes but the least, whatever else the group holds
-    texts = scratch.save(members.groupBy("grp", "rid").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")))
-    more = members.join(texts.filter("n > 1").select("rid", "first"), "rid").filter(~order.eqNullSafe(F.col("first"))).select("doc_id", "rid")
-    gone = scratch.save(more.distinct())
+    texts = scratch.save(members.groupBy("grp", "rid").agg(F.min(order).alias("first")))
     several = texts.groupBy("grp").count().filter("count > 1").select("grp")
-    left = scratch.save(texts.join(several, "grp").select("grp", "rid", "first"))
-    sets = scratch.save(gram_sets(docs, left.select("rid").distinct(), size))
-    left = scratch.save(left.join(sets, "rid").select("grp", "first", "grams"), drop=left)
+    near = scratch.save(texts.join(several, "grp").select(F.col("grp").alias("key"), F.col("rid").alias("id")))
+    grams = scratch.save(gram_sets(docs, near.select(F.col("id").alias("rid")).distinct(), size).select(F.col("rid").alias("id"), F.size("grams").cast("long").alias("n"), "grams"))
+    classes = connected_components(verified_links(near, grams, similarity, scratch), scratch)
+    named = texts.join(classes, texts.rid == classes.id, "left").select("rid", "first", F.coalesce("component", "rid").alias("class"))
+    stays = named.groupBy("class").agg(F.min("first").alias("stays"))
+    named = scratch.save(named.join(stays, "class").select("rid", "stays"))
+    return members.join(named, "rid").filter(~order.eqNullSafe(F.col("stays"))).select("doc_id", "rid").distinct()
 
-    def like(batches):
-        for batch in batches:
-            a, b = (batch.column(batch.schema.get_field_index(k)) for k in ("grams", "lead"))
-            ok = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.asarray(x.values), np.asarray(y.values)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(common >= similarity * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ok, pa.bool_())], ["grp", "first", "same"])
-
-    schema = "grp long, first struct<last:boolean,doc_id:long,rid:long>, same boolean"
-    for k in range(ROUNDS):
-        part = F.array_min(F.transform("grams", lambda x, k=k: F.xxhash64(x, F.lit(k)))) if k else F.lit(0).cast("long")
-        left = scratch.save(left.withColumn("part", part))
-        leaders = left.groupBy("grp", "part").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        leaders = scratch.save(leaders)
-        lead = scratch.save(left.join(leaders, ["grp", "part"]).filter(F.col("first").eqNullSafe(F.col("head"))).select("grp", "part", "head", F.col("grams").alias("lead")))
-        bytes_ = lead.agg(F.coalesce(F.sum(F.size("lead")), F.lit(0)) * 8 + F.count(F.lit(1)) * 32).first()[0]
-        # who leads stays in the rounds to come too, where another row of its group may lead it
-        mates = left.join(F.broadcast(lead) if bytes_ <= LEADERS_BYTES else lead, ["grp", "part"]).filter(~F.col("first").eqNullSafe(F.col("head"))).select("grp", "first", "grams", "lead")
-        same = scratch.save(mates.mapInArrow(like, schema)).filter("same").select("grp", "first")
-        gone = gone.union(same.select("first.doc_id", "first.rid"))
-        out = same.select(F.col("grp").alias("grp_"), F.col("first").alias("first_"))
-        left = left.join(out, (F.col("grp") == F.col("grp_")) & F.col("first").eqNullSafe(F.col("first_")), "left_anti").select("grp", "first", "grams")
-    return gone
-
-
-def drop_near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5) -> DataFrame:
+
+def drop_near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that are no near copies of another row that stays (``near_copies``), with all their columns.
 
     Rows are told apart by doc_id, null or not, and text; of rows equal in both, the first by their other
@@ -325,7 +317,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5) ->
     spark = docs.sparkSession
     scratch = Scratch(spark, "kept")
     own, key, mark = (f"{x}_{uuid.uuid4().hex[:8]}" for x in ("id", "rid", "key"))  # names that no column of docs has
-    gone = scratch.save(near_copies(docs, similarity, size)).select(F.col("doc_id").alias(own), F.col("rid").alias(key))
+    gone = scratch.save(near_copies(docs, similarity, size, block)).select(F.col("doc_id").alias(own), F.col("rid").alias(key))
     is_it = (F.col(mark) == F.col(key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(own))
     kept = docs.withColumn(mark, row_key()).join(gone, is_it, "left_anti")
     twice = scratch.save(docs.select(F.col("doc_id").cast("long").alias(own), row_key().alias(key)).groupBy(own, key).count().filter("count > 1").select(own, key))
