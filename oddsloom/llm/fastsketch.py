@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .collide import colliding
 from .components import connected_components
-from .setjoin import verified_links
+from .setjoin import verified_classes
 from .simhash import row_key, words_of
 from .store import Scratch
 from .textops import WORD_BASE, Texts, mix, pieces, sequence_hashes, shingles
@@ -133,7 +133,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.85, size: int = 5,
     near = scratch.save(colliding(sets.select(F.explode("keys").alias("key"), F.col("sid").alias("id"))))
     wanted = sets.join(near.select(F.col("id").alias("sid")).distinct(), "sid").select(F.col("sid").alias("id"), "first.doc_id", "first.rid")
     grams = scratch.save(sets_of(docs, wanted, size))
-    groups = connected_components(verified_links(near, grams, similarity, scratch), scratch)
+    groups = verified_classes(near, grams, similarity, scratch)
     named = sets.join(groups, sets.sid == groups.id, "left").select("sid", "first", F.coalesce("component", "sid").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("least"))
     by_set = scratch.save(named.join(least, "component").select("sid", F.col("least.doc_id").alias("component_id")))

@@ -79,7 +79,7 @@ def fit(train: DataFrame, clusters: int, sample: int, idf: np.ndarray) -> dict:
             x[k, s] = v
         x = x[np.abs(x).sum(axis=1) > 0]
         if not len(x):
-            return pd.DataFrame({"lang": [], "centroid": [], "least": []})
+            return pd.DataFrame()
         c, limits = _cluster(x, clusters)
         return pd.DataFrame({"lang": key[0], "centroid": list(c.astype(np.float32)), "least": limits})
 

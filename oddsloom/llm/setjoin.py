@@ -9,14 +9,44 @@ from pyspark.sql import functions as F
 
 from .buckets import bucket_links, pairs_of_runs
 from .components import connected_components
-from .store import Scratch, partitions
+from .store import Scratch, is_empty, partitions
 from .textops import mix
 
 SHINGLES_AT_ONCE = 1 << 18  # of the pairs compared, which bounds the working arrays
+BIT_PAIRS, BIT_WORDS = 1 << 15, 1 << 21  # pairs at once, and words of their bit sets
 STAR = 512  # rows that one copy of a leader's set is compared with
 CROWD = 1 << 19  # shingles of a group beyond which it is split
 
 
+def jaccard_by_bits(rows: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """As ``jaccard``, for many pairs of few rows: rows as bit sets over the shingles that two of them have, if that is the cheaper way."""
+    lists = rows.column(rows.schema.get_field_index("grams"))
+    size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros(len(i))
+    for lo in range(0, len(i), BIT_PAIRS):
+        a, b = i[lo : lo + BIT_PAIRS], j[lo : lo + BIT_PAIRS]
+        used, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        own = lists.take(pa.array(used))
+        row = np.repeat(np.arange(len(used)), size[used])
+        _, gram, count = np.unique(own.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        common = count > 1
+        width = int(common.sum()) + 63 >> 6
+        if len(used) * width > BIT_WORDS or len(a) * width > 8 * (size[a].sum() + size[b].sum()):
+            out[lo : lo + BIT_PAIRS] = jaccard(rows, a, b)
+            continue
+        place = np.cumsum(common) - 1
+        keep = common[gram]
+        bit = place[gram[keep]]
+        table = np.zeros((len(used), max(1, width)), np.uint64)
+        np.bitwise_or.at(table, (row[keep], bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        step = max(1, BIT_WORDS // max(1, 4 * width))
+        for k in range(0, len(a), step):
+            x, y = at[: len(a)][k : k + step], at[len(a) :][k : k + step]
+            both = np.bitwise_count(table[x] & table[y]).sum(axis=1, dtype=np.int64)
+            out[lo + k : lo + k + len(x)] = both / np.maximum(size[a[k : k + step]] + size[b[k : k + step]] - both, 1)
+    return out
+
+
 def jaccard(rows: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Exact Jaccard similarity of the ``grams`` sets of the index pairs."""
     lists = rows.column(rows.schema.get_field_index("grams"))
@@ -129,8 +159,8 @@ def mixed_parts(hot: DataFrame, similarity: float) -> DataFrame:
     return rare.join(hot, ["key", "id"]).select("key", "id", "label", "n", "grams", "sub")
 
 
-def verified_links(near: DataFrame, grams: DataFrame, similarity: float, scratch: Scratch, crowd: int = CROWD) -> DataFrame:
-    """(a, b) links that connect all ids which meet in a bucket of ``near`` (key, id) and have that Jaccard similarity.
+def verified_classes(near: DataFrame, grams: DataFrame, similarity: float, scratch: Scratch, crowd: int = CROWD) -> DataFrame:
+    """(id, component): the least id that is reached over links of that Jaccard similarity between ids which meet in a bucket of ``near`` (key, id); ids without a link may be missing.
 
     ``grams``: id, n, grams (sorted, distinct). First each row is compared with its bucket's least id. Ids that
     this links carry one label; only buckets whose other rows have several labels can still hide a link. These
@@ -138,17 +168,19 @@ def verified_links(near: DataFrame, grams: DataFrame, similarity: float, scratch
     rarest shingles are compared; a group with over ``crowd`` shingles is split by these shingles first.
     """
     lead = near.groupBy("key").agg(F.min("id").alias("lead"))
-    led = scratch.save(near.join(lead, "key").select("key", "id", "lead"))
-    pairs = scratch.save(led.filter("id != lead").select("lead", "id").distinct())
-    first = scratch.save(star_links(pairs, grams, similarity))
-    label = connected_components(first, scratch).select("id", F.col("component").alias("label"))
-    others = led.filter("id != lead").join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    led = scratch.save(near.join(lead, "key").select("key", "id", "lead").filter("id != lead"))
+    pairs = scratch.save(led.select("lead", "id").distinct())
+    label = scratch.save(connected_components(star_links(pairs, grams, similarity), scratch).select("id", F.col("component").alias("label")))
+    others = led.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     others = scratch.save(others, drop=led)
-    mixed = others.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("id").alias("least")).filter("l < h")
+    mixed = others.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("label").alias("least")).filter("l < h")
     left = scratch.save(others.join(mixed.select("key", "least"), "key").select("id", "label", "least").distinct(), drop=others)
-    groups = connected_components(left.select("id", "least"), scratch)
-    rows = left.select("id", "label").distinct().join(groups, "id").select(F.col("component").alias("key"), "id", "label")
-    rows = scratch.save(rows.join(grams, "id").select("key", "id", "label", "n", "grams"), drop=left)
+    first = label.select("id", F.col("label").alias("component"))
+    if is_empty(left):
+        return first
+    groups = connected_components(left.select("label", "least"), scratch).select(F.col("id").alias("label"), F.col("component").alias("key"))
+    rows = left.select("id", "label").distinct().join(groups, "label").join(grams, "id").select("key", "id", "label", "n", "grams")
+    rows = scratch.save(rows, drop=left)
 
     def pairs_of_labels(batch: pa.RecordBatch, heads: np.ndarray):
         tag = batch.column(batch.schema.get_field_index("label")).to_numpy()
@@ -157,5 +189,11 @@ def verified_links(near: DataFrame, grams: DataFrame, similarity: float, scratch
             i, j = np.divmod(np.unique(i[keep].astype(np.int64) * batch.num_rows + j[keep]), max(1, batch.num_rows))
             yield i, j
 
-    more = bucket_links(rows, lambda batch, i, j: jaccard(batch, i, j) >= similarity, scratch, block=crowd, propose=pairs_of_labels, split=lambda hot: mixed_parts(hot, similarity), weight="n")
-    return scratch.save(first.union(scratch.save(more, drop=rows)), drop=first)
+    more = scratch.save(bucket_links(rows, lambda batch, i, j: jaccard_by_bits(batch, i, j) >= similarity, scratch, block=crowd, propose=pairs_of_labels, split=lambda hot: mixed_parts(hot, similarity), weight="n"))
+    if is_empty(more):
+        return first
+    tags = rows.select("id", "label").distinct()
+    ends = more.join(tags.select(F.col("id").alias("a"), F.col("label").alias("x")), "a").join(tags.select(F.col("id").alias("b"), F.col("label").alias("y")), "b")
+    wider = scratch.save(connected_components(ends.select("x", "y"), scratch).select(F.col("id").alias("label"), F.col("component").alias("wide")))
+    every = label.union(tags).distinct()
+    return every.join(wider, "label", "left").select("id", F.coalesce("wide", "label").alias("component"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .buckets import BLOCK, bucket_links
 from .collide import colliding
 from .components import connected_components
-from .setjoin import verified_links
+from .setjoin import verified_classes
 from .store import Scratch, is_empty
 from .textops import Texts, mix, pieces, sequence_hashes, shingles
 
@@ -301,7 +301,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, size: int = 5, block:
     several = texts.groupBy("grp").count().filter("count > 1").select("grp")
     near = scratch.save(texts.join(several, "grp").select(F.col("grp").alias("key"), F.col("rid").alias("id")))
     grams = scratch.save(gram_sets(docs, near.select(F.col("id").alias("rid")).distinct(), size).select(F.col("rid").alias("id"), F.size("grams").cast("long").alias("n"), "grams"))
-    classes = connected_components(verified_links(near, grams, similarity, scratch), scratch)
+    classes = verified_classes(near, grams, similarity, scratch)
     named = texts.join(classes, texts.rid == classes.id, "left").select("rid", "first", F.coalesce("component", "rid").alias("class"))
     stays = named.groupBy("class").agg(F.min("first").alias("stays"))
     named = scratch.save(named.join(stays, "class").select("rid", "stays"))
