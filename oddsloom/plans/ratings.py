@@ -1,4 +1,4 @@
-"""Histories, baselines and ratings (W-15..19, A-08..12, M-11, M-13, M-16, M-18, M-20..23, S-07, S-09..11)."""
+"""Histories, baselines and ratings (W-15..19, A-08..12, M-11 to M-14, M-16, R-04, M-18, M-20..23, S-07, S-09..11)."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from oddsloom.operators import ratings as ops
+from oddsloom.operators import rolling
+from oddsloom.operators import season_ratings as season_ops
 from oddsloom.sources.bind import matches, quotes, table
 
 from .registry import Plans
@@ -149,28 +151,53 @@ def s10_s11_phase_unpivot(spark, d):
 
 @PLANS.add()
 def m11_fitted_ratings(spark, d):
-    return ops.fit_ratings(matches(spark, d), half_life_days=365.0)
+    """Season-linked ratings of every competition as of its last match."""
+    r = season_ops.linked_ratings(matches(spark, d), half_life_days=365.0)
+    return r.select("competition", "kind", "team", "season_start", *(F.round(c, 6).alias(c) for c in ("value", "variance", "effective_matches")))
+
+
+@PLANS.add()
+def m12_linked_priors(spark, d):
+    """Every fixture of each competition's last season, by ratings fitted on the seasons before."""
+    m = matches(spark, d)
+    late = Window.partitionBy("competition").orderBy(F.desc("season_start"))
+    last = m.select("competition", "season_start").distinct().withColumn("k", F.row_number().over(late)).filter("k = 1").select("competition", F.col("season_start").alias("last_season"))
+    tagged = m.join(F.broadcast(last), "competition")
+    r = season_ops.linked_priors(tagged.filter("season_start < last_season").select(*m.columns), tagged.filter("season_start = last_season").select(*m.columns), 365.0)
+    return r.select("match_id", *(F.round(c, 6).alias(c) for c in ("m_h", "m_a", "v_hh", "v_ha", "v_aa")), "home_state", "away_state")
+
+
+@PLANS.add()
+def m13_hyper_search(spark, d):
+    """Half life, spread of teams and of season links over nested season-forward folds; the best row and whether it lies at the grid's edge."""
+    r = season_ops.search(matches(spark, d), [180.0, 365.0, 720.0], [0.2, 0.35], [0.1, 0.2])
+    return r.withColumn("goal_nll", F.round("goal_nll", 6))
 
 
 @PLANS.add()
 def m13_m16_walk_forward(spark, d):
     """Season-forward fits over a grid of half lives; mean goal NLL of each season after the first, fitted on those before."""
-    from oddsloom.functions.odds import poisson_nll
+    m = matches(spark, d)
+    grid = m.select("competition").distinct().select("competition", F.explode(F.array(F.lit(180.0), F.lit(720.0))).alias("half_life"), F.lit(0.35).alias("team_sd"), F.lit(None).cast("double").alias("link_sd"))
+    return season_ops.fold_scores(m, grid).groupBy("half_life", "fold").agg(F.sum("n").alias("n"), F.round(F.sum("nll") / F.sum("n"), 6).alias("goal_nll"))
+
+
+@PLANS.add()
+def m14_rolling_ratings(spark, d):
+    """Ratings rebuilt from the last 90 days at every month start, over changes of the league's teams."""
+    r = rolling.rolling_ratings(matches(spark, d), days=90)
+    return r.select("competition", "season_start", "cut", "season_end", "kind", "team", F.round("value", 6).alias("value"), F.round("variance", 6).alias("variance"), "origin")
+
 
+@PLANS.add("""WITH b AS (SELECT competition, season_start, max(kickoff) AS last FROM matches GROUP BY ALL), w AS (SELECT unnest([30, 60, 90]) AS days), c AS (SELECT competition, season_start, w.days, unnest(generate_series(make_timestamp(season_start, 1, 1, 0, 0, 0.0), make_timestamp(season_start, 12, 1, 0, 0, 0.0), INTERVAL 1 MONTH)) AS cut, false AS season_end, last FROM b, w UNION ALL SELECT competition, season_start, days, last + INTERVAL 1 SECOND, true, last FROM b, w)
+    SELECT m.competition, m.season_start, c.days, epoch_us(c.cut) AS cut_us, c.season_end, m.home_team, m.away_team, count(*) AS n, CAST(sum(home_goals) AS DOUBLE) AS goals_home, CAST(sum(away_goals) AS DOUBLE) AS goals_away, round(sum(pow(0.5e0, (epoch_us(c.cut) - epoch_us(m.kickoff)) / 86400000000e0 / 180)), 6) AS weight
+    FROM matches m JOIN c ON m.competition = c.competition AND m.season_start = c.season_start AND m.kickoff < c.cut AND m.kickoff >= c.cut - to_days(CAST(c.days AS INTEGER)) WHERE c.season_end OR c.cut <= c.last GROUP BY ALL""")
+def r04_rolling_evidence(spark, d):
+    """What the ratings of the last 30, 60 and 90 days rest on, at every month start and season end."""
     m = matches(spark, d)
-    grid = spark.range(1).select(F.explode(F.array(F.lit(180.0), F.lit(720.0))).alias("half_life"))
-    seasons = m.select(F.col("season_start").alias("fold")).distinct()
-    folds = F.broadcast(seasons.crossJoin(seasons.agg(F.min("fold").alias("first"))).filter("fold > first").select("fold"))
-    train = m.join(folds, F.col("season_start") < F.col("fold"))
-    fits = [ops.fit_ratings(train, h, keys=("competition", "fold")).withColumn("half_life", F.lit(h)) for h in (180.0, 720.0)]
-    fit = fits[0].unionByName(fits[1]).join(F.broadcast(grid), "half_life")
-    p = fit.groupBy("half_life", "competition", "fold").agg(F.map_from_entries(F.collect_list(F.struct("param", "value"))).alias("r"))
-    test = m.withColumnRenamed("season_start", "fold").join(p, ["competition", "fold"])
-    get = lambda k, t: F.coalesce(F.try_element_at("r", F.concat(F.lit(k), F.col(t).cast("string"))), F.lit(0.0))
-    lh = F.exp(F.col("r")["mu"] + F.col("r")["home"] + get("att:", "home_team") + get("def:", "away_team"))
-    la = F.exp(F.col("r")["mu"] + get("att:", "away_team") + get("def:", "home_team"))
-    nll = (poisson_nll(F.col("home_goals"), lh) + poisson_nll(F.col("away_goals"), la)) / 2
-    return test.groupBy("half_life", "fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(nll), 6).alias("goal_nll"))
+    parts = [rolling.rolling_evidence(m, days, 180.0).withColumn("days", F.lit(days)) for days in (30, 60, 90)]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return every.select("competition", "season_start", "days", "cut_us", "season_end", "home_team", "away_team", "n", "goals_home", "goals_away", F.round("w", 6).alias("weight"))
 
 
 @PLANS.add()
