@@ -156,7 +156,7 @@ def linked_priors(matches: DataFrame, fixtures: DataFrame, half_life_days: float
     """
     half_lives = matches.select("competition").distinct().withColumn("half_life", F.lit(float(half_life_days)))
     types = dict(matches.dtypes)
-    asked = fixtures.select("competition", "season_start", "home_team", "away_team").distinct()
+    asked = fixtures.select(*(F.col(c).alias(f"{c}_") for c in ("competition", "season_start", "home_team", "away_team"))).distinct()
     law = ("m_h", "m_a", "v_hh", "v_ha", "v_aa")
 
     def solve(key, pairs, wanted):
@@ -164,11 +164,11 @@ def linked_priors(matches: DataFrame, fixtures: DataFrame, half_life_days: float
         if not len(wanted) or not len(pairs) or pairs["n"].sum() < least:
             return pd.DataFrame()
         fit = Linked(pairs, _scale(pairs, pairs["last_us"].max()), team_sd, link_sd)
-        rows = [{"competition": key[0], "season_start": s, "home_team": h, "away_team": a} | fit.fixture(h, a, s) for s, h, a in zip(wanted["season_start"], wanted["home_team"], wanted["away_team"], strict=True)]
+        rows = [{"competition": key[0], "season_start": s, "home_team": h, "away_team": a} | fit.fixture(h, a, s) for s, h, a in zip(wanted["season_start_"], wanted["home_team_"], wanted["away_team_"], strict=True)]
         return pd.DataFrame(rows, columns=names)
 
     schema = f"competition {types['competition']}, season_start int, home_team {types['home_team']}, away_team {types['away_team']}, " + ", ".join(f"{c} double" for c in law) + ", home_state string, away_state string"
-    found = pair_seasons(matches, half_lives).groupBy("competition").cogroup(asked.groupBy("competition")).applyInPandas(solve, schema)
+    found = pair_seasons(matches, half_lives).groupBy("competition").cogroup(asked.groupBy("competition_")).applyInPandas(solve, schema)
     keys = ("competition", "season_start", "home_team", "away_team")
     found = found.withColumnsRenamed({c: f"{c}_" for c in keys})
     same = [F.col(c) == F.col(f"{c}_") for c in keys]
