@@ -106,8 +106,10 @@ def score_forecasts(rows: DataFrame, order: int = 9, goals: int = 12) -> DataFra
         grid /= grid.sum(axis=(1, 2), keepdims=True)
         inside = (hg <= goals) & (ag <= goals)
         own = np.where(inside, grid[np.arange(len(hg)), np.minimum(hg, goals), np.minimum(ag, goals)], 0.0)
-        rank = np.where(inside, (grid > own[:, None, None]).sum(axis=(1, 2)), 3)
         h, a = k[:, None], k[None, :]
+        seen, mine = np.round(grid, 9), np.round(own, 9)[:, None, None]
+        later = (h > hg[:, None, None]) | ((h == hg[:, None, None]) & (a > ag[:, None, None]))  # of equal cells, larger scores come first
+        rank = np.where(inside, ((seen > mine) | ((seen == mine) & later)).sum(axis=(1, 2)), 3)
         p = np.stack([(grid * (h > a)).sum(axis=(1, 2)), (grid * (h == a)).sum(axis=(1, 2)), (grid * (h < a)).sum(axis=(1, 2))], axis=1)
         hit = np.stack([hg > ag, hg == ag, hg < ag], axis=1).astype(float)
         over, was = (grid * (h + a >= 3)).sum(axis=(1, 2)), (hg + ag >= 3).astype(float)

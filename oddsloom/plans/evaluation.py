@@ -32,7 +32,7 @@ def a14_ece(spark, d):
     return ops.expected_calibration_error(ops.calibration_bins(_forecasts(spark, d), "p", "y")).select(F.round("ece", 6).alias("ece"))
 
 
-_GRID = """r AS (SELECT match_id, season_start, home_goals, away_goals, 0.6e0 + home_team / 12e0 AS lh, 0.5e0 + away_team / 14e0 AS la FROM matches WHERE competition = '2-HIGH'), k AS (SELECT CAST(unnest(range(13)) AS INT) AS g),
+_GRID = """r AS (SELECT match_id, season_start, home_goals, away_goals, 0.6e0 + home_team / 12e0 AS lh, 0.5e0 + away_team / 14e0 AS la FROM matches), k AS (SELECT CAST(unnest(range(13)) AS INT) AS g),
     c AS (SELECT r.match_id, h.g AS h, a.g AS a, exp(-lh) * pow(lh, h.g) / factorial(h.g) * exp(-la) * pow(la, a.g) / factorial(a.g) AS raw FROM r, k h, k a), g AS (SELECT match_id, h, a, raw / sum(raw) OVER (PARTITION BY match_id) AS p FROM c)"""
 
 
@@ -41,16 +41,11 @@ _GRID = """r AS (SELECT match_id, season_start, home_goals, away_goals, 0.6e0 +
     SELECT season_start, count(*) AS n, round(avg(-ln(greatest(cell, 1e-15))), 6) AS score_nll, round(avg((rk = 1)::INT), 6) AS top1, round(avg((rk <= 3)::INT), 6) AS top3, round(avg(pow(ph - (home_goals > away_goals)::INT, 2) + pow(pd - (home_goals = away_goals)::INT, 2) + pow(pa - (home_goals < away_goals)::INT, 2)), 6) AS brier_sum,
     round(avg((pow(ph - (home_goals > away_goals)::INT, 2) + pow(ph + pd - (home_goals >= away_goals)::INT, 2)) / 2), 6) AS rps, round(avg(pow(ov - (home_goals + away_goals >= 3)::INT, 2)), 6) AS ou_brier FROM s GROUP BY season_start""")
 def a15_forecast_metrics(spark, d):
-    r = matches(spark, d).filter("competition = '2-HIGH'").selectExpr("match_id", "season_start", "home_goals", "away_goals", "0.6e0 + home_team / 12e0 AS lh", "0.5e0 + away_team / 14e0 AS la", "0e0 AS rho")
-    g = pricing.score_grid(r.select("match_id", "lh", "la", "rho"), ["match_id"])
-    o = pricing.outcome_probabilities(g, ["match_id"])
-    cell = pricing.top_scores(g.withColumn("p", F.round("p", 9)), ["match_id"], 10_000).select("match_id", "h", "a", "place").join(g, ["match_id", "h", "a"])
-    s = r.join(o, "match_id").join(cell, "match_id").filter("h = home_goals AND a = away_goals")
-    y = F.when(F.col("home_goals") > F.col("away_goals"), 0).when(F.col("home_goals") == F.col("away_goals"), 1).otherwise(2)
-    p = F.array("home", "draw", "away")
-    over = (F.col("home_goals") + F.col("away_goals") >= 3).cast("int")
+    none = [F.lit(0.0).alias(c) for c in ("v_hh", "v_ha", "v_aa")]
+    r = matches(spark, d).selectExpr("season_start", "home_goals", "away_goals", "ln(0.6e0 + home_team / 12e0) AS m_h", "ln(0.5e0 + away_team / 14e0) AS m_a")
+    s = ops.score_forecasts(r.select("*", *none), order=1)
     mean = lambda c, n: F.round(F.avg(c), 6).alias(n)
-    return s.groupBy("season_start").agg(F.count(F.lit(1)).alias("n"), mean(-F.log(F.greatest("p", F.lit(1e-15))), "score_nll"), mean((F.col("place") == 1).cast("int"), "top1"), mean((F.col("place") <= 3).cast("int"), "top3"), mean(odds.brier_sum(p, y), "brier_sum"), mean(odds.rps(p, y), "rps"), mean(F.pow(F.col("over_2_5") - over, 2), "ou_brier"))
+    return s.groupBy("season_start").agg(F.count(F.lit(1)).alias("n"), *(mean(c, n) for c, n in (("score_nll", "score_nll"), ("top1", "top1"), ("top3", "top3"), ("brier", "brier_sum"), ("rps", "rps"), ("over_brier", "ou_brier"))))
 
 
 _MET = "SELECT competition, CASE WHEN season_start <= 1995 THEN 'train' WHEN season_start = 1996 THEN 'validation' ELSE 'test' END AS split, 1.4e0 + home_team / 40e0 AS rate, home_goals AS g FROM matches"

@@ -12,14 +12,14 @@ from oddsloom.sources.bind import matches, quotes
 from .registry import Plans
 
 PLANS = Plans()
-_RATES = "SELECT match_id, home_goals, away_goals, 0.6e0 + home_team / 12e0 AS lh, 0.5e0 + away_team / 14e0 AS la, -0.05e0 AS rho FROM matches WHERE competition = '1-URGENT' AND season_start >= 1997"
+_RATES = "SELECT match_id, home_goals, away_goals, 0.6e0 + home_team / 12e0 AS lh, 0.5e0 + away_team / 14e0 AS la, -0.05e0 AS rho FROM matches"
 _GRID = f"""r AS ({_RATES}), k AS (SELECT CAST(unnest(range(13)) AS INT) AS g), c AS (SELECT r.match_id, h.g AS h, a.g AS a, exp(-lh) * pow(lh, h.g) / factorial(h.g) * exp(-la) * pow(la, a.g) / factorial(a.g) *
     CASE WHEN h.g = 0 AND a.g = 0 THEN 1 - lh * la * rho WHEN h.g = 0 AND a.g = 1 THEN 1 + lh * rho WHEN h.g = 1 AND a.g = 0 THEN 1 + la * rho WHEN h.g = 1 AND a.g = 1 THEN 1 - rho ELSE 1e0 END AS raw FROM r, k h, k a),
     g AS (SELECT match_id, h, a, raw / sum(raw) OVER (PARTITION BY match_id) AS p FROM c)"""
 
 
 def _rates(spark, d):
-    return matches(spark, d).filter("competition = '1-URGENT' AND season_start >= 1997").selectExpr("match_id", "home_goals", "away_goals", "0.6e0 + home_team / 12e0 AS lh", "0.5e0 + away_team / 14e0 AS la", "-0.05e0 AS rho")
+    return matches(spark, d).selectExpr("match_id", "home_goals", "away_goals", "0.6e0 + home_team / 12e0 AS lh", "0.5e0 + away_team / 14e0 AS la", "-0.05e0 AS rho")
 
 
 def _grid(spark, d):

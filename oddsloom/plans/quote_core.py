@@ -42,9 +42,6 @@ def j01_book_identity(spark, d):
     return ops.resolve_books(q, F.broadcast(books)).groupBy("identity_status", "book_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-_EVENTS = "SELECT match_id, book_key, date_trunc('hour', ts) AS ts, record_id, price FROM odds_events WHERE match_id % 5 = 0"
-
-
 @PLANS.add("""WITH e AS (SELECT match_id, book_key, epoch_us(date_trunc('hour', ts)) AS us, record_id, price FROM odds_events),
     t AS (SELECT DISTINCT match_id, us FROM e), r AS (SELECT t.match_id, t.us, e.book_key, e.record_id, e.price, abs(e.us - t.us) / 6e7 AS gap, e.us > t.us AS ahead,
       row_number() OVER (PARTITION BY t.match_id, t.us, e.book_key ORDER BY abs(e.us - t.us), e.us > t.us, e.record_id) AS rn FROM t JOIN e USING (match_id))

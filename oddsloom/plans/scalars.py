@@ -63,7 +63,7 @@ def f06_devig_multiplicative(spark, d):
 
 def _bisection_sql(kind: str) -> str:
     """The same bisection in a recursive table expression."""
-    raw = "SELECT match_id, seq, source_row, 1/p_home AS a, 1/p_draw AS b, 1/p_away AS c FROM quotes WHERE book_id = 0 AND market = '1x2'"
+    raw = "SELECT match_id, seq, source_row, 1/p_home AS a, 1/p_draw AS b, 1/p_away AS c FROM quotes"
     if kind == "power":
         low, high, g = "0.01e0", "20e0", "pow(a, x) + pow(b, x) + pow(c, x) - 1"
         out = ["pow(a, z)", "pow(b, z)", "pow(c, z)"]
@@ -79,7 +79,7 @@ def _bisection_sql(kind: str) -> str:
 
 
 def _devigged(spark, d, how):
-    q = quotes(spark, d).filter("book_id = 0 AND market = '1x2'").withColumn("p", how(_prices())).filter("p[0] IS NOT NULL")
+    q = quotes(spark, d).withColumn("p", how(_prices())).filter("p[0] IS NOT NULL")
     return q.select("match_id", "seq", "source_row", *(F.round(F.col("p")[k], R6).alias(f"q_{n}") for k, n in enumerate(("home", "draw", "away"))))
 
 
@@ -90,15 +90,18 @@ def f07_devig_power(spark, d):
 
 @PLANS.add(_bisection_sql("shin"))
 def f08_devig_shin(spark, d):
-    rows = quotes(spark, d).filter("book_id = 0 AND market = '1x2' AND 1/p_home + 1/p_draw + 1/p_away > 1 + 1e-9").withColumn("p", odds.devig_shin(_prices()))
+    rows = quotes(spark, d).filter("1/p_home + 1/p_draw + 1/p_away > 1 + 1e-9").withColumn("p", odds.devig_shin(_prices()))
     return rows.select("match_id", "seq", "source_row", *(F.round(F.col("p")[k], R6).alias(f"q_{n}") for k, n in enumerate(("home", "draw", "away"))))
 
 
-@PLANS.add("SELECT 'multiplicative' AS method, count(*) AS n, 1.0e0 AS mean_sum FROM quotes UNION ALL SELECT 'power', count(*), 1.0e0 FROM quotes")
+_POWER = _bisection_sql("power").partition(" SELECT match_id, seq, source_row, round(")[0]
+
+
+@PLANS.add(f"""{_POWER} SELECT method, count(*) AS n, round(avg(home), 6) AS mean_home FROM (SELECT 'multiplicative' AS method, 1/p_home / (1/p_home + 1/p_draw + 1/p_away) AS home FROM quotes UNION ALL SELECT 'power', pow(a, (lo + hi) / 2) FROM it WHERE n = 60) GROUP BY method""")
 def f09_devig_dispatch(spark, d):
     q = quotes(spark, d)
-    parts = [q.select(F.lit(m).alias("method"), odds.total(odds.DEVIG[m](_prices())).alias("s")) for m in ("multiplicative", "power")]
-    return parts[0].unionByName(parts[1]).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), R6).alias("mean_sum"))
+    parts = [q.select(F.lit(m).alias("method"), odds.DEVIG[m](_prices())[0].alias("home")) for m in ("multiplicative", "power")]
+    return parts[0].unionByName(parts[1]).groupBy("method").agg(F.count("home").alias("n"), F.round(F.avg("home"), R6).alias("mean_home"))
 
 
 @PLANS.add("""SELECT page_id, regexp_extract(lower(url), '[?&]id=([^&#]*)', 1) AS query_id, regexp_extract(url, '/(\\d+)(?:cn|sb)?\\.(?:js|htm)', 1) AS path_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages""")
