@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; an own one only where that is unset and all runs on this machine (tests)."""
@@ -32,11 +34,21 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/oddsloom/{what}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
-    def save(self, df: DataFrame, drop: DataFrame | None = None) -> DataFrame:
-        """Write ``df``, read it back; ``drop``: an earlier table of this folder that is no longer needed."""
+    def save(self, df: DataFrame, drop: DataFrame | None = None, batch_bytes: int | None = None) -> DataFrame:
+        """Write ``df``, read it back; ``drop``: an earlier table of this folder that is no longer needed.
+
+        ``batch_bytes``: the size of Arrow batches during this write, for rows that are large.
+        """
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        was = self.spark.conf.get(BATCH_BYTES)
+        try:
+            if batch_bytes is not None:
+                self.spark.conf.set(BATCH_BYTES, batch_bytes)
+            df.write.parquet(path)
+        finally:
+            if batch_bytes is not None:
+                self.spark.conf.set(BATCH_BYTES, was)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         if drop is not None:
