@@ -27,11 +27,17 @@ def poisson_weight(*key: Column) -> Column:
     return out.otherwise(7)
 
 
-def paired_bootstrap(rows: DataFrame, id_: str, delta: str, replicates: int, seed: int) -> DataFrame:
-    """Mean delta and its 95 % interval over ``replicates`` resamples by Poisson weights. Sums per replicate, no row leaves its task."""
+def paired_bootstrap(rows: DataFrame, id_: str, delta: str, replicates: int, seed: int, blocks: int = 4096) -> DataFrame:
+    """Mean delta and its 95 % interval over ``replicates`` resamples by Poisson weights of the hash blocks of the ids.
+
+    Rows are summed per block first, so what meets the replicates is bounded whatever the number of rows; up to
+    a few thousand rows most blocks hold one row.
+    """
     reps = F.broadcast(rows.sparkSession.range(replicates).withColumnRenamed("id", "rep"))
-    w = poisson_weight(F.col(id_), F.col("rep"), F.lit(seed))
-    sums = rows.crossJoin(reps).groupBy("rep").agg((F.sum(w * F.col(delta)) / F.sum(w)).alias("m"))
+    block = F.pmod(F.xxhash64(F.col(id_), F.lit(seed)), F.lit(blocks))
+    parts = rows.groupBy(block.alias("block")).agg(F.sum(delta).alias("d"), F.count(delta).alias("k"))
+    w = poisson_weight(F.col("block"), F.col("rep"), F.lit(seed))
+    sums = parts.crossJoin(reps).groupBy("rep").agg((F.sum(w * F.col("d")) / F.sum(w * F.col("k"))).alias("m"))
     ci = sums.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(delta).alias("mean")).crossJoin(ci.select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high")))
 
@@ -52,6 +58,31 @@ def within_effect(rows: DataFrame, y: str, x: str, unit: str, cluster: str) -> D
     return s.groupBy("beta", "sxx").agg(F.sum(F.col("u") * F.col("u")).alias("meat"), F.count(F.lit(1)).alias("clusters")).select(F.col("beta").alias("effect"), (F.sqrt("meat") / F.col("sxx")).alias("se"), "clusters")
 
 
+def two_way_effect(rows: DataFrame, y: str, x: str, unit: str, first: str, second: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Effect of x on y with unit means removed, and its errors clustered by ``first``, by ``second`` and by both, per group of ``by``.
+
+    Both ways: the variance by ``first`` plus that by ``second`` less that by their intersection. Cells of the intersection carry two sums,
+    from which effect and scores follow, so the rows are read once for the unit means and once for the cells.
+    """
+    by = list(by)
+    means = rows.groupBy(*by, unit).agg(F.avg(y).alias("y_"), F.avg(x).alias("x_"))
+    d = rows.join(means, [*by, unit]).withColumns({"yd": F.col(y) - F.col("y_"), "xd": F.col(x) - F.col("x_")})
+    cells = d.groupBy(*by, first, second).agg(F.sum(F.col("xd") * F.col("yd")).alias("sxy"), F.sum(F.col("xd") * F.col("xd")).alias("sxx"), F.count(F.lit(1)).alias("n"))
+    total = cells.groupBy(*by).agg((F.sum("sxy") / F.nullif(F.sum("sxx"), F.lit(0.0))).alias("effect"), F.sum("sxx").alias("all_xx"), F.sum("n").alias("n"))
+    scored = (cells.drop("n").join(total, by) if by else cells.drop("n").crossJoin(F.broadcast(total))).withColumn("score_", F.col("sxy") - F.col("effect") * F.col("sxx"))
+    keep = [*by, "effect", "all_xx", "n"]
+
+    def meat(name: str, *clusters: str) -> DataFrame:
+        sums = scored.groupBy(*keep, *clusters).agg(F.sum("score_").alias("score_"))
+        return sums.groupBy(*keep).agg(F.lit(name).alias("which"), F.sum(F.col("score_") * F.col("score_")).alias("meat"), F.count(F.lit(1)).alias("clusters"))
+
+    parts = meat("first", first).unionByName(meat("second", second)).unionByName(meat("both", first, second))
+    pick = lambda c, k: F.max(F.when(F.col("which") == k, F.col(c)))
+    wide = parts.groupBy(*keep).agg(pick("meat", "first").alias("a"), pick("meat", "second").alias("b"), pick("meat", "both").alias("ab"), pick("clusters", "first").alias("first_clusters"), pick("clusters", "second").alias("second_clusters"))
+    se = lambda v: F.sqrt(F.greatest(v, F.lit(0.0))) / F.col("all_xx")
+    return wide.select(*by, "n", "effect", se(F.col("a")).alias("se_first"), se(F.col("b")).alias("se_second"), se(F.col("a") + F.col("b") - F.col("ab")).alias("se_two_way"), "first_clusters", "second_clusters")
+
+
 def wild_cluster_bootstrap(rows: DataFrame, y: str, x: str, unit: str, cluster: str, replicates: int, seed: int) -> DataFrame:
     """Share of sign-flipped replicates whose |effect| reaches the observed one: cluster scores under the null times hash signs."""
     w = Window.partitionBy(unit)

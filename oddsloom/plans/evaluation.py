@@ -138,7 +138,7 @@ def m19_residual_ridge(spark, d):
 @PLANS.add()
 def m24_paired_bootstrap(spark, d):
     f = _forecasts(spark, d).select("match_id", (F.pow(F.col("p") - F.col("y"), 2) - 0.25).alias("delta"))
-    return ops.paired_bootstrap(f, "match_id", "delta", 200, 7)
+    return ops.paired_bootstrap(f, "match_id", "delta", 5000, 7)
 
 
 @PLANS.add()
@@ -156,10 +156,43 @@ def m26_adjusted_effect(spark, d):
     return ops.within_effect(m, "y", "x", "u", "c").select(F.round("effect", 6).alias("effect"), F.round("se", 6).alias("se"), "clusters")
 
 
+def _two_way_sql(by: str) -> str:
+    """Effects and errors of the groups of ``by``, each error from sums per cluster."""
+    cols, on = (f"{by}, ", f"USING ({by})") if by else ("", "ON TRUE")
+    part = f"PARTITION BY {cols}u"
+    errors = [f"{k} AS (SELECT {cols}sum(s * s) AS v, count(*) AS clusters FROM (SELECT {cols}{keys}, sum(xd * (yd - beta * xd)) AS s FROM d JOIN b {on} GROUP BY ALL) GROUP BY ALL)" for k, keys in (("va", "u"), ("vb", "c"), ("vab", "u, c"))]
+    joins = f"JOIN va {on} JOIN vb {on} JOIN vab {on}"
+    return f"""WITH x AS (SELECT competition, season_start, home_goals AS y, CAST(away_team % 3 = 0 AS INT) AS x, home_team AS u, competition || ':' || season_start AS c FROM matches), d AS (SELECT {cols}u, c, y - avg(y) OVER ({part}) AS yd, x - avg(x) OVER ({part}) AS xd FROM x),
+        b AS (SELECT {cols}count(*) AS n, sum(xd * yd) / sum(xd * xd) AS beta, sum(xd * xd) AS sxx FROM d {"GROUP BY ALL" if by else ""}), {", ".join(errors)}
+        SELECT {cols}n, round(beta, 6) AS effect, round(sqrt(va.v) / sxx, 6) AS se_first, round(sqrt(vb.v) / sxx, 6) AS se_second, round(sqrt(greatest(va.v + vb.v - vab.v, 0)) / sxx, 6) AS se_two_way, va.clusters AS first_clusters, vb.clusters AS second_clusters FROM b {joins}"""
+
+
+def _two_way(spark, d, *by):
+    m = matches(spark, d).selectExpr("competition", "season_start", "home_goals AS y", "CAST(away_team % 3 = 0 AS INT) AS x", "home_team AS u", "concat(competition, ':', season_start) AS c")
+    e = ops.two_way_effect(m, "y", "x", "u", "u", "c", by)
+    return e.select(*by, "n", *(F.round(c, 6).alias(c) for c in ("effect", "se_first", "se_second", "se_two_way")), "first_clusters", "second_clusters")
+
+
+@PLANS.add(_two_way_sql(""))
+def m26_two_way_effect(spark, d):
+    """The adjusted effect with errors clustered by team, by league-season and by both."""
+    return _two_way(spark, d)
+
+
+@PLANS.add(_two_way_sql("season_start"))
+def m26_effect_by_season(spark, d):
+    return _two_way(spark, d, "season_start")
+
+
+@PLANS.add(_two_way_sql("competition"))
+def m26_effect_by_league(spark, d):
+    return _two_way(spark, d, "competition")
+
+
 @PLANS.add()
 def m27_wild_cluster_bootstrap(spark, d):
     m = matches(spark, d).selectExpr("home_goals AS y", "CAST(away_team % 3 = 0 AS INT) AS x", "home_team AS u", "season_start AS c")
-    return ops.wild_cluster_bootstrap(m, "y", "x", "u", "c", 999, 3)
+    return ops.wild_cluster_bootstrap(m, "y", "x", "u", "c", 9999, 3)
 
 
 @PLANS.add(f"""WITH m AS (SELECT competition, count(*) AS n, round(avg(pow(p - y, 2)), 9) AS a, round(avg(pow(0.9e0 * p + 0.05e0 - y, 2)), 9) AS c FROM ({_FC}) GROUP BY 1) SELECT competition, n, CASE WHEN n < 80 THEN 'INSUFFICIENT_HISTORY' WHEN c > a + 0.005e0 THEN 'SHADOW' ELSE 'ACTIVE' END AS status, CASE WHEN c > a + 0.005e0 THEN 'BRIER_HARM' ELSE '' END AS reasons FROM m""")
