@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from oddsloom.sources import packets
 from oddsloom.sources.bind import table
-from oddsloom.streaming import feeds
+from oddsloom.streaming import feeds, stateful
 
 from .registry import Plans
 
@@ -93,14 +93,35 @@ def s12_r03_stream_without_repeats(spark, d):
     return _drain(feeds.without_repeats(_stream(spark, d), ["event_id"]), "r03").select("event_id", "user_id")
 
 
-@PLANS.add("SELECT event_id, user_id, event_type, CASE WHEN l IS NULL THEN 'FIRST' WHEN abs(value - l) >= 6 THEN 'STRUCTURE_SHIFT' WHEN abs(value - l) > 1 THEN 'FINE_TUNE' ELSE 'NO_MATERIAL_CHANGE' END AS tag FROM (SELECT *, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS l FROM events)")
+@PLANS.add("""WITH l AS (SELECT *, value - lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS step FROM events), m AS (SELECT *, CASE WHEN abs(step) > 1 THEN sign(step) END AS move FROM l)
+    SELECT event_id, user_id, event_type, CASE WHEN step IS NULL THEN 'FIRST' WHEN abs(step) >= 6 THEN 'STRUCTURE_SHIFT' WHEN abs(step) > 1 THEN 'FINE_TUNE' ELSE 'NO_MATERIAL_CHANGE' END AS tag,
+    coalesce(move = -last_value(move IGNORE NULLS) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS reversal FROM m""")
 def r05_stream_change_tags(spark, d):
-    return _drain(feeds.change_tags(_stream(spark, d)), "r05")
+    return _drain(stateful.change_tags(_stream(spark, d)), "r05")
 
 
 @PLANS.add("SELECT event_id, user_id FROM (SELECT *, event_type || '|' || CAST(floor(value / 20) AS BIGINT) AS g, lag(event_type || '|' || CAST(floor(value / 20) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l FROM events) WHERE l IS NULL OR g <> l")
 def r08_stream_content_changes(spark, d):
-    return _drain(feeds.content_changes(_stream(spark, d)), "r08").select("event_id", "user_id")
+    return _drain(stateful.content_changes(_stream(spark, d)), "r08").select("event_id", "user_id")
+
+
+@PLANS.add("""WITH e AS (SELECT user_id, ts, date_trunc('day', ts) + INTERVAL 1 DAY AS kickoff FROM events) SELECT user_id, CAST(kickoff AS TIMESTAMP) AS kickoff, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM e
+    WHERE ts >= kickoff - INTERVAL 12 HOUR AND kickoff <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY ALL""")
+def r06_kickoff_sessions(spark, d):
+    """What was collected in the 12 hours before each kickoff (here the end of the day), given once the stream is past it."""
+    feed = _stream(spark, d).withColumn("kickoff", F.date_trunc("day", "ts") + F.expr("INTERVAL 1 DAY"))
+    out = _drain(stateful.sessions_until_kickoff(feed, start_hours=12), "r06")
+    return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("kickoff", "started", "ended")), "n")
+
+
+_LATE = "SELECT event_type, count(*) AS late FROM (SELECT event_type, ts, max(ts) OVER (PARTITION BY event_type, user_id ORDER BY event_id * 7919 % 10007, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events) WHERE ts < seen - INTERVAL 1 HOUR GROUP BY 1"
+
+
+@PLANS.add(_LATE)
+def r02_stream_late_rows(spark, d):
+    """The rows that a stream's state marks as too late, in an order of arrival unlike that of their times."""
+    feed = _stream(spark, d).withColumn("arrival", F.struct(F.col("event_id") * 7919 % 10007, "event_id")).withColumn("arrival", F.format_string("%06d|%020d", "arrival.col1", "arrival.event_id"))
+    return _drain(stateful.late_marks(feed, 1), "r02").filter("late").groupBy("event_type").agg(F.count(F.lit(1)).alias("late"))
 
 
 @PLANS.add("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
@@ -110,7 +131,7 @@ def r01_latest_per_key(spark, d):
     return latest_per_key(_feed(spark, d), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
-@PLANS.add("SELECT event_type, count(*) AS late FROM (SELECT event_type, ts, max(ts) OVER (PARTITION BY event_type, user_id ORDER BY event_id * 7919 % 10007, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM events) WHERE ts < seen - INTERVAL 1 HOUR GROUP BY 1")
+@PLANS.add(_LATE)
 def r02_late_rows(spark, d):
     """Rows over an hour older than what their key has shown before, in an order of arrival unlike that of their times."""
     from pyspark.sql import Window
