@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from oddsloom.sources import packets
-from oddsloom.sources.bind import table
+from oddsloom.sources import packets, pages
+from oddsloom.sources.bind import matches, table
 from oddsloom.streaming import feeds, stateful
 
 from .registry import Plans
@@ -27,6 +28,31 @@ def s03_html_items(spark, d):
     return rows.select("page_id", F.col("row").cast("long").alias("row"), F.length("item").cast("long").alias("item_chars"))
 
 
+_POOL_FIELDS = {"no": "c-no", "league": "c-league", "teams": "c-team", "time": "c-time"}
+
+
+def _pool_pages(spark, d):
+    """A page a day with the matches in two tables, and the encoded indices of the draws."""
+    m = matches(spark, d).withColumn("day", F.date_format("kickoff", "yyyy-MM-dd")).withColumn("table_id", F.when(F.col("match_id") % 2 == 0, "tbl").otherwise("bdtbl"))
+    m = m.withColumn("idx", F.row_number().over(Window.partitionBy("day", "table_id").orderBy("match_id")) - 1)
+    cell = lambda c, x: F.concat(F.lit(f'<td class="{c}">'), x, F.lit("</td>"))
+    teams = F.concat(F.lit("<b>T"), F.col("home_team"), F.lit("</b> vs T"), F.col("away_team"), F.lit("<table><tbody><tr><td> &amp; more</td></tr></tbody></table>"))
+    tr = F.concat(F.lit('<tr data-idx="'), F.col("idx"), F.lit('" data-key="k'), F.col("match_id"), F.lit('">'), cell("c-no", F.col("match_id").cast("string")), cell("c-league", F.col("competition")), cell("c-team", teams), cell("c-time", F.date_format("kickoff", "yyyy-MM-dd HH:mm")), F.lit("</tr>"))
+    rows = m.withColumn("tr", tr).groupBy("day").agg(*(F.array_join(F.array_sort(F.collect_list(F.when(F.col("table_id") == t, F.struct("idx", "tr"))))["tr"], "").alias(t) for t in ("tbl", "bdtbl")), *(F.array_sort(F.collect_list(F.when((F.col("table_id") == t) & (F.col("home_goals") == F.col("away_goals")), F.col("idx")))).alias(f"l_{t}") for t in ("tbl", "bdtbl")))
+    payload = F.to_json(F.array("l_tbl", "l_bdtbl"))
+    codes = F.array_join(F.transform(F.filter(F.split(payload, ""), lambda c: c != ""), lambda c: F.ascii(c) + 13), ",")
+    html = F.concat(F.lit("<html><script>var _mk=["), codes, F.lit('].map(function(c){return String.fromCharCode(c-13);}).join("");</script><table id="tbl"><thead><tr><th>no</th></tr></thead><tbody>'), F.col("tbl"), F.lit('</tbody></table><table id="bdtbl"><tbody>'), F.col("bdtbl"), F.lit("</tbody></table></html>"))
+    return rows.select("day", html.alias("html"))
+
+
+@PLANS.add("""WITH m AS (SELECT *, strftime(kickoff, '%Y-%m-%d') AS day, CASE WHEN match_id % 2 = 0 THEN 'tbl' ELSE 'bdtbl' END AS table_id FROM matches), i AS (SELECT *, row_number() OVER (PARTITION BY day, table_id ORDER BY match_id) - 1 AS idx FROM m)
+    SELECT day, table_id, CAST(idx AS INT) AS "row", CAST(idx AS INT) AS data_idx, 'k' || match_id AS data_key, CAST(match_id AS VARCHAR) AS "no", competition AS league, 'T' || home_team || ' vs T' || away_team || ' & more' AS teams, strftime(kickoff, '%Y-%m-%d %H:%M') AS "time", CAST(home_goals = away_goals AS INT) AS label FROM i""")
+def s03_page_tables(spark, d):
+    """The rows of two tables of each day's page with their labels; a page with any problem would be refused as a whole."""
+    rows = pages.labelled_rows(_pool_pages(spark, d), "day", "html", ["tbl", "bdtbl"], _POOL_FIELDS, list(_POOL_FIELDS))
+    return pages.accepted(rows, "day")
+
+
 @PLANS.add("SELECT o_orderkey, CAST(o_orderkey % 50 AS INT) AS first_index, 2 AS groups FROM orders")
 def s04_label_decode(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("[["), F.col("o_orderkey") % 50, F.lit(",7],["), F.col("o_orderkey") % 9, F.lit("]]")).alias("t"))

@@ -70,3 +70,19 @@ def k01_k04_publish_current(spark, d):
     sinks.publish(p.withColumn("crawler_ts", F.lit(2)), path, "2024-01-01", "bbbb", "WARN")
     sinks.publish(p.withColumn("crawler_ts", F.lit(3)).limit(5), path, "2024-01-01", "cccc", "FAIL")
     return sinks.current(spark, path, "crawler_ts").groupBy("market").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("labels"))
+
+
+@PLANS.add("SELECT market, count(*) AS n, CAST(sum(label) AS BIGINT) AS labels, 'PUBLISHED,NO_CHANGES,REVISED,STALE_SOURCE,QUARANTINED' AS history, 'aaaa' AS revisions FROM pool GROUP BY market")
+def k01_k02_commit_log(spark, d):
+    """A batch, the same again, its revision, an older source and a failed one under one commit log: what was done with each, and what is current."""
+    import uuid
+
+    from oddsloom.plans.ingest import shared_folder
+    from oddsloom.sources.commits import BatchLog
+
+    p = pool(spark, d).drop("snapshot_date")
+    log = BatchLog(spark, f"{shared_folder(spark)}/commits/{uuid.uuid4().hex[:12]}")
+    part = p.filter("label = 1")
+    said = [log.publish(part, "2024-01-02", "aaaa", 1), log.publish(part, "2024-01-02", "aaaa", 2), log.publish(p, "2024-01-02", "bbbb", 3), log.publish(part, "2024-01-01", "cccc", 4), log.publish(part, "2024-01-03", "dddd", 5, "FAIL")]
+    now = log.current().groupBy("market").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("labels"))
+    return now.select("*", F.lit(",".join(said)).alias("history"), F.lit(",".join(log.revisions("2024-01-02"))).alias("revisions"))

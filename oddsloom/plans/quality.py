@@ -155,6 +155,24 @@ def s01_declared_counts(spark, d):
     return parts[0].unionByName(parts[1])
 
 
+@PLANS.add("SELECT 'orders' AS source_table, count(*) AS n, count(DISTINCT o_orderkey) AS keys FROM orders UNION ALL SELECT 'nation', count(*), count(DISTINCT n_nationkey) FROM nation UNION ALL SELECT 'customer', count(*), count(DISTINCT c_custkey) FROM customer")
+def s01_checked_scan(spark, d):
+    """Tables with lineage, staged under the counts of a manifest (here from the files' footers): a wrong count would raise."""
+    import uuid
+
+    from oddsloom.plans.ingest import shared_folder
+    from oddsloom.sources import declared
+
+    keys = {"orders": "o_orderkey", "nation": "n_nationkey", "customer": "c_custkey"}
+    manifest = spark.createDataFrame([(t, table(spark, d, t).count()) for t in keys], "table string, rows long")
+    staged = declared.stage(spark, {t: declared.scan(spark, f"{d}/{t}.parquet", t) for t in keys}, manifest, f"{shared_folder(spark)}/staged/{uuid.uuid4().hex[:12]}")
+    out = None
+    for t, k in keys.items():
+        part = staged[t].groupBy("source_table").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(k).alias("keys"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @PLANS.add("SELECT count(*) AS n, count(*) FILTER (WHERE kickoff IS NULL) AS null_kickoff, CAST(min(kickoff) AS DATE) AS first_day, CAST(max(kickoff) AS DATE) AS last_day, count(*) FILTER (WHERE home_team = away_team) AS self_matches FROM matches")
 def s08_dataset_audit(spark, d):
     return matches(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kickoff").isNull()).alias("null_kickoff"), F.min("kickoff").cast("date").alias("first_day"), F.max("kickoff").cast("date").alias("last_day"), F.count_if(F.col("home_team") == F.col("away_team")).alias("self_matches"))
