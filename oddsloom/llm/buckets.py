@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import Scratch, partitions
+from .textops import give_back
 
 BLOCK = 1024
 PAIRS_AT_ONCE = 1 << 17
@@ -136,5 +137,6 @@ def bucket_links(keys: DataFrame, verify: Callable[[pa.RecordBatch, np.ndarray,
                 yield out
         if rest is not None and (out := links(rest)) is not None:
             yield out
+        give_back()
 
     return dealt.mapInArrow(run, "a long, b long")

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .store import partitions
+from .textops import give_back
 
 
 def colliding(keys: DataFrame) -> DataFrame:
@@ -43,5 +44,6 @@ def colliding(keys: DataFrame) -> DataFrame:
             last_key, last_id, last_out = key[-1], id_[-1], bool(hit[-1])
         if last_key is not None and last_out:
             yield pa.RecordBatch.from_arrays([pa.array([last_key]), pa.array([last_id])], ["key", "id"])
+        give_back()
 
     return dealt.select("key", "id").mapInArrow(run, "key long, id long")

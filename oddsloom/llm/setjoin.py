@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .buckets import bucket_links, pairs_of_runs
 from .components import connected_components
 from .store import Scratch, is_empty, partitions
-from .textops import mix
+from .textops import give_back, mix
 
 SHINGLES_AT_ONCE = 1 << 18  # of the pairs compared, which bounds the working arrays
 BIT_PAIRS, BIT_WORDS = 1 << 15, 1 << 21  # pairs at once, and words of their bit sets
@@ -139,6 +139,7 @@ def star_links(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFra
                     if same / (len(head) + len(own) - same) >= similarity:
                         found.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(id_[found]), pa.array(lead[found])], ["a", "b"])
+        give_back()
 
     return dealt.mapInArrow(run, "a long, b long")
 
@@ -170,7 +171,7 @@ def verified_classes(near: DataFrame, grams: DataFrame, similarity: float, scrat
     lead = near.groupBy("key").agg(F.min("id").alias("lead"))
     led = scratch.save(near.join(lead, "key").select("key", "id", "lead").filter("id != lead"))
     pairs = scratch.save(led.select("lead", "id").distinct())
-    label = scratch.save(connected_components(star_links(pairs, grams, similarity), scratch).select("id", F.col("component").alias("label")))
+    label = scratch.save(connected_components(scratch.save(star_links(pairs, grams, similarity)), scratch).select("id", F.col("component").alias("label")))
     others = led.join(label, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     others = scratch.save(others, drop=led)
     mixed = others.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("label").alias("least")).filter("l < h")

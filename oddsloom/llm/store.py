@@ -34,21 +34,19 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/oddsloom/{what}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
-    def save(self, df: DataFrame, drop: DataFrame | None = None, batch_bytes: int | None = None) -> DataFrame:
+    def save(self, df: DataFrame, drop: DataFrame | None = None, batch_bytes: int = 16 << 20) -> DataFrame:
         """Write ``df``, read it back; ``drop``: an earlier table of this folder that is no longer needed.
 
-        ``batch_bytes``: the size of Arrow batches during this write, for rows that are large.
+        ``batch_bytes``: the size of Arrow batches during this write. Each task holds one on either side of its pipe.
         """
         self.count += 1
         path = f"{self.root}/{self.count}"
         was = self.spark.conf.get(BATCH_BYTES)
         try:
-            if batch_bytes is not None:
-                self.spark.conf.set(BATCH_BYTES, batch_bytes)
+            self.spark.conf.set(BATCH_BYTES, batch_bytes)
             df.write.parquet(path)
         finally:
-            if batch_bytes is not None:
-                self.spark.conf.set(BATCH_BYTES, was)
+            self.spark.conf.set(BATCH_BYTES, was)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         if drop is not None:

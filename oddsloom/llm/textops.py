@@ -6,6 +6,8 @@ size that Spark happens to choose; one text always stays whole.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -150,6 +152,21 @@ class Texts:
         return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+@functools.cache
+def _trim():
+    """What hands free memory of the C heap back to the machine, where there is such a thing."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Return what this worker no longer uses: it lives on for later stages, beside other workers of its executor."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def pieces(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[Texts]:
     """Walk a string column (null: empty) in slices of at most ``limit`` bytes and ``rows`` texts; a longer text is alone."""
     if isinstance(column, pa.ChunkedArray):
@@ -164,6 +181,7 @@ def pieces(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES, rows: i
         own = offsets[at : to + 1]
         yield Texts(at, data[own[0] : own[-1]], own - own[0])
         at = to
+    give_back()
 
 
 def shingles(words: np.ndarray, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
