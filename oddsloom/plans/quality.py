@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from oddsloom.functions import odds
+from oddsloom.operators import health
 from oddsloom.sources.bind import matches, quotes, table
 
 from .registry import Plans
@@ -63,13 +64,24 @@ def q02_protected_identity(spark, d):
     return j.select("id", F.when(F.col("n_name").isNull(), "PROTECTED_IDENTITY_MISSING").otherwise("PROTECTED_IDENTITY_CHANGED").alias("code"))
 
 
-@PLANS.add(f"""WITH m AS (SELECT match_id, count(*) FILTER (WHERE p_home < 1.35e0) AS impossible, count(*) FILTER (WHERE market = '1x2' AND {_OVER} > 0.25e0) AS extreme, count(*) FILTER (WHERE source_row % 97 = 0) AS contaminated FROM quotes GROUP BY match_id)
-    SELECT match_id, 'IMPOSSIBLE_ODDS_OR_LINE' AS code, 'WARN' AS severity, impossible AS n FROM m WHERE impossible > 0 UNION ALL SELECT match_id, 'EXTREME_OVERROUND', 'WARN', extreme FROM m WHERE extreme > 0 UNION ALL SELECT match_id, 'CROSS_MATCH_CONTAMINATION', 'FAIL', contaminated FROM m WHERE contaminated > 0""")
-def q04_semantic_events(spark, d):
-    q = quotes(spark, d)
+# what the feed would say of each quote, derived from its row
+_FLAGS = f"""f AS (SELECT *, p_home < 1.35e0 AS impossible, {_OVER} AS over, CASE WHEN source_row % 211 = 0 THEN 1 + {_OVER} ELSE 1e0 END AS devig_sum, source_row % 53 = 0 AS conflict, book_id < 3 AS core, source_row % 97 = 0 AS foreign_row FROM quotes),
+    c AS (SELECT match_id, count(*) AS n FROM (SELECT match_id, book_id, market, ts, line_q FROM f GROUP BY ALL HAVING count(DISTINCT {{'h': p_home, 'd': p_draw, 'a': p_away}}) > 1) GROUP BY match_id),
+    o AS (SELECT match_id, count(*) AS n FROM (SELECT match_id, book_id, market FROM (SELECT *, lag(ts) OVER (PARTITION BY match_id, book_id, market ORDER BY seq, source_row) AS before FROM f) GROUP BY ALL HAVING bool_or(ts < before)) GROUP BY match_id)"""
+
+
+def _flagged(spark, d):
     over = odds.overround(F.array("p_home", "p_draw", "p_away"))
-    m = q.groupBy("match_id").agg(F.count_if(F.col("p_home") < 1.35).alias("a"), F.count_if((F.col("market") == "1x2") & (over > 0.25)).alias("b"), F.count_if(F.col("source_row") % 97 == 0).alias("c"))
-    return m.selectExpr("match_id", "stack(3, 'IMPOSSIBLE_ODDS_OR_LINE', 'WARN', a, 'EXTREME_OVERROUND', 'WARN', b, 'CROSS_MATCH_CONTAMINATION', 'FAIL', c) AS (code, severity, n)").filter("n > 0")
+    q = quotes(spark, d).withColumn("over", over).withColumnRenamed("source_row", "row_no")
+    return q.select("match_id", "book_id", "market", "ts", "seq", "row_no", F.col("line_q").alias("line"), F.struct("p_home", "p_draw", "p_away").alias("prices"), (F.col("p_home") < 1.35).alias("impossible"), "over", F.when(F.col("row_no") % 211 == 0, 1 + F.col("over")).otherwise(F.lit(1.0)).alias("devig_sum"), (F.col("row_no") % 53 == 0).alias("conflict"), (F.col("book_id") < 3).alias("core"), (F.col("row_no") % 97 == 0).alias("foreign_row"))
+
+
+@PLANS.add(f"""WITH {_FLAGS}, m AS (SELECT match_id, count(*) FILTER (WHERE impossible) AS impossible, count(*) FILTER (WHERE abs(devig_sum - 1) > 1e-9) AS bad_sum, count(*) FILTER (WHERE market = '1x2' AND over > 0.25e0) AS extreme, count(*) FILTER (WHERE conflict) AS conflict, count(*) FILTER (WHERE conflict AND core) AS core_conflict, count(*) FILTER (WHERE foreign_row) AS contaminated FROM f GROUP BY match_id)
+    SELECT match_id, 'IMPOSSIBLE_ODDS_OR_LINE' AS code, 'WARN' AS severity, impossible AS n FROM m WHERE impossible > 0 UNION ALL SELECT match_id, 'DEVIG_SUM_INVALID', 'FAIL', bad_sum FROM m WHERE bad_sum > 0 UNION ALL SELECT match_id, 'EXTREME_OVERROUND', 'WARN', extreme FROM m WHERE extreme > 0
+    UNION ALL SELECT match_id, CASE WHEN core_conflict > 0 THEN 'CORE_BOOKMAKER_IDENTITY_CONFLICT' ELSE 'BOOKMAKER_IDENTITY_CONFLICT' END, CASE WHEN core_conflict > 0 THEN 'FAIL' ELSE 'WARN' END, conflict FROM m WHERE conflict > 0 UNION ALL SELECT match_id, 'CROSS_MATCH_CONTAMINATION', 'FAIL', contaminated FROM m WHERE contaminated > 0
+    UNION ALL SELECT match_id, 'CONFLICTING_DUPLICATE', 'WARN', n FROM c UNION ALL SELECT match_id, 'TIMELINE_SOURCE_REVERSE_ORDER', 'WARN', n FROM o""")
+def q04_semantic_events(spark, d):
+    return health.semantic_events(_flagged(spark, d))
 
 
 @PLANS.add("""WITH s AS (SELECT m.match_id, b.book_id, CASE WHEN count(q.ts) = 0 THEN 'BROKEN' WHEN count(q.ts) < 2 OR count(*) FILTER (WHERE q.seq = 1) = 0 THEN 'PARTIAL' ELSE 'COMPLETE' END AS state FROM (SELECT DISTINCT match_id FROM quotes) m CROSS JOIN (SELECT unnest([0, 1, 2]) AS book_id) b LEFT JOIN quotes q USING (match_id, book_id) GROUP BY ALL)
@@ -103,6 +115,28 @@ def a04_trailing_baseline(spark, d):
     return _batches(spark, d).select("batch", "n", F.round(F.avg("n").over(w), 6).alias("baseline"))
 
 
+_RATES = f"""{_FLAGS}, b AS (SELECT CAST(date_trunc('month', ts) AS DATE) AS batch, match_id, book_id, market, line_q, ts, impossible, source_row % 3 = 0 AND extract(month FROM ts) % 2 = 0 OR source_row % 7 > 0 AND extract(month FROM ts) = 7 AS no_time, {{'h': p_home, 'd': p_draw, 'a': p_away}} AS prices FROM f),
+    r AS (SELECT batch, count(*) AS records, count(DISTINCT match_id) AS matches, avg(impossible::INT) AS impossible, avg(no_time::INT) AS missing, count(*) / CAST(count(DISTINCT match_id) AS DOUBLE) AS rows_per_match FROM b GROUP BY batch),
+    d AS (SELECT batch, count(*) AS groups FROM (SELECT batch, match_id, book_id, market, ts, line_q FROM b GROUP BY ALL HAVING count(DISTINCT prices) > 1) GROUP BY batch),
+    k AS (SELECT batch, market, book_id, count(DISTINCT match_id) AS covered FROM b GROUP BY ALL), v AS (SELECT k.batch, market, book_id, covered / CAST(matches AS DOUBLE) AS cov FROM k JOIN r USING (batch))"""
+_TRAIL = "ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING"
+
+
+@PLANS.add(f"""WITH {_RATES}, t AS (SELECT *, avg(rows_per_match) OVER (ORDER BY batch {_TRAIL}) AS base FROM r), u AS (SELECT *, avg(cov) OVER (PARTITION BY market, book_id ORDER BY batch {_TRAIL}) AS base FROM v)
+    SELECT batch, 'HISTORICAL_BASELINE_UNAVAILABLE' AS code, 'INFO' AS severity, CAST(NULL AS VARCHAR) AS what FROM t WHERE base IS NULL
+    UNION ALL SELECT batch, 'STRUCTURAL_DEGRADATION_ALERT', CASE WHEN (base - rows_per_match) / base >= 0.70e0 THEN 'FAIL' ELSE 'WARN' END, NULL FROM t WHERE (base - rows_per_match) / base >= 0.45e0
+    UNION ALL SELECT batch, 'COVERAGE_DROP_ALERT', CASE WHEN cov - base <= -0.50e0 AND base >= 0.80e0 THEN 'FAIL' ELSE 'WARN' END, market || ':' || book_id FROM u WHERE cov - base < -0.25e0
+    UNION ALL SELECT batch, CASE WHEN missing >= 0.80e0 THEN 'TIMESTAMP_FORMAT_OR_PARSE_FAILURE' ELSE 'MISSING_TIMESTAMPS_HIGH' END, CASE WHEN missing >= 0.80e0 THEN 'FAIL' ELSE 'WARN' END, NULL FROM r WHERE missing >= 0.30e0
+    UNION ALL SELECT batch, 'IMPOSSIBLE_ODDS_WIDESPREAD', 'FAIL', NULL FROM r WHERE impossible >= 0.10e0
+    UNION ALL SELECT batch, 'CONFLICTING_DUPLICATES_WIDESPREAD', 'FAIL', NULL FROM r JOIN d USING (batch) WHERE groups / CAST(records AS DOUBLE) >= 0.05e0""")
+def q08_batch_health(spark, d):
+    """Rates and drops of every month's batch against the mean of the five before it."""
+    month = F.month("ts")
+    no_time = ((F.col("row_no") % 3 == 0) & (month % 2 == 0)) | ((F.col("row_no") % 7 > 0) & (month == 7))
+    rows = _flagged(spark, d).withColumn("batch", F.date_trunc("month", "ts").cast("date")).withColumn("no_time", no_time)
+    return health.batch_events(rows)
+
+
 @PLANS.add(f"""WITH b AS (SELECT *, avg(n) OVER w AS base, avg(cov) OVER w AS bcov FROM ({_BATCH}) WINDOW w AS (ORDER BY batch ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
     SELECT batch, CASE WHEN base IS NULL THEN 'HISTORICAL_BASELINE_UNAVAILABLE' WHEN (base - n) / base >= 0.70 THEN 'STRUCTURE_FAIL' WHEN (base - n) / base >= 0.45 THEN 'STRUCTURE_WARN' WHEN cov - bcov <= -0.25 THEN 'COVERAGE_DROP' WHEN missing >= 0.3 THEN 'MISSING_TIMESTAMPS_HIGH' ELSE 'OK' END AS status FROM b""")
 def q08_history_drops(spark, d):
