@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from oddsloom.functions import odds
 from oddsloom.operators import evaluation as ops
 from oddsloom.operators import pricing
+from oddsloom.operators.quantiles import exact_quantiles
 from oddsloom.sources.bind import matches, quotes
 
 from .registry import Plans
@@ -62,8 +63,9 @@ def a16_baseline_metrics(spark, d):
 
 @PLANS.add(f"SELECT competition, round(median(p), 6) AS med, round(quantile_cont(p, 0.1), 6) AS p10, round(quantile_cont(p, 0.25), 6) AS p25, round(quantile_cont(p, 0.75), 6) AS p75, round(quantile_cont(p, 0.9), 6) AS p90 FROM ({_FC}) GROUP BY competition")
 def a17_residual_percentiles(spark, d):
-    q = F.percentile("p", F.array(*map(F.lit, (0.5, 0.1, 0.25, 0.75, 0.9)))).alias("q")
-    return _forecasts(spark, d).groupBy("competition").agg(q).select("competition", *(F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(("med", "p10", "p25", "p75", "p90"))))
+    names = {0.5: "med", 0.1: "p10", 0.25: "p25", 0.75: "p75", 0.9: "p90"}
+    q = exact_quantiles(_forecasts(spark, d), "p", list(names), ("competition",))
+    return q.groupBy("competition").agg(*(F.round(F.max(F.when(F.col("prob") == p, F.col("quantile"))), 6).alias(n) for p, n in names.items()))
 
 
 @PLANS.add("""WITH c AS (SELECT match_id, avg(1/p_home) FILTER (WHERE book_id < 3) AS main, avg(1/p_home) FILTER (WHERE book_id >= 3) AS sec, count(DISTINCT book_id) FILTER (WHERE book_id >= 3) AS clusters FROM quotes GROUP BY 1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from oddsloom.operators import ratings as ops
 from oddsloom.operators import rolling
 from oddsloom.operators import season_ratings as season_ops
+from oddsloom.operators.quantiles import exact_quantiles
 from oddsloom.sources.bind import matches, quotes, table
 
 from .registry import Plans
@@ -113,19 +114,24 @@ def m21_matchup_rates(spark, d):
     return r.join(known, "match_id", "left_semi").select("match_id", F.round("lambda_home", 6).alias("lambda_home"), F.round("lambda_away", 6).alias("lambda_away"))
 
 
-_RES = f"""{_MATCHUP}, k AS (SELECT match_id, 3e0 / avg(p_home) AS mh, 3e0 / avg(p_away) AS ma FROM quotes GROUP BY 1), e AS (SELECT match_id, mh - lambda_home AS r FROM mu JOIN k USING (match_id)), md AS (SELECT median(r) AS med FROM e), sc AS (SELECT any_value(med) AS med, greatest(1.4826e0 * median(abs(r - med)), 1e-6) AS mad FROM e, md)"""
+_RES = f"""{_MATCHUP}, k AS (SELECT match_id, 3e0 / avg(p_home) AS mh, 3e0 / avg(p_away) AS ma FROM quotes GROUP BY 1), w AS (SELECT match_id, mh - lambda_home AS rh, ma - lambda_away AS ra FROM mu JOIN k USING (match_id)),
+    e AS (SELECT match_id, 'home' AS kind, rh AS r FROM w UNION ALL SELECT match_id, 'away', ra FROM w UNION ALL SELECT match_id, 'margin', rh - ra FROM w UNION ALL SELECT match_id, 'total', rh + ra FROM w),
+    md AS (SELECT kind, median(r) AS med FROM e GROUP BY kind), sc AS (SELECT e.kind, any_value(med) AS med, greatest(1.4826e0 * median(abs(r - med)), 1e-6) AS mad FROM e JOIN md ON e.kind = md.kind GROUP BY e.kind)"""
 
 
-@PLANS.add(f"WITH {_RES} SELECT match_id, round(r, 6) AS residual, round((r - med) / mad, 5) AS robust_z, CASE WHEN abs((r - med) / mad) >= 3 THEN 'EXTREME' WHEN abs((r - med) / mad) >= 2 THEN 'STRONG' WHEN abs((r - med) / mad) >= 1 THEN 'MODERATE' ELSE 'NORMAL' END AS label FROM e, sc")
+@PLANS.add(f"WITH {_RES} SELECT match_id, e.kind, round(r, 6) AS residual, round((r - med) / mad, 5) AS robust_z, CASE WHEN abs((r - med) / mad) >= 3 THEN 'EXTREME' WHEN abs((r - med) / mad) >= 2 THEN 'STRONG' WHEN abs((r - med) / mad) >= 1 THEN 'MODERATE' ELSE 'NORMAL' END AS label FROM e JOIN sc ON e.kind = sc.kind")
 def m22_a17_market_residuals(spark, d):
-    mk = quotes(spark, d).groupBy("match_id").agg((3 / F.avg("p_home")).alias("mh"))
+    """Home, away, margin and total rates of the market less those of the matchup, on a scale of median and MAD from exact quantiles."""
+    mk = quotes(spark, d).groupBy("match_id").agg((3 / F.avg("p_home")).alias("mh"), (3 / F.avg("p_away")).alias("ma"))
     known = ops.baseline_snapshots(matches(spark, d)).filter("home_rate IS NOT NULL").select("match_id")
-    e = ops.matchup_rates(matches(spark, d)).join(known, "match_id", "left_semi").join(mk, "match_id").select("match_id", (F.col("mh") - F.col("lambda_home")).alias("r"))
-    med = F.broadcast(e.agg(F.percentile("r", F.lit(0.5)).alias("med")))
-    mad = F.broadcast(e.crossJoin(med).agg(F.greatest(1.4826 * F.percentile(F.abs(F.col("r") - F.col("med")), F.lit(0.5)), F.lit(1e-6)).alias("mad")))
+    w = ops.matchup_rates(matches(spark, d)).join(known, "match_id", "left_semi").join(mk, "match_id").select("match_id", (F.col("mh") - F.col("lambda_home")).alias("home"), (F.col("ma") - F.col("lambda_away")).alias("away"))
+    e = w.withColumns({"margin": F.col("home") - F.col("away"), "total": F.col("home") + F.col("away")}).unpivot("match_id", ["home", "away", "margin", "total"], "kind", "r")
+    med = exact_quantiles(e, "r", [0.5], ("kind",)).select(F.col("kind").alias("k"), F.col("quantile").alias("med"))
+    off = e.join(F.broadcast(med), F.col("kind") == F.col("k")).withColumn("off", F.abs(F.col("r") - F.col("med")))
+    mad = exact_quantiles(off, "off", [0.5], ("kind",)).select(F.col("kind").alias("k2"), F.greatest(1.4826 * F.col("quantile"), F.lit(1e-6)).alias("mad"))
     z = (F.col("r") - F.col("med")) / F.col("mad")
-    out = e.crossJoin(med).crossJoin(mad).withColumn("z", z)
-    return out.select("match_id", F.round("r", 6).alias("residual"), F.round("z", 5).alias("robust_z"), F.when(F.abs("z") >= 3, "EXTREME").when(F.abs("z") >= 2, "STRONG").when(F.abs("z") >= 1, "MODERATE").otherwise("NORMAL").alias("label"))
+    out = off.join(F.broadcast(mad), F.col("kind") == F.col("k2")).withColumn("z", z)
+    return out.select("match_id", "kind", F.round("r", 6).alias("residual"), F.round("z", 5).alias("robust_z"), F.when(F.abs("z") >= 3, "EXTREME").when(F.abs("z") >= 2, "STRONG").when(F.abs("z") >= 1, "MODERATE").otherwise("NORMAL").alias("label"))
 
 
 @PLANS.add(f"WITH b AS ({_BASE}) SELECT m.match_id, CASE WHEN m.match_id % 4 = 0 THEN 'NO_EXACT_PREKICKOFF_ROW' WHEN b.home_rate IS NULL THEN 'NO_HISTORY' ELSE 'EXACT' END AS status, CASE WHEN m.match_id % 4 > 0 THEN round(b.home_rate, 9) END AS home_rate FROM matches m JOIN b USING (match_id)")
