@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ratings import DAY_US, past, team_view, with_time
+from .ratings import DAY_US, past, team_view, with_past, with_time
 
 
 def league_rates(matches: DataFrame, pseudo: float = 5.0, home: float = 1.35, away: float = 1.10) -> DataFrame:
     """Shrunk league goal rates known before each match."""
-    w = past("competition")
-    n = F.count(F.lit(1)).over(w)
-    rate = lambda c, b: (F.coalesce(F.sum(c).over(w), F.lit(0)) + pseudo * b) / (n + pseudo)
-    return with_time(matches).select("match_id", rate("home_goals", home).alias("lh"), rate("away_goals", away).alias("la"))
+    m = with_past(with_time(matches), ["competition"], {"n_": F.lit(1.0), "h_": F.col("home_goals").cast("double"), "a_": F.col("away_goals").cast("double")})
+    rate = lambda c, b: (F.col(c) + pseudo * b) / (F.col("n_") + pseudo)
+    return m.select("match_id", rate("h_", home).alias("lh"), rate("a_", away).alias("la"))
 
 
 def recent_form(matches: DataFrame, window: int = 10, half_life_days: float = 90.0, shrinkage: float = 4.0, cross_season: float = 0.45) -> DataFrame:
@@ -63,13 +62,9 @@ def recent_form(matches: DataFrame, window: int = 10, half_life_days: float = 90
 
 def history_shrinkage(matches: DataFrame, equivalent: float = 10.0) -> DataFrame:
     """League rates of the current season shrunk to earlier seasons, worth ``equivalent`` games, before each match."""
-    m = with_time(matches)
-    now, all_ = past("competition", "season_start"), past("competition")
-    sums = {}
-    for n, c in (("g", F.lit(1.0)), ("h", F.col("home_goals").cast("double")), ("a", F.col("away_goals").cast("double"))):
-        sums[f"{n}_now"] = F.coalesce(F.sum(c).over(now), F.lit(0.0))
-        sums[f"{n}_all"] = F.sum(c).over(all_)
-    m = m.withColumns(sums).filter("g_all > 0")
+    sums = {"g": F.lit(1.0), "h": F.col("home_goals").cast("double"), "a": F.col("away_goals").cast("double")}
+    m = with_past(with_time(matches), ["competition"], {f"{n}_all": c for n, c in sums.items()})
+    m = with_past(m, ["competition", "season_start"], {f"{n}_now": c for n, c in sums.items()}).filter("g_all > 0")
     before = F.col("g_all") - F.col("g_now")
 
     def rate(n: str) -> Column:

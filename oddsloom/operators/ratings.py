@@ -38,6 +38,32 @@ def decayed_past_sum(value: Column, keys: list[str], half_life_days: float) -> C
     return F.sum(value * F.pow(F.lit(2.0), t)).over(past(*keys)) * F.pow(F.lit(2.0), -t)
 
 
+def with_past(m: DataFrame, keys: list[str], sums: dict[str, Column], half_life_days: float | None = None) -> DataFrame:
+    """``m`` (with us) with the sum of each of ``sums`` over the rows of its keys that are strictly earlier, 0 if there are none; decayed to the row's time if asked.
+
+    In two levels: sums per day, a cumulative window over the days of a key, and one over the rows of a day. So no task holds
+    more than a key's calendar or one of its days. Decay within double range holds for some thousand half lives.
+    """
+    day, u = F.floor(F.col("us") / DAY_US), F.pmod(F.col("us"), F.lit(int(DAY_US))) / DAY_US
+    up = F.pow(F.lit(2.0), F.col("u_") / half_life_days) if half_life_days else F.lit(1.0)
+    rows = m.withColumns({"day_": day, "u_": u})
+    full = F.pow(F.lit(2.0), F.lit(1.0 / half_life_days)) if half_life_days else F.lit(1.0)  # what a day's start counts less than its end
+    daily = rows.groupBy(*keys, "day_").agg(*(F.sum(c * up / full if half_life_days else c).alias(f"{n}_d") for n, c in sums.items()))
+    before = Window.partitionBy(*keys).orderBy("day_").rowsBetween(Window.unboundedPreceding, -1)
+    if half_life_days:
+        since = F.min("day_").over(Window.partitionBy(*keys))
+        at = lambda k: F.pow(F.lit(2.0), (F.col("day_") - since + k) / half_life_days)
+        cum = {f"{n}_c": F.sum(F.col(f"{n}_d") * F.col("at_")).over(before) / F.col("now_") for n in sums}
+        daily = daily.withColumns({"at_": at(1), "now_": at(0)}).withColumns(cum)
+    else:
+        daily = daily.withColumns({f"{n}_c": F.sum(f"{n}_d").over(before) for n in sums})
+    inside = Window.partitionBy(*keys, "day_").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    j = rows.join(daily.select(*keys, "day_", *(f"{n}_c" for n in sums)), [*keys, "day_"])
+    both = lambda n, c: (F.coalesce(f"{n}_c", F.lit(0)) + F.coalesce(F.sum(c * up if half_life_days else c).over(inside), F.lit(0))) / up
+    out = j.withColumns({n: both(n, c) if half_life_days else F.coalesce(f"{n}_c", F.lit(0)) + F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
+    return out.drop("day_", "u_", *(f"{n}_c" for n in sums))
+
+
 def shrunk(total: Column, games: Column, baseline: Column, pseudo: float) -> Column:
     return (total + pseudo * baseline) / F.greatest(games + pseudo, F.lit(1e-12))
 
@@ -51,23 +77,18 @@ def last_n_mean(value: str, keys: list[str], n: int) -> Column:
 def baseline_snapshots(matches: DataFrame, half_life_days: float | None = None, seasons: int | None = None) -> DataFrame:
     """League home and away goal rates known before every match: over all history, the last ``seasons``, or decayed."""
     m = with_time(matches)
-    one = F.lit(1.0)
-    if half_life_days:
-        sums = {n: decayed_past_sum(v, ["competition"], half_life_days) for n, v in (("games", one), ("hg", F.col("home_goals")), ("ag", F.col("away_goals")))}
-        m = m.withColumns(sums)
-    elif seasons:
-        # a target's season and the one before: two cumulative sums by season, joined at the target
-        w = past("competition", "season_start")
-        m = m.withColumns({"games": F.sum(one).over(w), "hg": F.sum("home_goals").over(w), "ag": F.sum("away_goals").over(w)})
+    sums = {"games": F.lit(1.0), "hg": F.col("home_goals").cast("double"), "ag": F.col("away_goals").cast("double")}
+    if half_life_days or not seasons:
+        m = with_past(m, ["competition"], sums, half_life_days)
+    else:
+        # a target's season so far and the whole ones before it, joined at the target
+        m = with_past(m, ["competition", "season_start"], sums)
         totals = matches.groupBy("competition", "season_start").agg(F.count(F.lit(1)).alias("g0"), F.sum("home_goals").alias("h0"), F.sum("away_goals").alias("a0"))
         for back in range(1, seasons):
             t = totals.select("competition", (F.col("season_start") + back).alias("season_start"), *(F.col(c).alias(f"{c}_{back}") for c in ("g0", "h0", "a0")))
             m = m.join(t, ["competition", "season_start"], "left")
             for c, s in (("games", "g0"), ("hg", "h0"), ("ag", "a0")):
-                m = m.withColumn(c, F.coalesce(c, F.lit(0)) + F.coalesce(f"{s}_{back}", F.lit(0)))
-    else:
-        w = past("competition")
-        m = m.withColumns({"games": F.sum(one).over(w), "hg": F.sum("home_goals").over(w), "ag": F.sum("away_goals").over(w)})
+                m = m.withColumn(c, F.col(c) + F.coalesce(f"{s}_{back}", F.lit(0)))
     ok = F.col("games") > 0
     return m.select("match_id", F.when(ok, F.col("hg") / F.col("games")).alias("home_rate"), F.when(ok, F.col("ag") / F.col("games")).alias("away_rate"))
 

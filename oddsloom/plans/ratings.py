@@ -21,14 +21,15 @@ _TPAST = "PARTITION BY competition, team, venue ORDER BY kickoff RANGE BETWEEN U
 
 @PLANS.add(f"SELECT match_id, CAST(count(*) OVER w AS BIGINT) AS games, CAST(coalesce(sum(home_goals) OVER w, 0) AS BIGINT) AS home_goals_before FROM matches WINDOW w AS ({_PAST})")
 def w15_strictly_past(spark, d):
-    w = ops.past("competition")
-    return ops.with_time(matches(spark, d)).select("match_id", F.count(F.lit(1)).over(w).alias("games"), F.coalesce(F.sum("home_goals").over(w), F.lit(0)).alias("home_goals_before"))
+    m = ops.with_past(ops.with_time(matches(spark, d)), ["competition"], {"games": F.lit(1).cast("long"), "home_goals_before": F.col("home_goals")})
+    return m.select("match_id", "games", "home_goals_before")
 
 
 @PLANS.add("SELECT a.match_id, round(sum(b.home_goals * pow(0.5e0, (epoch_us(a.kickoff) - epoch_us(b.kickoff)) / 86400000000e0 / 90)), 6) AS decayed FROM matches a LEFT JOIN matches b ON a.competition = b.competition AND a.home_team = b.home_team AND b.kickoff < a.kickoff GROUP BY a.match_id")
 def w16_decayed_sums(spark, d):
     m = ops.with_time(matches(spark, d))
-    return m.select("match_id", F.round(ops.decayed_past_sum(F.col("home_goals"), ["competition", "home_team"], 90.0), 6).alias("decayed"))
+    m = ops.with_past(m, ["competition", "home_team"], {"games": F.lit(1), "decayed": F.col("home_goals").cast("double")}, 90.0)
+    return m.select("match_id", F.round(F.when(F.col("games") > 0, F.col("decayed")), 6).alias("decayed"))
 
 
 @PLANS.add(f"""WITH n AS (SELECT *, row_number() OVER w AS rn, sum(gf) OVER w AS s, count(*) OVER (PARTITION BY competition, team, venue ORDER BY kickoff RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING) AS k FROM ({_TEAM}) WINDOW w AS (PARTITION BY competition, team, venue ORDER BY kickoff, match_id ROWS UNBOUNDED PRECEDING))
