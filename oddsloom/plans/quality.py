@@ -212,6 +212,46 @@ def s08_dataset_audit(spark, d):
     return matches(spark, d).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kickoff").isNull()).alias("null_kickoff"), F.min("kickoff").cast("date").alias("first_day"), F.max("kickoff").cast("date").alias("last_day"), F.count_if(F.col("home_team") == F.col("away_team")).alias("self_matches"))
 
 
+_REQUIRED = ("match_id", "kickoff", "competition", "home_team", "away_team", "home_goals", "away_goals", "referee")
+
+
+@PLANS.add("WITH n AS (SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL OR match_id % {k + 5} = 0) AS n_{c}" for k, c in enumerate(_REQUIRED[:-1])) + " FROM matches) " + " UNION ALL ".join(f"SELECT '{c}' AS field, n, n_{c} AS nulls, false AS missing FROM n" for c in _REQUIRED[:-1]) + " UNION ALL SELECT 'referee', n, n, true FROM n")
+def s08_field_audit(spark, d):
+    """Nulls of every required field (here some are made null), and required fields that the table does not have."""
+    m = matches(spark, d)
+    m = m.select(*(F.when(F.col("match_id") % (k + 5) != 0, F.col(c)).alias(c) for k, c in enumerate(_REQUIRED[:-1])))
+    return field_audit(m, _REQUIRED)
+
+
+def field_audit(rows, required):
+    """(field, n, nulls, missing): one aggregation; a field that is missing is null throughout."""
+    has = set(rows.columns)
+    g = rows.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in required if c in has))
+    each = F.array(*(F.struct(F.lit(c).alias("field"), F.col("n").alias("n"), (F.col(f"n_{c}") if c in has else F.col("n")).alias("nulls"), F.lit(c not in has).alias("missing")) for c in required))
+    return g.select(F.explode(each).alias("x")).select("x.*")
+
+
+_RESULTS = "SELECT match_id, kickoff, competition, home_team, away_team, CASE WHEN match_id % 11 = 0 THEN NULL ELSE home_goals END AS home_goals FROM matches UNION ALL SELECT match_id, kickoff, competition, home_team, away_team, home_goals + 1 FROM matches WHERE match_id % 10 = 1 UNION ALL SELECT match_id + 100000000, kickoff, competition, home_team, away_team, home_goals FROM matches WHERE match_id % 7 = 2"
+
+
+@PLANS.add(f"""WITH r AS ({_RESULTS}), a AS (SELECT *, home_goals IS NULL AS invalid, row_number() OVER (PARTITION BY match_id, home_goals IS NULL ORDER BY kickoff, home_goals) AS k FROM r), b AS (SELECT *, row_number() OVER (PARTITION BY competition, kickoff, home_team, away_team, invalid OR k > 1 ORDER BY match_id) AS f FROM a)
+    SELECT CASE WHEN invalid THEN 'INVALID' WHEN k > 1 THEN 'DUPLICATE_ID' WHEN f > 1 THEN 'DUPLICATE_FIXTURE' ELSE 'KEPT' END AS cause, count(*) AS n FROM b GROUP BY 1""")
+def s09_drop_causes(spark, d):
+    """What a results scan drops and why: invalid rows first, then later rows of an id, then later rows of a fixture."""
+    m = matches(spark, d).select("match_id", "kickoff", "competition", "home_team", "away_team", "home_goals")
+    made = m.withColumn("home_goals", F.when(F.col("match_id") % 11 != 0, F.col("home_goals")))
+    made = made.unionByName(m.filter("match_id % 10 = 1").withColumn("home_goals", F.col("home_goals") + 1)).unionByName(m.filter("match_id % 7 = 2").withColumn("match_id", F.col("match_id") + 100000000))
+    return drop_causes(made).groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
+
+
+def drop_causes(results):
+    """``results`` with the cause for which a row is dropped, or KEPT. Rows that are out already never stand for an id or fixture."""
+    a = results.withColumn("invalid", F.col("home_goals").isNull())
+    a = a.withColumn("k", F.row_number().over(Window.partitionBy("match_id", "invalid").orderBy("kickoff", "home_goals")))
+    b = a.withColumn("f", F.row_number().over(Window.partitionBy("competition", "kickoff", "home_team", "away_team", F.col("invalid") | (F.col("k") > 1)).orderBy("match_id")))
+    return b.withColumn("cause", F.when(F.col("invalid"), "INVALID").when(F.col("k") > 1, "DUPLICATE_ID").when(F.col("f") > 1, "DUPLICATE_FIXTURE").otherwise("KEPT")).drop("invalid", "k", "f")
+
+
 @PLANS.add("SELECT n_nationkey, '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":' || n_regionkey || '}' AS record_json FROM nation")
 def k05_record_export(spark, d):
     n = table(spark, d, "nation")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from oddsloom.functions import odds, scalars
+from oddsloom.functions import odds, redaction, scalars
 from oddsloom.sources.bind import matches, odds_events, quotes, table
 
 from .registry import Plans
@@ -142,6 +142,16 @@ def f15_f16_redaction(spark, d):
     return docs.select("doc_id", F.length("r").cast("long").alias("n_chars_after"), (F.col("r") != F.col("text")).alias("changed"), scalars.has_secret(F.col("text")).alias("has_secret"))
 
 
+@PLANS.add("""SELECT doc_id, '[REDACTED]' AS api_key, lang AS name, '' AS token, CASE WHEN source IS NULL OR source = '' THEN source ELSE '[REDACTED]' END AS password, 'see [REDACTED_PATH]' AS note, CASE WHEN coalesce(source, '') <> '' THEN 'account.api_key,account.password,extra' ELSE 'account.api_key,extra' END AS redactions FROM documents""")
+def f15_nested_redaction(spark, d):
+    """Sensitive names and texts at any depth of a record, with the places that changed."""
+    docs = table(spark, d, "documents")
+    account = F.struct(F.concat(F.lit("k"), F.col("doc_id")).alias("api_key"), F.col("lang").alias("name"), F.lit("").alias("token"), F.col("source").alias("password"))
+    rows = docs.select("doc_id", account.alias("account"), F.create_map(F.lit("note"), F.lit("see /home/me/x"), F.lit("session_id"), F.lit("s1")).alias("extra"))
+    out = redaction.redacted(rows)
+    return out.select("doc_id", "account.*", F.col("extra")["note"].alias("note"), F.array_join("redactions", ",").alias("redactions"))
+
+
 @PLANS.add("SELECT match_id, CASE WHEN match_id % 7 = 0 THEN NULL ELSE season_start END AS season FROM matches")
 def f17_season_start(spark, d):
     m = matches(spark, d)
