@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from oddsloom.functions import odds
+from oddsloom.functions import odds, redaction
 from oddsloom.operators import health
 from oddsloom.sources.bind import matches, quotes, table
 
@@ -258,6 +258,41 @@ def k05_record_export(spark, d):
     return n.select("n_nationkey", F.to_json(F.struct(*sorted(n.columns))).alias("record_json"))
 
 
+_EXPORTED = {
+    "region": "r_regionkey:n r_name:s",
+    "nation": "n_nationkey:n n_name:s n_regionkey:n",
+    "supplier": "s_suppkey:n s_name:s s_nationkey:n s_acctbal:n",
+    "customer": "c_custkey:n c_name:s c_nationkey:n c_acctbal:n c_mktsegment:s",
+    "part": "p_partkey:n p_name:s p_brand:s p_type:s p_size:n p_retailprice:n",
+    "orders": "o_orderkey:n o_custkey:n o_orderstatus:s o_totalprice:n o_orderdate:s o_orderpriority:s",
+    "lineitem": "l_orderkey:n l_partkey:n l_suppkey:n l_linenumber:n l_quantity:n l_extendedprice:n l_discount:n l_tax:n l_returnflag:s l_linestatus:s l_shipdate:s",
+}
+
+
+def _export_sql() -> str:
+    parts = []
+    for t, columns in _EXPORTED.items():
+        fields = [f"""'"{c}":{'"' if k == "s" else ""}' || {f'replace(CAST({c} AS VARCHAR), chr(34), chr(92) || chr(34))' if k == "s" else f'CAST({c} AS VARCHAR)'} || '{'"' if k == "s" else ""}'""" for c, k in sorted(x.split(":") for x in columns.split())]
+        parts.append(f"""SELECT '{t}' AS "table", '{{' || {" || ',' || ".join(fields)} || '}}' AS record_json FROM {t}""")
+    return " UNION ALL ".join(parts)
+
+
+def export_records(tables):
+    """(table, record_json) of every row of ``tables`` (name -> rows): sorted keys, secrets redacted, times as text."""
+    out = None
+    for name, rows in tables.items():
+        clean = redaction.redacted(rows.select(*(F.col(c).cast("string").alias(c) if t.startswith(("timestamp", "date")) else F.col(c) for c, t in rows.dtypes)))
+        part = clean.select(F.lit(name).alias("table"), F.to_json(F.struct(*sorted(rows.columns))).alias("record_json"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@PLANS.add(_export_sql())
+def k05_export_tables(spark, d):
+    """All tables of the star as one feed of redacted records."""
+    return export_records({t: table(spark, d, t) for t in _EXPORTED})
+
+
 def content_hash(rows):
     """One row, content_hash: of a table's rows in any order, by sums of the words of their sha256, which combine before the shuffle."""
     h = F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)
