@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oddsloom.operators import forms as ops
+from oddsloom.operators import response
 from oddsloom.sources.bind import matches, pool, quotes
 
 from .registry import Plans
@@ -28,6 +29,24 @@ def m20_baseline_history_shrinkage(spark, d):
     return b.select("match_id", F.round("home_rate", 9).alias("home_rate"), F.round("away_rate", 9).alias("away_rate"))
 
 
+@PLANS.add()
+def m19_residual_response(spark, d):
+    """What both teams' recent form says of the goals beyond the league's rates: four features, two targets, per competition."""
+    import uuid
+
+    from oddsloom.plans.ingest import shared_folder
+
+    m = matches(spark, d)
+    form = ops.recent_form(m).select("match_id", "venue", "attack", "defence")
+    side = lambda v, a, b: form.filter(F.col("venue") == v).select("match_id", F.col("attack").alias(a), F.col("defence").alias(b))
+    rows = m.select("match_id", "competition", "home_goals", "away_goals").join(side("home", "home_attack", "home_defence"), "match_id").join(side("away", "away_attack", "away_defence"), "match_id").join(ops.league_rates(m), "match_id")
+    rows = rows.select("competition", "home_attack", "away_defence", "away_attack", "home_defence", response.log_residual(F.col("home_goals"), F.col("lh")).alias("home"), response.log_residual(F.col("away_goals"), F.col("la")).alias("away"))
+    path = f"{shared_folder(spark)}/response/{uuid.uuid4().hex[:12]}"  # read several times below
+    rows.write.parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    return _r6(response.residual_response(rows, ["home_attack", "away_defence", "away_attack", "home_defence"], ["home", "away"], "competition", ridge=20.0), "competition", "n", "target", "feature")
+
+
 @PLANS.add()
 def m12_fixture_priors(spark, d):
     m = matches(spark, d)
