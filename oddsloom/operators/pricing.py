@@ -28,8 +28,11 @@ def score_grid(rates: DataFrame, keys: list[str], goals: int = GOALS) -> DataFra
     h, a, lh, la, rho = (F.col(c) for c in ("h", "a", "lh", "la", "rho"))
     raw = odds.poisson_pmf(h, lh) * odds.poisson_pmf(a, la) * odds.dixon_coles_tau(h, a, lh, la, rho)
     low = F.least(1 - lh * la * rho, 1 + lh * rho, 1 + la * rho, 1 - rho)
-    cells = rates.filter((F.abs(rho) < 0.5) & (low >= 0)).crossJoin(grid).withColumn("raw", raw)
-    return cells.withColumn("p", F.col("raw") / F.sum("raw").over(Window.partitionBy(*keys))).select(*keys, "h", "a", "p")
+    # all cells add up to the product of both truncated sums, but for the four corrected ones: known before the cells are made
+    both = lambda r: sum((odds.poisson_pmf(F.lit(k), r) for k in range(goals + 1)), F.lit(0.0))
+    corrected = sum((odds.poisson_pmf(F.lit(x), lh) * odds.poisson_pmf(F.lit(y), la) * (odds.dixon_coles_tau(F.lit(x), F.lit(y), lh, la, rho) - 1) for x in (0, 1) for y in (0, 1)), F.lit(0.0))
+    whole = rates.filter((F.abs(rho) < 0.5) & (low >= 0)).withColumn("whole_", both(lh) * both(la) + corrected)
+    return whole.crossJoin(grid).select(*keys, "h", "a", (raw / F.col("whole_")).alias("p"))
 
 
 def outcome_probabilities(grid: DataFrame, keys: list[str]) -> DataFrame:
