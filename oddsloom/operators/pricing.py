@@ -24,15 +24,149 @@ def score_grid(rates: DataFrame, keys: list[str], goals: int = GOALS) -> DataFra
 
     Rows with rho outside (-0.5, 0.5) or a negative corrected cell give nothing.
     """
-    grid = F.broadcast(goal_grid(rates.sparkSession, goals))
-    h, a, lh, la, rho = (F.col(c) for c in ("h", "a", "lh", "la", "rho"))
-    raw = odds.poisson_pmf(h, lh) * odds.poisson_pmf(a, la) * odds.dixon_coles_tau(h, a, lh, la, rho)
+    import numpy as np
+    import pyarrow as pa
+
+    h, a = (c.ravel().astype(np.int32) for c in np.indices((goals + 1, goals + 1)))
+
+    def cells(grids):
+        n = len(grids)
+        return {"h": pa.array(np.tile(h, n)), "a": pa.array(np.tile(a, n)), "p": _nullable(grids.ravel())}
+
+    return _from_grids(rates, keys, "h int, a int, p double", cells, goals)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly over all tasks: a short file is one split, whatever its rows cost."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _nullable(x):
+    """An Arrow array with nulls for NaN."""
+    import pyarrow as pa
+
+    return pa.array(x, from_pandas=True)
+
+
+def _from_grids(rates: DataFrame, keys: list[str], schema: str, made, goals: int) -> DataFrame:
+    """(keys, ``schema``): ``made`` of the score grids of some rows of ``rates``, as columns of the same number of values for each grid, grid after grid.
+
+    Grids exist only inside an Arrow batch; what needs no single cells never shuffles any.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    lh, la, rho = (F.col(c) for c in ("lh", "la", "rho"))
     low = F.least(1 - lh * la * rho, 1 + lh * rho, 1 + la * rho, 1 - rho)
-    # all cells add up to the product of both truncated sums, but for the four corrected ones: known before the cells are made
-    both = lambda r: sum((odds.poisson_pmf(F.lit(k), r) for k in range(goals + 1)), F.lit(0.0))
-    corrected = sum((odds.poisson_pmf(F.lit(x), lh) * odds.poisson_pmf(F.lit(y), la) * (odds.dixon_coles_tau(F.lit(x), F.lit(y), lh, la, rho) - 1) for x in (0, 1) for y in (0, 1)), F.lit(0.0))
-    whole = rates.filter((F.abs(rho) < 0.5) & (low >= 0)).withColumn("whole_", both(lh) * both(la) + corrected)
-    return whole.crossJoin(grid).select(*keys, "h", "a", (raw / F.col("whole_")).alias("p"))
+    rows = spread(rates.filter((F.abs(rho) < 0.5) & (low >= 0)).select(*keys, *(F.col(c).cast("double") for c in ("lh", "la", "rho"))))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    k = np.arange(goals + 1)
+    facts = np.array([float(factorial(int(i))) for i in k])
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                lh, la, rho = (batch.column(len(keys) + i).to_numpy(zero_copy_only=False).astype(float)[:, None] for i in range(3))
+                ph, pa_ = (np.exp(-r) * r**k / facts for r in (lh, la))
+                g = ph[:, :, None] * pa_[:, None, :]
+                for x, y, tau in ((0, 0, 1 - lh * la * rho), (0, 1, 1 + lh * rho), (1, 0, 1 + la * rho), (1, 1, 1 - rho)):
+                    g[:, x, y] *= tau[:, 0]
+                g /= g.sum(axis=(1, 2), keepdims=True)
+                got = made(g.reshape(len(g), -1))
+                own = batch.select(range(len(keys))).take(pa.array(np.repeat(np.arange(len(g)), len(next(iter(got.values()))) // max(1, len(g)))))
+                yield pa.RecordBatch.from_arrays([*own.columns, *got.values()], [*keys, *got])
+
+    return rows.mapInArrow(run, f"{kinds}, {schema}")
+
+
+def _outcome_masks(goals: int) -> dict:
+    import numpy as np
+
+    h, a = (c.ravel() for c in np.indices((goals + 1, goals + 1)))
+    return {"home": h > a, "draw": h == a, "away": h < a, "over_2_5": h + a >= 3, "tail_5": h + a >= 5}
+
+
+def outcomes_of(rates: DataFrame, keys: list[str], goals: int = GOALS) -> DataFrame:
+    """``outcome_probabilities`` of the score grids of ``rates``, without making their cells."""
+    import numpy as np
+
+    masks = _outcome_masks(goals)
+    weights = np.stack(list(masks.values()), 1).astype(float)
+    return _from_grids(rates, keys, ", ".join(f"{n} double" for n in masks), lambda g: dict(zip(masks, map(_nullable, (g @ weights).T), strict=True)), goals)
+
+
+def settlements_of(rates: DataFrame, lines: list[int], keys: list[str], total: bool = False, goals: int = GOALS) -> DataFrame:
+    """``settlement_distribution`` of the score grids of ``rates`` on ``lines`` in quarter units, without making their cells."""
+    import numpy as np
+    import pyarrow as pa
+
+    h, a = (c.ravel()[:, None] for c in np.indices((goals + 1, goals + 1)))
+    line = np.array(lines, np.int32)
+    margin, own = ((h + a) * 4, -line) if total else ((h - a) * 4, line)
+    state = np.sign(margin + own - own % 2) + np.sign(margin + own + own % 2)
+    names = {2: "full_win", 1: "half_win", 0: "push", -1: "half_loss", -2: "full_loss"}
+    weights = [(state == k).astype(float) for k in names]
+
+    def made(g):
+        return {"line_q": pa.array(np.tile(line, len(g)))} | {n: _nullable((g @ w).ravel()) for n, w in zip(names.values(), weights, strict=True)}
+
+    return _from_grids(rates, keys, "line_q int, " + ", ".join(f"{n} double" for n in names.values()), made, goals)
+
+
+def _best_cells(g, n: int, digits: int):
+    """Probabilities rounded to ``digits`` and the places of the n greatest of each grid; ties prefer larger home, then away scores."""
+    import numpy as np
+
+    p = np.round(np.nan_to_num(g, nan=-1.0), digits)
+    return p, g.shape[1] - 1 - np.argsort(-p[:, ::-1], axis=1, kind="stable")[:, :n]
+
+
+def top_of(rates: DataFrame, keys: list[str], n: int, digits: int, goals: int = GOALS) -> DataFrame:
+    """(keys, h, a, place): ``top_scores`` of the score grids of ``rates`` by their probabilities rounded to ``digits``, without shuffling cells."""
+    import numpy as np
+    import pyarrow as pa
+
+    def made(g):
+        best = _best_cells(g, n, digits)[1].astype(np.int32)
+        place = np.tile(np.arange(1, best.shape[1] + 1, dtype=np.int32), len(g))
+        return {"h": pa.array(best.ravel() // (goals + 1)), "a": pa.array(best.ravel() % (goals + 1)), "place": pa.array(place)}
+
+    return _from_grids(rates, keys, "h int, a int, place int", made, goals)
+
+
+def consistent_of(rates: DataFrame, keys: list[str], n: int, picks: int, digits: int, goals: int = GOALS) -> DataFrame:
+    """(keys, h, a, pick, totals_ok): of the n likeliest scores those with the likelier winner, first the ones on the likelier side of 2.5 goals; ``picks`` of them."""
+    import numpy as np
+
+    masks = _outcome_masks(goals)
+    weights = np.stack([masks[c] for c in ("home", "away", "over_2_5")], 1).astype(float)
+
+    def made(g):
+        p, best = _best_cells(g, n, digits)
+        home, away, over = (g @ weights).T[:, :, None]
+        h, a = best // (goals + 1), best % (goals + 1)
+        winner = np.where(home >= away, h > a, (home < away) & (h < a))
+        totals = (over >= 0.5) == (h + a >= 3)
+        first = np.argsort(np.where(winner, np.where(totals, 0, 1), 2), axis=1, kind="stable")[:, :picks]  # cells are in order of their places
+        at = lambda x: np.take_along_axis(x, first, 1).ravel()
+        pick = np.tile(np.arange(1, first.shape[1] + 1), len(g))
+        return {"h": _ints(at(h)), "a": _ints(at(a)), "pick": _ints(pick), "totals_ok": _bools(at(totals)), "ok_": _bools(at(winner))}
+
+    return _from_grids(rates, keys, "h int, a int, pick int, totals_ok boolean, ok_ boolean", made, goals).filter("ok_").drop("ok_")
+
+
+def _ints(x):
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.array(x.astype(np.int32))
+
+
+def _bools(x):
+    import pyarrow as pa
+
+    return pa.array(x)
 
 
 def outcome_probabilities(grid: DataFrame, keys: list[str]) -> DataFrame:
@@ -121,7 +255,7 @@ def predictive_grid(posterior: DataFrame, keys: list[str], order: int = 9, goals
                 h, a = (np.tile(c.ravel(), n).astype(np.int32) for c in np.meshgrid(k, k, indexing="ij"))
                 yield pa.RecordBatch.from_arrays([*own.columns[: len(keys)], pa.array(h), pa.array(a), pa.array(g.ravel())], [*keys, "h", "a", "p"])
 
-    return posterior.select(*keys, *need).mapInArrow(run, schema)
+    return spread(posterior.select(*keys, *need)).mapInArrow(run, schema)
 
 
 def top_scores(grid: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -141,45 +275,53 @@ def implied_rates(rows: DataFrame, steps: int = 25) -> DataFrame:
     keys = [c for c in rows.columns if c not in ("q_home", "q_draw", "q_away", "line_q", "q_over")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", lambda_home double, lambda_away double, rho double, residual double"
 
-    def model(x, line, k):
+    k = np.arange(GOALS + 1)
+    facts = np.array([float(factorial(int(i))) for i in k])
+    higher = (k[:, None] > k[None, :]).astype(float)
+
+    def wins(line):
+        """Share won of an over bet at ``line`` by (h, a)."""
+        full = (k[:, None] + k[None, :]) * 4
+        return sum((full > leg) * 1.0 + 0.5 * (full == leg) for leg in (line - line % 2, line + line % 2)) / 2
+
+    def model(x, line, tables):
+        # sums over a grid are products of both scores' vectors with a fixed table, but for the four corrected cells
         lh, la, rho = x.T
-        ph, pa_ = (np.exp(-r)[:, None] * r[:, None] ** k / np.array([factorial(int(i)) for i in k]) for r in (lh, la))
-        g = ph[:, :, None] * pa_[:, None, :]
-        g[:, 0, 0] *= 1 - lh * la * rho
-        g[:, 0, 1] *= 1 + lh * rho
-        g[:, 1, 0] *= 1 + la * rho
-        g[:, 1, 1] *= 1 - rho
-        g /= g.sum(axis=(1, 2), keepdims=True)
-        diff, tot = k[:, None] - k[None, :], k[:, None] + k[None, :]
-        full = tot[None] * 4
-        odd = line % 2
-        legs = [(line - odd)[:, None, None], (line + odd)[:, None, None]]
-        win = sum((full > leg) * 1.0 + 0.5 * (full == leg) for leg in legs) / 2
-        return np.stack([(g * (diff > 0)).sum((1, 2)), (g * (diff < 0)).sum((1, 2)), (g * win).sum((1, 2))], 1)
+        ph, pa_ = (np.exp(-r)[:, None] * r[:, None] ** k / facts for r in (lh, la))
+        more = {(0, 0): -lh * la * rho, (0, 1): lh * rho, (1, 0): la * rho, (1, 1): -rho}
+        more = {(h, a): ph[:, h] * pa_[:, a] * t for (h, a), t in more.items()}
+        over = np.empty(len(x))
+        for one, table in tables.items():
+            of = np.flatnonzero(line == one)
+            over[of] = np.einsum("ij,ij->i", ph[of] @ table, pa_[of]) + sum(t[of] * table[c] for c, t in more.items())
+        home = np.einsum("ij,ij->i", ph @ higher, pa_) + more[1, 0]
+        away = np.einsum("ij,ij->i", ph @ higher.T, pa_) + more[0, 1]
+        whole = ph.sum(1) * pa_.sum(1) + sum(more.values())
+        return np.stack([home, away, over], 1) / whole[:, None]
 
     def run(batches):
-        k = np.arange(GOALS + 1)
         for batch in batches:
             t = {c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(float) for c in ("q_home", "q_away", "line_q", "q_over")}
             want, line = np.stack([t["q_home"], t["q_away"], t["q_over"]], 1), t["line_q"].astype(int)
             x = np.tile([1.5, 1.1, -0.05], (len(want), 1))
             damp = np.full(len(want), 1e-3)
             low, high = np.array([0.05, 0.05, -0.35]), np.array([6.0, 6.0, 0.35])
-            res = model(x, line, k) - want
+            tables = {int(one): wins(int(one)) for one in np.unique(line)}
+            res = model(x, line, tables) - want
             for _ in range(steps):
                 on = np.flatnonzero(np.abs(res).max(axis=1, initial=0) > TOLERANCE)  # rows that are there already rest
                 if not len(on):
                     break
                 at, of, aim = x[on], line[on], want[on]
-                jac = np.stack([(model(np.clip(at + d, low - 1e-4, high + 1e-4), of, k) - (res[on] + aim)) / 1e-6 for d in np.eye(3) * 1e-6], 2)
+                jac = np.stack([(model(np.clip(at + d, low - 1e-4, high + 1e-4), of, tables) - (res[on] + aim)) / 1e-6 for d in np.eye(3) * 1e-6], 2)
                 a = jac.transpose(0, 2, 1) @ jac + damp[on, None, None] * np.eye(3)
                 step = np.linalg.solve(a, (jac.transpose(0, 2, 1) @ res[on][:, :, None]))[:, :, 0]
                 new = np.clip(at - step, low, high)
-                got = model(new, of, k) - aim
+                got = model(new, of, tables) - aim
                 better = np.square(got).sum(1) < np.square(res[on]).sum(1)
                 x[on[better]], res[on[better]] = new[better], got[better]
                 damp[on] = np.where(better, damp[on] * 0.3, damp[on] * 4)
             out = [batch.column(batch.schema.get_field_index(c)) for c in keys]
             yield pa.RecordBatch.from_arrays([*out, *(pa.array(x[:, j]) for j in range(3)), pa.array(np.abs(res).max(1) if len(res) else np.zeros(0))], [*keys, "lambda_home", "lambda_away", "rho", "residual"])
 
-    return rows.mapInArrow(run, schema)
+    return spread(rows).mapInArrow(run, schema)

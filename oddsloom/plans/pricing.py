@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from oddsloom.functions import odds
@@ -22,18 +21,18 @@ def _rates(spark, d):
     return matches(spark, d).selectExpr("match_id", "home_goals", "away_goals", "0.6e0 + home_team / 12e0 AS lh", "0.5e0 + away_team / 14e0 AS la", "-0.05e0 AS rho")
 
 
-def _grid(spark, d):
-    return ops.score_grid(_rates(spark, d).select("match_id", "lh", "la", "rho"), ["match_id"])
+def _law(spark, d):
+    return _rates(spark, d).select("match_id", "lh", "la", "rho")
 
 
 @PLANS.add(f"WITH {_GRID} SELECT match_id, h, a, round(p, 6) AS p FROM g")
 def m01_j17_score_grid(spark, d):
-    return _grid(spark, d).withColumn("p", F.round("p", 6))
+    return ops.score_grid(_law(spark, d), ["match_id"]).withColumn("p", F.round("p", 6))
 
 
 @PLANS.add(f"WITH {_GRID} SELECT match_id, round(sum(p) FILTER (WHERE h > a), 6) AS home, round(sum(p) FILTER (WHERE h = a), 6) AS draw, round(sum(p) FILTER (WHERE h < a), 6) AS away, round(sum(p) FILTER (WHERE h + a >= 3), 6) AS over_2_5, round(sum(p) FILTER (WHERE h + a >= 5), 6) AS tail_5 FROM g GROUP BY match_id")
 def m02_outcomes(spark, d):
-    out = ops.outcome_probabilities(_grid(spark, d), ["match_id"])
+    out = ops.outcomes_of(_law(spark, d), ["match_id"])
     return out.select("match_id", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
@@ -48,8 +47,7 @@ def _settle_sql(margin: str, sign: str) -> str:
 
 
 def _settled(spark, d, total):
-    lines = spark.range(1).select(F.explode(F.array(*map(F.lit, (-3, -2, 0, 1, 9, 10, 11)))).alias("line_q"))
-    out = ops.settlement_distribution(_grid(spark, d), lines, ["match_id"], total)
+    out = ops.settlements_of(_law(spark, d), [-3, -2, 0, 1, 9, 10, 11], ["match_id"], total)
     out = out.withColumn("win_equivalent", ops.win_equivalent())
     return out.select("match_id", "line_q", *(F.round(c, 6).alias(c) for c in out.columns[2:]))
 
@@ -66,20 +64,14 @@ def m03_total_settlement(spark, d):
 
 @PLANS.add(f"WITH {_GRID} SELECT match_id, h, a, place FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round(p, 9) DESC, h DESC, a DESC) AS place FROM g) WHERE place <= 10")
 def t01_top_scores(spark, d):
-    return ops.top_scores(_grid(spark, d).withColumn("p", F.round("p", 9)), ["match_id"], 10).select("match_id", "h", "a", "place")
+    return ops.top_of(_law(spark, d), ["match_id"], 10, 9)
 
 
 @PLANS.add(f"""WITH {_GRID}, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY round(p, 9) DESC, h DESC, a DESC) AS place FROM g) WHERE place <= 10), o AS (SELECT match_id, sum(p) FILTER (WHERE h > a) AS hw, sum(p) FILTER (WHERE h < a) AS aw, sum(p) FILTER (WHERE h + a >= 3) AS ov FROM g GROUP BY 1),
     f AS (SELECT t.*, (hw >= aw AND h > a) OR (hw < aw AND h < a) AS winner_ok, (ov >= 0.5) = (h + a >= 3) AS totals_ok FROM t JOIN o USING (match_id)), x AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY totals_ok DESC, round(p, 9) DESC, h DESC, a DESC) AS pick FROM f WHERE winner_ok)
     SELECT match_id, h, a, pick, totals_ok FROM x WHERE pick <= 3""")
 def t02_consistent_top3(spark, d):
-    g = _grid(spark, d).withColumn("p", F.col("p"))
-    o = ops.outcome_probabilities(g, ["match_id"]).select("match_id", "home", "away", "over_2_5")
-    t = ops.top_scores(g.withColumn("p", F.round("p", 9)), ["match_id"], 10).join(o, "match_id")
-    h, a = F.col("h"), F.col("a")
-    ok = t.withColumn("totals_ok", (F.col("over_2_5") >= 0.5) == (h + a >= 3)).filter(((F.col("home") >= F.col("away")) & (h > a)) | ((F.col("home") < F.col("away")) & (h < a)))
-    w = Window.partitionBy("match_id").orderBy(F.desc("totals_ok"), F.desc("p"), F.desc("h"), F.desc("a"))
-    return ok.withColumn("pick", F.row_number().over(w)).filter("pick <= 3").select("match_id", "h", "a", "pick", "totals_ok")
+    return ops.consistent_of(_law(spark, d), ["match_id"], 10, 3, 9)
 
 
 _CLUSTER = "SELECT match_id, count(*) AS n, avg(ln(p_home)) AS m_h, avg(ln(p_away)) AS m_a, coalesce(var_samp(ln(p_home)), 0) + 0.0144e0 AS v_hh, coalesce(covar_samp(ln(p_home), ln(p_away)), 0) AS v_ha, coalesce(var_samp(ln(p_away)), 0) + 0.0144e0 AS v_aa, median(p_draw) AS rho FROM quotes GROUP BY match_id"
@@ -114,11 +106,8 @@ def m09_predictive_grid(spark, d):
 
 def _quant_rows(spark, d):
     """One row per match with de-vigged 1X2 and over probabilities made from its score grid."""
-    g = _grid(spark, d)
-    lines = spark.range(1).select(F.lit(10).alias("line_q"))
-    over = ops.settlement_distribution(g, lines, ["match_id"], True).select("match_id", "line_q", F.col("full_win").alias("q_over"))
-    out = ops.outcome_probabilities(g, ["match_id"]).selectExpr("match_id", "home AS q_home", "draw AS q_draw", "away AS q_away")
-    return out.join(over, "match_id")
+    # a bet over 2.5 (line 10 in quarter units) is won in full or lost in full
+    return ops.outcomes_of(_law(spark, d), ["match_id"]).selectExpr("match_id", "home AS q_home", "draw AS q_draw", "away AS q_away", "10 AS line_q", "over_2_5 AS q_over")
 
 
 @PLANS.add(f"SELECT match_id, round(lh, 3) AS lambda_home, round(la, 3) AS lambda_away FROM ({_RATES})")
