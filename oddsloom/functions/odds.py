@@ -1,7 +1,7 @@
 """Odds mathematics as Column expressions: price formats, margin removal, scoring rules.
 
 Vectors are ARRAY<DOUBLE> columns. Margins that need a root are solved by a fixed number of bisection
-steps inside ``aggregate``, so they stay in the JVM.
+steps, over all rows of an Arrow batch at once.
 """
 
 from __future__ import annotations
@@ -31,41 +31,72 @@ def devig_multiplicative(prices: Column) -> Column:
     return F.transform(raw, lambda q: q / total(raw))
 
 
-def _bisect(f, low: float, high: float, out) -> Column:
-    """``out`` of the point in [low, high] where the decreasing expression ``f`` turns from positive to negative."""
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
+def _solved(prices: Column, solve) -> Column:
+    """``solve`` of all arrays of one length at once, as a (rows, length) matrix; rows of NaN become null."""
+    from pyspark.sql.functions import arrow_udf
 
-    def halve(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        return F.when(f(mid) > 0, F.struct(mid.alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+    @arrow_udf("array<double>")
+    def run(books):
+        import numpy as np
+        import pyarrow as pa
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), start, halve, lambda s: out((s["lo"] + s["hi"]) / 2))
+        lengths = books.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = books.flatten().to_numpy(zero_copy_only=False).astype(float)
+        starts = np.cumsum(lengths) - lengths
+        out, ok = np.full(len(values), np.nan), np.zeros(len(lengths), bool)
+        for n in np.unique(lengths[lengths > 0]):
+            of = np.flatnonzero(lengths == n)
+            at = starts[of][:, None] + np.arange(n)
+            with np.errstate(all="ignore"):
+                out[at] = solve(values[at])
+            ok[of] = ~np.isnan(out[at]).any(axis=1)
+        ends = np.concatenate(([0], np.cumsum(np.where(ok, lengths, 0)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out[np.repeat(ok, lengths)]), mask=pa.array(~ok))
+
+    return run.asNondeterministic()(prices)  # so that no optimiser solves a row twice, in a filter and behind it
+
+
+def _bisect(f, low: float, high: float, rows: int):
+    """Where the decreasing function ``f`` of a column vector turns from positive to negative in [low, high], for each row."""
+    import numpy as np
+
+    lo, hi = np.full((rows, 1), low), np.full((rows, 1), high)
+    for _ in range(BISECTIONS):
+        mid = (lo + hi) / 2
+        up = f(mid) > 0
+        lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+    return (lo + hi) / 2
 
 
 def devig_power(prices: Column) -> Column:
     """(1/p)^k with k in [0.01, 20] such that they sum to one; null if the range does not hold such a k."""
 
-    def powers(k: Column) -> Column:
-        return F.transform(prices, lambda p: F.pow(p, -k))
+    def solve(p):
+        import numpy as np
 
-    def excess(k: Column) -> Column:
-        return total(powers(k)) - 1
+        log = np.log(p)
+        excess = lambda k: np.exp(-k * log).sum(axis=1, keepdims=True) - 1
+        fits = (excess(0.01) >= 0) & (excess(20.0) <= 0)
+        return np.where(fits, np.exp(-_bisect(excess, 0.01, 20.0, len(p)) * log), np.nan)
 
-    return F.when((excess(F.lit(0.01)) >= 0) & (excess(F.lit(20.0)) <= 0), _bisect(excess, 0.01, 20.0, powers))
+    return _solved(prices, solve)
 
 
 def devig_shin(prices: Column) -> Column:
     """Shin's probabilities: an insider share z in [0, 1) is solved for; zero for a book without margin, null if none fits."""
 
-    def shares(z: Column) -> Column:
-        book = total(implied(prices))
-        return F.transform(prices, lambda p: (F.sqrt(z * z + 4 * (1 - z) / (p * p * book)) - z) / (2 * (1 - z)))
+    def solve(p):
+        import numpy as np
 
-    def excess(z: Column) -> Column:
-        return total(shares(z)) - 1
+        square = 4 / (p * p * (1 / p).sum(axis=1, keepdims=True))
+        shares = lambda z: (np.sqrt(z * z + (1 - z) * square) - z) / (2 * (1 - z))
+        excess = lambda z: shares(z).sum(axis=1, keepdims=True) - 1
+        top, at_zero = 1 - 1e-10, excess(0.0)
+        none = np.abs(at_zero) < 1e-12
+        fits = (at_zero > 0) & (excess(top) < 0)
+        return np.where(none, shares(0.0), np.where(fits, shares(_bisect(excess, 0.0, top, len(p))), np.nan))
 
-    top, at_zero = 1 - 1e-10, excess(F.lit(0.0))
-    return F.when(F.abs(at_zero) < 1e-12, shares(F.lit(0.0))).when((at_zero > 0) & (excess(F.lit(top)) < 0), _bisect(excess, 0.0, top, shares))
+    return _solved(prices, solve)
 
 
 DEVIG = {"multiplicative": devig_multiplicative, "power": devig_power, "shin": devig_shin}
