@@ -95,40 +95,38 @@ def _over(borders: list[tuple[int, int]]) -> Column:
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, tolerance: float = 0.0005) -> DataFrame:
-    """Deal all documents to ``shards`` shards of near equal bytes; rows: doc_id, size, text_crc32, shard, slot.
+    """Deal all documents to ``shards`` shards of near equal bytes; rows: doc_id, document, size, text_crc32, shard, slot.
 
-    A null text counts as empty. Equal texts are neighbours in the order and may lie in two shards only
-    at a border or when they outgrow one. Rows with the same doc_id and text stay together. A null
-    doc_id is an id like any other. An empty table gives no rows. Other columns of ``docs`` are not read.
+    ``document`` is the whole row of ``docs``, which moves to its shard: a partition holds a range of one shard, in the order of
+    its slots. Equal texts are neighbours in the order and may lie in two shards only at a border or when they outgrow one. Rows
+    with the same doc_id and text stay together. A null text counts as empty, a null doc_id is an id like any other. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "sharding")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    narrow = scratch.save(
-        docs.select(
-            F.col("doc_id").cast("long"),
-            (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"),
-            F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-            F.xxhash64(text).bitwiseAND(F.lit((1 << KEY_BITS) - 1)).alias("key"),
-            F.xxhash64("doc_id").bitwiseAND(F.lit((1 << TIE_BITS) - 1)).alias("tie"),
-        )
-    )
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"))
+    text, doc_id = F.coalesce(F.col("document.text"), F.lit("")), F.col("document.doc_id")
+    keys = [
+        (F.octet_length(text).cast("long") + ROW_BYTES).alias("size"),
+        F.xxhash64(text).bitwiseAND(F.lit((1 << KEY_BITS) - 1)).alias("key"),
+        F.xxhash64(doc_id).bitwiseAND(F.lit((1 << TIE_BITS) - 1)).alias("tie"),
+    ]
+    narrow = Scratch(spark, "sharding").save(whole.select(*keys))
     per = max(1, -(-partitions(spark) // shards))  # ranges of a shard, so that all tasks have work
-    borders = splitters(narrow.select("key", "tie", "size"), shards * per, tolerance)
+    borders = splitters(narrow, shards * per, tolerance)
     if not borders:
         borders = [(1 << KEY_BITS, 0)] * (shards * per - 1)
-    dealt = narrow.withColumn("part", _over(borders)).repartitionById(shards * per, F.col("part"))
-    # places within a range come from the order of its rows, and of ranges from their counts
-    moved = scratch.save(dealt.sortWithinPartitions("part", "key", "tie", "doc_id").withColumn("at", F.monotonically_increasing_id()), drop=narrow)
+    part = _over(borders)
+    # a partition is one range: places within it come from the order of its rows, and those of ranges from their counts
+    moved = whole.select("document", *keys).withColumn("part", part).repartitionById(shards * per, F.col("part"))
+    moved = moved.sortWithinPartitions("part", "key", "tie", doc_id).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     shard = F.floor(F.col("part") / per).cast("int")
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = moved.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("least")).withColumn("shard", shard)
-    base = base.select("part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("least")).alias("base"))  # a row for each range
+    base = narrow.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).withColumn("shard", shard)
+    base = base.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row for each range
     placed = moved.join(F.broadcast(base), "part")
-    return placed.select("doc_id", "size", "text_crc32", shard.alias("shard"), (F.col("at") + F.col("base")).alias("slot"))
+    return placed.select(doc_id.cast("long").alias("doc_id"), "document", "size", F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), shard.alias("shard"), (F.col("at") + F.col("base")).alias("slot"))
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """Write whole documents as one folder per shard, in slot order within each file. doc_id must be unique."""
-    rows = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
-    rows.repartitionByRange(partitions(docs.sparkSession), "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write the documents that ``placed`` holds as one folder per shard, in slot order within each file, with the columns of ``docs``."""
+    placed.select(*(F.col(f"document.`{c}`") for c in docs.columns if c not in ("shard", "slot")), "shard", "slot").write.partitionBy("shard").parquet(path)
