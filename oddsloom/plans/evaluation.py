@@ -22,9 +22,10 @@ def _forecasts(spark, d):
     return m.join(q, "match_id").withColumn("y", (F.col("home_goals") > F.col("away_goals")).cast("int"))
 
 
-@PLANS.add(f"SELECT CAST(least(floor(p * 10), 9) AS INT) AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM ({_FC}) GROUP BY 1")
+@PLANS.add(f"SELECT CAST(least(floor(round(p, 9) * 10), 9) AS INT) AS bin, count(*) AS n, round(avg(round(p, 9)), 6) AS mean_p, round(avg(y), 6) AS rate FROM ({_FC}) GROUP BY 1")
 def a14_calibration_bins(spark, d):
-    b = ops.calibration_bins(_forecasts(spark, d), "p", "y")
+    """Forecasts of 9 places, so that the order of a sum does not decide on which side of a border one falls."""
+    b = ops.calibration_bins(_forecasts(spark, d).withColumn("p", F.round("p", 9)), "p", "y")
     return b.select("bin", "n", F.round("mean_p", 6).alias("mean_p"), F.round("rate", 6).alias("rate"))
 
 
@@ -69,11 +70,12 @@ def a17_residual_percentiles(spark, d):
 
 
 @PLANS.add("""WITH c AS (SELECT match_id, avg(1/p_home) FILTER (WHERE book_id < 3) AS main, avg(1/p_home) FILTER (WHERE book_id >= 3) AS sec, count(DISTINCT book_id) FILTER (WHERE book_id >= 3) AS clusters FROM quotes GROUP BY 1)
-    SELECT match_id, round(100 * (sec - main), 6) AS pp, CASE WHEN abs(sec - main) < 0.03 THEN 'NOISE' WHEN abs(sec - main) < 0.08 OR clusters < 2 THEN 'C' WHEN abs(sec - main) < 0.15 THEN 'B' ELSE 'A' END AS grade FROM c WHERE sec IS NOT NULL AND main IS NOT NULL""")
+    SELECT match_id, round(100 * (sec - main), 6) AS pp, CASE WHEN round(abs(sec - main), 9) < 0.03 THEN 'NOISE' WHEN round(abs(sec - main), 9) < 0.08 OR clusters < 2 THEN 'C' WHEN round(abs(sec - main), 9) < 0.15 THEN 'B' ELSE 'A' END AS grade FROM c WHERE sec IS NOT NULL AND main IS NOT NULL""")
 def a22_cluster_divergence(spark, d):
+    """Grades of gaps of 9 places: 0.4 - 0.25 is 0.15, in whatever order the means were summed."""
     p = 1 / F.col("p_home")
     c = quotes(spark, d).groupBy("match_id").agg(F.avg(F.when(F.col("book_id") < 3, p)).alias("main"), F.avg(F.when(F.col("book_id") >= 3, p)).alias("sec"), F.countDistinct(F.when(F.col("book_id") >= 3, F.col("book_id"))).alias("clusters")).filter("sec IS NOT NULL AND main IS NOT NULL")
-    gap = F.abs(F.col("sec") - F.col("main"))
+    gap = F.round(F.abs(F.col("sec") - F.col("main")), 9)
     return c.select("match_id", F.round(100 * (F.col("sec") - F.col("main")), 6).alias("pp"), F.when(gap < 0.03, "NOISE").when((gap < 0.08) | (F.col("clusters") < 2), "C").when(gap < 0.15, "B").otherwise("A").alias("grade"))
 
 
