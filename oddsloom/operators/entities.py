@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from oddsloom.functions.scalars import fold_strict, stable_id
 
@@ -48,3 +52,69 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: list[str], left_us:
     pairs = a.join(b, [*keys, "bucket"]).withColumn("gap_us", gap).filter(F.col("gap_us") <= tolerance_us)
     w = Window.partitionBy(*left.columns).orderBy("gap_us", id_)
     return pairs.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn", "bucket")
+
+
+def _forms(names, sizes, places, least: float):
+    """Per name the forms of which any two names of a block that reach ``least`` share one, by side: 0 among equal lengths, 1 the longer, 2 the shorter.
+
+    Two names within k edits are equal once s places of both are blanked and x and y places are left out. Names of one length differ
+    only at ``places`` where their block's names of that length do.
+    """
+    def blanked(name, s, x, where):
+        for out in combinations(range(len(name)), x):
+            left = "".join(c for i, c in enumerate(name) if i not in out) if x else name
+            for blank in combinations(where if where is not None else range(len(left)), s):
+                yield "".join("\0" if i in blank else c for i, c in enumerate(left)) if s else left
+
+    def of(name, lengths, where):
+        n, own = len(name), set()
+        for m in lengths:
+            k, gap = int((1 - least) * max(n, m)), abs(n - m)
+            if k > 2 or gap > k:
+                continue
+            for y in range((k - gap) // 2 + 1):
+                blanks = k - gap - 2 * y
+                if n == m:
+                    free = list(where) if not y else None
+                    own |= {(0, f"{n}|{y}|{f}") for f in blanked(name, min(blanks, len(free)) if free is not None else blanks, y, free)}
+                else:
+                    own |= {(1 if n > m else 2, f"{max(n, m)}|{min(n, m)}|{y}|{f}") for f in blanked(name, blanks, y + gap if n > m else y, None)}
+        return [{"side": side, "form": form} for side, form in own]
+
+    return pd.Series([of(*x) for x in zip(names, sizes, places, strict=True)])
+
+
+def close_names(rows: DataFrame, id_: str, block: str, name: str, n: int, least: float, digits: int = 6) -> DataFrame:
+    """(a, b, ratio, place): for every row the n rows of its block with the nearest names, by Levenshtein ratio of ``least`` or more, then id.
+
+    Only names that share a form are compared, each pair of different names once; names so long that three edits keep the ratio meet
+    all names of their block.
+    """
+    rows = rows.select(F.col(id_).alias("id"), F.col(block).alias("block"), F.col(name).alias("name")).filter("block IS NOT NULL AND length(name) > 0")
+    slack = least - 0.5 * 10.0**-digits - 1e-12
+    first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("block", "name").orderBy("id"))).filter(F.col("rn") <= n + 1).drop("rn")
+    names = first.groupBy("block", "name").agg(F.count(F.lit(1)).alias("k")).select("block", "name", F.length("name").alias("size"))
+    chars = names.select("block", "size", F.posexplode(F.split("name", "")).alias("pos", "c")).groupBy("block", "size", "pos").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    places = chars.groupBy("block", "size").agg(F.collect_list(F.when(F.col("lo") != F.col("hi"), F.col("pos"))).alias("places"))
+    sizes = places.groupBy("block").agg(F.collect_list("size").alias("sizes"))
+
+    @pandas_udf("array<struct<side int, form string>>")
+    def forms(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        return _forms(x, y, z, slack)
+
+    spread = names.join(places, ["block", "size"]).join(sizes, "block").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    f = spread.select("block", "name", F.explode(forms("name", "sizes", "places")).alias("f")).select("block", "name", F.col("f.side").alias("side"), F.xxhash64("f.form").alias("form"))
+    g = f.select("block", F.col("name").alias("other"), F.col("side").alias("side_"), "form")
+    same = f.join(g, ["block", "form"]).filter(((F.col("side") == 0) & (F.col("side_") == 0) | (F.col("side") + F.col("side_") == 3)) & (F.col("name") != F.col("other")))
+    long = int(3 / (1 - slack))
+    some = names.filter(F.col("size") >= long).select("block", "name")
+    every = names.select("block", F.col("name").alias("other"))
+    far = some.join(every, "block").filter(F.col("name") != F.col("other"))
+    pairs = same.select("block", "name", "other").unionByName(far.select("block", "name", "other")).unionByName(far.select("block", F.col("other").alias("name"), F.col("name").alias("other"))).distinct()
+    ratio = F.round(1 - F.levenshtein("name", "other") / F.greatest(F.length("name"), F.length("other")), digits)
+    near = pairs.withColumn("ratio", ratio).filter(F.col("ratio") >= least)
+    near = near.join(first.select("block", F.col("name").alias("other"), F.col("id").alias("b")), ["block", "other"]).select("block", "name", "b", "ratio")
+    near = near.unionByName(first.select("block", "name", F.col("id").alias("b"), F.lit(1.0).alias("ratio")))
+    best = near.withColumn("rn", F.row_number().over(Window.partitionBy("block", "name").orderBy(F.desc("ratio"), "b"))).filter(F.col("rn") <= n + 1)
+    own = rows.select("block", "name", F.col("id").alias("a")).join(best, ["block", "name"]).filter("a <> b")
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("ratio"), "b"))).filter(F.col("place") <= n).select("a", "b", "ratio", "place")

@@ -43,10 +43,7 @@ def j07_pool_matcher(spark, d):
     SELECT a, b, round(s, 6) AS ratio, rn AS place FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(s, 6) DESC, b) AS rn FROM r WHERE round(s, 6) >= 0.88) WHERE rn <= 5""")
 def j08_fuzzy_suggestions(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.lower("c_name").alias("n"))
-    b = c.select(F.col("c_custkey").alias("b"), "c_nationkey", F.col("n").alias("m"))
-    ratio = F.round(1 - F.levenshtein("n", "m") / F.greatest(F.length("n"), F.length("m")), 6)
-    pairs = c.join(b, "c_nationkey").filter("c_custkey <> b").select(F.col("c_custkey").alias("a"), "b", ratio.alias("ratio")).filter("ratio >= 0.88")
-    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("ratio"), "b"))).filter("place <= 5")
+    return ops.close_names(c, "c_custkey", "c_nationkey", "n", 5, 0.88)
 
 
 @PLANS.add("""WITH a AS (SELECT event_id, user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'purchase'), b AS (SELECT user_id, epoch_us(ts) AS us2, event_id AS e2 FROM events WHERE event_type = 'view')
