@@ -69,3 +69,39 @@ def test_velocity_on_a_stream(spark, tmp_path):
     write(spark, src, [(4, "2024-01-05 00:00:00", 7, "ah", 1.0)], 2)
     rows = drain(feeds.velocity(feed(spark, src)), tmp_path, "velocity")
     assert [r.per_minute for r in rows if r.w.start.day == 1] == [0.5]
+
+
+def test_calls_do_not_grow_with_the_keys(spark, tmp_path, monkeypatch):
+    """600 keys in 4 buckets, in two micro-batches: each key on its own state, by few calls of Python; keys with nulls are keys too."""
+    (tmp_path / "calls").mkdir()
+    folder = str(tmp_path / "calls")
+    for of in (stateful._UntilKickoff, stateful._Tags, stateful._Late):
+
+        class Counted(of):
+            def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+                import tempfile
+
+                tempfile.mkstemp(dir=folder)
+                return super().handleInputRows(key, rows, timerValues)
+
+        monkeypatch.setattr(stateful, of.__name__, Counted)
+    plain = stateful._run
+    monkeypatch.setattr(stateful, "_run", lambda rows, keys, processor, schema, mode, buckets=0, per=(): plain(rows, keys, processor, schema, mode, 4, per))
+    src, at = tmp_path / "in", lambda h, m: f"2024-01-01 {h:02d}:{m:02d}:00"
+    first = [(u, at(9, u % 60), u, "ah", 10.0) for u in range(600)] + [(9000, at(9, 0), None, "ah", 10.0)]
+    second = [(1000 + u, at(10, u % 60), u, "ah", 10.0 + u % 9) for u in range(600)] + [(9001, at(10, 0), None, "ah", 18.0)]
+    write(spark, src, first, 0)
+    write(spark, src, second, 1)
+    write(spark, src, [(5000, "2024-01-02 20:00:00", 7777, "ah", 1.0)], 2)
+    write(spark, src, [(5001, "2024-01-02 20:01:00", 7777, "ah", 1.0)], 3)
+    tags = {r.event_id: (r.user_id, r.tag) for r in drain(stateful.change_tags(feed(spark, src)), tmp_path, "tags")}
+    assert tags[9001] == (None, "STRUCTURE_SHIFT") and len(tags) == 1204
+    assert all(tags[u] == (u, "FIRST") and tags[1000 + u] == (u, "STRUCTURE_SHIFT" if u % 9 >= 6 else "FINE_TUNE" if u % 9 > 1 else "NO_MATERIAL_CHANGE") for u in range(600))
+    kickoff = lambda f: f.withColumn("kickoff", F.when(F.col("user_id") == 7777, F.lit("2024-02-01 00:00:00")).otherwise(F.lit("2024-01-01 20:00:00")).cast("timestamp"))
+    got = {r.user_id: (str(r.started), str(r.ended), r.n) for r in drain(stateful.sessions_until_kickoff(kickoff(feed(spark, src))), tmp_path, "sessions")}
+    assert got == {u: (at(9, (u or 0) % 60), at(10, (u or 0) % 60), 2) for u in [*range(600), None]}
+    late = drain(stateful.late_marks(feed(spark, src).withColumn("arrival", F.col("event_id")), 1), tmp_path, "late")
+    assert len(late) == 1204 and not any(r.late for r in late)
+    import os
+
+    assert len(os.listdir(folder)) <= 3 * 2 * 5 + 6
