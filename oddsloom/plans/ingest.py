@@ -49,7 +49,8 @@ def _pool_pages(spark, d):
     SELECT day, table_id, CAST(idx AS INT) AS "row", CAST(idx AS INT) AS data_idx, 'k' || match_id AS data_key, CAST(match_id AS VARCHAR) AS "no", competition AS league, 'T' || home_team || ' vs T' || away_team || ' & more' AS teams, strftime(kickoff, '%Y-%m-%d %H:%M') AS "time", CAST(home_goals = away_goals AS INT) AS label FROM i""")
 def s03_page_tables(spark, d):
     """The rows of two tables of each day's page with their labels; a page with any problem would be refused as a whole."""
-    rows = pages.labelled_rows(_pool_pages(spark, d), "day", "html", ["tbl", "bdtbl"], _POOL_FIELDS, list(_POOL_FIELDS))
+    made = _once(_pool_pages(spark, d), "pages")  # read for the cells and for the labels
+    rows = _once(pages.labelled_rows(made, "day", "html", ["tbl", "bdtbl"], _POOL_FIELDS, list(_POOL_FIELDS)), "page-rows")
     return pages.accepted(rows, "day")
 
 
@@ -103,6 +104,15 @@ def shared_folder(spark) -> str:
     return found
 
 
+def _once(df, name):
+    """``df`` written into the shared folder, and read from there as often as it is needed."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/{name}/{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _drain(stream, name):
     """Run a streaming DataFrame over what is there, into a table in the shared folder, and read it."""
     import uuid

@@ -1,20 +1,25 @@
 """Tables of HTML pages: a fold over tags, the join with a page's label indices, and pages refused as a whole.
 
-Tags and texts become rows in page order; running sums over them tell in which table, row and cell each text
-stands, so nested tables and cells without closing tags are no matter. One shuffle, by page.
+A fold over a page's tags and texts, in their order, counts in which table, row and cell each text stands, so nested tables and
+cells without closing tags are no matter. Pages are folded where they are read; only cells leave the task, and joins and refusals are Spark's.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .packets import decode_labels
 
-TOKENS = r"(?s)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<[^>]*>|[^<]+"
+TOKENS = re.compile(r"(<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>)|<(/?)(\s*)([a-zA-Z][a-zA-Z0-9]*)?[^>]*>|[^<]+", re.DOTALL | re.ASCII)
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 LABELS = r"var\s+_mk\s*=\s*\[([\d,\s]+)\]\.map\(function\s*\(c\)\s*\{\s*return\s+String\.fromCharCode\(c\s*-\s*(\d+)\)"  # a fixed value: the form in which pages carry their label indices
-BADGE = r"\b(?:rq|sg|jc|bd)-badge\b"  # a fixed value: classes whose texts are no part of a cell
+CELLS = 20_000  # of an Arrow batch
+BADGE = re.compile(r"\b(?:rq|sg|jc|bd)-badge\b", re.ASCII)  # a fixed value: classes whose texts are no part of a cell
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -30,34 +35,80 @@ def plain_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def _value(tag: str, name: str) -> str:
+    """``attribute`` for one tag in Python; empty if it has none."""
+    found = re.search(rf"(?i)\s{name}\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", tag, re.ASCII)
+    return re.sub("^[\"']|[\"']$", "", re.sub(r"(?s)^[^=]*=\s*", "", found[0])) if found else ""
+
+
+def _fold(html: str) -> Iterator[tuple[str, int, str, int, str, str]]:
+    """(table_id, row, row_tag, cell, cell_tag, text) of each cell, in page order."""
+    depth, body, row, cell, badge, table_id, row_tag, cell_tag, texts = 0, 0, -1, -1, False, "", "", "", []
+    for m in TOKENS.finditer(html):
+        whole, close, gap, name = m.groups()
+        opens = bool(name) and not close and not gap
+        if name:
+            name = name.lower()
+            step = 1 if opens else -1 if close else 0
+            if name == "table" and step:
+                depth += step
+                if cell >= 0 and depth < 1:
+                    yield table_id, row, row_tag, cell, cell_tag, " ".join(texts)
+                    cell = -1
+                if opens and depth == 1:
+                    table_id, body, row, cell, badge = _value(m[0], "id"), 0, -1, -1, False
+        if depth < 1 or not table_id:
+            continue
+        flat = depth == 1 and opens
+        if depth == 1 and name == "tbody":
+            body += step
+        if body < 1:
+            continue
+        if flat and name == "tr" or flat and row >= 0 and name in ("td", "th"):
+            if cell >= 0:
+                yield table_id, row, row_tag, cell, cell_tag, " ".join(texts)
+            if name == "tr":
+                row, row_tag, cell, badge = row + 1, m[0], -1, False
+            else:
+                cell, cell_tag, texts = cell + 1, m[0], []
+        if name is None and cell >= 0 and not badge and html[m.start()] != "<":
+            texts.append(m[0])
+        opens = opens or (whole is not None and whole[1] != "!")
+        badge = opens and row >= 0 and "badge" in m[0] and BADGE.search(_value(m[0], "class")) is not None
+    if cell >= 0:
+        yield table_id, row, row_tag, cell, cell_tag, " ".join(texts)
+
+
 def table_cells(pages: DataFrame, id_: str, html: str) -> DataFrame:
     """(id, table_id, row, row_tag, cell, cell_class, text): the cells of the body rows of every outermost table that has an id.
 
     Rows count within a table, cells within a row, both from 0. Texts of nested tags, and of nested tables, belong to their cell.
     """
-    tokens = pages.select(id_, F.posexplode(F.regexp_extract_all(html, F.lit(TOKENS), F.lit(0))).alias("pos", "token"))
-    name = F.lower(F.regexp_extract("token", r"^</?\s*([a-zA-Z][a-zA-Z0-9]*)", 1))
-    tokens = tokens.withColumns({"name": name, "opens": F.col("token").rlike("^<[a-zA-Z]"), "closes": F.col("token").startswith("</")})
-    upto = Window.partitionBy(id_).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    step = lambda n: F.when(F.col("name") == n, F.col("opens").cast("int") - F.col("closes").cast("int")).otherwise(0)
-    t = tokens.withColumn("depth", F.sum(step("table")).over(upto))
-    starts = (F.col("name") == "table") & F.col("opens") & (F.col("depth") == 1)
-    t = t.withColumn("table_no", F.sum(starts.cast("int")).over(upto)).withColumn("table_id", F.last(F.when(starts, F.coalesce(attribute(F.col("token"), "id"), F.lit(""))), ignorenulls=True).over(upto))
-    t = t.filter((F.col("depth") >= 1) & (F.col("table_id") != ""))
-    own = Window.partitionBy(id_, "table_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    flat = F.col("depth") == 1
-    body = F.sum(F.when(flat, step("tbody")).otherwise(0)).over(own)
-    row_opens = flat & (F.col("name") == "tr") & F.col("opens")
-    t = t.withColumn("in_body", body > 0).filter("in_body").withColumn("row", F.sum(row_opens.cast("int")).over(own) - 1).withColumn("row_tag", F.last(F.when(row_opens, F.col("token")), ignorenulls=True).over(own)).filter("row >= 0")
-    within = Window.partitionBy(id_, "table_no", "row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    cell_opens = flat & F.col("name").isin("td", "th") & F.col("opens")
-    t = t.withColumn("cell", F.sum(cell_opens.cast("int")).over(within) - 1)
-    # a badge is a tag without tags inside: its text is the one token behind its opening
-    badge = F.lag(F.col("opens") & F.coalesce(attribute(F.col("token"), "class"), F.lit("")).rlike(BADGE), 1, False).over(Window.partitionBy(id_, "table_no", "row").orderBy("pos"))
-    text = F.when((F.col("name") == "") & ~badge & ~F.col("token").startswith("<"), F.col("token"))
-    t = t.withColumn("text", text).withColumn("cell_tag", F.when(cell_opens, F.col("token"))).filter("cell >= 0")
-    cells = t.groupBy(id_, "table_id", "table_no", "row", "row_tag", "cell").agg(F.max("cell_tag").alias("tag"), F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text")))).alias("texts"))
-    return cells.select(id_, "table_id", F.col("row").cast("int").alias("row"), "row_tag", F.col("cell").cast("int").alias("cell"), F.coalesce(attribute(F.col("tag"), "class"), F.lit("")).alias("cell_class"), plain_text(F.array_join("texts.text", " ")).alias("text"))
+    names = [id_, "table_id", "row", "row_tag", "cell", "tag", "text"]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
+
+    def run(batches):
+        for batch in batches:
+            held, of = [], []
+
+            def out(ids=batch.column(0)):
+                columns = [pa.array(x, t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)]
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(of)), *columns], names)  # noqa: B023
+
+            for k, page in enumerate(batch.column(1)):
+                for found in _fold(page.as_py() or ""):
+                    held.append(found)
+                    of.append(k)
+                    if len(held) == CELLS:
+                        yield out()
+                        held.clear()
+                        of.clear()
+            if held:
+                yield out()
+
+    kind = dict(pages.dtypes)[id_]
+    cells = pages.select(id_, html).mapInArrow(run, f"{id_} {kind}, table_id string, row int, row_tag string, cell int, tag string, text string")
+    return cells.select(id_, "table_id", "row", "row_tag", "cell", F.coalesce(attribute(F.col("tag"), "class"), F.lit("")).alias("cell_class"), plain_text(F.col("text")).alias("text"))
 
 
 def table_rows(cells: DataFrame, id_: str, fields: dict[str, str]) -> DataFrame:

@@ -102,3 +102,12 @@ def test_of_two_writers_one_wins(spark, tmp_path):
     [t.join() for t in both]
     assert sorted(won) == [False, True] and len(log.records()) == 1
     assert log.commit(0, record | {"content_hash": "c"}) is False and log.commit(1, record | {"content_hash": "c"}) is True
+
+
+def test_pages_are_folded_where_they_are_read(spark):
+    """Cells need no shuffle and no sort of tags, whatever a page's length; odd tags, badges, comments and nested tables keep their sense."""
+    html = '<table id="tbl"><tbody><tr data-idx=0><td class="a">x<!-- <td> --><b class="rq-badge">no</b> y<table><tbody><tr><td>z</td></tr></tbody></table><td title="p<q">' + "w " * 50_000 + "</tbody></table><table><tbody><tr><td>none</table>"
+    cells = pages.table_cells(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id int, html string"), "page_id", "html")
+    assert [(r.row, r.cell, r.cell_class, r.text) for r in cells.orderBy("cell").collect()] == [(0, 0, "a", "x y z"), (0, 1, "", " ".join(["w"] * 50_000))]
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
