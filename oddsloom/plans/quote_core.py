@@ -146,11 +146,15 @@ def w06_quote_gaps(spark, d):
     SELECT match_id, book_id, market, arg_min(line_q, n) AS opening, arg_max(line_q, n) AS current, min(line_q) AS deepest, max(line_q) AS shallowest, arg_max(line_q, n) - arg_min(line_q, n) AS net, coalesce(any_value(reversals), 0) AS reversals,
     arg_min(line_q, n) - min(line_q) >= 1 AND arg_max(line_q, n) - min(line_q) >= 1 AS failed_upgrade FROM s LEFT JOIN f USING (match_id, book_id, market) GROUP BY ALL""")
 def w07_line_lifecycle(spark, d):
+    """All of a line's figures stand in its last quote, from one sort: no map of lines is held."""
     w = Window.partitionBy(*KEY).orderBy(*ORDER)
-    q = quotes(spark, d).withColumn("n", F.row_number().over(w)).withColumn("step", F.signum(F.col("line_q") - F.lag("line_q").over(w))).withColumn("step", F.when(F.col("step") != 0, F.col("step")))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    step = F.signum(F.col("line_q") - F.lag("line_q").over(w))
+    q = quotes(spark, d).select(*KEY, *ORDER, "line_q").withColumn("step", F.when(step != 0, step))
     before = F.last("step", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    q = q.withColumn("flip", F.col("step") != before)
-    g = q.groupBy(*KEY).agg(F.min_by("line_q", "n").alias("opening"), F.max_by("line_q", "n").alias("current"), F.min("line_q").alias("deepest"), F.max("line_q").alias("shallowest"), F.count_if("flip").alias("reversals"))
+    q = q.withColumn("flip", F.coalesce(F.col("step") != before, F.lit(False)).cast("long"))
+    q = q.withColumns({"opening": F.first("line_q").over(upto), "deepest": F.min("line_q").over(upto), "shallowest": F.max("line_q").over(upto), "reversals": F.sum("flip").over(upto), "more": F.lead(F.lit(True), 1, False).over(w)})
+    g = q.filter("NOT more").select(*KEY, "opening", F.col("line_q").alias("current"), "deepest", "shallowest", "reversals")
     return g.withColumn("net", F.col("current") - F.col("opening")).withColumn("failed_upgrade", (F.col("opening") - F.col("deepest") >= 1) & (F.col("current") - F.col("deepest") >= 1))
 
 
