@@ -10,9 +10,16 @@ from .ratings import DAY_US, past, team_view, with_past, with_time
 
 def league_rates(matches: DataFrame, pseudo: float = 5.0, home: float = 1.35, away: float = 1.10) -> DataFrame:
     """Shrunk league goal rates known before each match."""
-    m = with_past(with_time(matches), ["competition"], {"n_": F.lit(1.0), "h_": F.col("home_goals").cast("double"), "a_": F.col("away_goals").cast("double")})
+    at = league_rates_at(with_time(matches), pseudo, home, away)
+    return with_time(matches).select("match_id", "competition", "us").join(at, ["competition", "us"]).select("match_id", "lh", "la")
+
+
+def league_rates_at(timed: DataFrame, pseudo: float = 5.0, home: float = 1.35, away: float = 1.10) -> DataFrame:
+    """(competition, us, lh, la): the same rates once a kickoff of a competition, as its matches share them."""
+    at = timed.groupBy("competition", "us").agg(F.count(F.lit(1)).alias("n"), F.sum("home_goals").alias("h"), F.sum("away_goals").alias("a"))
+    m = with_past(at, ["competition"], {f"{c}_": F.col(c).cast("double") for c in "nha"})
     rate = lambda c, b: (F.col(c) + pseudo * b) / (F.col("n_") + pseudo)
-    return m.select("match_id", rate("h_", home).alias("lh"), rate("a_", away).alias("la"))
+    return m.select("competition", "us", rate("h_", home).alias("lh"), rate("a_", away).alias("la"))
 
 
 def recent_form(matches: DataFrame, window: int = 10, half_life_days: float = 90.0, shrinkage: float = 4.0, cross_season: float = 0.45) -> DataFrame:
@@ -22,25 +29,30 @@ def recent_form(matches: DataFrame, window: int = 10, half_life_days: float = 90
     there are none there), decayed and weighted down across seasons. Each game is adjusted by what the
     opponent gave and took in the games that are in this same history.
     """
-    t = team_view(with_time(matches)).join(league_rates(matches), "match_id")
+    timed = with_time(matches).filter("us IS NOT NULL")
+    games = team_view(timed)
+    # all matches of a team at a venue, competition and season with one kickoff have one form: it is worked out once for them
+    t = games.select("team", "venue", "us", "competition", "season_start").distinct().join(league_rates_at(timed), ["competition", "us"])
     game = F.struct("us", "match_id", "season_start", "opponent", "gf", "ga")
 
     def latest(keys: list[str], name: str) -> DataFrame:
-        """Per row the last ``window`` games of its keys before it: those up to each game, taken from the last earlier one."""
-        tail = F.collect_list(game).over(Window.partitionBy(*keys).orderBy("us", "match_id").rowsBetween(1 - window, 0))
-        upto = F.max(F.struct("us", "match_id", "tail")).over(past(*keys))["tail"]
-        return t.withColumn("tail", tail).select("match_id", "venue", upto.alias(name))
-
-    t = t.join(latest(["team", "venue"], "here"), ["match_id", "venue"]).join(latest(["team"], "anywhere"), ["match_id", "venue"])
+        """(keys, us, name): the last ``window`` games of the keys before each of their kickoffs, out of the last ones of each of ``window`` kickoffs."""
+        late = F.row_number().over(Window.partitionBy(*keys, "us").orderBy(F.desc("match_id")))
+        own = games.withColumn("late", late).filter(F.col("late") <= window).groupBy(*keys, "us").agg(F.array_sort(F.collect_list(game)).alias("own"))
+        tail = F.flatten(F.collect_list("own").over(Window.partitionBy(*keys).orderBy("us").rowsBetween(-window, -1)))
+        own = own.withColumn("tail", tail)
+        return own.select(*keys, "us", F.when(F.size("tail") > 0, F.slice("tail", F.greatest(F.size("tail") - window + 1, F.lit(1)), F.lit(window))).alias(name))
+
+    t = t.join(latest(["team", "venue"], "here"), ["team", "venue", "us"]).join(latest(["team"], "anywhere"), ["team", "us"])
     t = t.withColumn("fallback", F.col("here").isNull()).withColumn("source", F.coalesce("here", "anywhere"))
-    # what the team and each of those opponents gave and took before the match: running sums per pair, read off at its kickoff
+    # what the team and each of those opponents gave and took before the kickoff: running sums per pair, read off there
     pair = Window.partitionBy("team", "opponent").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-    facts = team_view(with_time(matches)).select("team", "opponent", "us", F.lit(None).cast("long").alias("match_id"), F.lit(None).cast("string").alias("venue"), "gf", "ga", F.lit(1).alias("one"))
-    asks = t.select("team", F.explode("source.opponent").alias("opponent"), "us", "match_id", "venue").distinct()
-    asks = asks.select(*asks.columns[:2], "us", "match_id", "venue", *(F.lit(None).cast("int").alias(c) for c in ("gf", "ga", "one")))
-    sums = facts.unionByName(asks.select(*facts.columns)).select("match_id", "venue", "opponent", *(F.coalesce(F.sum(c).over(pair), F.lit(0)).cast("double").alias(n) for c, n in (("one", "n"), ("gf", "f"), ("ga", "a"))))
-    met = sums.filter("match_id IS NOT NULL").groupBy("match_id", "venue").agg(F.map_from_entries(F.collect_list(F.struct("opponent", F.struct("n", "f", "a")))).alias("met"))
-    t = t.join(met, ["match_id", "venue"], "left")
+    facts = games.groupBy("team", "opponent", "us").agg(F.count(F.lit(1)).alias("one"), F.sum("gf").alias("gf"), F.sum("ga").alias("ga"), F.lit(False).alias("ask"))
+    asks = t.select("team", F.explode("source.opponent").alias("opponent"), "us").distinct()
+    asks = asks.select("*", *(F.lit(None).cast("long").alias(c) for c in ("one", "gf", "ga")), F.lit(True).alias("ask"))
+    sums = facts.unionByName(asks).select("team", "opponent", "us", "ask", *(F.coalesce(F.sum(c).over(pair), F.lit(0)).cast("double").alias(n) for c, n in (("one", "n"), ("gf", "f"), ("ga", "a"))))
+    met = sums.filter("ask").groupBy("team", "us").agg(F.map_from_entries(F.collect_list(F.struct("opponent", F.struct("n", "f", "a")))).alias("met"))
+    t = t.join(met, ["team", "us"], "left")
     home = F.col("venue") == "home"
     t = t.withColumns({"ba": F.when(home, F.col("lh")).otherwise(F.col("la")), "bd": F.when(home, F.col("la")).otherwise(F.col("lh"))})
     low = lambda x: F.greatest(F.lit(0.2), x)
@@ -57,7 +69,12 @@ def recent_form(matches: DataFrame, window: int = 10, half_life_days: float = 90
     part = lambda f: F.coalesce(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x[f]), F.lit(0.0))
     n = part("w")
     log = lambda f, b: F.when(F.col("source").isNull(), 0.0).otherwise(F.log(low((part(f) + shrinkage * F.col(b)) / (n + shrinkage) / F.col(b))))
-    return t.select("match_id", "venue", "team", log("a", "ba").alias("attack"), log("d", "bd").alias("defence"), n.alias("effective_games"), "fallback")
+    keys = ("team", "venue", "us", "competition", "season_start")
+    form = t.select(*(F.col(c).alias(f"{c}_of") for c in keys), log("a", "ba").alias("attack"), log("d", "bd").alias("defence"), n.alias("effective_games"), "fallback")
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+    return games.join(form, same).select("match_id", "venue", "team", "attack", "defence", "effective_games", "fallback")
 
 
 def history_shrinkage(matches: DataFrame, equivalent: float = 10.0) -> DataFrame:
@@ -155,8 +172,12 @@ def newton(x, weight, goals, prior, mean=None, steps: int = 10):
 
 
 def fixture_priors(fixtures: DataFrame, posteriors: DataFrame, new_team_var: float = 0.25, on: tuple[str, ...] = ("competition",)) -> DataFrame:
-    """mean and covariance of the log rates of each fixture: sums over at most four parameters each; unknown teams add variance."""
-    j = fixtures.join(posteriors, list(on))
+    """mean and covariance of the log rates of each fixture: sums over at most four parameters each; unknown teams add variance.
+
+    They are worked out once for all fixtures of two teams under one posterior, whose covariances thus meet no single match.
+    """
+    keys = [*on, "home_team", "away_team"]
+    j = fixtures.select(*keys).distinct().join(posteriors, list(on))
     name = lambda k, t: F.concat(F.lit(k), F.col(t).cast("string"))
     home = [F.lit("mu"), F.lit("home"), name("att:", "home_team"), name("def:", "away_team")]
     away = [F.lit("mu"), name("att:", "away_team"), name("def:", "home_team")]
@@ -164,7 +185,11 @@ def fixture_priors(fixtures: DataFrame, posteriors: DataFrame, new_team_var: flo
     value = lambda ps: sum((F.coalesce(get(p)["value"], F.lit(0.0)) for p in ps), F.lit(0.0))
     cov = lambda ps, qs: sum((F.coalesce(F.get(get(p)["cov"], get(q)["at"]), F.lit(0.0)) for p in ps for q in qs), F.lit(0.0))
     lost = lambda ps: sum((F.when(get(p).isNull(), new_team_var).otherwise(0.0) for p in ps), F.lit(0.0))
-    return j.select("match_id", value(home).alias("m_h"), value(away).alias("m_a"), (cov(home, home) + lost(home)).alias("v_hh"), cov(home, away).alias("v_ha"), (cov(away, away) + lost(away)).alias("v_aa"))
+    law = j.select(*(F.col(c).alias(f"{c}_of") for c in keys), value(home).alias("m_h"), value(away).alias("m_a"), (cov(home, home) + lost(home)).alias("v_hh"), cov(home, away).alias("v_ha"), (cov(away, away) + lost(away)).alias("v_aa"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & (F.col(c) == F.col(f"{c}_of") if c in on else F.col(c).eqNullSafe(F.col(f"{c}_of")))
+    return fixtures.join(law, same).select("match_id", "m_h", "m_a", "v_hh", "v_ha", "v_aa")
 
 
 def dynamic_ratings(matches: DataFrame, step_var: float = 0.002, start_var: float = 0.12) -> DataFrame:

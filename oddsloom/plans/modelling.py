@@ -38,8 +38,9 @@ def m19_residual_response(spark, d):
 
     m = matches(spark, d)
     form = ops.recent_form(m).select("match_id", "venue", "attack", "defence")
-    side = lambda v, a, b: form.filter(F.col("venue") == v).select("match_id", F.col("attack").alias(a), F.col("defence").alias(b))
-    rows = m.select("match_id", "competition", "home_goals", "away_goals").join(side("home", "home_attack", "home_defence"), "match_id").join(side("away", "away_attack", "away_defence"), "match_id").join(ops.league_rates(m), "match_id")
+    side = lambda v, c: F.max(F.when(F.col("venue") == v, F.col(c))).alias(f"{v}_{c}")
+    sides = form.groupBy("match_id").agg(*(side(v, c) for v in ("home", "away") for c in ("attack", "defence")))
+    rows = m.select("match_id", "competition", "home_goals", "away_goals").join(sides, "match_id").join(ops.league_rates(m), "match_id")
     rows = rows.select("competition", "home_attack", "away_defence", "away_attack", "home_defence", response.log_residual(F.col("home_goals"), F.col("lh")).alias("home"), response.log_residual(F.col("away_goals"), F.col("la")).alias("away"))
     path = f"{shared_folder(spark)}/response/{uuid.uuid4().hex[:12]}"  # read several times below
     rows.write.parquet(path)

@@ -59,3 +59,31 @@ def test_monthly_walk_forward_compares_the_three(spark):
     assert {r.model for r in rows} == {"A_market", "B_prior", "C_both", "B_prior_all"}
     late = [s for s in seasons if s > min(seasons) + 1]
     assert late and all(n["B_prior_all", s] == seasons[s] and n["A_market", s] == n["B_prior", s] == n["C_both", s] <= seasons[s] for s in late)
+
+
+def test_a_posterior_meets_pairs_of_teams_and_no_single_match(spark):
+    """2,000 fixtures of two pairs: each pair is priced once, and each fixture still has its own row."""
+    cov = [[0.01 * (i == j) for j in range(3)] for i in range(3)]
+    post = spark.createDataFrame([("x", {"mu": (0.1, 0, cov[0]), "home": (0.2, 1, cov[1]), "att:1": (0.3, 2, cov[2])})], "competition string, r map<string, struct<value: double, at: int, cov: array<double>>>")
+    fixtures = spark.range(2000).select(F.col("id").alias("match_id"), F.lit("x").alias("competition"), (F.col("id") % 2 + 1).alias("home_team"), F.lit(3).alias("away_team"))
+    df = forms.fixture_priors(fixtures, post)
+    assert {r.match_id: round(r.m_h, 9) for r in df.collect()} == {k: 0.3 if k % 2 else 0.6 for k in range(2000)}
+    assert "Aggregate [" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fixed_rates_score_as_those_of_no_spread(spark):
+    rows = [(k, k // 2 % 4, k // 2 % 3, 0.3, 0.1, v, 0.0, v) for k, v in enumerate([0.0, 1e-18] * 50)]
+    df = evaluation.score_forecasts(spark.createDataFrame(rows, "k int, home_goals int, away_goals int, m_h double, m_a double, v_hh double, v_ha double, v_aa double").coalesce(1))
+    got = {r.k: tuple(r)[1:] for r in df.collect()}
+    assert len(got) == 100 and all(abs(x - y) < 1e-7 for k in range(0, 100, 2) for x, y in zip(got[k], got[k + 1], strict=True))
+
+
+def test_form_is_worked_out_once_a_kickoff(spark):
+    """Copies of matches at one kickoff share their form, and no window of games holds more than the last of each kickoff."""
+    rows = [(100 * day + k, day, "x", 2000, k % 2, 2 + k % 3, (day + k) % 4, k % 3) for day in range(1, 20) for k in range(60)]
+    m = spark.createDataFrame(rows, "match_id int, day int, competition string, season_start int, home_team int, away_team int, home_goals int, away_goals int").withColumn("kickoff", F.expr("timestamp_ntz'2000-01-01 00:00:00' + make_dt_interval(day)"))
+    df = forms.recent_form(m)
+    got = df.join(m.select("match_id", "day"), "match_id").groupBy("day", "venue", "team").agg(F.countDistinct("attack", "defence").alias("forms"), F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r.n for r in got) == 2 * len(rows) and {r.forms for r in got} == {1}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") >= 2 and "collect_list(struct(us" not in plan.split("Window")[1]
