@@ -122,11 +122,13 @@ def score_forecasts(rows: DataFrame, order: int = 9, goals: int = 12) -> DataFra
     names = ("score_nll", "top1", "top3", "brier", "rps", "over_brier", "over_logloss")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + "".join(f", {n} double" for n in names)
     nodes = hermite_nodes(order)
-    x, y, w = (np.array(c) for c in zip(*((x, y, wx * wy) for x, wx in nodes for y, wy in nodes), strict=True))
+    spread = [np.array(c) for c in zip(*((x, y, wx * wy) for x, wx in nodes for y, wy in nodes), strict=True)]
+    point = [np.zeros(1), np.zeros(1), np.ones(1)]  # all that fixed rates need
     k = np.arange(goals + 1)
     facts = np.array([float(factorial(i)) for i in k])
 
-    def scores(hg, ag, mh, ma, vhh, vha, vaa):
+    def scores(at, hg, ag, mh, ma, vhh, vha, vaa):
+        x, y, w = at
         c11 = np.sqrt(vhh)
         c21 = np.divide(vha, c11, out=np.zeros_like(vha), where=c11 > 0)
         c22 = np.sqrt(np.maximum(vaa - c21 * c21, 0))
@@ -153,7 +155,12 @@ def score_forecasts(rows: DataFrame, order: int = 9, goals: int = 12) -> DataFra
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 value = [batch.column(len(keys) + i).to_numpy(zero_copy_only=False) for i in range(len(need))]
-                out = scores(*(v.astype(np.int64) for v in value[:2]), *(v.astype(float) for v in value[2:]))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(np.asarray(v, float)) for v in out)], [*keys, *names])
+                value = [v.astype(np.int64) for v in value[:2]] + [v.astype(float) for v in value[2:]]
+                fixed = (value[4] == 0) & (value[5] == 0) & (value[6] == 0)
+                out = np.empty((len(names), batch.num_rows))
+                for of, at_ in ((fixed, point), (~fixed, spread)):
+                    if of.any():
+                        out[:, of] = scores(at_, *(v[of] for v in value))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(v) for v in out)], [*keys, *names])
 
     return rows.select(*keys, *need).mapInArrow(run, schema)

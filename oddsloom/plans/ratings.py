@@ -213,6 +213,7 @@ def m16_monthly_walk_forward(spark, d):
     from oddsloom.operators import evaluation, forms
     from oddsloom.operators.pricing import log_rate_update
 
+    from .ingest import _once
     from .pricing import _cluster
 
     law = ("m_h", "m_a", "v_hh", "v_ha", "v_aa")
@@ -221,10 +222,17 @@ def m16_monthly_walk_forward(spark, d):
     prior = forms.fixture_priors(dated, forms.monthly_posteriors(m, 365.0), on=("competition", "month_us"))
     rows = m.select("match_id", "season_start", "home_goals", "away_goals").join(prior, "match_id")
     both = rows.join(_cluster(spark, d).select("match_id", *(F.col(c).alias(f"k_{c}") for c in law)), "match_id", "left")
+    both = _once(both, "walk-forward")
     market, own = ([F.col(f"{k}{c}") for c in law] for k in ("k_", ""))
     post = log_rate_update(own[:2], own[2:], market[:2], market[2:], F.lit(1.0))
     none = [F.lit(0.0)] * 3
-    models = F.array(*(F.struct(F.lit(n).alias("model"), *(x.alias(c) for x, c in zip(xs, law, strict=True))) for n, xs in (("A_market", [*market[:2], *none]), ("B_prior", own), ("C_both", post), ("B_prior_all", own))))
-    each = both.withColumn("x", F.explode(models)).filter(F.col("k_m_h").isNotNull() | (F.col("x.model") == "B_prior_all"))
-    scored = evaluation.score_forecasts(each.select("season_start", "home_goals", "away_goals", "x.*"))
-    return scored.groupBy("model", "season_start").agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg(c), 6).alias(c) for c in scored.columns if c not in ("model", "season_start")))
+    models = F.array(*(F.struct(F.lit(n).alias("model"), *(x.alias(c) for x, c in zip(xs, law, strict=True))) for n, xs in (("A_market", [*market[:2], *none]), ("C_both", post))))
+    facts = ["season_start", "home_goals", "away_goals"]
+    each = both.filter(F.col("k_m_h").isNotNull()).withColumn("x", F.explode(models)).select(*facts, "x.*", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("n_all"))
+    # matches of two teams in one month have one prior: those with one score are scored once, for the common matches and for all
+    alike = both.groupBy(*facts, *law).agg(F.count("k_m_h").alias("n"), F.count(F.lit(1)).alias("n_all")).withColumn("model", F.lit("B_prior"))
+    scored = evaluation.score_forecasts(each.unionByName(alike))
+    values = [c for c in scored.columns if c not in ("model", "season_start", "n", "n_all")]
+    sums = scored.groupBy("model", "season_start").agg(*(F.sum(k).alias(k) for k in ("n", "n_all")), *(F.sum(F.col(c) * F.col(k)).alias(f"{c}_{k}") for c in values for k in ("n", "n_all")))
+    rated = lambda model, k: sums.filter(f"{k} > 0").select(model.alias("model"), "season_start", F.col(k).alias("n"), *(F.round(F.col(f"{c}_{k}") / F.col(k), 6).alias(c) for c in values))
+    return rated(F.col("model"), "n").unionByName(rated(F.lit("B_prior_all"), "n_all"))
