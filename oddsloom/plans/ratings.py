@@ -120,19 +120,30 @@ _RES = f"""{_MATCHUP}, k AS (SELECT match_id, 3e0 / avg(p_home) AS mh, 3e0 / avg
     md AS (SELECT kind, median(r) AS med FROM e GROUP BY kind), sc AS (SELECT e.kind, any_value(med) AS med, greatest(1.4826e0 * median(abs(r - med)), 1e-6) AS mad FROM e JOIN md ON e.kind = md.kind GROUP BY e.kind)"""
 
 
+def _rounded(c, places):
+    """As SQL's round on doubles: what rounds to zero keeps its sign."""
+    return F.round(F.abs(c), places) * F.signum(c)
+
+
 @PLANS.add(f"WITH {_RES} SELECT match_id, e.kind, round(r, 6) AS residual, round((r - med) / mad, 5) AS robust_z, CASE WHEN abs((r - med) / mad) >= 3 THEN 'EXTREME' WHEN abs((r - med) / mad) >= 2 THEN 'STRONG' WHEN abs((r - med) / mad) >= 1 THEN 'MODERATE' ELSE 'NORMAL' END AS label FROM e JOIN sc ON e.kind = sc.kind")
 def m22_a17_market_residuals(spark, d):
-    """Home, away, margin and total rates of the market less those of the matchup, on a scale of median and MAD from exact quantiles."""
+    """Home, away, margin and total rates of the market less those of the matchup, on a scale of median and MAD from exact quantiles.
+
+    The last bits of a mean hang on the order of its sum, so residuals are written once: each round of the quantiles and the scores see the same.
+    """
+    from oddsloom.plans.ingest import _once
+
     mk = quotes(spark, d).groupBy("match_id").agg((3 / F.avg("p_home")).alias("mh"), (3 / F.avg("p_away")).alias("ma"))
     known = ops.baseline_snapshots(matches(spark, d)).filter("home_rate IS NOT NULL").select("match_id")
     w = ops.matchup_rates(matches(spark, d)).join(known, "match_id", "left_semi").join(mk, "match_id").select("match_id", (F.col("mh") - F.col("lambda_home")).alias("home"), (F.col("ma") - F.col("lambda_away")).alias("away"))
     e = w.withColumns({"margin": F.col("home") - F.col("away"), "total": F.col("home") + F.col("away")}).unpivot("match_id", ["home", "away", "margin", "total"], "kind", "r")
+    e = _once(e, "residuals")
     med = exact_quantiles(e, "r", [0.5], ("kind",)).select(F.col("kind").alias("k"), F.col("quantile").alias("med"))
     off = e.join(F.broadcast(med), F.col("kind") == F.col("k")).withColumn("off", F.abs(F.col("r") - F.col("med")))
     mad = exact_quantiles(off, "off", [0.5], ("kind",)).select(F.col("kind").alias("k2"), F.greatest(1.4826 * F.col("quantile"), F.lit(1e-6)).alias("mad"))
     z = (F.col("r") - F.col("med")) / F.col("mad")
     out = off.join(F.broadcast(mad), F.col("kind") == F.col("k2")).withColumn("z", z)
-    return out.select("match_id", "kind", F.round("r", 6).alias("residual"), F.round("z", 5).alias("robust_z"), F.when(F.abs("z") >= 3, "EXTREME").when(F.abs("z") >= 2, "STRONG").when(F.abs("z") >= 1, "MODERATE").otherwise("NORMAL").alias("label"))
+    return out.select("match_id", "kind", _rounded("r", 6).alias("residual"), _rounded("z", 5).alias("robust_z"), F.when(F.abs("z") >= 3, "EXTREME").when(F.abs("z") >= 2, "STRONG").when(F.abs("z") >= 1, "MODERATE").otherwise("NORMAL").alias("label"))
 
 
 @PLANS.add(f"WITH b AS ({_BASE}) SELECT m.match_id, CASE WHEN m.match_id % 4 = 0 THEN 'NO_EXACT_PREKICKOFF_ROW' WHEN b.home_rate IS NULL THEN 'NO_HISTORY' ELSE 'EXACT' END AS status, CASE WHEN m.match_id % 4 > 0 THEN round(b.home_rate, 9) END AS home_rate FROM matches m JOIN b USING (match_id)")
