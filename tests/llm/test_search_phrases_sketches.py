@@ -75,6 +75,25 @@ def test_phrases_equal_brute_force(spark, odd, nothing, monkeypatch):
     assert got == phrases_by_brute_force([(r.lang, r.text) for r in odd.collect()], 2, 2000)
 
 
+def test_prefixes_that_no_word_can_follow_leave_no_stripe(spark, tmp_path):
+    # every pair of neighbours occurs 6 times, no triple more than twice
+    words = [f"w{k}" for k in range(12)]
+    r = random.Random(5)
+    texts = [f"{a} {b}" for a in words for b in words for _ in range(6)] + [" ".join(r.sample(words, 3)) for _ in range(40)]
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
+    share = spark.sparkContext.broadcast
+    vocabulary = collocations.vocabulary(docs, 6)
+    salt = np.uint64(collocations.language_hash("en"))
+    one = [(int((np.array([w.h]).view(np.uint64) + salt).view(np.int64)[0]),) for w in vocabulary.filter("h != 0").collect()]
+    seqs = Scratch(spark, "t").save(collocations.sequences(docs, share(collocations.bitmap(spark.createDataFrame(one, "key long")))))
+    none = share(np.zeros(0, np.uint64))
+    level = lambda length, known: collocations.stripes(seqs, length, known, share(collocations.bitmap(collocations.may_be_frequent(seqs, length, known, 6, 10_000), hashed=True)), none, 6).collect()
+    pairs = level(1, None)
+    assert len(pairs) == 12 and all(len(x.nexts) == 12 for x in pairs)
+    known = share(collocations.bitmap(spark.createDataFrame([(k,) for x in pairs for k in x["keys"]], "key long")))
+    assert level(2, known) == []
+
+
 def test_products_beyond_64_bits_are_exact(spark):
     a, n, l, r = 3_000_000_019, 9_000_000_000_011, 5_000_000_029, 4_000_000_063
     row = spark.createDataFrame([(a, n, l, r)], "a long, n_all long, l long, r long")
