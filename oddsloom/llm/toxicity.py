@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import WORD_BITS, Adam, bounded_sample, held_out, sigmoid, word_slots
-from .textops import Texts, keep_rows, pieces
+from .textops import Texts, give_back, keep_rows, pieces
 
 SIZE = 1 << WORD_BITS
 COLUMNS = 512  # of the dense training matrix, which holds a bounded number of rows
@@ -51,13 +51,22 @@ def _matrix(rows: list[np.ndarray], column: np.ndarray) -> np.ndarray:
     return x
 
 
-def informative(positive: list[np.ndarray], unlabelled: list[np.ndarray], chance: float) -> np.ndarray:
-    """A column for each slot that is more frequent in positives than ``chance`` allows; -1 for the others."""
-    n_p = np.bincount(np.concatenate([np.zeros(0, np.int64), *positive]).astype(np.int64), minlength=SIZE)
-    n_u = np.bincount(np.concatenate([np.zeros(0, np.int64), *unlabelled]).astype(np.int64), minlength=SIZE)
-    expected = (n_u + 0.5) / (len(unlabelled) + 1) * len(positive)
-    seen = np.flatnonzero((n_p >= LEAST_POSITIVES) & (n_p > 1.5 * expected))
-    tail = np.array([n * np.log(e) - e - lgamma(n + 1) for n, e in zip(n_p[seen], expected[seen], strict=True)])
+def slot_counts(rows: list[np.ndarray]) -> np.ndarray:
+    """How often each slot occurs, added up row by row."""
+    n = np.zeros(SIZE, np.int32)
+    for slots in rows:
+        np.add.at(n, slots, 1)
+    return n
+
+
+def informative(positive: list[np.ndarray], n_u: np.ndarray, unlabelled: int, chance: float) -> np.ndarray:
+    """A column for each slot that is more frequent in positives than ``chance`` allows, by its count in so many unlabelled rows; -1 for the others."""
+    n_p = slot_counts(positive)
+    seen = np.flatnonzero(n_p >= LEAST_POSITIVES)
+    expected = (n_u[seen] + 0.5) / (unlabelled + 1) * len(positive)
+    over = n_p[seen] > 1.5 * expected
+    seen, expected = seen[over], expected[over]
+    tail = np.array([n * np.log(e) - e - lgamma(n + 1) for n, e in zip(n_p[seen], expected, strict=True)])
     chosen = seen[np.argsort(tail, kind="stable")][: min(COLUMNS, int((tail < np.log(chance)).sum()))]
     column = np.full(SIZE, -1, np.int16)
     column[chosen] = np.arange(len(chosen))
@@ -103,10 +112,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int, unlabelled: int, c
     u = _slots(bounded_sample(own, ["doc_id", "text"], unlabelled))
     if not p or not u:
         return {"column": np.full(SIZE, -1, np.int16), "w": np.array([-20.0])}
-    prior = min(max(share, 0.01), 0.9)
+    prior, n_u = min(max(share, 0.01), 0.9), slot_counts(u)
 
     def fit(some: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        column = informative(some, u, chance)
+        column = informative(some, n_u, len(u), chance)
         x_u = _matrix(u, column)
         w = nnpu(_matrix(some, column), x_u, prior)
         return column, w, x_u @ w
@@ -134,6 +143,7 @@ class Toxicity:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, positives: int = 2000, unlabelled: int = 6000, chance: float = 1e-3):
         self.shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, positives, unlabelled, chance))
+        give_back()  # the driver lives on as well, beside its JVM
 
     def below(self, docs: DataFrame, limit: float) -> DataFrame:
         """The rows of ``docs`` that score less than ``limit``, with all columns; null texts score as empty ones."""
