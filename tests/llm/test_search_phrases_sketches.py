@@ -94,6 +94,28 @@ def test_prefixes_that_no_word_can_follow_leave_no_stripe(spark, tmp_path):
     assert level(2, known) == []
 
 
+def test_stripes_do_not_grow_with_the_splits_of_the_input(spark):
+    # each of 48 splits holds every pair: one stripe of a prefix for each split would be 48 for each prefix
+    words = [f"w{k}" for k in range(12)]
+    docs = spark.createDataFrame([("en", f"{a} {b}") for _ in range(48) for a in words for b in words], "lang string, text string")
+    share = spark.sparkContext.broadcast
+    salt = np.uint64(collocations.language_hash("en"))
+    one = [(int((np.array([w.h]).view(np.uint64) + salt).view(np.int64)[0]),) for w in collocations.vocabulary(docs, 6).filter("h != 0").collect()]
+    seqs = collocations.sequences(docs.repartition(48), share(collocations.bitmap(spark.createDataFrame(one, "key long"))))
+    allowed = share(collocations.bitmap(collocations.may_be_frequent(seqs, 1, None, 6, 10_000), hashed=True))
+    passed = spark.sparkContext.accumulator(0)
+
+    class Hot:  # is asked for once whenever a task passes its stripes on
+        @property
+        def value(self):
+            passed.add(1)
+            return np.zeros(0, np.uint64)
+
+    pairs = collocations.stripes(seqs, 1, None, allowed, Hot(), 6).collect()
+    assert len(pairs) == 12 and all(x.counts == [48] * 12 for x in pairs)
+    assert 1 <= passed.value <= max(2, spark.sparkContext.defaultParallelism)
+
+
 def test_products_beyond_64_bits_are_exact(spark):
     a, n, l, r = 3_000_000_019, 9_000_000_000_011, 5_000_000_029, 4_000_000_063
     row = spark.createDataFrame([(a, n, l, r)], "a long, n_all long, l long, r long")
