@@ -58,16 +58,23 @@ def _forms(names, sizes, places, least: float):
     """Per name the forms of which any two names of a block that reach ``least`` share one, by side: 0 among equal lengths, 1 the longer, 2 the shorter.
 
     Two names within k edits are equal once s places of both are blanked and x and y places are left out. Names of one length differ
-    only at ``places`` where their block's names of that length do.
+    only at ``places`` where their block's names of that length do, and need no edits before the first or after the last of these.
     """
-    def blanked(name, s, x, where):
-        for out in combinations(range(len(name)), x):
-            left = "".join(c for i, c in enumerate(name) if i not in out) if x else name
-            for blank in combinations(where if where is not None else range(len(left)), s):
-                yield "".join("\0" if i in blank else c for i, c in enumerate(left)) if s else left
+    def without(name, out, put):
+        parts, at = [], 0
+        for i in out:
+            parts.append(name[at:i])
+            at = i + 1
+        return put.join([*parts, name[at:]])
+
+    def blanked(name, s, x, blanks, leaves):
+        for out in combinations(leaves, x):
+            left = without(name, out, "") if x else name
+            for blank in combinations(blanks if blanks is not None else range(len(left)), s):
+                yield without(left, blank, "\0") if s else left
 
     def of(name, lengths, where):
-        n, own = len(name), set()
+        n, own, where = len(name), set(), sorted(where)
         for m in lengths:
             k, gap = int((1 - least) * max(n, m)), abs(n - m)
             if k > 2 or gap > k:
@@ -75,26 +82,31 @@ def _forms(names, sizes, places, least: float):
             for y in range((k - gap) // 2 + 1):
                 blanks = k - gap - 2 * y
                 if n == m:
-                    free = list(where) if not y else None
-                    own |= {(0, f"{n}|{y}|{f}") for f in blanked(name, min(blanks, len(free)) if free is not None else blanks, y, free)}
+                    free = where if not y else None
+                    span = range(where[0], where[-1] + 1) if where else ()
+                    own |= {(0, f"{n}|{y}|{f}") for f in blanked(name, min(blanks, len(free)) if free is not None else blanks, y, free, span)}
                 else:
-                    own |= {(1 if n > m else 2, f"{max(n, m)}|{min(n, m)}|{y}|{f}") for f in blanked(name, blanks, y + gap if n > m else y, None)}
+                    own |= {(1 if n > m else 2, f"{max(n, m)}|{min(n, m)}|{y}|{f}") for f in blanked(name, blanks, y + gap if n > m else y, None, range(n))}
         return [{"side": side, "form": form} for side, form in own]
 
     return pd.Series([of(*x) for x in zip(names, sizes, places, strict=True)])
 
 
+PARTS = 32  # of a block's names, where names too long for forms meet all of them
+
+
 def close_names(rows: DataFrame, id_: str, block: str, name: str, n: int, least: float, digits: int = 6) -> DataFrame:
     """(a, b, ratio, place): for every row the n rows of its block with the nearest names, by Levenshtein ratio of ``least`` or more, then id.
 
-    Only names that share a form are compared, each pair of different names once; names so long that three edits keep the ratio meet
-    all names of their block.
+    Only names that share a form are compared; names so long that three edits keep the ratio meet all names of their block. ``id_`` is
+    unique, and rows without one have no place. Joins of tables that grow with the rows are hinted: Spark takes forms for no larger
+    than the names that they come from, and would send them all through the driver to broadcast them.
     """
-    rows = rows.select(F.col(id_).alias("id"), F.col(block).alias("block"), F.col(name).alias("name")).filter("block IS NOT NULL AND length(name) > 0")
+    rows = rows.select(F.col(id_).alias("id"), F.col(block).alias("block"), F.col(name).alias("name")).filter("id IS NOT NULL AND block IS NOT NULL AND length(name) > 0")
     slack = least - 0.5 * 10.0**-digits - 1e-12
     first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("block", "name").orderBy("id"))).filter(F.col("rn") <= n + 1).drop("rn")
-    names = first.groupBy("block", "name").agg(F.count(F.lit(1)).alias("k")).select("block", "name", F.length("name").alias("size"))
-    chars = names.select("block", "size", F.posexplode(F.split("name", "")).alias("pos", "c")).groupBy("block", "size", "pos").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    names = first.groupBy("block", "name").agg(F.collect_list("id").alias("ids")).withColumn("size", F.length("name"))
+    chars = names.select("block", "size", F.posexplode(F.split("name", "")).alias("pos", "c")).groupBy("block", "size", "pos").agg(F.min(F.ascii("c")).alias("lo"), F.max(F.ascii("c")).alias("hi"))
     places = chars.groupBy("block", "size").agg(F.collect_list(F.when(F.col("lo") != F.col("hi"), F.col("pos"))).alias("places"))
     sizes = places.groupBy("block").agg(F.collect_list("size").alias("sizes"))
 
@@ -103,18 +115,26 @@ def close_names(rows: DataFrame, id_: str, block: str, name: str, n: int, least:
         return _forms(x, y, z, slack)
 
     spread = names.join(places, ["block", "size"]).join(sizes, "block").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    f = spread.select("block", "name", F.explode(forms("name", "sizes", "places")).alias("f")).select("block", "name", F.col("f.side").alias("side"), F.xxhash64("f.form").alias("form"))
-    g = f.select("block", F.col("name").alias("other"), F.col("side").alias("side_"), "form")
-    same = f.join(g, ["block", "form"]).filter(((F.col("side") == 0) & (F.col("side_") == 0) | (F.col("side") + F.col("side_") == 3)) & (F.col("name") != F.col("other")))
+    f = spread.select("block", "name", "ids", F.explode(forms("name", "sizes", "places")).alias("f")).select("block", "name", "ids", F.col("f.side").alias("side"), F.xxhash64("f.form").alias("form"))
+    one = f.withColumnsRenamed({"name": "one", "side": "side_one", "ids": "ids_one"})  # both renamed: one plan, whose shuffle Spark makes once
+    other = f.withColumnsRenamed({"name": "other", "side": "side_other", "ids": "ids_other"}).hint("merge")
+    sides = (F.col("side_one") == 0) & (F.col("side_other") == 0) | (F.col("side_one") + F.col("side_other") == 3)
+    same = one.join(other, ["form", "block"]).filter(sides & (F.col("one") < F.col("other")))
     long = int(3 / (1 - slack))
-    some = names.filter(F.col("size") >= long).select("block", "name")
-    every = names.select("block", F.col("name").alias("other"))
-    far = some.join(every, "block").filter(F.col("name") != F.col("other"))
-    pairs = same.select("block", "name", "other").unionByName(far.select("block", "name", "other")).unionByName(far.select("block", F.col("other").alias("name"), F.col("name").alias("other"))).distinct()
-    ratio = F.round(1 - F.levenshtein("name", "other") / F.greatest(F.length("name"), F.length("other")), digits)
-    near = pairs.withColumn("ratio", ratio).filter(F.col("ratio") >= least)
-    near = near.join(first.select("block", F.col("name").alias("other"), F.col("id").alias("b")), ["block", "other"]).select("block", "name", "b", "ratio")
-    near = near.unionByName(first.select("block", "name", F.col("id").alias("b"), F.lit(1.0).alias("ratio")))
-    best = near.withColumn("rn", F.row_number().over(Window.partitionBy("block", "name").orderBy(F.desc("ratio"), "b"))).filter(F.col("rn") <= n + 1)
-    own = rows.select("block", "name", F.col("id").alias("a")).join(best, ["block", "name"]).filter("a <> b")
+    some = names.filter(F.col("size") >= long).select("block", F.col("name").alias("one"), F.col("ids").alias("ids_one"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    every = names.select("block", F.col("name").alias("other"), F.col("ids").alias("ids_other"), F.pmod(F.xxhash64("name"), F.lit(PARTS)).cast("int").alias("part")).hint("merge")
+    far = some.join(every, ["block", "part"]).filter((F.col("one") < F.col("other")) | (F.length("other") < long))
+    both = ["block", "one", "ids_one", "other", "ids_other"]
+    once = lambda x: F.explode(F.array(x)).alias("edits")  # noqa: E731  # Spark would work out a plain column anew in each filter
+    same = same.select(*both, once(F.levenshtein("one", "other", 2))).filter("edits >= 0")  # names with forms reach the ratio by two edits at most
+    far = far.select(*both, once(F.levenshtein("one", "other")))
+    ratio = F.round(1 - F.col("edits") / F.greatest(F.length("one"), F.length("other")), digits)
+    pairs = same.unionByName(far).withColumn("ratio", ratio).filter(F.col("ratio") >= least)
+    ways = F.array(F.struct(F.col("one").alias("name"), F.col("ids_other").alias("bs")), F.struct(F.col("other").alias("name"), F.col("ids_one").alias("bs")))
+    near = pairs.select("block", "ratio", F.explode(ways).alias("x")).select("block", "x.name", F.explode("x.bs").alias("b"), "ratio")
+    near = near.unionByName(names.select("block", "name", F.explode("ids").alias("b"), F.lit(1.0).alias("ratio"))).repartition("block", "name")
+    near = near.withColumn("h", F.xxhash64("name"))  # names of a block begin alike: sorted by this first
+    rank = F.dense_rank().over(Window.partitionBy("h", "block", "name").orderBy(F.desc("ratio"), "b"))  # a pair comes once for each form that it shares
+    best = near.withColumn("rn", rank).filter(F.col("rn") <= n + 1).select("block", "name", "b", "ratio").distinct()
+    own = rows.select("block", "name", F.col("id").alias("a")).join(best.hint("merge"), ["block", "name"]).filter("a <> b")
     return own.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("ratio"), "b"))).filter(F.col("place") <= n).select("a", "b", "ratio", "place")

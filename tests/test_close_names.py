@@ -42,3 +42,19 @@ def test_a_name_gets_few_forms_whatever_its_block_holds(spark):
         for f in one:
             shared[f["form"]] = shared.get(f["form"], 0) + 1
     assert sum(x * x for x in shared.values()) < 10_000 * 1_000  # all pairs: 10,000 * 10,000
+
+
+def test_no_table_that_grows_is_broadcast(spark):
+    c = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    out = entities.close_names(c, "c_custkey", "c_nationkey", "c_name", 5, 0.88)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    sides = [x for x in plan.splitlines() if "BroadcastExchange" in x or "BroadcastHashJoin" in x or "NestedLoop" in x]
+    assert not any(x in line for line in sides for x in ("form#", "name#", "other#", "part#"))
+    assert plan.count("SortMergeJoin [form#") == 1
+
+
+def test_rows_without_id_take_no_place_and_characters_beyond_16_bits_count_once(spark):
+    rows = [(None, 1, "abcdefghij")] * 9 + [(k, 1, f"abcdefgh\U0001f600{c}") for k, c in enumerate("jklmnopq")] + [(20 + k, 1, f"\U0001f600bcdefghi{c}") for k, c in enumerate("jkl")] + [(30, 1, "abcdefghij"), (31, 1, "abcdefghix")]
+    df = spark.createDataFrame(rows, "id long, block int, name string")
+    got = entities.close_names(df, "id", "block", "name", 5, 0.88).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, _all_pairs(df, 5, 0.88).collect())) and {30, 31} <= {r.a for r in got}
