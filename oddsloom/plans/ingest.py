@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -32,24 +35,48 @@ _POOL_FIELDS = {"no": "c-no", "league": "c-league", "teams": "c-team", "time": "
 
 
 def _pool_pages(spark, d):
-    """A page a day with the matches in two tables, and the encoded indices of the draws."""
+    """A page a day with the matches in two tables, and the encoded indices of the draws. A task holds the text of one page at a time."""
     m = matches(spark, d).withColumn("day", F.date_format("kickoff", "yyyy-MM-dd")).withColumn("table_id", F.when(F.col("match_id") % 2 == 0, "tbl").otherwise("bdtbl"))
-    m = m.withColumn("idx", F.row_number().over(Window.partitionBy("day", "table_id").orderBy("match_id")) - 1)
+    m = m.repartition("day").withColumn("idx", F.row_number().over(Window.partitionBy("day", "table_id").orderBy("match_id")) - 1)
     cell = lambda c, x: F.concat(F.lit(f'<td class="{c}">'), x, F.lit("</td>"))
     teams = F.concat(F.lit("<b>T"), F.col("home_team"), F.lit("</b> vs T"), F.col("away_team"), F.lit("<table><tbody><tr><td> &amp; more</td></tr></tbody></table>"))
     tr = F.concat(F.lit('<tr data-idx="'), F.col("idx"), F.lit('" data-key="k'), F.col("match_id"), F.lit('">'), cell("c-no", F.col("match_id").cast("string")), cell("c-league", F.col("competition")), cell("c-team", teams), cell("c-time", F.date_format("kickoff", "yyyy-MM-dd HH:mm")), F.lit("</tr>"))
-    rows = m.withColumn("tr", tr).groupBy("day").agg(*(F.array_join(F.array_sort(F.collect_list(F.when(F.col("table_id") == t, F.struct("idx", "tr"))))["tr"], "").alias(t) for t in ("tbl", "bdtbl")), *(F.array_sort(F.collect_list(F.when((F.col("table_id") == t) & (F.col("home_goals") == F.col("away_goals")), F.col("idx")))).alias(f"l_{t}") for t in ("tbl", "bdtbl")))
-    payload = F.to_json(F.array("l_tbl", "l_bdtbl"))
-    codes = F.array_join(F.transform(F.filter(F.split(payload, ""), lambda c: c != ""), lambda c: F.ascii(c) + 13), ",")
-    html = F.concat(F.lit("<html><script>var _mk=["), codes, F.lit('].map(function(c){return String.fromCharCode(c-13);}).join("");</script><table id="tbl"><thead><tr><th>no</th></tr></thead><tbody>'), F.col("tbl"), F.lit('</tbody></table><table id="bdtbl"><tbody>'), F.col("bdtbl"), F.lit("</tbody></table></html>"))
-    return rows.select("day", html.alias("html"))
+    rows = m.sortWithinPartitions("day", "table_id", "match_id").select("day", "table_id", "idx", tr.alias("tr"), (F.col("home_goals") == F.col("away_goals")).alias("draw"))
+    return rows.mapInArrow(_day_pages, "day string, html string")
+
+
+def _day_pages(batches):
+    """The page of each day from its rows, which come one after another, by table and index."""
+    def page(day, rows, draws):
+        codes = ",".join(str(ord(c) + 13) for c in json.dumps([draws["tbl"], draws["bdtbl"]], separators=(",", ":")))
+        head = f'<html><script>var _mk=[{codes}].map(function(c){{return String.fromCharCode(c-13);}}).join("");</script><table id="tbl"><thead><tr><th>no</th></tr></thead><tbody>'
+        html = "".join((head, *rows["tbl"], '</tbody></table><table id="bdtbl"><tbody>', *rows["bdtbl"], "</tbody></table></html>"))
+        return pa.RecordBatch.from_arrays([pa.array([day], pa.string()), pa.array([html], pa.string())], ["day", "html"])
+
+    of, rows, draws = None, None, None
+    for batch in batches:
+        for day, table_id, idx, tr, draw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows is None or day != of:
+                if rows is not None:
+                    yield page(of, rows, draws)
+                of, rows, draws = day, {"tbl": [], "bdtbl": []}, {"tbl": [], "bdtbl": []}
+            if tr is not None:
+                rows[table_id].append(tr)
+            if draw:
+                draws[table_id].append(idx)
+    if rows is not None:
+        yield page(of, rows, draws)
+
+
+#: Parquet's writer looks at its memory after every row, and ends row groups early: what is written and what is read at once stay some pages, however long these are.
+_LONG_ROWS = {"parquet.block.size": 2 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
 
 
 @PLANS.add("""WITH m AS (SELECT *, strftime(kickoff, '%Y-%m-%d') AS day, CASE WHEN match_id % 2 = 0 THEN 'tbl' ELSE 'bdtbl' END AS table_id FROM matches), i AS (SELECT *, row_number() OVER (PARTITION BY day, table_id ORDER BY match_id) - 1 AS idx FROM m)
     SELECT day, table_id, CAST(idx AS INT) AS "row", CAST(idx AS INT) AS data_idx, 'k' || match_id AS data_key, CAST(match_id AS VARCHAR) AS "no", competition AS league, 'T' || home_team || ' vs T' || away_team || ' & more' AS teams, strftime(kickoff, '%Y-%m-%d %H:%M') AS "time", CAST(home_goals = away_goals AS INT) AS label FROM i""")
 def s03_page_tables(spark, d):
     """The rows of two tables of each day's page with their labels; a page with any problem would be refused as a whole."""
-    made = _once(_pool_pages(spark, d), "pages")  # read for the cells and for the labels
+    made = _once(_pool_pages(spark, d), "pages", _LONG_ROWS)  # read for the cells and for the labels
     rows = _once(pages.labelled_rows(made, "day", "html", ["tbl", "bdtbl"], _POOL_FIELDS, list(_POOL_FIELDS)), "page-rows")
     return pages.accepted(rows, "day")
 
@@ -104,12 +131,12 @@ def shared_folder(spark) -> str:
     return found
 
 
-def _once(df, name):
+def _once(df, name, options=None):
     """``df`` written into the shared folder, and read from there as often as it is needed."""
     import uuid
 
     path = f"{shared_folder(df.sparkSession)}/{name}/{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
