@@ -1,13 +1,14 @@
 """Tables of HTML pages: a fold over tags, the join with a page's label indices, and pages refused as a whole.
 
 A fold over a page's tags and texts, in their order, counts in which table, row and cell each text stands, so nested tables and
-cells without closing tags are no matter. Pages are folded where they are read; only cells leave the task, and joins and refusals are Spark's.
+cells without closing tags are no matter. Pages are folded where they are read; only cells or rows leave the task, and joins and refusals are Spark's.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -79,13 +80,9 @@ def _fold(html: str) -> Iterator[tuple[str, int, str, int, str, str]]:
         yield table_id, row, row_tag, cell, cell_tag, " ".join(texts)
 
 
-def table_cells(pages: DataFrame, id_: str, html: str) -> DataFrame:
-    """(id, table_id, row, row_tag, cell, cell_class, text): the cells of the body rows of every outermost table that has an id.
-
-    Rows count within a table, cells within a row, both from 0. Texts of nested tags, and of nested tables, belong to their cell.
-    """
-    names = [id_, "table_id", "row", "row_tag", "cell", "tag", "text"]
-    kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
+def _mapped(pages: DataFrame, id_: str, html: str, rows, fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """(id, fields): what ``rows`` gives for the text of a page, in Arrow batches of CELLS."""
+    names, kinds = [id_, *(n for n, _, _ in fields)], [t for _, _, t in fields]
 
     def run(batches):
         for batch in batches:
@@ -96,7 +93,7 @@ def table_cells(pages: DataFrame, id_: str, html: str) -> DataFrame:
                 return pa.RecordBatch.from_arrays([ids.take(pa.array(of)), *columns], names)  # noqa: B023
 
             for k, page in enumerate(batch.column(1)):
-                for found in _fold(page.as_py() or ""):
+                for found in rows(page.as_py() or ""):
                     held.append(found)
                     of.append(k)
                     if len(held) == CELLS:
@@ -106,23 +103,51 @@ def table_cells(pages: DataFrame, id_: str, html: str) -> DataFrame:
             if held:
                 yield out()
 
-    kind = dict(pages.dtypes)[id_]
-    cells = pages.select(id_, html).mapInArrow(run, f"{id_} {kind}, table_id string, row int, row_tag string, cell int, tag string, text string")
-    return cells.select(id_, "table_id", "row", "row_tag", "cell", F.coalesce(attribute(F.col("tag"), "class"), F.lit("")).alias("cell_class"), plain_text(F.col("text")).alias("text"))
+    return pages.select(id_, html).mapInArrow(run, ", ".join([f"{id_} {dict(pages.dtypes)[id_]}", *(f"{n} {kind}" for n, kind, _ in fields)]))
+
+
+def _class(tag: Column) -> Column:
+    return F.coalesce(attribute(tag, "class"), F.lit(""))
+
+
+def table_cells(pages: DataFrame, id_: str, html: str) -> DataFrame:
+    """(id, table_id, row, row_tag, cell, cell_class, text): the cells of the body rows of every outermost table that has an id.
+
+    Rows count within a table, cells within a row, both from 0. Texts of nested tags, and of nested tables, belong to their cell.
+    """
+    text, number = pa.string(), pa.int32()
+    cells = _mapped(pages, id_, html, _fold, [("table_id", "string", text), ("row", "int", number), ("row_tag", "string", text), ("cell", "int", number), ("tag", "string", text), ("text", "string", text)])
+    return cells.select(id_, "table_id", "row", "row_tag", "cell", _class(F.col("tag")).alias("cell_class"), plain_text(F.col("text")).alias("text"))
 
 
-def table_rows(cells: DataFrame, id_: str, fields: dict[str, str]) -> DataFrame:
-    """One row per table row: data_idx, data_key, and a column for each of ``fields`` (column -> class of its cell)."""
-    has = lambda c: F.array_contains(F.split("cell_class", r"\s+"), c)
-    idx = attribute(F.col("row_tag"), "data-idx")
-    return cells.groupBy(id_, "table_id", "row", idx.try_cast("int").alias("data_idx"), F.coalesce(attribute(F.col("row_tag"), "data-key"), F.lit("")).alias("data_key")).agg(*(F.max(F.when(has(c), F.col("text"))).alias(n) for n, c in fields.items()))
+def _fold_rows(html: str) -> Iterator[tuple[str, int, str, list[dict[str, str]]]]:
+    """(table_id, row, row_tag, cells as tag and text) of each row with cells."""
+    for key, cells in groupby(_fold(html), key=lambda x: x[:3]):
+        yield *key, [{"tag": x[4], "text": x[5]} for x in cells]
+
+
+def table_rows(pages: DataFrame, id_: str, html: str, fields: dict[str, str], tables: list[str]) -> DataFrame:
+    """One row per row of ``tables``: data_idx, data_key, and a column for each of ``fields`` (column -> class of its cell).
+
+    A row's cells leave the fold together, so only rows are shuffled, and once: by the key by which their indices are counted and joined.
+    """
+    text, number = pa.string(), pa.int32()
+    cell = pa.list_(pa.struct([("tag", text), ("text", text)]))
+    rows = _mapped(pages, id_, html, _fold_rows, [("table_id", "string", text), ("row", "int", number), ("row_tag", "string", text), ("cells", "array<struct<tag string, text string>>", cell)])
+    cells = F.transform("cells", lambda x: F.struct(F.split(_class(x["tag"]), r"\s+").alias("has"), plain_text(x["text"]).alias("text")))
+    idx = attribute(F.col("row_tag"), "data-idx").try_cast("int").alias("data_idx")
+    key = F.coalesce(attribute(F.col("row_tag"), "data-key"), F.lit("")).alias("data_key")
+    rows = rows.filter(F.col("table_id").isin(tables)).select(id_, "table_id", "row", idx, key, F.explode(F.array(cells)).alias("cells"))  # worked out once, not for each field
+    of = lambda c: F.array_max(F.filter("cells", lambda x: F.array_contains(x["has"], c))["text"])
+    rows = rows.select(id_, "table_id", "row", "data_idx", "data_key", *(of(c).alias(n) for n, c in fields.items())).repartition(id_, "table_id", "data_idx")
+    return rows.groupBy(id_, "table_id", "row", "data_idx", "data_key").agg(*(F.max(n).alias(n) for n in fields))
 
 
 def page_labels(pages: DataFrame, id_: str, html: str, tables: list[str]) -> DataFrame:
     """(id, table_id, data_idx, readable): the label indices that a page carries, a group for each of ``tables``; a page that cannot be read has one row, not readable."""
     found = pages.select(id_, F.regexp_extract(html, LABELS, 1).alias("numbers"), F.regexp_extract(html, LABELS, 2).try_cast("int").alias("shift"))
     groups = decode_labels(F.regexp_replace("numbers", r"\s", ""), F.col("shift"))
-    g = found.withColumn("groups", groups)
+    g = found.select(id_, F.explode(F.array(groups)).alias("groups"))  # worked out once, not for each use
     ok = F.col("groups").isNotNull() & (F.size("groups") >= len(tables)) & ~F.exists("groups", lambda x: x.isNull() | F.exists(x, lambda y: y.isNull()))
 
     def named(k: int, table: str) -> Column:
@@ -138,7 +163,7 @@ def labelled_rows(pages: DataFrame, id_: str, html: str, tables: list[str], fiel
 
     Problems: LABELS_UNREADABLE (a page's label payload), NO_NUMERIC_INDEX, DUPLICATE_INDEX, MISSING_IDENTITY, LABEL_WITHOUT_ROW.
     """
-    rows = table_rows(table_cells(pages, id_, html), id_, fields).filter(F.col("table_id").isin(tables))
+    rows = table_rows(pages, id_, html, fields, tables)
     twice = F.count("data_idx").over(Window.partitionBy(id_, "table_id", "data_idx"))
     rows = rows.withColumn("twice", twice)
     labels = page_labels(pages, id_, html, tables).withColumnsRenamed({id_: "l_id", "table_id": "l_table", "data_idx": "l_idx"})
