@@ -70,14 +70,15 @@ def _day_pages(batches):
 
 #: Parquet's writer looks at its memory after every row, and ends row groups early: what is written and what is read at once stay some pages, however long these are.
 _LONG_ROWS = {"parquet.block.size": 2 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+_BATCH = 16 << 20  # bytes of an Arrow batch of rows or pages
 
 
 @PLANS.add("""WITH m AS (SELECT *, strftime(kickoff, '%Y-%m-%d') AS day, CASE WHEN match_id % 2 = 0 THEN 'tbl' ELSE 'bdtbl' END AS table_id FROM matches), i AS (SELECT *, row_number() OVER (PARTITION BY day, table_id ORDER BY match_id) - 1 AS idx FROM m)
     SELECT day, table_id, CAST(idx AS INT) AS "row", CAST(idx AS INT) AS data_idx, 'k' || match_id AS data_key, CAST(match_id AS VARCHAR) AS "no", competition AS league, 'T' || home_team || ' vs T' || away_team || ' & more' AS teams, strftime(kickoff, '%Y-%m-%d %H:%M') AS "time", CAST(home_goals = away_goals AS INT) AS label FROM i""")
 def s03_page_tables(spark, d):
     """The rows of two tables of each day's page with their labels; a page with any problem would be refused as a whole."""
-    made = _once(_pool_pages(spark, d), "pages", _LONG_ROWS)  # read for the cells and for the labels
-    rows = _once(pages.labelled_rows(made, "day", "html", ["tbl", "bdtbl"], _POOL_FIELDS, list(_POOL_FIELDS)), "page-rows")
+    made = _once(_pool_pages(spark, d), "pages", _LONG_ROWS, _BATCH)  # read for the cells and for the labels
+    rows = _once(pages.labelled_rows(made, "day", "html", ["tbl", "bdtbl"], _POOL_FIELDS, list(_POOL_FIELDS)), "page-rows", batch_bytes=_BATCH)
     return pages.accepted(rows, "day")
 
 
@@ -131,12 +132,17 @@ def shared_folder(spark) -> str:
     return found
 
 
-def _once(df, name, options=None):
-    """``df`` written into the shared folder, and read from there as often as it is needed."""
+def _once(df, name, options=None, batch_bytes=None):
+    """``df`` written into the shared folder, and read from there as often as it is needed; ``batch_bytes``: the size of Arrow batches during this write."""
     import uuid
 
-    path = f"{shared_folder(df.sparkSession)}/{name}/{uuid.uuid4().hex[:12]}"
-    df.write.options(**(options or {})).parquet(path)
+    path, conf = f"{shared_folder(df.sparkSession)}/{name}/{uuid.uuid4().hex[:12]}", df.sparkSession.conf
+    was = conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes or was)
+        df.write.options(**(options or {})).parquet(path)
+    finally:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", was)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -80,13 +80,13 @@ def _fold(html: str) -> Iterator[tuple[str, int, str, int, str, str]]:
         yield table_id, row, row_tag, cell, cell_tag, " ".join(texts)
 
 
-def _mapped(pages: DataFrame, id_: str, html: str, rows, fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
-    """(id, fields): what ``rows`` gives for the text of a page, in Arrow batches of CELLS."""
+def _mapped(pages: DataFrame, id_: str, html: str, rows, fields: list[tuple[str, str, pa.DataType]], cells=lambda x: 1) -> DataFrame:
+    """(id, fields): what ``rows`` gives for the text of a page, in Arrow batches of CELLS; ``cells`` counts those of one of these rows."""
     names, kinds = [id_, *(n for n, _, _ in fields)], [t for _, _, t in fields]
 
     def run(batches):
         for batch in batches:
-            held, of = [], []
+            held, of, size = [], [], 0
 
             def out(ids=batch.column(0)):
                 columns = [pa.array(x, t) for x, t in zip(zip(*held, strict=True), kinds, strict=True)]
@@ -96,10 +96,12 @@ def _mapped(pages: DataFrame, id_: str, html: str, rows, fields: list[tuple[str,
                 for found in rows(page.as_py() or ""):
                     held.append(found)
                     of.append(k)
-                    if len(held) == CELLS:
+                    size += cells(found)
+                    if size >= CELLS:
                         yield out()
                         held.clear()
                         of.clear()
+                        size = 0
             if held:
                 yield out()
 
@@ -133,7 +135,7 @@ def table_rows(pages: DataFrame, id_: str, html: str, fields: dict[str, str], ta
     """
     text, number = pa.string(), pa.int32()
     cell = pa.list_(pa.struct([("tag", text), ("text", text)]))
-    rows = _mapped(pages, id_, html, _fold_rows, [("table_id", "string", text), ("row", "int", number), ("row_tag", "string", text), ("cells", "array<struct<tag string, text string>>", cell)])
+    rows = _mapped(pages, id_, html, _fold_rows, [("table_id", "string", text), ("row", "int", number), ("row_tag", "string", text), ("cells", "array<struct<tag string, text string>>", cell)], lambda x: len(x[3]))
     cells = F.transform("cells", lambda x: F.struct(F.split(_class(x["tag"]), r"\s+").alias("has"), plain_text(x["text"]).alias("text")))
     idx = attribute(F.col("row_tag"), "data-idx").try_cast("int").alias("data_idx")
     key = F.coalesce(attribute(F.col("row_tag"), "data-key"), F.lit("")).alias("data_key")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import glob
+import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from oddsloom.plans import ingest
+from oddsloom.sources import pages
 
 
 def test_pages_are_built_one_at_a_time(spark):
@@ -37,3 +39,20 @@ def test_long_rows_are_read_back_in_small_groups(spark):
     files = [pq.ParquetFile(x).metadata for x in glob.glob(back.inputFiles()[0].removeprefix("file://"))]
     assert sum(x.num_rows for x in files) == 60 and max(x.row_group(k).num_rows for x in files for k in range(x.num_row_groups)) <= 6
     assert back.select(F.sum(F.length("html"))).first()[0] == 60 * 16_000 * 64
+
+
+def test_rows_equal_their_cells_and_leave_the_fold_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(pages, "CELLS", 7)
+    r = random.Random(3)
+    bits = ['<table id="a">', "<table id='b'>", "<table>", "</table>", "<tbody>", "</tbody>", "<tr>", '<tr data-idx="1" data-key=k>', "<tr data-idx='x'>", '<td class="p q">', "<td class=q>", "<th class='p'>", "</td>", "x", " y&amp;z ", '<b class="rq-badge">', "</b>"]
+    html = [(k, '<table id="a"><tbody>' + "".join(r.choices(bits, [1] * 6 + [9] * 11, k=60))) for k in range(300)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(html, "page int, html string").repartition(3)
+    fields = {"f": "p", "g": "q"}
+    cells = pages.table_cells(df, "page", "html").filter("table_id IN ('a', 'b')")
+    has = lambda c: F.array_contains(F.split("cell_class", r"\s+"), c)
+    key = [pages.attribute(F.col("row_tag"), "data-idx").try_cast("int").alias("data_idx"), F.coalesce(pages.attribute(F.col("row_tag"), "data-key"), F.lit("")).alias("data_key")]
+    want = cells.groupBy("page", "table_id", "row", *key).agg(*(F.max(F.when(has(c), F.col("text"))).alias(n) for n, c in fields.items()))
+    got = pages.table_rows(df, "page", "html", fields, ["a", "b"])
+    as_text = lambda x: sorted(map(str, x.collect()))
+    assert as_text(got) == as_text(want) and got.count() > 300
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
