@@ -55,4 +55,5 @@ def test_rows_equal_their_cells_and_leave_the_fold_in_small_batches(spark, monke
     got = pages.table_rows(df, "page", "html", fields, ["a", "b"])
     as_text = lambda x: sorted(map(str, x.collect()))
     assert as_text(got) == as_text(want) and got.count() > 300
-    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    plan = pages.table_rows(df, "page", "html", fields, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
